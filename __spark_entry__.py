@@ -152,7 +152,7 @@ def frequent_words_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversion_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = interaction.high_conversion(fx.comments(spark, sf_dir), share=0.1)
-    found = fx.texts(spark, sf_dir).join(high, "comment_id", "semi")
+    found = fx.texts(spark, sf_dir).join(high.select("comment_id"), "comment_id", "semi")
     return words.top_words(found, n=50, stop_words=fx.STOP_WORDS)
 
 
@@ -197,7 +197,8 @@ def trend_forecast_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nb_hashed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = learning.random_split(fx.corpus(spark, sf_dir))
-    return learning.predict_hashed(learning.fit_hashed_bayes(train), _all_reviews(spark, sf_dir))
+    scored = learning.predict_hashed(learning.fit_hashed_bayes(train), _all_reviews(spark, sf_dir))
+    return scored.select("doc_id", "prediction")
 
 
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +207,7 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"naive_bayes_model": learning.fit_hashed_bayes(train)}, fresh_path(spark, "models")
     )
     model = PipelineModel.load(paths["naive_bayes_model"])
-    return learning.predict_hashed(model, _all_reviews(spark, sf_dir))
+    return learning.predict_hashed(model, _all_reviews(spark, sf_dir)).select("doc_id", "prediction")
 
 
 def trend_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,17 +17,29 @@ STOP_WORDS = (
     "the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "be", "as",
     "by", "de", "la", "en", "que", "le", "des", "der", "die", "und",
 )
+SCHEMAS = {
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+              "props STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+}
 ALIASES = {"NATION_1": "N1", "NATION_2": "N2", "NATION_3": "N3"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_spread(spark, f"{sf_dir}/documents.parquet", SCHEMAS["documents"], "doc_id", "text")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``comment_id, content`` of all documents."""
-    documents = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
-    return documents.select(F.col("doc_id").alias("comment_id"), F.col("text").alias("content"))
+    return _documents(spark, sf_dir).select(
+        F.col("doc_id").alias("comment_id"), F.col("text").alias("content")
+    )
 
 
 def _joined(spark: SparkSession, sf_dir: str, documents: DataFrame, *extra) -> DataFrame:
@@ -77,6 +89,7 @@ def raw_levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, review, label`` of the labelled documents."""
-    documents = read_spread(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return documents.join(labels, "doc_id").select("doc_id", F.col("text").alias("review"), "label")
+    return _documents(spark, sf_dir).join(labels, "doc_id").select(
+        "doc_id", F.col("text").alias("review"), "label"
+    )

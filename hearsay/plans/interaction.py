@@ -62,15 +62,16 @@ def top_conversion(comments: DataFrame, n: int = 10, carry: Sequence[str] = ())
 
 
 def high_conversion(comments: DataFrame, share: float = 0.1) -> DataFrame:
-    """``comment_id`` of the comments in the top ``share`` by conversion rate.
+    """The comments in the top ``share`` by conversion rate, with all their columns.
 
     Rates count in millionths; all comments as high as the last one in are in.
+    The mark is found from the three count columns alone.
     """
-    rated = comments.select("comment_id", in_millionths(share_conversion()).alias("rate"))
-    marks = ranks.values_at(rated, ["rate"], ranks.of_top_share(share))
+    rate = in_millionths(share_conversion())
+    marks = ranks.values_at(comments.select(rate.alias("rate")), ["rate"], ranks.of_top_share(share))
     # Fewer comments than 1 / share: nothing is in, as no rate reaches the mark.
     lowest = marks.agg(F.coalesce(F.max("value"), F.lit(float(MILLIONTHS + 1)))).scalar()
-    return rated.filter(F.col("rate") >= lowest).select("comment_id")
+    return comments.filter(rate >= lowest)
 
 
 def top_users(comments: DataFrame, n: int = 100) -> DataFrame:

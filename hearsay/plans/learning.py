@@ -146,12 +146,12 @@ def fit_hashed_bayes(
 
 
 def predict_hashed(
-    model: PipelineModel, texts: DataFrame, tokenizer: txt.Tokenizer = default_tokens
+    model: PipelineModel, texts: DataFrame, text: str = "review",
+    tokenizer: txt.Tokenizer = default_tokens,
 ) -> DataFrame:
-    """All columns of ``texts`` but the text, and ``prediction``."""
-    rest = [c for c in texts.columns if c != "review"]
-    scored = model.transform(texts.select(*rest, tokenizer(F.col("review")).alias("words")))
-    return scored.select(*rest, F.col("prediction").cast("int").alias("prediction"))
+    """All columns of ``texts`` and ``prediction``."""
+    scored = model.transform(texts.select("*", tokenizer(F.col(text)).alias("words")))
+    return scored.select(*texts.columns, F.col("prediction").cast("int").alias("prediction"))
 
 
 # --- evaluation --------------------------------------------------------------

@@ -57,8 +57,7 @@ def explore(
         "average_share_conversion_rate": interaction.average_share_conversion(labelled),
         "high_conversion_content_examples": conversion_examples(labelled, texts),
         "high_conversion_words": words.top_words(
-            texts.join(interaction.high_conversion(labelled), "comment_id", "semi"),
-            stop_words=stop_words, tokenizer=tokenizer,
+            interaction.high_conversion(comments), stop_words=stop_words, tokenizer=tokenizer
         ),
         "interaction_prediction": forecast.hourly_forecast(labelled, tz=tz),
         "sentiment_over_time": opinion.sentiment_over_time(labelled, tz),

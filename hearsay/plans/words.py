@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +29,44 @@ def word_count(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.select(F.explode(by_line).alias("word")).groupBy("word").count()
 
 
-def _occurrences(texts: DataFrame, stop_words: Iterable[str], tokenizer: txt.Tokenizer) -> DataFrame:
-    tokens = texts.select(F.explode(tokenizer(F.col("content"))).alias("word"))
-    listed = [w for w in stop_words]
-    return tokens.filter((F.col("word") != "") & ~F.col("word").isin(listed))
+def occurrences(
+    texts: DataFrame,
+    stop_words: Iterable[str] = STOP_WORDS,
+    tokenizer: txt.Tokenizer = txt.words,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """``carry..., word``: one row per word of a text that is not a stop word."""
+    tokens = texts.select(*carry, F.explode(tokenizer(F.col("content"))).alias("word"))
+    return tokens.filter((F.col("word") != "") & ~F.col("word").isin(list(stop_words)))
 
 
 def _named(polarity: Column) -> Column:
     return F.when(polarity > 0, "positive").when(polarity < 0, "negative").otherwise("neutral")
 
 
+def most_frequent(counts: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` words with the highest ``count``, in alphabetical order among equals."""
+    return counts.orderBy(F.desc("count"), "word").limit(n)
+
+
+def with_polarity(counts: DataFrame, lexicon: DataFrame, n: int = 50) -> DataFrame:
+    """``word, count, sentiment`` of the ``n`` most frequent words.
+
+    ``counts(word, count)`` may hold a word many times.  Counts and lexicon meet in
+    one aggregation by word, combined on the map side, instead of a join that hot
+    words would skew.
+    """
+    unknown = F.lit(None).cast("int").alias("polarity")
+    listed = lexicon.select("word", F.lit(0).cast("bigint").alias("count"), "polarity")
+    merged = (
+        counts.select("word", F.col("count").cast("bigint").alias("count"), unknown)
+        .unionByName(listed).groupBy("word")
+        .agg(F.sum("count").alias("count"), F.max("polarity").alias("polarity"))
+    )
+    top = most_frequent(merged.filter(F.col("count") > 0), n)
+    return top.select("word", "count", _named(F.col("polarity")).alias("sentiment"))
+
+
 def frequent_words(
     texts: DataFrame,
     lexicon: DataFrame,
@@ -46,22 +74,9 @@ def frequent_words(
     stop_words: Iterable[str] = STOP_WORDS,
     tokenizer: txt.Tokenizer = txt.words,
 ) -> DataFrame:
-    """``word, count, sentiment`` of the ``n`` most frequent words.
-
-    Word counts and lexicon meet in one aggregation by word, combined on the map
-    side, instead of a join that hot words would skew.
-    """
-    seen = _occurrences(texts, stop_words, tokenizer).select(
-        "word", F.lit(1).alias("n"), F.lit(None).cast("int").alias("polarity")
-    )
-    listed = lexicon.select("word", F.lit(0).alias("n"), "polarity")
-    return (
-        seen.unionByName(listed).groupBy("word")
-        .agg(F.sum("n").alias("count"), F.max("polarity").alias("polarity"))
-        .filter(F.col("count") > 0)
-        .orderBy(F.desc("count"), "word").limit(n)
-        .select("word", "count", _named(F.col("polarity")).alias("sentiment"))
-    )
+    """``word, count, sentiment`` of the ``n`` most frequent words of ``texts``."""
+    tokens = occurrences(texts, stop_words, tokenizer)
+    return with_polarity(tokens.select("word", F.lit(1).alias("count")), lexicon, n)
 
 
 def top_words(
@@ -70,6 +85,5 @@ def top_words(
     stop_words: Iterable[str] = STOP_WORDS,
     tokenizer: txt.Tokenizer = txt.words,
 ) -> DataFrame:
-    """``word, count`` of the ``n`` most frequent words."""
-    counts = _occurrences(texts, stop_words, tokenizer).groupBy("word").count()
-    return counts.orderBy(F.desc("count"), "word").limit(n)
+    """``word, count`` of the ``n`` most frequent words of ``texts``."""
+    return most_frequent(occurrences(texts, stop_words, tokenizer).groupBy("word").count(), n)

@@ -78,12 +78,14 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
     return to_analysis(df)
 
 
-def read_spread(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
+def read_spread(
+    spark: SparkSession, path: str, schema: str | T.StructType, key: str, *columns: str
+) -> DataFrame:
     """Parquet columns for CPU-heavy text work.
 
-    A table of fewer splits than cores (so, a small one) is first spread by ``key``;
-    larger ones are read as they lie, without a shuffle.
+    A table with splits for less than half of the cores (so, a small one) is first
+    spread by ``key``; others are read as they lie, without a shuffle.
     """
-    df = spark.read.parquet(path).select(key, *columns)
+    df = spark.read.schema(schema).parquet(path).select(key, *columns)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df

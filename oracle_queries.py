@@ -286,6 +286,10 @@ WHERE word NOT IN ({_STOP}) GROUP BY word ORDER BY count DESC, word LIMIT 50""",
     "daily_class_counts": f"WITH {CLASS_DAYS} SELECT date, negative_count, positive_count FROM class_days",
     "trend_forecast": _TREND,
     "trend_forecast_row": _TREND_ROW,
+    "trend_model_roundtrip": f"""WITH {COMMENTS}, {DAILY},
+days AS (SELECT date, date_diff('day', (SELECT min(date) FROM daily), date) AS x, count AS y FROM daily),
+{_fit("SELECT x, y FROM days")}
+SELECT date, round(mean_y + slope * (x - mean_x), 6) AS fitted_count FROM days, fit""",
     "hourly_interaction_forecast": f"""WITH {COMMENTS}, {_fit(_HOURS)}
 SELECT TIMESTAMP '1970-01-01' + to_hours(CAST(x AS INT)) AS hour_start,
        CAST(trunc(predicted) AS BIGINT) AS predicted_interaction FROM {_ahead(24)}""",
