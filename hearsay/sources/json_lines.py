@@ -29,15 +29,10 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Each file is one JSON document: an object, or an array of objects."""
-    corrupt = "_corrupt_record"
-    full = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    rows = (
-        spark.read.schema(full).option("multiLine", "true")
-        .option("columnNameOfCorruptRecord", corrupt).json(path)
+    """Each file is one JSON document, an object or an array of objects; others are skipped."""
+    return (
+        spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
     )
-    any_field = F.coalesce(*[F.col(f.name).isNotNull().cast("int").cast("string") for f in schema])
-    return rows.filter(F.col(corrupt).isNull() & any_field.isNotNull()).drop(corrupt)
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -53,7 +48,7 @@ def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         raise NoJsonError(f"no JSON in {path}")
     if not first["complete"]:
         documents = read_documents(spark, path, schema)
-        if not documents.isEmpty():
+        if documents.head(1):
             return documents
     lines = read_lines(spark, path, schema)
     if lines.isEmpty():

@@ -43,7 +43,7 @@ def read_corpus_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header and no index, values exactly as they are."""
+    """CSV with a header and no index; empty text reads back as NULL, as always in CSV."""
     (
         df.write.mode(mode).options(**_CSV)
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
