@@ -99,7 +99,7 @@ def top_share_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = interaction.top_conversion(fx.comments(spark, sf_dir), 10)
     found = fx.texts(spark, sf_dir).join(F.broadcast(top), "comment_id")
     labelled = sentiment.label_sentiment(
-        found, _lexicon(spark, sf_dir), fx.NEGATIONS, carry=["content", "share_conversion_rate"]
+        found, _scoring_lexicon(spark, sf_dir), fx.NEGATIONS, carry=["content", "share_conversion_rate"]
     )
     return labelled.select("comment_id", "content", "sentiment", "share_conversion_rate")
 
@@ -111,6 +111,11 @@ def _lexicon(spark: SparkSession, sf_dir: str, min_freq: int = 1) -> DataFrame:
     return sentiment.build_lexicon(fx.corpus(spark, sf_dir), min_freq)
 
 
+def _scoring_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the words of both classes: as known neutral words they are never shuffled."""
+    return spool(sentiment.build_lexicon(fx.corpus(spark, sf_dir), keep_common=True), "lexicon")
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.token_counts(fx.texts(spark, sf_dir), fx.STOP_WORDS)
 
@@ -132,7 +137,9 @@ def lexicon_min_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.label_sentiment(fx.texts(spark, sf_dir), _lexicon(spark, sf_dir), fx.NEGATIONS)
+    return sentiment.label_sentiment(
+        fx.texts(spark, sf_dir), _scoring_lexicon(spark, sf_dir), fx.NEGATIONS
+    )
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +239,8 @@ def _row_counts(written: dict[str, DataFrame]) -> DataFrame:
 
 def results_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     analyses = report.explore(
-        fx.full_comments(spark, sf_dir), _lexicon(spark, sf_dir),
+        fx.full_comments(spark, sf_dir),
+        sentiment.build_lexicon(fx.corpus(spark, sf_dir), keep_common=True),
         fx.STOP_WORDS, fx.NEGATIONS, fx.ALIASES,
     )
     paths = results.write_results(analyses, fresh_path(spark, "results"))

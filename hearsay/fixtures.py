@@ -43,7 +43,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str, documents: DataFrame, *extra) -> DataFrame:
-    events, nation = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
+    events = table(spark, sf_dir, "events")
+    nation = F.broadcast(table(spark, sf_dir, "nation"))  # 25 rows at every scale
     reply = F.col("doc_id") % 3 == 0
     return (
         documents.join(events, F.col("event_id") == F.col("doc_id") * 5)

@@ -52,7 +52,8 @@ def explore_comments(
 ) -> dict[str, str]:
     """All exploratory analyses, one dataset each; returns their paths."""
     lexicon = sentiment.build_lexicon(tables.read_corpus_csv(spark, corpus_path), keep_common=True)
-    analyses = report.explore(tables.read_stored(spark, comments_path), lexicon, tz=tz)
+    comments = tables.read_stored(spark, comments_path)
+    analyses = report.explore(comments, lexicon, tz=tz, key="row_id")
     return results.write_results(analyses, out)
 
 

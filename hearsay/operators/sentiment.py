@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from hearsay.functions import text as txt
 from hearsay.operators.lookup import DEFAULT_BOUND, Bound, score_tokens
-from hearsay.operators.spool import spool
 from hearsay.vocabulary import NEGATIONS
 
 
@@ -66,16 +65,21 @@ def label_sentiment(
     carry: Sequence[str] = (),
     tokenizer: txt.Tokenizer = txt.words,
     bound: Bound = DEFAULT_BOUND,
+    key: str = "comment_id",
 ) -> DataFrame:
-    """``comment_id, carry..., sentiment`` of ``comments(comment_id, content, carry...)``.
+    """``key, carry..., sentiment`` of ``comments(key, content, carry...)``.
 
     Each word adds its polarity, reversed if the word before it is a negation;
-    the sign of the sum decides, no sum (or NULL text) is neutral.  The text itself
-    is never shuffled: only one partial sum per comment is.
+    the sign of the sum decides, no sum (or NULL text) is neutral.  ``key`` must
+    tell rows apart: rows that agree in it and in ``carry`` become one.
+
+    The text itself is never shuffled, only one partial sum per comment is.
+    ``lexicon(word, polarity[, freq])`` is read twice, first to measure it: pass a
+    table that starts from files.
     """
-    weights = lexicon if "freq" in lexicon.columns else lexicon.withColumn("freq", F.lit(1))
-    weights = spool(weights.select("word", F.col("polarity").alias("weight"), "freq"), "lexicon")
-    ids = ["comment_id", *carry]
+    freq = F.col("freq") if "freq" in lexicon.columns else F.lit(1)
+    weights = lexicon.select("word", F.col("polarity").alias("weight"), freq.alias("freq"))
+    ids = [key, *carry]
     scored = score_tokens(signed_tokens(comments, ids, negations, tokenizer), weights, ids, bound)
     sentiment = (
         F.when(F.col("score") > 0, "positive").when(F.col("score") < 0, "negative").otherwise("neutral")

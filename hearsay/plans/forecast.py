@@ -29,7 +29,7 @@ def daily_class_counts(predicted: DataFrame, tz: str | None = None) -> DataFrame
 
 
 def _fit(history: DataFrame, reg: float) -> DataFrame:
-    """One row: ``slope, mean_x, mean_y, last_x`` of ``history(x, y)``.
+    """One row: ``slope, mean_x, mean_y, last_x, last_at`` of ``history(x, y, at)``.
 
     Ridge regression on a standardised feature shrinks the plain slope by
     ``1 + reg / stddev(y)``.  One point, or equal ones, give slope 0.
@@ -39,17 +39,18 @@ def _fit(history: DataFrame, reg: float) -> DataFrame:
     slope = F.when(spread > 0, F.regr_slope(y, x) / (1 + F.lit(reg) / spread))
     return history.agg(
         F.coalesce(slope, F.lit(0.0)).alias("slope"),
-        F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.max("x").alias("last_x"),
+        F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
+        F.max("x").alias("last_x"), F.max("at").alias("last_at"),
     )
 
 
 def _next(fit: DataFrame, horizon: int) -> DataFrame:
-    """``step, x, predicted`` for the next ``horizon`` steps; nothing for no history."""
+    """``last_at, step, predicted`` of the next ``horizon`` steps; nothing for no history."""
     known = fit.filter(F.col("last_x").isNotNull())
     steps = known.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
     ahead = F.col("last_x") + F.col("step")
     predicted = F.col("mean_y") + F.col("slope") * (ahead - F.col("mean_x"))
-    return steps.select("*", ahead.alias("x"), predicted.alias("predicted"))
+    return steps.select("last_at", "step", predicted.alias("predicted"))
 
 
 def _as_count(predicted: Column, kind: str) -> Column:
@@ -78,12 +79,11 @@ def trend_forecast(
         x = F.row_number().over(Window.orderBy("date")) - 1
     else:
         raise ValueError(f"unknown feature {feature!r}")
-    history = daily.select(x.alias("x"), F.col("positive_count").alias("y"), "date")
-    last_day = daily.agg(F.max("date")).scalar() if feature == "row" else None
-    ahead = _next(_fit(history, reg), horizon)
-    date = F.date_from_unix_date(F.col("x")) if last_day is None else F.date_add(last_day, F.col("step"))
-    count = _as_count(F.col("predicted"), "int")
-    result = ahead.select(date.alias("date"), count.alias("predicted_positive_count"))
+    history = daily.select(x.alias("x"), F.col("positive_count").alias("y"), F.col("date").alias("at"))
+    result = _next(_fit(history, reg), horizon).select(
+        F.date_add("last_at", F.col("step")).alias("date"),
+        _as_count(F.col("predicted"), "int").alias("predicted_positive_count"),
+    )
     if start_date is None:
         return result
     empty = daily.agg(F.count("*").alias("days")).filter(F.col("days") == 0)
@@ -108,9 +108,10 @@ def hourly_forecast(
     comments: DataFrame, horizon: int = HORIZON_HOURS, reg: float = REG, tz: str | None = None
 ) -> DataFrame:
     """``hour_start, predicted_interaction`` for the hours after the last one."""
-    ahead = _next(_fit(hourly_interaction(comments, tz), reg), horizon)
+    history = hourly_interaction(comments, tz).withColumn("at", F.col("x"))
+    ahead = _next(_fit(history, reg), horizon)
     return ahead.select(
-        clock.hour_start(F.col("x")).alias("hour_start"),
+        clock.hour_start(F.col("last_at") + F.col("step")).alias("hour_start"),
         _as_count(F.col("predicted"), "bigint").alias("predicted_interaction"),
     )
 

@@ -53,11 +53,13 @@ def average_share_conversion(comments: DataFrame) -> DataFrame:
     return comments.agg(F.round(F.avg(share_conversion()), 4).alias("average_rate"))
 
 
-def top_conversion(comments: DataFrame, n: int = 10, carry: Sequence[str] = ()) -> DataFrame:
-    """``comment_id, carry..., share_conversion_rate`` of the ``n`` highest rates."""
-    rated = comments.select("comment_id", *carry, share_conversion().alias("rate"))
-    return rated.orderBy(F.desc("rate"), "comment_id").limit(n).select(
-        "comment_id", *carry, F.round("rate", 6).alias("share_conversion_rate")
+def top_conversion(
+    comments: DataFrame, n: int = 10, carry: Sequence[str] = (), key: str = "comment_id"
+) -> DataFrame:
+    """``key, carry..., share_conversion_rate`` of the ``n`` highest rates."""
+    rated = comments.select(key, *carry, share_conversion().alias("rate"))
+    return rated.orderBy(F.desc("rate"), key).limit(n).select(
+        key, *carry, F.round("rate", 6).alias("share_conversion_rate")
     )
 
 

@@ -24,20 +24,22 @@ def explore(
     aliases: Mapping[str, str] = PROVINCE_ALIASES,
     tokenizer: txt.Tokenizer = txt.words,
     tz: str | None = None,
+    key: str = "comment_id",
 ) -> dict[str, DataFrame]:
     """All exploratory analyses under their result names.
 
-    The comments are read and labelled once; a narrow table without the texts is
-    kept in files, and every analysis but those of words reads only that.
+    The comments are labelled once; a narrow table without the texts is kept in
+    files, and every analysis but those of words reads only that.  ``key`` tells the
+    comments apart.
     """
     lexicon = spool(lexicon, "lexicon")
     carry = [c for c in NARROW if c in comments.columns]
     labelled = spool(
-        label_sentiment(comments.select("comment_id", "content", *carry), lexicon, negations, carry,
-                        tokenizer),
+        label_sentiment(
+            comments.select(key, "content", *carry), lexicon, negations, carry, tokenizer, key=key
+        ),
         "labelled",
     )
-    texts = comments.select("comment_id", "content")
     results = {
         "sentiment_overall_counts": opinion.sentiment_counts(labelled),
         "hot_posts_sentiment_counts": opinion.sentiment_counts(labelled, opinion.HOT_LIKES),
@@ -55,14 +57,14 @@ def explore(
         "sentiment_per_ip_location": opinion.sentiment_by(labelled, "ip_location"),
         "shares_by_ip_location": interaction.shares_by_location(labelled),
         "average_share_conversion_rate": interaction.average_share_conversion(labelled),
-        "high_conversion_content_examples": conversion_examples(labelled, texts),
+        "high_conversion_content_examples": conversion_examples(labelled, comments, key=key),
         "high_conversion_words": words.top_words(
             interaction.high_conversion(comments), stop_words=stop_words, tokenizer=tokenizer
         ),
         "interaction_prediction": forecast.hourly_forecast(labelled, tz=tz),
         "sentiment_over_time": opinion.sentiment_over_time(labelled, tz),
         "frequent_words_sentiment": words.frequent_words(
-            texts, lexicon, stop_words=stop_words, tokenizer=tokenizer
+            comments, lexicon, stop_words=stop_words, tokenizer=tokenizer
         ),
     }
     if "user_id" in carry:
@@ -71,11 +73,13 @@ def explore(
     return results
 
 
-def conversion_examples(labelled: DataFrame, texts: DataFrame, n: int = 10) -> DataFrame:
-    """``comment_id, content, sentiment, share_conversion_rate`` of the ``n`` highest rates.
+def conversion_examples(
+    labelled: DataFrame, texts: DataFrame, n: int = 10, key: str = "comment_id"
+) -> DataFrame:
+    """``key, content, sentiment, share_conversion_rate`` of the ``n`` highest rates.
 
     Ranking reads no text; the ``n`` rows found are the broadcast side of the lookup.
     """
-    top = interaction.top_conversion(labelled, n, carry=["sentiment"])
-    found = texts.join(F.broadcast(top), "comment_id")
-    return found.select("comment_id", "content", "sentiment", "share_conversion_rate")
+    top = interaction.top_conversion(labelled, n, carry=["sentiment"], key=key)
+    found = texts.select(key, "content").join(F.broadcast(top), key)
+    return found.select(key, "content", "sentiment", "share_conversion_rate")

@@ -68,13 +68,13 @@ def write_stored(
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     """The stored Parquet table (a directory or one part file) as analysis columns.
 
-    A table stored without ``comment_id`` gets one from file name and row position,
-    which stays the same on every read.
+    ``row_id`` is made of file and row position: it tells equal comments apart and
+    stays the same on every read.  It also serves as ``comment_id`` if there is none.
     """
-    df = spark.read.parquet(path)
+    row_id = F.concat_ws("#", F.md5("_metadata.file_path"), F.col("_metadata.row_index"))
+    df = spark.read.parquet(path).select(row_id.alias("row_id"), "*")
     if "comment_id" not in df.columns:
-        row = F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-        df = df.select(row.alias("comment_id"), "*")
+        df = df.withColumn("comment_id", F.col("row_id"))
     return to_analysis(df)
 
 

@@ -72,6 +72,7 @@ def test_a_stored_table_without_ids_gets_stable_ones(spark, tmp_path):
         for r in tables.read_stored(spark, path).select("comment_id", "content").repartition(7).collect()
     }
     assert first == again and len(set(first.values())) == 100
+    assert set(tables.read_stored(spark, path).select("row_id").toPandas()["row_id"]) == set(first.values())
     parts = [f for f in os.listdir(path) if f.endswith(".parquet")]
     assert len(parts) == 3
     assert 0 < tables.read_stored(spark, f"{path}/{parts[0]}").count() < 100
