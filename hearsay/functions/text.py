@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.vocabulary import NEGATIONS, STOP_WORDS
@@ -20,7 +20,11 @@ from hearsay.vocabulary import NEGATIONS, STOP_WORDS
 Tokenizer = Callable[[Column], Column]
 
 _LETTERS = r"\p{L}+"
+_ASCII_LETTERS = "[a-z]+"
 _HAN = r"\p{IsHan}"
+# Everything from the first Han character on: a range is much cheaper to look for
+# than a script, and texts it catches needlessly give the same words.
+_MAYBE_HAN = r"[\u2e80-\x{10ffff}]"
 
 
 def _is_han(word: str) -> bool:
@@ -52,13 +56,21 @@ def words(text: Column, known: Iterable[str] = KNOWN_WORDS) -> Column:
     """Lower-cased words of ``text`` in order; empty array for NULL or empty text."""
     known = [word for word in known if _is_han(word)]
     lowered = F.lower(text)
-    pieces = F.regexp_extract_all(lowered, F.lit(_han_pattern(known)), F.lit(0))
+
+    def all_matches(pattern: str) -> Column:
+        return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
+
     split_run = lambda piece: F.when(
         piece.rlike(rf"^{_HAN}{{3,}}$") & ~piece.isin(known), _pairs(piece)
     ).otherwise(F.array(piece))
-    han = F.flatten(F.transform(pieces, split_run))
-    plain = F.regexp_extract_all(lowered, F.lit(_LETTERS), F.lit(0))
-    chosen = F.when(text.rlike(_HAN), han).otherwise(plain)
+    han = F.flatten(F.transform(all_matches(_han_pattern(known)), split_run))
+    # Most of the work at scale is matching, so texts take the cheapest pattern that
+    # is right for them; ASCII texts are told by their length in bytes.
+    chosen = (
+        F.when(F.octet_length(text) == F.char_length(text), all_matches(_ASCII_LETTERS))
+        .when(text.rlike(_MAYBE_HAN), han)
+        .otherwise(all_matches(_LETTERS))
+    )
     return F.coalesce(chosen, F.array().cast("array<string>"))
 
 
@@ -73,6 +85,18 @@ def drop_stop_words(tokens: Column, stop_words: Iterable[str] = STOP_WORDS) -> C
     return F.filter(tokens, lambda t: (F.trim(t) != "") & ~F.trim(t).isin(listed))
 
 
+def explode_words(df: DataFrame, text: str, tokenizer: Tokenizer, *carry: str) -> DataFrame:
+    """``carry..., word``: one row per word, and one with NULL for a text without words.
+
+    The words are a column of their own first: a generator that contains the whole
+    tokenizer would fall out of code generation, with all rows it emits.  The plain
+    ``explode`` would add a filter on the number of words below that column, and so
+    tokenise every text twice.
+    """
+    listed = df.select(*carry, tokenizer(F.col(text)).alias("words"))
+    return listed.select(*carry, F.explode_outer("words").alias("word"))
+
+
 def with_previous(tokens: Column) -> Column:
     """``array<struct<word, previous>>`` with one closing entry whose word is NULL.
 

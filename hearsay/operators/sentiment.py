@@ -14,7 +14,7 @@ from hearsay.vocabulary import NEGATIONS
 
 def class_word_counts(corpus: DataFrame, tokenizer: txt.Tokenizer = txt.words) -> DataFrame:
     """``word, positive, negative``: occurrences per class of ``corpus(review, label)``."""
-    tokens = corpus.select("label", F.explode(tokenizer(F.col("review"))).alias("word"))
+    tokens = txt.explode_words(corpus, "review", tokenizer, "label").filter(F.col("word").isNotNull())
     return tokens.groupBy("word").agg(
         F.count_if(F.col("label") == 1).alias("positive"),
         F.count_if(F.col("label") == 0).alias("negative"),

@@ -119,7 +119,7 @@ def predict_bayes(
     bound: Bound = DEFAULT_BOUND,
 ) -> DataFrame:
     """``doc_id, prediction`` of ``texts(doc_id, review)``; equal odds mean class 0."""
-    tokens = texts.select("doc_id", F.explode_outer(tokenizer(F.col("review"))).alias("word"))
+    tokens = txt.explode_words(texts, "review", tokenizer, "doc_id")
     scored = score_tokens(tokens.withColumn("sign", F.lit(1)), model.weights, ["doc_id"], bound)
     odds = F.round(F.col("score") + F.lit(model.intercept), 6)
     return scored.select("doc_id", (odds > 0).cast("int").alias("prediction"))

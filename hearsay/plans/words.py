@@ -36,7 +36,7 @@ def occurrences(
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """``carry..., word``: one row per word of a text that is not a stop word."""
-    tokens = texts.select(*carry, F.explode(tokenizer(F.col("content"))).alias("word"))
+    tokens = txt.explode_words(texts, "content", tokenizer, *carry)
     return tokens.filter((F.col("word") != "") & ~F.col("word").isin(list(stop_words)))
 
 

@@ -55,6 +55,14 @@ def test_top_k_needs_no_full_sort(plans):
         assert "TakeOrderedAndProject" in plans(name), name
 
 
+@pytest.mark.parametrize("name", ["frequent_words_sentiment", "conversion_top_words", "sentiment_labels",
+                                  "nb_predictions", "corpus_word_counts", "tokens"])
+def test_texts_are_tokenised_once(spark, sf_dir, name):
+    optimized = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    scans = len(re.findall(r"Relation \[doc_id#\w+,text#", optimized))
+    assert 0 < optimized.count("octet_length(") <= scans
+
+
 def _comments(spark):
     return spark.createDataFrame([(1, "good bad")], "comment_id BIGINT, content STRING")
 

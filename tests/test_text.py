@@ -71,3 +71,13 @@ def test_frequent_words_with_polarity(spark):
     assert [tuple(r) for r in rows] == [("good", 2, "positive"), ("bad", 1, "negative")]
     everything = words.frequent_words(texts, lexicon, n=50, stop_words=["the"]).collect()
     assert [tuple(r) for r in everything][2] == ("meh", 1, "neutral") and len(everything) == 3
+
+
+def test_all_patterns_agree_where_they_overlap(spark):
+    """ASCII, other alphabetic and Han texts take different patterns."""
+    plain = "Some words, 2 of them; MIXED-case"
+    expected = ["some", "words", "of", "them", "mixed", "case"]
+    assert tokens(spark, plain) == expected
+    assert tokens(spark, plain + " é") == [*expected, "é"]
+    assert tokens(spark, plain + " 好") == [*expected, "好"]
+    assert tokens(spark, plain + " ひ😀") == [*expected, "ひ"]
