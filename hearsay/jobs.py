@@ -70,7 +70,10 @@ def learn_sentiment(
     train, test = learning.random_split(corpus, fraction)
     model = learning.fit_hashed_bayes(train)
     comments = tables.read_stored(spark, comments_path)
-    scored = learning.predict_hashed(model, comments.select("content", "created_at"), "content")
+    # Scoring costs far more than writing, so it is done once.
+    scored = spool(
+        learning.predict_hashed(model, comments.select("content", "created_at"), "content"), "scored"
+    )
     daily = spool(
         forecast.daily_class_counts(scored.select("created_at", "prediction"), tz), "daily"
     )

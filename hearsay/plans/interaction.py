@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions.rates import MILLIONTHS, in_millionths, share_conversion, total_interaction
@@ -63,8 +63,8 @@ def top_conversion(
     )
 
 
-def high_conversion(comments: DataFrame, share: float = 0.1) -> DataFrame:
-    """The comments in the top ``share`` by conversion rate, with all their columns.
+def is_high_conversion(comments: DataFrame, share: float = 0.1) -> Column:
+    """Whether a comment is in the top ``share`` of ``comments`` by conversion rate.
 
     Rates count in millionths; all comments as high as the last one in are in.
     The mark is found from the three count columns alone.
@@ -72,8 +72,12 @@ def high_conversion(comments: DataFrame, share: float = 0.1) -> DataFrame:
     rate = in_millionths(share_conversion())
     marks = ranks.values_at(comments.select(rate.alias("rate")), ["rate"], ranks.of_top_share(share))
     # Fewer comments than 1 / share: nothing is in, as no rate reaches the mark.
-    lowest = marks.agg(F.coalesce(F.max("value"), F.lit(float(MILLIONTHS + 1)))).scalar()
-    return comments.filter(rate >= lowest)
+    return rate >= marks.agg(F.coalesce(F.max("value"), F.lit(float(MILLIONTHS + 1)))).scalar()
+
+
+def high_conversion(comments: DataFrame, share: float = 0.1) -> DataFrame:
+    """The comments in the top ``share`` by conversion rate, with all their columns."""
+    return comments.filter(is_high_conversion(comments, share))
 
 
 def top_users(comments: DataFrame, n: int = 100) -> DataFrame:

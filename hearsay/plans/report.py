@@ -28,9 +28,9 @@ def explore(
 ) -> dict[str, DataFrame]:
     """All exploratory analyses under their result names.
 
-    The comments are labelled once; a narrow table without the texts is kept in
-    files, and every analysis but those of words reads only that.  ``key`` tells the
-    comments apart.
+    The texts are read once for sentiment and once for words.  What that leaves, a
+    narrow table of labels and one of word totals, is kept in files, and the analyses
+    read only those.  ``key`` tells the comments apart.
     """
     lexicon = spool(lexicon, "lexicon")
     carry = [c for c in NARROW if c in comments.columns]
@@ -40,6 +40,13 @@ def explore(
         ),
         "labelled",
     )
+    high = interaction.is_high_conversion(labelled)
+    tokens = words.occurrences(
+        comments.select("content", high.alias("high")), stop_words, tokenizer, carry=["high"]
+    )
+    totals = spool(
+        tokens.groupBy("word").agg(F.count("*").alias("count"), F.count_if("high").alias("high")), "words"
+    )
     results = {
         "sentiment_overall_counts": opinion.sentiment_counts(labelled),
         "hot_posts_sentiment_counts": opinion.sentiment_counts(labelled, opinion.HOT_LIKES),
@@ -58,14 +65,12 @@ def explore(
         "shares_by_ip_location": interaction.shares_by_location(labelled),
         "average_share_conversion_rate": interaction.average_share_conversion(labelled),
         "high_conversion_content_examples": conversion_examples(labelled, comments, key=key),
-        "high_conversion_words": words.top_words(
-            interaction.high_conversion(comments), stop_words=stop_words, tokenizer=tokenizer
+        "high_conversion_words": words.most_frequent(
+            totals.filter(F.col("high") > 0).select("word", F.col("high").alias("count"))
         ),
         "interaction_prediction": forecast.hourly_forecast(labelled, tz=tz),
         "sentiment_over_time": opinion.sentiment_over_time(labelled, tz),
-        "frequent_words_sentiment": words.frequent_words(
-            comments, lexicon, stop_words=stop_words, tokenizer=tokenizer
-        ),
+        "frequent_words_sentiment": words.with_polarity(totals, lexicon),
     }
     if "user_id" in carry:
         results["avg_posts_per_gender"] = volume.posts_per_user_by_gender(labelled)
