@@ -28,6 +28,14 @@ def daily_class_counts(predicted: DataFrame, tz: str | None = None) -> DataFrame
     )
 
 
+def history_range(daily: DataFrame) -> DataFrame:
+    """``first_date, last_date, last_index``: the days covered, index 0 is the first day."""
+    first, last = F.min("date"), F.max("date")
+    return daily.agg(
+        first.alias("first_date"), last.alias("last_date"), F.datediff(last, first).alias("last_index")
+    )
+
+
 def _fit(history: DataFrame, reg: float) -> DataFrame:
     """One row: ``slope, mean_x, mean_y, last_x, last_at`` of ``history(x, y, at)``.
 

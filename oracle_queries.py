@@ -284,6 +284,9 @@ WHERE word NOT IN ({_STOP}) GROUP BY word ORDER BY count DESC, word LIMIT 50""",
     "nb_predictions": f"WITH {PREDICTED} SELECT doc_id, prediction FROM predicted",
     "nb_evaluation": f"WITH {EVALUATED} SELECT metric, value FROM evaluation",
     "daily_class_counts": f"WITH {CLASS_DAYS} SELECT date, negative_count, positive_count FROM class_days",
+    "trend_history_range": f"""WITH {CLASS_DAYS}
+SELECT min(date) AS first_date, max(date) AS last_date,
+       CAST(date_diff('day', min(date), max(date)) AS INT) AS last_index FROM class_days""",
     "trend_forecast": _TREND,
     "trend_forecast_row": _TREND_ROW,
     "trend_model_roundtrip": f"""WITH {COMMENTS}, {DAILY},
