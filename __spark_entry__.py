@@ -25,6 +25,12 @@ from hearsay.operators.spool import fresh_path, spool  # noqa: E402
 from hearsay.plans import forecast, interaction, learning, opinion, report, volume, words  # noqa: E402
 from hearsay.sources import json_lines, results, tables  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from hearsay.llm import queries as llm_queries
+except ModuleNotFoundError:
+    corpus_pipeline = llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -291,6 +297,12 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["sentiment_over_time"](spark, SMOKE_DIR)
 
 
+def _llm_queries() -> dict[str, Query]:
+    if llm_queries is None:
+        return {}
+    return {**llm_queries.QUERIES, "pipeline": corpus_pipeline.run}
+
+
 def queries() -> dict[str, Query]:
     return {
         "clean_merge": clean_merge,
@@ -341,6 +353,7 @@ def queries() -> dict[str, Query]:
         "trend_model_roundtrip": trend_model_roundtrip,
         "results_bundle": results_bundle,
         "learning_bundle": learning_bundle,
+        **_llm_queries(),
     }
 
 
@@ -348,4 +361,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL for every query but the ones on hashed features and stored models."""
     from oracle_queries import SQL
 
-    return dict(SQL)
+    extra = dict(llm_queries.SQL) if llm_queries else {}
+    if corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        extra["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**SQL, **extra}
