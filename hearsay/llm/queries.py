@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearsay.llm import mixing, packing, quality
-from hearsay.llm.tables import documents
+from hearsay.llm import fingerprints, language, mixing, packing, quality, toxicity
+from hearsay.llm.tables import documents, labels, remainder
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +17,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    known = labels(spark, sf_dir).filter(remainder("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(docs, toxicity.fit(docs, known))
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_matches", "terms")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.fit(docs.filter(remainder("doc_id", 3) != 1))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits")
+
+
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -13,8 +13,21 @@ LABELS = "doc_id BIGINT, quality INT, toxic INT"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it is there.
+
+    On a cluster the package is shipped (``--py-files``) or installed.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The given columns of ``documents``; only those are scanned."""
+    importable(spark)
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
