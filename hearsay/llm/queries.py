@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import fingerprints, language, mixing, packing, quality, toxicity
+from hearsay.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, toxicity
 from hearsay.llm.tables import documents, labels, remainder
 
 
@@ -17,6 +17,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     known = labels(spark, sf_dir).filter(remainder("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
@@ -42,6 +51,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
+    "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
