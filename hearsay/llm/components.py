@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by least labels and shortcuts."""
 
 from __future__ import annotations
 
@@ -8,38 +8,26 @@ from pyspark.sql import functions as F
 from hearsay.llm.tables import written
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    """For every node the least of its neighbours and itself; counted on the map side first."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
-    return least.select("u", F.least("u", "least").alias("least"))
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, component`` for all nodes of ``edges(u, v)``; a component's name is its least node.
 
-    Every round links nodes to the least node near them and is written to the shared
-    folder; it ends when nothing changes.  A hub's edges are joined, not collected, so they
-    can be split over tasks.
+    In every round a node takes the least label near it and then the label of that label's
+    node, so labels travel ever further; each round starts from a table in the shared
+    folder, and the last one changes nothing.  Labels meet in sums by key, which start on
+    the map side, and in joins, whose hot keys can be split over tasks.
     """
-    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = None
+    ways = written(edges.filter("u <> v").select("u", "v").union(edges.filter("u <> v").select("v", "u")).distinct(), "edges")
+    labels = ways.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component"))
+    labels = written(labels, "labels")
     for _ in range(rounds):
-        around = _both_ways(edges)
-        large = around.join(_least(around), "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = large.filter("u <> v").distinct()
-        small = large.join(_least(large), "u")
-        star = small.filter("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(
-            small.select("u", F.col("least").alias("v")))
-        edges = written(star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "stars")
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state:
-            break
-        state = found
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        near = ways.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "component")
+        least = labels.select("node", "component", F.col("component").alias("old")).unionByName(
+            near.withColumn("old", F.lit(None).cast(labels.schema["component"].dataType))).groupBy("node").agg(
+            F.min("component").alias("component"), F.max("old").alias("old"))
+        far = labels.select(F.col("node").alias("n"), F.col("component").alias("further"))
+        labels = written(least.join(far, F.col("component") == F.col("n")).select(
+            "node", F.least("component", "further").alias("component"), "old"), "labels")
+        if labels.filter("component <> old").isEmpty():
+            return labels.select("node", "component")
+        labels = labels.select("node", "component")
+    raise RuntimeError("components did not settle")

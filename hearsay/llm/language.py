@@ -6,8 +6,8 @@ already excluded), and the statistics stay frozen while texts are scored.  A tex
 to the language that codes it in the fewest bits; the score is that language's share of
 the likelihoods.
 
-The trees are learned from about ``sample`` texts a language, chosen by a hash of the key,
-and hold at most ``CELLS`` probabilities, so the model's size does not grow with the
+The trees are learned from about ``sample`` texts a language, chosen by a hash of the key
+(of the ``MOST_LANGUAGES`` languages with the most texts), and hold at most ``CELLS`` probabilities, so the model's size does not grow with the
 tables.  Bytes are lower-cased, digits count as one symbol, and bytes that the sample
 lacks count as one rare symbol.  Texts that are null or have no letter are ``und`` with
 score 0, and so is every text if no language could be learned.  Ties go to the language
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from hearsay.llm.packed import LOWER, chunks, flat
 
 SAMPLE = 400
+MOST_LANGUAGES = 200
 CELLS = 8_000_000
 MOST_SYMBOLS = 127
 UNDETERMINED = "und"
@@ -81,9 +82,13 @@ def _tree(contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, rows: np.nda
 def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE, cells: int = CELLS) -> dict:
     """The trees of all languages in ``docs(key, text, lang)``."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select(key, "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows")).filter("lang IS NOT NULL")
+    most = sizes.orderBy(F.col("rows").desc(), "lang").limit(MOST_LANGUAGES).collect()
+    if not most:
+        return {"langs": []}
+    rows = F.create_map(*(F.lit(v) for r in most for v in (r["lang"], r["rows"])))
     place = F.crc32(F.concat(F.lit("lang"), F.col(key).cast("string"))) / 4294967296.0
-    chosen = known.join(sizes, "lang").filter(place * F.col("rows") < sample)
+    chosen = known.filter(place * F.element_at(rows, F.col("lang")) < sample)
     counted = _grams(chosen).toPandas()  # grams of a bounded sample
     if not len(counted):
         return {"langs": []}

@@ -8,8 +8,8 @@ the edit similarity of the shingle sequences, ``1 - distance / longer length``,
 
 Exact copies (the same words) are joined first and go on as one.  A bucket's texts are not
 paired with each other but with its hub, the text that shares most buckets with others;
-texts that the hub rejects get a hub of their own in the next round, until every text of a
-bucket has been a hub, or is in the class of one.  Classes are the connected components of the links.
+texts that the hub rejects get a hub of their own in the next round, until none is left (or
+``ROUNDS`` hubs were tried).  Classes are the connected components of the links.
 
 Texts without words (null, empty) and rows with a null key are in no class but their own.
 Texts of one to four words have one shingle.  Repeated rows are exact copies.  Other columns
@@ -264,25 +264,29 @@ def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY, rou
     shared = written(spread.join(sizes, "bucket"), "buckets")
     weights = shared.groupBy("key").agg(F.sum("size").alias("weight"))
     members = written(shared.select("bucket", "key").join(weights, "key"), "members")
-    links = None
-    merged = None
-    for _ in range(rounds):
-        hubs = _hubs(members)
-        met = members.join(hubs, "bucket")
-        pairs = met.filter("key <> hub").groupBy(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v")).agg(F.lit(1))
+    links = merged = None
+    for number in range(rounds):
+        met = members.join(_hubs(members), "bucket").filter("key <> hub")
+        pairs = met.groupBy(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v")).agg(F.lit(1).alias("one"))
         pairs = written(pairs.select("u", "v"), "pairs")
         if pairs.isEmpty():
             break
         found = written(verified(bodies.select("key", "body"), pairs, least), "links")
-        links = found if links is None else links.union(found)
-        merged = written(components(links), "components")
-        # What is not in the class of its bucket's hub gets another hub.
-        named = met.join(merged.select(F.col("node").alias("key"), F.col("component").alias("own")), "key", "left").join(
-            merged.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left")
-        apart = named.filter("key <> hub").filter(F.coalesce("own", "key") != F.coalesce("other", "hub"))
+        links = found if links is None else links.unionByName(found)
+        if number == 0:  # what is in the hub's class by way of other texts needs no further hub
+            merged = written(components(links), "components")
+            named = met.join(merged.select(F.col("node").alias("key"), F.col("component").alias("own")), "key", "left").join(
+                merged.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left")
+            apart = named.filter(F.coalesce("own", "key") != F.coalesce("other", "hub"))
+        else:
+            linked = found.select("u", "v", F.lit(1).alias("linked"))
+            apart = met.withColumn("u", F.greatest("key", "hub")).withColumn("v", F.least("key", "hub")).join(
+                linked, ["u", "v"], "left").filter("linked IS NULL")
         members = written(apart.select("bucket", "key", "weight"), "members")
-    same = of_row.select(F.col("key").alias("u"), F.col("rep").alias("v")).filter("u <> v")
+    if links is not None and number > 1:
+        merged = written(components(links), "components")
     # Rows of one key with different texts are one document: they join their classes.
+    same = of_row.select(F.col("key").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     several = of_row.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
     result = of_row
     if not several.isEmpty():

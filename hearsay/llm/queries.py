@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import fingerprints, language, mixing, near_dedup, packing, pii, quality, toxicity
+from hearsay.llm import fingerprints, language, lm_scoring, mixing, near_dedup, packing, pii, quality, repeats, toxicity
 from hearsay.llm.tables import documents, labels, remainder
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("held_out", remainder("doc_id", 7) == 2)
+    return lm_scoring.score(docs)
+
+
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cleaned(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
 
@@ -49,6 +58,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_repeats": op2_repeats,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
