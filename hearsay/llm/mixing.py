@@ -63,9 +63,20 @@ def mix(docs: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: float = SH
     return sample(written(sized(docs, key), "sizes"), key, weights, share, most, seed)
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, as often as the mix takes them."""
+    # Rows travel whole, in one column, so that names cannot clash.
+    rows = docs.select(
+        F.col(key).alias("key"), F.col("source"), F.regexp_count(as_text(), F.lit(WORD)).cast("bigint").alias("size"),
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+    )
+    taken = sample(rows, "key", **options).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
 def sample(sizes: DataFrame, key: str, weights=WEIGHTS, share: float = SHARE, most: int = MOST_COPIES,
            seed: int = 0) -> DataFrame:
-    """As ``mix``, for a stored ``sizes(key, source, size)`` with any further columns."""
+    """As ``mix``, for a ``sizes(key, source, size)`` that reads stored rows, with any further columns."""
     ranges = max(1, sizes.count() // ROWS_PER_RANGE + 1)
     ranges = max(ranges, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     line = sizes.repartitionByRange(ranges, F.col("source").asc_nulls_last(), "size", key).sortWithinPartitions(

@@ -101,8 +101,8 @@ class Lexicon:
                 del found[start]
         return found
 
-    def features(self, folded: str) -> tuple[float, float, float]:
-        hits = self.matches(folded)
+    def features(self, folded: str, hits: dict | None = None) -> tuple[float, float, float]:
+        hits = self.matches(folded) if hits is None else hits
         if not hits:
             return 0.0, 0.0, 0.0
         total = sum(w for w, _ in hits.values())
@@ -111,6 +111,20 @@ class Lexicon:
         return math.log1p(total), math.log1p(100 * total / max(n_words, 1)), math.log1p(sum(kinds.values()))
 
 
+class Scorer:
+    def __init__(self, model: dict):
+        self._lexicon, self._weights = Lexicon(model["terms"], model["phrases"]), model["weights"]
+
+    def score(self, text: str | None) -> tuple[float, dict[int, tuple[float, str]]]:
+        """A text's score and matches."""
+        folded = fold(text)
+        hits = self._lexicon.matches(folded)
+        if not self._weights:
+            return 0.0, hits
+        z = self._weights[0] + sum(w * x for w, x in zip(self._weights[1:], self._lexicon.features(folded, hits)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), hits
+
+
 def _log_odds(toxic, clean, n_toxic: int, n_clean: int):
     return np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
 
@@ -249,18 +263,12 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", threshold: float =
     kinds = dict(taken.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        lexicon, weights = Lexicon(model["terms"], model["phrases"]), model["weights"]
+        scorer = Scorer(shared.value)
         for batch in batches:
-            scores, counts, terms = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                folded = fold(text)
-                x = lexicon.features(folded)
-                z = weights and weights[0] + sum(w * v for w, v in zip(weights[1:], x))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) if weights else 0.0)
-                hits = lexicon.matches(folded) if x[0] else {}
-                counts.append(len(hits))
-                terms.append(json.dumps(sorted({t.strip() for _, t in hits.values()}), ensure_ascii=False))
+            found = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            scores = [s for s, _ in found]
+            counts = [len(hits) for _, hits in found]
+            terms = [json.dumps(sorted({t.strip() for _, t in hits.values()}), ensure_ascii=False) for _, hits in found]
             arrays = batch.columns[:-1] + [
                 pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
                 pa.array(counts, pa.int64()), pa.array(terms, pa.string())]
@@ -268,3 +276,16 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", threshold: float =
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry))
     return taken.mapInArrow(run, f"{schema}, score double, predicted int, n_matches bigint, terms string")
+
+
+def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
