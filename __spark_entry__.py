@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from hearsay import fixtures as fx  # noqa: E402
-from hearsay.operators import clean, sentiment  # noqa: E402
+from hearsay import jobs  # noqa: E402
+from hearsay.operators import clean, lookup, sentiment  # noqa: E402
 from hearsay.operators.spool import fresh_path, spool  # noqa: E402
 from hearsay.plans import forecast, interaction, learning, opinion, report, volume, words  # noqa: E402
 from hearsay.sources import json_lines, results, tables  # noqa: E402
@@ -57,16 +58,18 @@ def stored_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_drop_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.null_drop_audit(*fx.raw_levels(spark, sf_dir))
+    return clean.null_drop_audit(*fx.raw_levels(spark, sf_dir, texts=False))
 
 
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.profile(fx.comments(spark, sf_dir))
+    return clean.profile(fx.figures(spark, sf_dir))
 
 
 def table_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    comments = fx.full_comments(spark, sf_dir).select("comment_id", "created_at", "content", "likes")
-    return clean.preview(comments, "comment_id", 5)
+    # Rank ids first, then fetch the texts of the five rows found.
+    first = clean.preview(fx.comments(spark, sf_dir).select("comment_id", "created_at", "likes", "doc_id"), "comment_id", 5)
+    found = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).join(F.broadcast(first), "doc_id")
+    return found.select("comment_id", "created_at", "content", "likes")
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_tolerant_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "json")
-    rows = fx.comments(spark, sf_dir).select(
+    rows = fx.figures(spark, sf_dir).select(
         "comment_id", F.to_date("created_at").alias("date"), "ip_location", "likes"
     )
     lines = rows.select(F.to_json(F.struct("*")).alias("value"))
@@ -97,20 +100,20 @@ def json_tolerant_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _on_comments(analysis: Callable[..., DataFrame], **params) -> Query:
-    return lambda spark, sf_dir: analysis(fx.comments(spark, sf_dir), **params)
+    return lambda spark, sf_dir: analysis(fx.figures(spark, sf_dir), **params)
 
 
 def posts_per_hour_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The test tables are in UTC, while times without a zone count as session time.
     in_session = F.convert_timezone(F.lit("UTC"), F.current_timezone(), "created_at")
-    comments = fx.comments(spark, sf_dir).withColumn("created_at", in_session)
+    comments = fx.figures(spark, sf_dir).withColumn("created_at", in_session)
     return volume.posts_per_hour(comments, tz="Asia/Shanghai")
 
 
 def top_share_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Rank without texts; only the ten rows found are looked up and labelled.
-    top = interaction.top_conversion(fx.comments(spark, sf_dir), 10)
-    found = fx.texts(spark, sf_dir).join(F.broadcast(top), "comment_id")
+    top = interaction.top_conversion(fx.comments(spark, sf_dir), 10, carry=["doc_id"])
+    found = fx.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")).join(F.broadcast(top), "doc_id")
     labelled = sentiment.label_sentiment(
         found, _scoring_lexicon(spark, sf_dir), fx.NEGATIONS, carry=["content", "share_conversion_rate"]
     )
@@ -157,7 +160,8 @@ def sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Labels and figures are both narrow: no text takes part in this join.
-    return fx.comments(spark, sf_dir).join(sentiment_labels(spark, sf_dir), "comment_id")
+    labels = sentiment_labels(spark, sf_dir).withColumnRenamed("comment_id", "doc_id")
+    return fx.comments(spark, sf_dir).join(labels, "doc_id")
 
 
 def _on_labelled(analysis: Callable[..., DataFrame], **params) -> Query:
@@ -170,9 +174,21 @@ def frequent_words_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def high_conversion_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.high_conversion(fx.figures(spark, sf_dir), share=0.1).select("comment_id")
+
+
+def high_conversion_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 95 of 100 comments have one rate."""
+    shares = F.when(F.col("comment_id") % 20 == 1, F.col("shares")).otherwise(0)
+    tied = fx.figures(spark, sf_dir).withColumn("shares", shares)
+    return interaction.high_conversion(tied, share=0.1).select("comment_id")
+
+
 def conversion_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The condition needs figures only, so just the rows that pass it are joined to texts.
     high = interaction.high_conversion(fx.comments(spark, sf_dir), share=0.1)
-    found = fx.texts(spark, sf_dir).join(high.select("comment_id"), "comment_id", "semi")
+    found = fx.with_texts(spark, sf_dir, high.select("comment_id", "doc_id"))
     return words.top_words(found, n=50, stop_words=fx.STOP_WORDS)
 
 
@@ -199,8 +215,7 @@ def nb_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predicted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    predicted = nb_predictions(spark, sf_dir).withColumnRenamed("doc_id", "comment_id")
-    return fx.comments(spark, sf_dir).join(predicted, "comment_id")
+    return fx.comments(spark, sf_dir).join(nb_predictions(spark, sf_dir), "doc_id")
 
 
 def daily_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,23 +234,44 @@ def trend_forecast_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.trend_forecast(daily_class_counts(spark, sf_dir), feature="row")
 
 
+def _sampled_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return learning.hash_split(spool(fx.corpus(spark, sf_dir), "corpus"), ["doc_id"], fraction=0.7)
+
+
+def sampled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _sampled_split(spark, sf_dir)
+    part = lambda df, name: df.select("doc_id", F.lit(name).alias("part"))
+    return part(train, "train").unionByName(part(test, "test"))
+
+
+def nb_hashed_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes on words hashed to buckets, in closed form."""
+    train, _ = _sampled_split(spark, sf_dir)
+    model = learning.fit_bayes(train, tokenizer=fx.hashed_words, size=fx.BUCKETS)
+    return learning.predict_bayes(model, _all_reviews(spark, sf_dir), tokenizer=fx.hashed_words)
+
+
 def nb_hashed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = learning.random_split(fx.corpus(spark, sf_dir))
-    scored = learning.predict_hashed(learning.fit_hashed_bayes(train), _all_reviews(spark, sf_dir))
+    """The stored pipeline's predictions, from words that are its buckets already."""
+    train, _ = _sampled_split(spark, sf_dir)
+    model = learning.fit_hashed_bayes(train, num_features=1 << 18, tokenizer=fx.hashed_words)
+    scored = learning.predict_hashed(model, _all_reviews(spark, sf_dir), tokenizer=fx.hashed_words)
     return scored.select("doc_id", "prediction")
 
 
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _ = learning.random_split(fx.corpus(spark, sf_dir))
-    paths = results.write_models(
-        {"naive_bayes_model": learning.fit_hashed_bayes(train)}, fresh_path(spark, "models")
-    )
-    model = PipelineModel.load(paths["naive_bayes_model"])
-    return learning.predict_hashed(model, _all_reviews(spark, sf_dir)).select("doc_id", "prediction")
+    """Documents labelled, and how many of them otherwise after the model was stored and read."""
+    train, _ = _sampled_split(spark, sf_dir)
+    model = learning.fit_hashed_bayes(train)
+    paths = results.write_models({"naive_bayes_model": model}, fresh_path(spark, "models"))
+    reviews = _all_reviews(spark, sf_dir)
+    both = learning.predict_hashed(PipelineModel.load(paths["naive_bayes_model"]), learning.predict_hashed(
+        model, reviews).withColumnRenamed("prediction", "before"))
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("prediction") != F.col("before")).alias("changed"))
 
 
 def trend_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = volume.posts_per_day(fx.comments(spark, sf_dir)).withColumnRenamed("count", "positive_count")
+    daily = volume.posts_per_day(fx.figures(spark, sf_dir)).withColumnRenamed("count", "positive_count")
     paths = results.write_models(
         {"linear_regression_model": forecast.fit_trend_model(daily)}, fresh_path(spark, "models")
     )
@@ -246,12 +282,60 @@ def trend_model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.select("date", F.round("prediction", 6).alias("fitted_count"))
 
 
+# --- Chinese texts -----------------------------------------------------------
+
+
+def _han_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spool(sentiment.build_lexicon(fx.han_corpus(spark, sf_dir), keep_common=True), "lexicon")
+
+
+def han_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.token_counts(fx.han_texts(spark, sf_dir))
+
+
+def han_sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.label_sentiment(fx.han_texts(spark, sf_dir), _han_lexicon(spark, sf_dir))
+
+
+def han_frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.frequent_words(fx.han_texts(spark, sf_dir), _han_lexicon(spark, sf_dir), n=50)
+
+
+# --- the other side of the bounded lookup ------------------------------------
+
+SMALL_BOUND = lookup.Bound(rows=100)
+
+
+def sentiment_labels_small_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentiment.label_sentiment(
+        fx.texts(spark, sf_dir), _scoring_lexicon(spark, sf_dir), fx.NEGATIONS, bound=SMALL_BOUND
+    )
+
+
+def nb_predictions_small_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _split(spark, sf_dir)
+    return learning.predict_bayes(learning.fit_bayes(train), _all_reviews(spark, sf_dir), bound=SMALL_BOUND)
+
+
 # --- complete result sets ----------------------------------------------------
 
+_TEXT = ("string", "date", "timestamp", "timestamp_ntz")
+
+
+def _long_rows(name: str, df: DataFrame) -> DataFrame:
+    """``name, key, column, number``: the text columns of a row, by name, are its key."""
+    keys = sorted(c for c, kind in df.dtypes if kind in _TEXT)
+    key = F.concat_ws("|", F.lit("k"), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in keys])
+    numbers = [F.struct(F.lit(c).alias("column"), F.round(F.col(c).cast("double"), 6).alias("number"))
+               for c in sorted(df.columns) if c not in keys]
+    return df.select(F.lit(name).alias("name"), key.alias("key"), F.inline(F.array(*numbers)))
 
-def _row_counts(written: dict[str, DataFrame]) -> DataFrame:
-    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in written.items()]
-    return reduce(DataFrame.unionByName, counts)
+
+def _stored_rows(spark: SparkSession, datasets: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Everything that was written, read back."""
+    paths = results.write_results(datasets, fresh_path(spark, folder))
+    stored = results.read_results(spark, paths, {name: df.schema for name, df in datasets.items()})
+    return reduce(DataFrame.unionByName, [_long_rows(name, df) for name, df in stored.items()])
 
 
 def results_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,33 +344,49 @@ def results_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
         sentiment.build_lexicon(fx.corpus(spark, sf_dir), keep_common=True),
         fx.STOP_WORDS, fx.NEGATIONS, fx.ALIASES,
     )
-    paths = results.write_results(analyses, fresh_path(spark, "results"))
-    schemas = {name: df.schema for name, df in analyses.items()}
-    return _row_counts(results.read_results(spark, paths, schemas))
+    return _stored_rows(spark, analyses, "results")
 
 
 def learning_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    model = learning.fit_bayes(train)
-    predicted = spool(learning.predict_bayes(model, _all_reviews(spark, sf_dir)), "predicted")
-    scored = fx.full_comments(spark, sf_dir).join(
-        predicted.withColumnRenamed("doc_id", "comment_id"), "comment_id"
-    )
-    bundle = {
-        results.ANALYSIS: results.comment_labels(scored),
-        results.EVALUATION: learning.classification_metrics(
-            test.select("doc_id", "label").join(predicted, "doc_id")
-        ),
-        results.TREND: forecast.trend_forecast(
-            forecast.daily_class_counts(scored.select("created_at", "prediction"))
-        ),
+    predicted = spool(learning.predict_bayes(learning.fit_bayes(train), _all_reviews(spark, sf_dir)), "predicted")
+    scored = fx.comments(spark, sf_dir).select("created_at", "doc_id").join(predicted, "doc_id")
+    metrics = learning.classification_metrics(test.select("doc_id", "label").join(predicted, "doc_id"))
+    labels = results.comment_labels(fx.with_texts(spark, sf_dir, scored))
+    paths = results.write_results({results.ANALYSIS: labels}, fresh_path(spark, "learning"))
+    stored = results.read_results(spark, paths, {results.ANALYSIS: labels.schema})[results.ANALYSIS]
+    per_day = stored.groupBy("date", F.col("sentiment_label").cast("string").alias("sentiment_label")).agg(
+        F.count("*").alias("rows"), F.sum(F.char_length("content")).alias("chars"))
+    others = {
+        results.EVALUATION: results.evaluation(metrics),
+        results.TREND: forecast.trend_forecast(forecast.daily_class_counts(scored.select("created_at", "prediction"))),
     }
-    paths = results.write_results(bundle, fresh_path(spark, "learning"))
-    schemas = {name: df.schema for name, df in bundle.items()}
-    labels = results.read_results(spark, paths, schemas)[results.ANALYSIS]
-    return labels.groupBy(F.col("date").cast("date").alias("date"), "sentiment_label").agg(
-        F.count("*").alias("rows"), F.sum(F.char_length("content")).cast("bigint").alias("chars")
-    )
+    return _long_rows(results.ANALYSIS, per_day).unionByName(_stored_rows(spark, others, "learning"))
+
+
+# --- the jobs, from CSV files to CSV files and tables -------------------------
+
+
+def _text_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("create_date_time", F.date_format("create_date_time", "yyyy-MM-dd HH:mm:ssXXX"))
+
+
+def clean_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both raw tables as CSV, through the cleaning job."""
+    paths = [fresh_path(spark, name) for name in ("top", "replies", "cleaned")]
+    for level, path in zip(fx.raw_levels(spark, sf_dir), paths):
+        tables.write_csv(_text_time(level), path)
+    stored = jobs.clean_comments(spark, *paths)
+    names = ("created_at", "content", "likes", "comments", "shares", "ip_location", "gender")
+    return tables.read_stored(spark, stored).withColumn(
+        "created_at", F.col("created_at").cast("timestamp_ntz")).select(*names)
+
+
+def corpus_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexicon of a corpus that went through CSV."""
+    path = fresh_path(spark, "corpus")
+    tables.write_csv(fx.corpus(spark, sf_dir).select("review", "label"), path)
+    return sentiment.build_lexicon(tables.read_corpus_csv(spark, path)).select("word", "polarity")
 
 
 # --- contract ----------------------------------------------------------------
@@ -341,6 +441,8 @@ def queries() -> dict[str, Query]:
         "sentiment_over_time": _on_labelled(opinion.sentiment_over_time),
         "frequent_words_sentiment": frequent_words_sentiment,
         "conversion_top_words": conversion_top_words,
+        "high_conversion_ids": high_conversion_ids,
+        "high_conversion_ties": high_conversion_ties,
         "nb_predictions": nb_predictions,
         "nb_evaluation": nb_evaluation,
         "daily_class_counts": daily_class_counts,
@@ -348,17 +450,26 @@ def queries() -> dict[str, Query]:
         "trend_forecast": trend_forecast,
         "trend_forecast_row": trend_forecast_row,
         "hourly_interaction_forecast": _on_comments(forecast.hourly_forecast),
+        "sampled_split": sampled_split,
+        "nb_hashed_buckets": nb_hashed_buckets,
         "nb_hashed_pipeline": nb_hashed_pipeline,
         "model_roundtrip": model_roundtrip,
         "trend_model_roundtrip": trend_model_roundtrip,
         "results_bundle": results_bundle,
         "learning_bundle": learning_bundle,
+        "han_tokens": han_tokens,
+        "han_sentiment_labels": han_sentiment_labels,
+        "han_frequent_words": han_frequent_words,
+        "sentiment_labels_small_bound": sentiment_labels_small_bound,
+        "nb_predictions_small_bound": nb_predictions_small_bound,
+        "clean_from_csv": clean_from_csv,
+        "corpus_from_csv": corpus_from_csv,
         **_llm_queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for every query but the ones on hashed features and stored models."""
+    """SQL for every query; of the training-data operators for those that SQL can express."""
     from oracle_queries import SQL
 
     extra = dict(llm_queries.SQL) if llm_queries else {}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A rate in millionths is an integer between 0 and this value.
-MILLIONTHS = 1_000_000
+# Rates of totals below 2^26 differ by more than 2^-53, so these whole numbers keep their order.
+_STEPS = float(1 << 53)
 
 
 def total_interaction() -> Column:
@@ -20,5 +20,6 @@ def share_conversion() -> Column:
     return F.when(total > 0, F.col("shares") / total).otherwise(F.lit(0.0))
 
 
-def in_millionths(rate: Column) -> Column:
-    return F.round(rate * MILLIONTHS).cast("int")
+def as_number(rate: Column) -> Column:
+    """A rate between 0 and 1 as a whole number in the same order."""
+    return F.floor(rate * F.lit(_STEPS)).cast("bigint")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearsay.operators import clean, sentiment
-from hearsay.operators.spool import spool
+from hearsay.operators.spool import scratch, spool
 from hearsay.plans import forecast, learning, report
 from hearsay.schemas import IDENTIFIERS
 from hearsay.session import get_spark
@@ -48,13 +48,15 @@ def preview_comments(spark: SparkSession, path: str, n: int = 50) -> DataFrame:
 
 
 def explore_comments(
-    spark: SparkSession, comments_path: str, corpus_path: str, out: str, tz: str | None = None
+    spark: SparkSession, comments_path: str, corpus_path: str, out: str, tz: str | None = None,
+    multi_line: bool = True,
 ) -> dict[str, str]:
     """All exploratory analyses, one dataset each; returns their paths."""
-    lexicon = sentiment.build_lexicon(tables.read_corpus_csv(spark, corpus_path), keep_common=True)
+    corpus = tables.read_corpus_csv(spark, corpus_path, multi_line)
     comments = tables.read_stored(spark, comments_path)
-    analyses = report.explore(comments, lexicon, tz=tz, key="row_id")
-    return results.write_results(analyses, out)
+    with scratch(spark):
+        analyses = report.explore(comments, sentiment.build_lexicon(corpus, keep_common=True), tz=tz, key="row_id")
+        return results.write_results(analyses, out)
 
 
 def learn_sentiment(
@@ -64,37 +66,42 @@ def learn_sentiment(
     out: str,
     fraction: float = 1.0,
     tz: str | None = None,
+    multi_line: bool = True,
 ) -> dict[str, str]:
     """Train, evaluate and apply the classifier, forecast, and store all of it."""
-    corpus = spool(tables.read_corpus_csv(spark, corpus_path), "corpus")
-    train, test = learning.random_split(corpus, fraction)
-    model = learning.fit_hashed_bayes(train)
-    comments = tables.read_stored(spark, comments_path)
-    # Scoring costs far more than writing, so it is done once.
-    scored = spool(
-        learning.predict_hashed(model, comments.select("content", "created_at"), "content"), "scored"
-    )
-    daily = spool(
-        forecast.daily_class_counts(scored.select("created_at", "prediction"), tz), "daily"
-    )
-    models = {"naive_bayes_model": model, "linear_regression_model": forecast.fit_trend_model(daily)}
-    return {
-        **results.write_results({
-            results.ANALYSIS: results.comment_labels(scored),
-            results.EVALUATION: learning.classification_metrics(learning.predict_hashed(model, test)),
-            results.TREND: forecast.trend_forecast(daily).withColumn(
-                "date", F.date_format("date", "yyyy-MM-dd")
-            ),
-        }, out),
-        **results.write_models(models, f"{out.rstrip('/')}/models"),
-    }
+    with scratch(spark):
+        corpus = spool(learning.numbered(tables.read_corpus_csv(spark, corpus_path, multi_line)), "corpus")
+        train, test = learning.hash_split(corpus, fraction=fraction)
+        model = learning.fit_hashed_bayes(train)
+        comments = tables.read_stored(spark, comments_path)
+        # Comments are scored once, into the result itself; the trend starts from what is stored.
+        scored = learning.predict_hashed(model, comments.select("row_id", "content", "created_at"), "content")
+        labels = {results.ANALYSIS: results.comment_labels(scored, carry=["row_id", "created_at"])}
+        paths = results.write_results(labels, out)
+        stored = spark.read.schema("created_at TIMESTAMP, sentiment_label INT").json(paths[results.ANALYSIS])
+        daily = spool(
+            forecast.daily_class_counts(stored.withColumnRenamed("sentiment_label", "prediction"), tz), "daily"
+        )
+        models = {"naive_bayes_model": model, "linear_regression_model": forecast.fit_trend_model(daily)}
+        return {
+            **paths,
+            **results.write_results({
+                results.EVALUATION: results.evaluation(
+                    learning.classification_metrics(learning.predict_hashed(model, test))
+                ),
+                results.TREND: forecast.trend_forecast(daily).withColumn(
+                    "date", F.date_format("date", "yyyy-MM-dd")
+                ),
+            }, out),
+            **results.write_models(models, f"{out.rstrip('/')}/models"),
+        }
 
 
 def drop_csv_columns(
-    spark: SparkSession, source: str, out: str, columns: Sequence[str] = IDENTIFIERS
+    spark: SparkSession, source: str, out: str, columns: Sequence[str] = IDENTIFIERS, multi_line: bool = True
 ) -> list[str]:
     """Copy a CSV without ``columns``; returns the names it did not have."""
-    df = tables.read_csv(spark, source, tables.TOP_LEVEL_SCHEMA)
+    df = tables.read_csv(spark, source, tables.TOP_LEVEL_SCHEMA, multi_line)
     tables.write_csv(clean.drop_columns(df, columns), out)
     return clean.missing_columns(df, columns)
 
@@ -103,18 +110,19 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(description="Public-opinion analytics")
     commands = parser.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *required: str) -> argparse.ArgumentParser:
+    def command(name: str, *required: str, csv: bool = True) -> argparse.ArgumentParser:
         sub = commands.add_parser(name)
         for option in required:
             sub.add_argument(f"--{option}", required=True)
+        if csv:
+            sub.add_argument("--single-line", action="store_true", help="no line breaks inside CSV values")
         return sub
 
     sub = command("clean", "top-level", "replies", "out")
     sub.add_argument("--format", default="parquet")
     sub.add_argument("--sub-dir")
     sub.add_argument("--files", type=int)
-    sub.add_argument("--single-line", action="store_true", help="no line breaks inside CSV values")
-    command("preview", "comments").add_argument("--rows", type=int, default=50)
+    command("preview", "comments", csv=False).add_argument("--rows", type=int, default=50)
     command("explore", "comments", "corpus", "out").add_argument("--tz")
     sub = command("learn", "comments", "corpus", "out")
     sub.add_argument("--fraction", type=float, default=1.0)
@@ -132,11 +140,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     elif args.command == "preview":
         preview_comments(spark, args.comments, args.rows).show(args.rows)
     elif args.command == "explore":
-        print(explore_comments(spark, args.comments, args.corpus, args.out, args.tz))
+        print(explore_comments(spark, args.comments, args.corpus, args.out, args.tz, not args.single_line))
     elif args.command == "learn":
-        print(learn_sentiment(spark, args.comments, args.corpus, args.out, args.fraction, args.tz))
+        print(learn_sentiment(spark, args.comments, args.corpus, args.out, args.fraction, args.tz,
+                              not args.single_line))
     else:
-        print(drop_csv_columns(spark, args.source, args.out, args.columns))
+        print(drop_csv_columns(spark, args.source, args.out, args.columns, not args.single_line))
 
 
 if __name__ == "__main__":

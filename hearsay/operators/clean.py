@@ -124,7 +124,7 @@ def to_analysis(df: DataFrame) -> DataFrame:
             F.try_to_timestamp(created, F.lit(TIMESTAMP_PATTERN)), created.try_cast("timestamp")
         )
     return df.withColumns({
-        "created_at": created, **{c: F.col(c).try_cast("int") for c in COUNT_COLUMNS},
+        "created_at": created, **{c: F.col(c).try_cast("bigint") for c in COUNT_COLUMNS},
     })
 
 

@@ -6,9 +6,8 @@ measured before anything is broadcast:
 * within the bound, the whole table is broadcast and no token is shuffled, only
   one partial sum per text;
 * beyond it, the most frequent words that fit the bound are broadcast.  They
-  settle most tokens (and all hot words the corpus knows) on the map side; the
-  open rest is summed per text and word before it is shuffled, then joined to
-  the remaining words under a salted key.
+  settle most tokens (and all hot words the corpus knows) on the map side; only the
+  open rest, summed per text and word, is shuffled and joined to the remaining words.
 
 Both ways give the same sums.
 """
@@ -75,7 +74,6 @@ def score_tokens(
     weights: DataFrame,
     ids: Sequence[str],
     bound: Bound = DEFAULT_BOUND,
-    salts: int = 16,
 ) -> DataFrame:
     """``ids..., score`` with ``score = sum(sign * weight)`` over the tokens of a text.
 
@@ -96,16 +94,10 @@ def score_tokens(
     reduced = known.groupBy(*ids, open_word.alias("open_word")).agg(
         gain.alias("settled"), F.sum("sign").alias("net")
     )
-    # Settled rows get a key of their own, so they spread instead of meeting as NULLs.
-    own_key = F.concat_ws("\u0000", F.lit(""), *[F.col(c).cast("string") for c in ids])
-    left = reduced.select(
-        *ids, "settled", "net",
-        F.coalesce("open_word", own_key).alias("word"),
-        F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int").alias("salt"),
-    )
-    right = tail.filter(F.col("weight") != 0).select(
-        "word", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    joined = left.join(right, ["word", "salt"], "left")
-    rest = F.col("net") * F.coalesce("weight", F.lit(0))
-    return joined.groupBy(*ids).agg(F.sum(F.col("settled") + rest).alias("score"))
+    settled = reduced.filter("open_word IS NULL").select(*ids, F.col("settled").alias("score"))
+    left = reduced.filter("open_word IS NOT NULL").select(*ids, "settled", "net", F.col("open_word").alias("word"))
+    right = tail.filter(F.col("weight") != 0).select("word", "weight")
+    # A hot word unknown to the corpus: adaptive execution splits the large side of this join.
+    joined = left.join(right, "word", "left")
+    rest = joined.select(*ids, (F.col("settled") + F.col("net") * F.coalesce("weight", F.lit(0))).alias("score"))
+    return settled.unionByName(rest).groupBy(*ids).agg(F.sum("score").alias("score"))

@@ -1,9 +1,9 @@
 """Exact order statistics of integer columns without sorting the table.
 
-Values are counted (combined on the map side), then found in two steps: the
-high 16 bits of a 32-bit value name one of at most 65,536 buckets, and a bucket
-holds at most 65,536 distinct values.  So no task ever sees more than 65,536
-rows of one column, whatever the size or skew of the table.
+Values are counted (combined on the map side), then found 16 bits at a time: the
+high bits of a 64-bit value name one of at most 65,536 buckets, the next 16 bits one
+of as many in that bucket, and so on.  So no window ever sees more than 65,536 rows
+of one column, whatever the size or skew of the table.
 """
 
 from __future__ import annotations
@@ -28,51 +28,55 @@ def interpolated(p: float) -> RankRule:
     return rule
 
 
-def of_top_share(share: float) -> RankRule:
-    """The lowest value among the ``floor(share * total)`` highest ones."""
+def nth_least(place: Column) -> RankRule:
+    """The value at a 0-based place from below."""
+    return lambda total: [(place, F.lit(1.0))]
 
-    def rule(total: Column):
-        return [(total - F.floor(total * F.lit(float(share))), F.lit(1.0))]
-
-    return rule
 
-
-def values_at(df: DataFrame, columns: Sequence[str], rule: RankRule) -> DataFrame:
-    """``metric, value``: weighted sum of the values at the ranks given by ``rule``.
-
-    ``columns`` are INT columns; NULLs do not count.  A column without values, or
-    a rank outside of them, gives no row.
-    """
-    typed = df.select(*[F.col(c).cast("int").alias(c) for c in columns])
+def _found(df: DataFrame, columns: Sequence[str], rule: RankRule) -> DataFrame:
+    """``metric, number, weight`` at the ranks given by ``rule``."""
+    typed = df.select(*[F.col(c).cast("bigint").alias(c) for c in columns])
     counts = (
         typed.unpivot([], list(columns), "metric", "number")
         .filter(F.col("number").isNotNull())
         .groupBy("metric", "number")
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.shiftright("number", 16))
-    )
-
-    by_bucket = Window.partitionBy("metric").orderBy("bucket")
-    buckets = (
-        counts.groupBy("metric", "bucket").agg(F.sum("n").alias("n"))
-        .withColumn("ends", F.sum("n").over(by_bucket))
-        .withColumn("total", F.sum("n").over(Window.partitionBy("metric")))
     )
     wanted = [
         F.struct(F.lit(i).alias("which"), rank.cast("bigint").alias("rank"), weight.alias("weight"))
         for i, (rank, weight) in enumerate(rule(F.col("total")))
     ]
-    targets = (  # one bucket per metric and wanted rank
-        buckets.select("metric", "bucket", "ends", "n", F.inline(F.array(*wanted)))
-        .filter((F.col("rank") < F.col("ends")) & (F.col("rank") >= F.col("ends") - F.col("n")))
-        .select("metric", "bucket", "which", "rank", "weight",
-                (F.col("ends") - F.col("n")).alias("before"))
-    )
+    totals = counts.groupBy("metric").agg(F.sum("n").alias("total"))
+    # One row per metric and wanted rank; ``rank`` counts on from the start of the bucket.
+    targets = totals.select("metric", F.inline(F.array(*wanted)))
+    for shift in (48, 32, 16, 0):
+        bucket = F.shiftright("number", shift)
+        at = ["metric"]
+        part = counts
+        if shift < 48:
+            part = counts.withColumn("within", F.shiftright("number", shift + 16))
+            at.append("within")
+        sizes = (
+            part.join(F.broadcast(targets), at)
+            .groupBy("metric", "which", "rank", "weight", bucket.alias("bucket")).agg(F.sum("n").alias("n"))
+            .withColumn("ends", F.sum("n").over(Window.partitionBy("metric", "which").orderBy("bucket")))
+        )
+        targets = sizes.filter((F.col("rank") < F.col("ends")) & (F.col("rank") >= F.col("ends") - F.col("n"))).select(
+            "metric", "which", (F.col("rank") - F.col("ends") + F.col("n")).alias("rank"), "weight",
+            F.col("bucket").alias("within"))
+    return targets.select("metric", F.col("within").alias("number"), "weight")
 
-    by_number = Window.partitionBy("metric", "which").orderBy("number")
-    found = (
-        counts.join(F.broadcast(targets), ["metric", "bucket"])
-        .withColumn("ends", F.col("before") + F.sum("n").over(by_number))
-        .filter((F.col("rank") < F.col("ends")) & (F.col("rank") >= F.col("ends") - F.col("n")))
-    )
-    return found.groupBy("metric").agg(F.sum(F.col("number") * F.col("weight")).alias("value"))
+
+def values_at(df: DataFrame, columns: Sequence[str], rule: RankRule) -> DataFrame:
+    """``metric, value``: weighted sum of the values at the ranks given by ``rule``.
+
+    ``columns`` are whole numbers; NULLs do not count.  A column without values, or
+    a rank outside of them, gives no row.
+    """
+    return _found(df, columns, rule).groupBy("metric").agg(
+        F.sum(F.col("number") * F.col("weight")).alias("value"))
+
+
+def value_at(df: DataFrame, column: str, place: int) -> int | None:
+    """The value at one 0-based place of an integer column; None outside."""
+    return _found(df, [column], nth_least(F.lit(place))).agg(F.max("number")).first()[0]

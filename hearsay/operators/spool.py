@@ -6,32 +6,40 @@ survive the loss of executors, and reading them back prunes columns.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-@cache
-def _local_folder() -> str:
-    return "file:" + tempfile.mkdtemp(prefix="hearsay-")
+_open: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only for a local master."""
+    """The folder named by the session, else one below its warehouse."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
-    raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/hearsay/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/hearsay/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that were written meanwhile; their readers must be done."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm = spark._jvm
+        for path in _open.pop():
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:

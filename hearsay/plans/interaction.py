@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.functions.rates import MILLIONTHS, in_millionths, share_conversion, total_interaction
+from hearsay.functions.rates import as_number, share_conversion, total_interaction
 from hearsay.operators import ranks
 from hearsay.schemas import COUNT_COLUMNS
 
@@ -63,21 +64,36 @@ def top_conversion(
     )
 
 
-def is_high_conversion(comments: DataFrame, share: float = 0.1) -> Column:
-    """Whether a comment is in the top ``share`` of ``comments`` by conversion rate.
+def _id_number(comments: DataFrame, key: str) -> Column:
+    """Ids as whole numbers in their order; ids of other types by their hash."""
+    kind = dict(comments.dtypes)[key]
+    return F.col(key).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
 
-    Rates count in millionths; all comments as high as the last one in are in.
-    The mark is found from the three count columns alone.
-    """
-    rate = in_millionths(share_conversion())
-    marks = ranks.values_at(comments.select(rate.alias("rate")), ["rate"], ranks.of_top_share(share))
-    # Fewer comments than 1 / share: nothing is in, as no rate reaches the mark.
-    return rate >= marks.agg(F.coalesce(F.max("value"), F.lit(float(MILLIONTHS + 1)))).scalar()
 
+def is_high_conversion(comments: DataFrame, share: float = 0.1, key: str = "comment_id") -> Column:
+    """Whether a comment is in the top ``share`` of ``comments`` by conversion rate.
 
-def high_conversion(comments: DataFrame, share: float = 0.1) -> DataFrame:
+    These are the first ``floor(share * n)`` comments, one at least, by falling rate and,
+    among equals, by id (for ids that are not whole numbers by their hash).  The last rate in,
+    and the last id in at that rate, are found from counts; no table is sorted.
+    """
+    rows = comments.select(as_number(share_conversion()).alias("rate"), _id_number(comments, key).alias("id"))
+    # Four single numbers are fetched one after the other: one plan with all of them
+    # nested takes longer to plan than to run.
+    total = rows.count()
+    if not total:
+        return F.lit(False)
+    wanted = max(1, math.floor(share * total))
+    mark = ranks.value_at(rows, "rate", total - wanted)
+    above = rows.filter(F.col("rate") > mark).count()
+    last = ranks.value_at(rows.filter(F.col("rate") == mark), "id", wanted - above - 1)
+    rate = as_number(share_conversion())
+    return (rate > mark) | ((rate == mark) & (_id_number(comments, key) <= last))
+
+
+def high_conversion(comments: DataFrame, share: float = 0.1, key: str = "comment_id") -> DataFrame:
     """The comments in the top ``share`` by conversion rate, with all their columns."""
-    return comments.filter(is_high_conversion(comments, share))
+    return comments.filter(is_high_conversion(comments, share, key))
 
 
 def top_users(comments: DataFrame, n: int = 100) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions import text as txt
@@ -31,13 +32,32 @@ def default_tokens(text):
     return txt.drop_stop_words(txt.words(text), STOP_WORDS)
 
 
-def random_split(corpus: DataFrame, fraction: float = 1.0, test_share: float = 0.2, seed: int = SEED):
-    """``(train, test)`` of a sample without replacement."""
+def _place(salt: str, seed: int, keys) -> Column:
+    """A number in [0, 1) from the MD5 of the keys, which does not depend on partitions."""
+    text = F.concat_ws("|", F.lit(f"{salt}{seed}"), *keys)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def numbered(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with the number of a row among its equals as ``copy``: all rows differ then."""
+    equal = corpus.groupBy(*corpus.columns).agg(F.count("*").cast("int").alias("copies"))
+    return equal.select(*corpus.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+def hash_split(
+    corpus: DataFrame, keys: Sequence[str] | None = None, fraction: float = 1.0, test_share: float = 0.2, seed: int = SEED
+):
+    """``(train, test)`` of a sample without replacement, by hashes of the key columns.
+
+    Without ``keys`` all columns count, so equal rows go the same way.  The same rows
+    give the same parts, however they are distributed.
+    """
     if corpus.isEmpty():
         raise EmptyCorpusError("the labelled corpus is empty")
-    sampled = corpus if fraction >= 1.0 else corpus.sample(False, fraction, seed)
-    train, test = sampled.randomSplit([1 - test_share, test_share], seed=seed)
-    return train, test
+    keys = list(keys or corpus.columns)
+    sampled = corpus if fraction >= 1.0 else corpus.filter(_place("sample", seed, keys) < fraction)
+    held_out = _place("test", seed, keys) < test_share
+    return sampled.filter(~held_out), sampled.filter(held_out)
 
 
 def key_split(corpus: DataFrame, key: str, parts: int = 5):
@@ -79,8 +99,12 @@ def fit_bayes(
     min_df: int = MIN_DOC_FREQ,
     smoothing: float = SMOOTHING,
     tokenizer: txt.Tokenizer = txt.words,
+    size: int | None = None,
 ) -> BayesModel:
-    """Multinomial Naive Bayes on tf-idf of every word of the corpus."""
+    """Multinomial Naive Bayes on tf-idf of every word of the corpus.
+
+    ``size`` is the number of possible words that smoothing counts, by default those seen.
+    """
     stats = spool(term_statistics(train, tokenizer), "terms")
     is_word, used = F.col("word").isNotNull(), F.col("df") >= min_df
     log_df = F.log(F.col("df") + 1)
@@ -99,8 +123,8 @@ def fit_bayes(
         raise EmptyCorpusError("the labelled corpus is empty")
 
     log_texts = math.log(t["n0"] + t["n1"] + 1)
-    mass0 = log_texts * t["tf0"] - t["log0"] + smoothing * t["size"]
-    mass1 = log_texts * t["tf1"] - t["log1"] + smoothing * t["size"]
+    mass0 = log_texts * t["tf0"] - t["log0"] + smoothing * (size or t["size"])
+    mass1 = log_texts * t["tf1"] - t["log1"] + smoothing * (size or t["size"])
     idf = F.lit(log_texts) - log_df
     odds = (
         F.log(F.col("tf1") * idf + smoothing) - F.log(F.col("tf0") * idf + smoothing)

@@ -40,9 +40,9 @@ def explore(
         ),
         "labelled",
     )
-    high = interaction.is_high_conversion(labelled)
+    high = interaction.is_high_conversion(labelled, key=key)
     tokens = words.occurrences(
-        comments.select("content", high.alias("high")), stop_words, tokenizer, carry=["high"]
+        comments.select(key, "content", high.alias("high")), stop_words, tokenizer, carry=["high"]
     )
     totals = spool(
         tokens.groupBy("word").agg(F.count("*").alias("count"), F.count_if("high").alias("high")), "words"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_BLANKS = " \t\r\n"
+
+
 class NoJsonError(ValueError):
     """Nothing below the path could be read as JSON."""
 
@@ -28,29 +31,39 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return lines.select(parsed.alias("row")).select("row.*")
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Each file is one JSON document, an object or an array of objects; others are skipped."""
-    return (
-        spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
-    )
+def _objects(value: Column, schema: T.StructType) -> Column:
+    """The objects of a JSON value: itself, or the elements of an array."""
+    several = F.from_json(value, T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    is_object = F.ltrim(value, F.lit(_BLANKS)).startswith("{")
+    one = F.array(F.from_json(value, schema, {"mode": "PERMISSIVE"}))
+    return F.filter(F.when(is_object, one).otherwise(several), lambda row: row.isNotNull())
 
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A whole document where the first line is not a complete value, else line by line.
+    """All JSON objects below ``path``, whichever way each file holds them.
 
-    Raises :class:`NoJsonError` if neither way finds an object.
+    A file is one document (an object or array over many lines), or lines with an object
+    or array each, where lines that do not parse are skipped.  Lines are read by many tasks.  A
+    document over many lines begins with a line that is no value by itself: only such
+    files are put together, in one task each.  Raises :class:`NoJsonError` if nothing is found.
     """
-    first = (
-        spark.read.text(path).filter(F.trim("value") != "").limit(1)
-        .select(F.try_parse_json("value").isNotNull().alias("complete")).first()
+    value = F.col("value")
+    begin = F.substring(F.ltrim(value, F.lit(_BLANKS)), 1, 1)
+    opens = begin.isin("{", "[")
+    lines = spark.read.text(path).filter(begin != "").select(
+        F.col("_metadata.file_path").alias("file"),
+        # Lines of a split have rising numbers.
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"),
+        "value", (opens & F.try_parse_json(value).isNotNull()).alias("complete"), opens.alias("opens"),
     )
-    if first is None:
-        raise NoJsonError(f"no JSON in {path}")
-    if not first["complete"]:
-        documents = read_documents(spark, path, schema)
-        if documents.head(1):
-            return documents
-    lines = read_lines(spark, path, schema)
-    if lines.isEmpty():
+    first = lines.groupBy("file").agg(F.min(F.struct("at", "complete", "opens")).alias("first"))
+    spread = first.filter("first.opens AND NOT first.complete").select("file")
+    together = lines.join(spread, "file").groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("at", "value"))).alias("lines"))
+    documents = together.select("file", F.array_join(F.col("lines.value"), "\n").alias("value")).filter(
+        F.try_parse_json(value).isNotNull())
+    by_line = lines.filter("complete").join(documents.select("file"), "file", "anti")
+    rows = by_line.select("value").unionByName(documents.select("value")).select(F.inline(_objects(value, schema)))
+    if rows.isEmpty():
         raise NoJsonError(f"no JSON in {path}")
-    return lines
+    return rows

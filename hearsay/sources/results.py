@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.util import MLWritable
@@ -41,14 +41,19 @@ def write_models(models: Mapping[str, MLWritable], base: str) -> dict[str, str]:
     return paths
 
 
-def comment_labels(scored: DataFrame) -> DataFrame:
-    """``content, date, sentiment_label`` of ``scored(content, created_at, prediction)``."""
+def comment_labels(scored: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``carry..., content, date, sentiment_label`` of ``scored(content, created_at, prediction)``."""
     return scored.select(
-        "content",
+        *carry, "content",
         F.date_format("created_at", "yyyy-MM-dd").alias("date"),
         F.col("prediction").alias("sentiment_label"),
     )
 
 
+def evaluation(metrics: DataFrame, model_type: str = "NaiveBayes Classifier") -> DataFrame:
+    """``model_type, metric, value`` of ``metrics(metric, value)``."""
+    return metrics.select(F.lit(model_type).alias("model_type"), "metric", "value")
+
+
 def read_results(spark: SparkSession, paths: Mapping[str, str], schemas: Mapping) -> dict[str, DataFrame]:
     return {name: spark.read.schema(schemas[name]).json(path) for name, path in paths.items()}

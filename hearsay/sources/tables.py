@@ -13,21 +13,32 @@ from hearsay.schemas import CORPUS_SCHEMA, REPLY_SCHEMA, TOP_LEVEL_SCHEMA
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
 
 
+class UnclosedQuoteError(ValueError):
+    """A quoted value runs over the end of its line, in a mode that reads by line."""
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
 ) -> DataFrame:
-    """CSV with a header, columns matched by header name.
+    """CSV with a header; every file of a folder needs the same header, another one is an error.
 
-    Columns the file lacks are left out, columns outside ``schema`` are read as text.
+    Columns the files lack are left out, columns outside ``schema`` are read as text.
     ``multi_line`` accepts line breaks inside quoted values, but then a file is the
-    unit of parallelism: switch it off for large files without such breaks.
+    unit of parallelism: use many files, or switch it off for files without such breaks;
+    a line with an unclosed quote is an error then.
     """
     reader = spark.read.options(**_CSV).option("multiLine", str(multi_line).lower())
-    # Reading only the header: no inference pass over the data.
+    if not multi_line:
+        # An odd number of quotes: the value goes on in the next line.
+        quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).filter(quotes % 2 == 1).isEmpty():
+            raise UnclosedQuoteError(f"a quoted value in {path} has a line break: read it with multi_line")
+    # Reading only a header: no inference pass over the data.
     names = reader.csv(path).columns
     known = {field.name: field for field in schema}
     found = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
-    return reader.schema(found).csv(path)
+    # Spark matches by position; without enforcement it compares the header of every file.
+    return reader.schema(found).option("enforceSchema", "false").csv(path)
 
 
 def read_top_level_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -76,16 +87,3 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
     if "comment_id" not in df.columns:
         df = df.withColumn("comment_id", F.col("row_id"))
     return to_analysis(df)
-
-
-def read_spread(
-    spark: SparkSession, path: str, schema: str | T.StructType, key: str, *columns: str
-) -> DataFrame:
-    """Parquet columns for CPU-heavy text work.
-
-    A table with splits for less than half of the cores (so, a small one) is first
-    spread by ``key``; others are read as they lie, without a shuffle.
-    """
-    df = spark.read.schema(schema).parquet(path).select(key, *columns)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df

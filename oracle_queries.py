@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from hearsay.fixtures import ALIASES, NEGATIONS, STOP_WORDS
+from hearsay.fixtures import ALIASES, BUCKETS, HAN, LATIN, NEGATIONS, STOP_WORDS
+from hearsay.functions.text import KNOWN_WORDS
+from hearsay.vocabulary import NEGATIONS as FULL_NEGATIONS
+from hearsay.vocabulary import STOP_WORDS as FULL_STOP_WORDS
 
 
 def _listed(words) -> str:
@@ -16,15 +19,15 @@ def _words(text: str) -> str:
 _NEG, _STOP = _listed(NEGATIONS), _listed(STOP_WORDS)
 
 COMMENTS = """comments AS (
-  SELECT d.doc_id AS comment_id, e.user_id, e.ts AS created_at, d.text AS content,
-         CASE WHEN d.doc_id % 3 = 0 THEN 2 ELSE 1 END AS level,
-         CAST(floor(e.value * e.value / 10) AS INT) AS likes,
-         CAST(regexp_extract(e.props, '[0-9]+', 0) AS INT) AS comments,
-         CASE WHEN d.doc_id % 3 = 0 THEN 0 ELSE CAST(floor(e.value) AS INT) END AS shares,
+  SELECT e.event_id AS comment_id, d.doc_id, e.user_id, e.ts AS created_at, d.text AS content,
+         CASE WHEN e.event_id % 3 = 0 THEN 2 ELSE 1 END AS level,
+         CAST(floor(e.value * e.value / 10) AS BIGINT) AS likes,
+         CAST(regexp_extract(e.props, '[0-9]+', 0) AS BIGINT) AS comments,
+         CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE CAST(floor(e.value) AS BIGINT) END AS shares,
          n.n_name AS ip_location,
          CASE e.user_id % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'm' ELSE NULL END AS gender
-  FROM documents d
-  JOIN events e ON e.event_id = d.doc_id * 5
+  FROM events e
+  JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
   JOIN nation n ON n.n_nationkey = e.user_id % 25)"""
 
 DAILY = """daily AS (
@@ -45,29 +48,34 @@ lexicon AS (
   SELECT word, CASE WHEN positive > 0 THEN 1 ELSE -1 END AS polarity
   FROM class_counts WHERE (positive > 0) <> (negative > 0))"""
 
-LABELLED = f"""{COMMENTS}, {LEXICON},
+DOC_LABELS = f"""{LEXICON},
 positions AS (
-  SELECT comment_id, unnest(words) AS word, generate_subscripts(words, 1) AS position
-  FROM (SELECT comment_id, {_words('content')} AS words FROM comments)),
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS position
+  FROM (SELECT doc_id, {_words('text')} AS words FROM documents)),
 neighbours AS (
-  SELECT comment_id, word, lag(word) OVER (PARTITION BY comment_id ORDER BY position) AS previous
+  SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY position) AS previous
   FROM positions),
 scores AS (
-  SELECT comment_id, sum(CASE WHEN t.word IN ({_NEG}) THEN 0
-                              WHEN previous IN ({_NEG}) THEN -polarity ELSE polarity END) AS score
-  FROM neighbours t LEFT JOIN lexicon x ON x.word = t.word GROUP BY comment_id),
-labelled AS (
-  SELECT c.*, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative'
-                   ELSE 'neutral' END AS sentiment
-  FROM comments c LEFT JOIN scores s ON s.comment_id = c.comment_id)"""
+  SELECT doc_id, sum(CASE WHEN t.word IN ({_NEG}) THEN 0
+                          WHEN previous IN ({_NEG}) THEN -polarity ELSE polarity END) AS score
+  FROM neighbours t LEFT JOIN lexicon x ON x.word = t.word GROUP BY doc_id),
+doc_labels AS (
+  SELECT d.doc_id, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative'
+                        ELSE 'neutral' END AS sentiment
+  FROM documents d LEFT JOIN scores s ON s.doc_id = d.doc_id)"""
+
+LABELLED = f"""{COMMENTS}, {DOC_LABELS},
+labelled AS (SELECT c.*, l.sentiment FROM comments c JOIN doc_labels l ON l.doc_id = c.doc_id)"""
 
 RATE = """CASE WHEN likes + comments + shares > 0
                THEN shares / (likes + comments + shares) ELSE 0.0 END"""
 
-PREDICTED = f"""{CORPUS},
-train AS (SELECT * FROM corpus WHERE doc_id % 5 <> 0),
-test AS (SELECT * FROM corpus WHERE doc_id % 5 = 0),
-train_words AS (SELECT doc_id, label, unnest({_words('review')}) AS word FROM train),
+def _bayes(train: str, tokens, size: str = "count(*)") -> str:
+    """``predicted(doc_id, prediction)``; ``tokens`` makes a list of words of a text column."""
+    return f"""{CORPUS},
+train AS (SELECT * FROM corpus WHERE {train}),
+test AS (SELECT * FROM corpus WHERE NOT ({train})),
+train_words AS (SELECT doc_id, label, unnest({tokens('review')}) AS word FROM train),
 sizes AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS n1,
          count(*) FILTER (WHERE label = 0) AS n0 FROM train),
@@ -77,11 +85,11 @@ terms AS (
               ELSE ln((max(n) + 1) / (count(DISTINCT doc_id) + 1)) END AS idf
   FROM train_words, sizes GROUP BY word),
 masses AS (
-  SELECT sum(tf1 * idf) + count(*) AS m1, sum(tf0 * idf) + count(*) AS m0 FROM terms),
+  SELECT sum(tf1 * idf) + {size} AS m1, sum(tf0 * idf) + {size} AS m0 FROM terms),
 model AS (
   SELECT word, idf, ln(tf1 * idf + 1) - ln(m1) AS theta1, ln(tf0 * idf + 1) - ln(m0) AS theta0
   FROM terms, masses),
-all_words AS (SELECT doc_id, unnest({_words('text')}) AS word FROM documents),
+all_words AS (SELECT doc_id, unnest({tokens('text')}) AS word FROM documents),
 odds AS (
   SELECT w.doc_id, sum(idf * (theta1 - theta0)) AS odds
   FROM all_words w JOIN model m ON m.word = w.word GROUP BY w.doc_id),
@@ -91,6 +99,21 @@ predicted AS (
                    THEN 1 ELSE 0 END AS INT) AS prediction
   FROM documents d CROSS JOIN sizes LEFT JOIN odds o ON o.doc_id = d.doc_id)"""
 
+
+def _place(salt: str) -> str:
+    return f"('0x' || substr(md5('{salt}42|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _buckets(text: str) -> str:
+    return f"""list_transform({_words(text)},
+    lambda w: 'b' || (('0x' || substr(md5(w), 1, 8))::BIGINT % {BUCKETS}))"""
+
+
+PREDICTED = _bayes("doc_id % 5 <> 0", _words)
+_SAMPLED = f"{_place('sample')} < 0.7"
+_HASHED = _bayes(f"{_SAMPLED} AND {_place('test')} >= 0.2", _buckets, str(BUCKETS))
+_PIPELINE = _bayes(f"{_SAMPLED} AND {_place('test')} >= 0.2", _buckets, str(1 << 18))
+
 EVALUATED = f"""{PREDICTED},
 outcomes AS (SELECT t.label, p.prediction FROM test t JOIN predicted p ON p.doc_id = t.doc_id),
 classes AS (
@@ -112,7 +135,30 @@ class_days AS (
   SELECT CAST(c.created_at AS DATE) AS date,
          count(*) FILTER (WHERE prediction = 0) AS negative_count,
          count(*) FILTER (WHERE prediction = 1) AS positive_count
-  FROM comments c JOIN predicted p ON p.doc_id = c.comment_id GROUP BY 1)"""
+  FROM comments c JOIN predicted p ON p.doc_id = c.doc_id GROUP BY 1)"""
+
+
+def _han(text: str) -> str:
+    """Words of a text in Han characters: known words, pairs of the rest, and other letters."""
+    known = sorted((w for w in KNOWN_WORDS), key=lambda w: (-len(w), w))
+    cut = f"regexp_replace(translate(lower({text}), '{LATIN}', '{HAN}'), '({'|'.join(known)})', ' \\1 ', 'g')"
+    cut = f"regexp_replace({cut}, '(\\p{{Han}}+)', ' \\1 ', 'g')"
+    listed = f"list_filter(string_split_regex({cut}, '[^\\p{{L}}]+'), lambda w: w <> '')"
+    return f"""flatten(list_transform({listed}, lambda w:
+  CASE WHEN regexp_full_match(w, '\\p{{Han}}{{3,}}') AND NOT list_contains([{_listed(KNOWN_WORDS)}], w)
+       THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END))"""
+
+
+_HAN_NEG, _HAN_STOP = _listed(FULL_NEGATIONS), ", ".join("'" + w.replace("'", "''") + "'" for w in FULL_STOP_WORDS)
+_HAN_DOCS = f"""docs AS MATERIALIZED (SELECT doc_id, {_han('text')} AS words FROM documents)"""
+_HAN_LEXICON = f"""{_HAN_DOCS},
+class_counts AS (
+  SELECT word, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative
+  FROM (SELECT l.quality AS label, unnest(words) AS word FROM docs d JOIN labels l ON l.doc_id = d.doc_id)
+  GROUP BY word),
+lexicon AS (
+  SELECT word, CASE WHEN positive > 0 THEN 1 ELSE -1 END AS polarity
+  FROM class_counts WHERE (positive > 0) <> (negative > 0))"""
 
 
 def _fit(history: str) -> str:
@@ -136,12 +182,16 @@ def _by(key: str) -> str:
        count(*) FILTER (WHERE sentiment = 'neutral') AS neutral FROM labelled GROUP BY {key}"""
 
 
-_RATED = f"""rated AS (
-  SELECT comment_id, content, CAST(round(({RATE}) * 1000000) AS INT) AS rate FROM comments),
-ranked AS (SELECT rate, row_number() OVER (ORDER BY rate DESC) AS place FROM rated),
-high AS (
-  SELECT * FROM rated
-  WHERE rate >= (SELECT rate FROM ranked WHERE place = (SELECT floor(0.1 * count(*)) FROM rated)))"""
+def _decile(comments: str = "comments") -> str:
+    return f"""ranked AS (
+  SELECT comment_id, content, row_number() OVER (ORDER BY {RATE} DESC, comment_id) AS place,
+         count(*) OVER () AS n FROM {comments}),
+high AS (SELECT * FROM ranked WHERE place <= greatest(floor(0.1 * n), 1))"""
+
+
+# Shares are 0 for 95 of 100 comments.
+_TIED = """tied AS (
+  SELECT * REPLACE (CASE WHEN comment_id % 20 = 1 THEN shares ELSE 0 END AS shares) FROM comments)"""
 
 _NOT_NULL = """created_at IS NOT NULL AND content IS NOT NULL AND likes IS NOT NULL AND comments IS NOT NULL
   AND shares IS NOT NULL AND ip_location IS NOT NULL AND gender IS NOT NULL"""
@@ -165,38 +215,11 @@ _PROFILE = [
     "comment_id", "user_id", "created_at", "level", "likes", "comments", "shares", "ip_location", "gender",
 ]
 
-_FREQUENT = f"""tokens AS (SELECT unnest({_words('content')}) AS word FROM comments),
+_FREQUENT = f"""tokens AS (SELECT unnest({_words('text')}) AS word FROM documents),
 frequent AS (
   SELECT word, count(*) AS count FROM tokens WHERE word NOT IN ({_STOP})
   GROUP BY word ORDER BY count DESC, word LIMIT 50)"""
 
-# Number of rows of every dataset of the complete report.
-_REPORT_ROWS = {
-    "sentiment_overall_counts": "count(DISTINCT sentiment)",
-    "hot_posts_sentiment_counts": "count(DISTINCT sentiment) FILTER (WHERE likes > 500)",
-    "interaction_percentiles": "any_value(3)",
-    "extremely_high_likes_count": "any_value(1)",
-    "posts_per_hour": "count(DISTINCT hour(created_at))",
-    "posts_per_day": "count(DISTINCT CAST(created_at AS DATE))",
-    "event_peak": "any_value(1)",
-    "event_stages": "count(DISTINCT CAST(created_at AS DATE))",
-    "ip_location_counts": "count(DISTINCT ip_location)",
-    "province_post_counts": "count(DISTINCT ip_location)",
-    "gender_ratio": "count(DISTINCT coalesce(gender, ''))",
-    "interaction_per_gender": "count(DISTINCT coalesce(gender, ''))",
-    "sentiment_per_gender": "count(DISTINCT coalesce(gender, ''))",
-    "sentiment_per_ip_location": "count(DISTINCT ip_location)",
-    "shares_by_ip_location": "count(DISTINCT ip_location)",
-    "average_share_conversion_rate": "any_value(1)",
-    "high_conversion_content_examples": "any_value(10)",
-    "high_conversion_words": "any_value(50)",
-    "interaction_prediction": "any_value(24)",
-    "sentiment_over_time": "count(DISTINCT CAST(created_at AS DATE))",
-    "frequent_words_sentiment": "any_value(50)",
-    "avg_posts_per_gender": "count(DISTINCT coalesce(gender, ''))",
-    "top_100_opinion_leaders": "least(100, count(DISTINCT user_id))",
-}
-
 SQL: dict[str, str] = {
     "clean_merge": _CLEAN,
     "stored_roundtrip": _CLEAN,
@@ -264,7 +287,7 @@ FROM (SELECT unnest(string_split_regex(text, '[ \\n]')) AS word FROM documents)
     "lexicon_min_freq": f"""WITH {LEXICON}
 SELECT word, CAST(CASE WHEN positive >= 3 THEN 1 ELSE -1 END AS INT) AS polarity
 FROM class_counts WHERE (positive >= 3) <> (negative >= 3)""",
-    "sentiment_labels": f"WITH {LABELLED} SELECT comment_id, sentiment FROM labelled",
+    "sentiment_labels": f"WITH {DOC_LABELS} SELECT doc_id AS comment_id, sentiment FROM doc_labels",
     "sentiment_overall": f"WITH {LABELLED} SELECT sentiment, count(*) AS count FROM labelled GROUP BY 1",
     "sentiment_hot": f"""WITH {LABELLED}
 SELECT sentiment, count(*) AS count FROM labelled WHERE likes > 500 GROUP BY 1""",
@@ -274,13 +297,40 @@ SELECT sentiment, count(*) AS count FROM labelled WHERE likes > 500 GROUP BY 1""
 SELECT CAST(created_at AS DATE) AS date, count(*) FILTER (WHERE sentiment = 'positive') AS positive,
        count(*) FILTER (WHERE sentiment = 'negative') AS negative,
        count(*) FILTER (WHERE sentiment = 'neutral') AS neutral FROM labelled GROUP BY 1""",
-    "frequent_words_sentiment": f"""WITH {COMMENTS}, {LEXICON}, {_FREQUENT}
+    "frequent_words_sentiment": f"""WITH {LEXICON}, {_FREQUENT}
 SELECT f.word, f.count, CASE polarity WHEN 1 THEN 'positive' WHEN -1 THEN 'negative'
                                       ELSE 'neutral' END AS sentiment
 FROM frequent f LEFT JOIN lexicon x ON x.word = f.word""",
-    "conversion_top_words": f"""WITH {COMMENTS}, {_RATED}
+    "conversion_top_words": f"""WITH {COMMENTS}, {_decile()}
 SELECT word, count(*) AS count FROM (SELECT unnest({_words('content')}) AS word FROM high)
 WHERE word NOT IN ({_STOP}) GROUP BY word ORDER BY count DESC, word LIMIT 50""",
+    "high_conversion_ids": f"WITH {COMMENTS}, {_decile()} SELECT comment_id FROM high",
+    "high_conversion_ties": f"WITH {COMMENTS}, {_TIED}, {_decile('tied')} SELECT comment_id FROM high",
+    "sampled_split": f"""WITH {CORPUS} SELECT doc_id, CASE WHEN {_place('test')} < 0.2 THEN 'test' ELSE 'train' END AS part
+FROM corpus WHERE {_SAMPLED}""",
+    "nb_hashed_buckets": f"WITH {_HASHED} SELECT doc_id, prediction FROM predicted",
+    "nb_hashed_pipeline": f"WITH {_PIPELINE} SELECT doc_id, prediction FROM predicted",
+    "model_roundtrip": """SELECT count(*) AS "rows", CAST(0 AS BIGINT) AS changed FROM documents""",
+    "han_tokens": f"""WITH {_HAN_DOCS} SELECT doc_id AS comment_id, len(words) AS n_words,
+       len(list_filter(words, lambda w: w NOT IN ({_HAN_STOP}))) AS n_tokens FROM docs""",
+    "han_sentiment_labels": f"""WITH {_HAN_LEXICON},
+neighbours AS (
+  SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY position) AS previous
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS position FROM docs)),
+scores AS (
+  SELECT doc_id, sum(CASE WHEN t.word IN ({_HAN_NEG}) THEN 0
+                          WHEN previous IN ({_HAN_NEG}) THEN -polarity ELSE polarity END) AS score
+  FROM neighbours t LEFT JOIN lexicon x ON x.word = t.word GROUP BY doc_id)
+SELECT d.doc_id AS comment_id, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative'
+                                    ELSE 'neutral' END AS sentiment
+FROM documents d LEFT JOIN scores s ON s.doc_id = d.doc_id""",
+    "han_frequent_words": f"""WITH {_HAN_LEXICON},
+frequent AS (
+  SELECT word, count(*) AS count FROM (SELECT unnest(words) AS word FROM docs)
+  WHERE word NOT IN ({_HAN_STOP}) GROUP BY word ORDER BY count DESC, word LIMIT 50)
+SELECT f.word, f.count, CASE polarity WHEN 1 THEN 'positive' WHEN -1 THEN 'negative'
+                                      ELSE 'neutral' END AS sentiment
+FROM frequent f LEFT JOIN lexicon x ON x.word = f.word""",
     "nb_predictions": f"WITH {PREDICTED} SELECT doc_id, prediction FROM predicted",
     "nb_evaluation": f"WITH {EVALUATED} SELECT metric, value FROM evaluation",
     "daily_class_counts": f"WITH {CLASS_DAYS} SELECT date, negative_count, positive_count FROM class_days",
@@ -296,12 +346,66 @@ SELECT date, round(mean_y + slope * (x - mean_x), 6) AS fitted_count FROM days,
     "hourly_interaction_forecast": f"""WITH {COMMENTS}, {_fit(_HOURS)}
 SELECT TIMESTAMP '1970-01-01' + to_hours(CAST(x AS INT)) AS hour_start,
        CAST(trunc(predicted) AS BIGINT) AS predicted_interaction FROM {_ahead(24)}""",
-    "results_bundle": f"WITH {LABELLED} " + " UNION ALL ".join(
-        f"""SELECT '{name}' AS name, CAST({rows} AS BIGINT) AS "rows" FROM labelled"""
-        for name, rows in _REPORT_ROWS.items()
-    ),
-    "learning_bundle": f"""WITH {CLASS_DAYS}
-SELECT CAST(c.created_at AS DATE) AS date, prediction AS sentiment_label, count(*) AS "rows",
-       CAST(sum(length(content)) AS BIGINT) AS chars
-FROM comments c JOIN predicted p ON p.doc_id = c.comment_id GROUP BY 1, 2""",
 }
+
+SQL["sentiment_labels_small_bound"] = SQL["sentiment_labels"]
+SQL["nb_predictions_small_bound"] = SQL["nb_predictions"]
+SQL["corpus_from_csv"] = SQL["lexicon"]
+SQL["clean_from_csv"] = f"""SELECT date_trunc('second', created_at) AS created_at,
+       content, likes, comments, shares, ip_location, gender FROM ({_CLEAN})"""
+
+# --- bundles: (dataset, query, text columns, number columns) ------------------
+
+_REPORT = (
+    ("sentiment_overall_counts", "sentiment_overall", ["sentiment"], ["count"]),
+    ("hot_posts_sentiment_counts", "sentiment_hot", ["sentiment"], ["count"]),
+    ("interaction_percentiles", "interaction_p99", ["metric"], ["p99"]),
+    ("extremely_high_likes_count", "extreme_likes_count", [], ["count"]),
+    ("posts_per_hour", "posts_per_hour", [], ["count", "post_hour"]),
+    ("posts_per_day", "posts_per_day", ["date"], ["count"]),
+    ("event_peak", "event_peak", ["peak_date"], ["peak_count"]),
+    ("event_stages", "event_stages", ["date", "stage"], ["count"]),
+    ("ip_location_counts", "ip_location_counts", ["ip_location"], ["count"]),
+    ("province_post_counts", "province_post_counts", ["name"], ["value"]),
+    ("gender_ratio", "gender_ratio", ["gender"], ["count", "share"]),
+    ("interaction_per_gender", "interaction_per_gender", ["gender"], ["avg_comments", "avg_likes", "avg_shares"]),
+    ("sentiment_per_gender", "sentiment_by_gender", ["gender"], ["negative", "neutral", "positive"]),
+    ("sentiment_per_ip_location", "sentiment_by_location", ["ip_location"], ["negative", "neutral", "positive"]),
+    ("shares_by_ip_location", "shares_by_location", ["ip_location"], ["total_shares"]),
+    ("average_share_conversion_rate", "avg_share_conversion", [], ["average_rate"]),
+    ("high_conversion_content_examples", "top_share_conversion", ["content", "sentiment"], ["comment_id", "share_conversion_rate"]),
+    ("high_conversion_words", "conversion_top_words", ["word"], ["count"]),
+    ("interaction_prediction", "hourly_interaction_forecast", ["hour_start"], ["predicted_interaction"]),
+    ("sentiment_over_time", "sentiment_over_time", ["date"], ["negative", "neutral", "positive"]),
+    ("frequent_words_sentiment", None, ["sentiment", "word"], ["count"]),
+    ("avg_posts_per_gender", "posts_per_user_by_gender", ["gender"], ["avg_posts"]),
+    ("top_100_opinion_leaders", "top_opinion_leaders", [], ["total_interaction", "user_id"]),
+)
+
+
+def _long(name: str, query: str, keys, numbers) -> str:
+    key = "concat_ws('|', 'k'" + "".join(f", coalesce(CAST({k} AS VARCHAR), '-')" for k in keys) + ")"
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, {key} AS key, '{n}' AS "column",
+       round(CAST({n} AS DOUBLE), 6) AS number FROM ({query})""" for n in numbers
+    )
+
+
+# The report counts the words of all comments, of which several have one text.
+_COMMENT_WORDS = SQL["frequent_words_sentiment"].replace(
+    f"WITH {LEXICON}", f"WITH {COMMENTS}, {LEXICON}").replace(
+    f"unnest({_words('text')}) AS word FROM documents", f"unnest({_words('content')}) AS word FROM comments")
+
+SQL["results_bundle"] = " UNION ALL ".join(
+    _long(name, SQL[query] if query else _COMMENT_WORDS, keys, numbers) for name, query, keys, numbers in _REPORT
+)
+SQL["learning_bundle"] = " UNION ALL ".join((
+    _long("public_opinion_analysis", f"""WITH {CLASS_DAYS}
+SELECT strftime(created_at, '%Y-%m-%d') AS date, CAST(prediction AS VARCHAR) AS sentiment_label, count(*) AS "rows",
+       sum(length(content)) AS chars
+FROM comments c JOIN predicted p ON p.doc_id = c.doc_id GROUP BY 1, 2""", ["date", "sentiment_label"], ["chars", '"rows"']).replace(
+        "'\"rows\"'", "'rows'"),
+    _long("algorithm_evaluation", f"SELECT 'NaiveBayes Classifier' AS model_type, * FROM ({SQL['nb_evaluation']})",
+          ["metric", "model_type"], ["value"]),
+    _long("public_opinion_trend_predictions", SQL["trend_forecast"], ["date"], ["predicted_positive_count"]),
+))

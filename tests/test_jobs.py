@@ -35,7 +35,7 @@ def folder(spark, tmp_path_factory):
         ["4", time.format(3), "没有性别", "0", "1", "0", "北京", "", "u1", "n", "k"],
     ]
     replies = [["5", time.format(3), "退货", "2", "20000", "上海", "m", "u3"]]
-    corpus = [["耐用", "1"], ["退货", "0"], ["手机", "1"], ["手机", "0"]] * 6
+    corpus = [["耐用", "1"], ["退货", "0"], ["手机", "1"], ["手机", "0"]] * 20
     write(base / "top.csv", TOP, top)
     write(base / "replies.csv", REPLY, replies)
     write(base / "corpus.csv", ["label", "review"], [[label, text] for text, label in corpus])
@@ -63,7 +63,7 @@ def test_explore_writes_every_analysis(spark, folder):
     assert totals == {"positive": 1, "negative": 3, "neutral": 1}
     hot = {r["sentiment"]: r["count"] for r in found["hot_posts_sentiment_counts"]}
     assert hot == {"positive": 1, "negative": 1}
-    assert found["high_conversion_words"] == []  # five comments have no top tenth
+    assert {r["word"] for r in found["high_conversion_words"]} == {"手机", "机耐", "耐用"}  # of one comment at least
     assert found["extremely_high_likes_count"] == [{"count": 1}]
     assert {r["name"]: r["value"] for r in found["province_post_counts"]} == {"北京": 2, "台湾": 2, "上海": 1}
     assert found["event_peak"] == [{"peak_date": "2024-01-02", "peak_count": 3}]
@@ -80,7 +80,10 @@ def test_explore_writes_every_analysis(spark, folder):
 def test_learn_writes_labels_metrics_forecast_and_models(spark, folder):
     paths = jobs.learn_sentiment(spark, f"{folder}/stored", f"{folder}/corpus.csv", f"{folder}/learned")
     labels = rows(spark, paths[results.ANALYSIS])
-    assert len(labels) == 5 and all(set(r) == {"content", "date", "sentiment_label"} for r in labels)
+    assert len(labels) == 5 and all(
+        set(r) == {"row_id", "created_at", "content", "date", "sentiment_label"} for r in labels)
+    assert len({r["row_id"] for r in labels}) == 5
+    assert {r["model_type"] for r in rows(spark, paths[results.EVALUATION])} == {"NaiveBayes Classifier"}
     by_text = {r["content"]: r["sentiment_label"] for r in labels}
     assert by_text["手机耐用"] == 1 and by_text["退货"] == 0
     assert {r["metric"] for r in rows(spark, paths[results.EVALUATION])} == {

@@ -78,7 +78,7 @@ def test_term_statistics(spark):
 
 def test_an_empty_corpus_is_an_error(corpus):
     empty = corpus.limit(0)
-    for fit in (learning.fit_bayes, learning.fit_hashed_bayes, learning.random_split):
+    for fit in (learning.fit_bayes, learning.fit_hashed_bayes, learning.hash_split):
         with pytest.raises(learning.EmptyCorpusError):
             fit(empty)
 
@@ -103,7 +103,7 @@ def hashed_by_hand(train, texts, buckets, min_df=5):
 
 
 def test_hashed_bayes_is_the_model_by_hand(corpus):
-    train, test = learning.random_split(corpus, test_share=0.3)
+    train, test = learning.hash_split(corpus, test_share=0.3)
     assert train.count() + test.count() == corpus.count()
     tokens = lambda df: df.select("doc_id", txt.words(F.col("review")).alias("w"), "label").orderBy("doc_id")
     everything = tokens(corpus).collect()
@@ -116,11 +116,26 @@ def test_hashed_bayes_is_the_model_by_hand(corpus):
 
 
 def test_a_sample_is_a_part_of_the_corpus(corpus):
-    train, test = learning.random_split(corpus, fraction=0.5)
+    train, test = learning.hash_split(corpus, fraction=0.5)
     ids = [r["doc_id"] for part in (train, test) for r in part.collect()]
     assert 0 < len(ids) == len(set(ids)) < corpus.count()
 
 
+def test_the_split_does_not_depend_on_partitions(spark):
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a").alias("review"), F.lit(1).alias("label"))
+    parts = [
+        [sorted(r["doc_id"] for r in part.collect()) for part in learning.hash_split(rows.repartition(n), ["doc_id"], 0.7)]
+        for n in (3, 11)
+    ]
+    assert parts[0] == parts[1]
+    assert 500 < len(parts[0][0]) < 620 and 90 < len(parts[0][1]) < 190
+
+
+def test_equal_rows_are_numbered(spark):
+    rows = spark.createDataFrame([("a", 1)] * 3 + [("b", 0)], "review STRING, label INT")
+    assert sorted(tuple(r) for r in learning.numbered(rows).collect()) == [("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("b", 0, 1)]
+
+
 def test_key_split_holds_out_one_part(corpus):
     train, test = learning.key_split(corpus, "doc_id")
     assert {r["doc_id"] % 5 for r in test.collect()} == {0}

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -40,10 +41,11 @@ def test_one_value_holds_most_rows(spark):
     assert value(spark, [5] * 1000 + [9], ranks.interpolated(0.99)) == 5.0
 
 
-def test_lowest_of_the_top_share(spark):
-    assert value(spark, range(1, 101), ranks.of_top_share(0.1)) == 91
-    assert value(spark, [3, 3, 3, 1], ranks.of_top_share(0.25)) == 3
-    assert value(spark, [1, 2, 3], ranks.of_top_share(0.1)) is None
+def test_value_at_a_place(spark):
+    values = [3, -5, 2**40, -(2**50), 7, 7, 2**62]
+    df = spark.createDataFrame([(v,) for v in values], "n BIGINT")
+    assert [ranks.value_at(df, "n", i) for i in range(7)] == sorted(values)
+    assert ranks.value_at(df, "n", 7) is None
 
 
 def test_several_columns_at_once(spark):
@@ -58,14 +60,32 @@ def _comments(spark, rows):
     return spark.createDataFrame(rows, "comment_id BIGINT, likes INT, comments INT, shares INT")
 
 
-def test_high_conversion_includes_ties(spark):
-    rows = [(i, 9, 0, 1) for i in range(17)] + [(100, 0, 0, 5), (101, 1, 0, 1), (102, 1, 0, 1)]
+def _top(rows, share):
+    rate = lambda r: r[3] / sum(r[1:]) if sum(r[1:]) else 0.0
+    ranked = sorted(rows, key=lambda r: (-rate(r), r[0]))
+    return sorted(r[0] for r in ranked[:max(1, int(share * len(rows)))])
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, 9, 0, 1) for i in range(17)] + [(100, 0, 0, 5), (101, 1, 0, 1), (102, 1, 0, 1)],
+    [(i, 1, 1, 0) for i in range(1000)],
+    [(i, 1, 1, 0) for i in range(95)] + [(200 + i, i, 1, i) for i in range(5)],
+    [(1, 0, 0, 1)],
+    [(i, 1_000_000 + i, 0, 333_333) for i in range(40)],  # equal in millionths
+])
+def test_high_conversion_is_exactly_the_top_share(spark, rows):
     high = interaction.high_conversion(_comments(spark, rows), share=0.1)
-    assert sorted(r["comment_id"] for r in high.collect()) == [100, 101, 102]
+    assert sorted(r["comment_id"] for r in high.collect()) == _top(rows, 0.1)
+
+
+def test_high_conversion_of_ids_that_are_texts(spark):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("comment_id"), F.lit(1).alias("likes"),
+                                  F.lit(1).alias("comments"), F.lit(0).alias("shares"))
+    assert interaction.high_conversion(rows, share=0.1).count() == 5
 
 
-def test_high_conversion_of_few_comments_is_empty(spark):
-    assert interaction.high_conversion(_comments(spark, [(1, 0, 0, 1)]), 0.1).count() == 0
+def test_high_conversion_of_no_comments_is_empty(spark):
+    assert interaction.high_conversion(_comments(spark, []), 0.1).count() == 0
 
 
 def test_conversion_without_interaction_or_with_nulls_is_zero(spark):

@@ -114,6 +114,23 @@ def test_a_document_may_be_an_array(spark, tmp_path):
     assert pairs(rows) == [(1, "x"), (2, "y")] and rows.count() == 2
 
 
+def test_an_array_on_one_line(spark, tmp_path):
+    path = save(tmp_path, "d.json", '[{"a": 1}, {"a": 2, "b": "y"}]')
+    assert pairs(json_lines.read_tolerant(spark, path, SCHEMA)) == [(1, None), (2, "y")]
+
+
+@pytest.mark.parametrize("lines", [3, 100])
+def test_a_folder_may_mix_documents_and_lines(spark, tmp_path, lines):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "document.json").write_text(json.dumps({"a": 0, "b": "x" * 900}, indent=2))
+    (folder / "lines.json").write_text("".join(json.dumps({"a": i}) + "\n" for i in range(1, lines + 1)))
+    (folder / "array.json").write_text('[\n{"a": 200},\n{"a": 201}\n]\n')
+    (folder / "broken.json").write_text('{"a":\n{"a": 300}\n')
+    got = sorted(r["a"] for r in json_lines.read_tolerant(spark, str(folder), SCHEMA).collect())
+    assert got == [0, *range(1, lines + 1), 200, 201, 300]
+
+
 def test_good_lines_after_a_broken_first_line(spark, tmp_path):
     path = save(tmp_path, "l.json", '{"a": 1, "b\n{"a": 2, "b": "y"}\n{"a": 3, "b": "z"}\n')
     assert pairs(json_lines.read_tolerant(spark, path, SCHEMA)) == [(2, "y"), (3, "z")]
@@ -171,11 +188,46 @@ def test_the_folder_of_the_session_is_used():
     assert spool.shared_folder(session) == "hdfs://shared/ck"
 
 
-def test_a_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        spool.shared_folder(FakeSession(spark__master="yarn"))
+def test_intermediate_tables_go_below_the_warehouse_and_are_removed(spark):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    assert spool.shared_folder(spark).removeprefix("file:").startswith(warehouse)
+    with spool.scratch(spark):
+        table = spool.spool(spark.range(3), "numbers")
+        path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
+        assert os.path.exists(path) and table.count() == 3
+    assert not os.path.exists(path)
 
 
 def test_spooled_tables_start_from_files(spark):
     df = spool.spool(spark.range(10).withColumn("x", F.lit("a")), "numbers")
     assert df.columns == ["id", "x"] and df.count() == 10 and df.inputFiles()
+
+
+# --- CSV headers ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_files_with_columns_in_another_order_are_an_error(spark, tmp_path, multi_line):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("review,label\ngood,1\n")
+    (folder / "b.csv").write_text("review,label\nbad,0\n")
+    rows = tables.read_corpus_csv(spark, str(folder), multi_line).collect()
+    assert sorted(map(tuple, rows)) == [("bad", 0), ("good", 1)]
+    (folder / "c.csv").write_text("label,review\n0,bad\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_corpus_csv(spark, str(folder), multi_line).collect()
+
+
+def test_reading_by_line_fails_on_values_over_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('review,label\n"two\nlines",1\n')
+    assert tables.read_corpus_csv(spark, str(tmp_path / "a.csv")).collect() == [("two\nlines", 1)]
+    with pytest.raises(tables.UnclosedQuoteError):
+        tables.read_corpus_csv(spark, str(tmp_path / "a.csv"), multi_line=False)
+
+
+def test_counts_beyond_32_bits(spark):
+    df = spark.createDataFrame([("2024-01-02 03:04:05+00:00", "3000000000")], "`创建日期时间` STRING, `点赞数` STRING").selectExpr(
+        "*", "'1' AS `评论数`", "'2' AS `分享数`", "'x' AS `内容`", "'y' AS `IP属地`", "'f' AS `性别`")
+    from hearsay.operators.clean import to_analysis
+    assert to_analysis(df).first()["likes"] == 3_000_000_000
