@@ -1,15 +1,15 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
 A text is the sequence of its five-word shingles.  Under every one of ``SKETCHES`` random
-orders its two least shingles, told apart by occurrence, are kept in text order: the
+orders its ``KEPT`` least shingles, told apart by occurrence, are kept in text order: the
 order MinHash.  Texts that agree in one of these meet in a bucket.  A pair is linked when
 the edit similarity of the shingle sequences, ``1 - distance / longer length``, is
 ``SIMILARITY`` or more, found by an alignment in a band that widens until it decides.
 
 Exact copies (the same words) are joined first and go on as one.  A bucket's texts are not
 paired with each other but with its hub, the text that shares most buckets with others;
-texts that the hub rejects get a hub of their own in the next round, until none is left (or
-``ROUNDS`` hubs were tried).  Classes are the connected components of the links.
+texts that the hub rejects get two hubs of their own in the next round, until none is left
+or a round links nothing more.  Classes are the connected components of the links.
 
 Texts without words (null, empty) and rows with a null key are in no class but their own.
 Texts of one to four words have one shingle.  Repeated rows are exact copies.  Other columns
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,8 @@ from hearsay.llm.tables import written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 16
-KEPT = 2
-ROUNDS = 12
+SKETCHES = 20
+KEPT = 3
 _random = np.random.default_rng(6)
 _FACTORS = _random.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _random.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -239,60 +239,71 @@ def verified(bodies: DataFrame, pairs: DataFrame, least: float = SIMILARITY) ->
 # --- classes -------------------------------------------------------------------------
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """Every bucket's text of the greatest weight, then least key, where it has several texts."""
-    return members.groupBy("bucket").agg(
-        F.max(F.struct("weight", (-F.col("key")).alias("key"))).alias("top"), F.count("*").alias("n")
-    ).filter("n > 1").select("bucket", (-F.col("top.key")).alias("hub"))
+def _hubs(members: DataFrame, both: bool) -> DataFrame:
+    """Every bucket's hub: its text of the greatest weight, then least key; with ``both`` also that of the least."""
+    order = F.struct("weight", (-F.col("key")).alias("key"))
+    found = members.groupBy("bucket").agg(F.max(order).alias("top"), F.min(order).alias("low"), F.count("*").alias("n"))
+    hubs = F.array((-F.col("top.key")), (-F.col("low.key"))) if both else F.array(-F.col("top.key"))
+    return found.filter("n > 1").select("bucket", F.explode(hubs).alias("hub"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """``key, class_id, n_copies`` for every row of ``docs(key, text)``; keys are whole numbers.
 
     ``class_id`` is the least key of the class, ``n_copies`` the number of exact copies of the text.
     """
     kind = dict(docs.dtypes)[key]
-    rows = written(sketched(docs, key), "sketched")
-    copies = rows.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
-    of_row = written(rows.select("key", "digest").join(copies, "digest").select("key", "rep", "n_copies"), "copies")
-    reps = of_row.select(F.col("rep").alias("key")).distinct()
-    bodies = written(rows.join(reps, "key").groupBy("key").agg(
-        F.first("body").alias("body"), F.first("sketch").alias("sketch")), "bodies")
-    spread = bodies.select("key", F.posexplode("sketch").alias("at", "value")).select(
+    rows = written(sketched(docs, key).withColumn("n", F.monotonically_increasing_id()), "sketched")
+    copies = rows.groupBy("digest").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("n_copies"))
+    is_first = F.col("n") == F.col("first.n")
+    # Only the first of all exact copies goes on with its text.
+    of_row = written(rows.join(copies, "digest").select(
+        "key", F.col("first.key").alias("rep"), "n_copies", is_first.alias("is_first"),
+        F.when(is_first, F.col("body")).alias("body"), F.when(is_first, F.col("sketch")).alias("sketch")), "copies")
+    bodies = of_row.filter("is_first").select("key", "body")
+    spread = of_row.filter("is_first").select("key", F.posexplode("sketch").alias("at", "value")).select(
         "key", F.xxhash64("at", "value").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(spread.join(sizes, "bucket"), "buckets")
     weights = shared.groupBy("key").agg(F.sum("size").alias("weight"))
     members = written(shared.select("bucket", "key").join(weights, "key"), "members")
     links = merged = None
-    for number in range(rounds):
-        met = members.join(_hubs(members), "bucket").filter("key <> hub")
+    for number in count():
+        met = members.join(_hubs(members, number > 0), "bucket").filter("key <> hub")
         pairs = met.groupBy(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v")).agg(F.lit(1).alias("one"))
         pairs = written(pairs.select("u", "v"), "pairs")
         if pairs.isEmpty():
             break
-        found = written(verified(bodies.select("key", "body"), pairs, least), "links")
-        links = found if links is None else links.unionByName(found)
+        found = written(verified(bodies, pairs, least), "links")
         if number == 0:  # what is in the hub's class by way of other texts needs no further hub
+            links = found
             merged = written(components(links), "components")
             named = met.join(merged.select(F.col("node").alias("key"), F.col("component").alias("own")), "key", "left").join(
                 merged.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left")
             apart = named.filter(F.coalesce("own", "key") != F.coalesce("other", "hub"))
+            members = apart.select("bucket", "key", "weight")
         else:
+            if found.isEmpty():
+                break
+            links, merged = links.unionByName(found), None
+            # Both hubs have met everything in their bucket; who was linked to one is settled.
             linked = found.select("u", "v", F.lit(1).alias("linked"))
-            apart = met.withColumn("u", F.greatest("key", "hub")).withColumn("v", F.least("key", "hub")).join(
-                linked, ["u", "v"], "left").filter("linked IS NULL")
-        members = written(apart.select("bucket", "key", "weight"), "members")
-    if links is not None and number > 1:
+            tried = met.withColumn("u", F.greatest("key", "hub")).withColumn("v", F.least("key", "hub")).join(
+                linked, ["u", "v"], "left")
+            hubs = met.select("bucket", F.col("hub").alias("key")).distinct()
+            members = tried.groupBy("bucket", "key", "weight").agg(F.max("linked").alias("linked")).filter(
+                "linked IS NULL").select("bucket", "key", "weight").join(hubs, ["bucket", "key"], "anti")
+        members = written(members, "members")
+    if links is not None and merged is None:
         merged = written(components(links), "components")
     # Rows of one key with different texts are one document: they join their classes.
     same = of_row.select(F.col("key").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     several = of_row.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    result = of_row
+    result = of_row.select("key", "rep", "n_copies")
     if not several.isEmpty():
         every = same if links is None else same.union(links.select("u", "v"))
         merged = written(components(every), "components")
-        result = of_row.withColumn("rep", F.col("key"))
+        result = result.withColumn("rep", F.col("key"))
     if merged is not None:
         result = result.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
             "key", F.coalesce("component", "rep").alias("class_id"), "n_copies")
