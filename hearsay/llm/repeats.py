@@ -5,12 +5,14 @@ strings need not be compared with all others: each has an anchor, the least of t
 ``ANCHOR``-byte hashes in it, and equal strings have equal anchors at equal places.  A run
 is a stretch of neighbouring strings with one anchor.  Runs whose anchor occurs once
 repeat nowhere; runs that occur twice as a whole are repeated as a whole; the remaining
-distinct runs of an anchor go into one task, where a suffix array over their texts, made
-by ``suffix_sort``, brings equal strings together, and neighbours in it are compared byte by byte.
+distinct runs of an anchor are dealt by what surrounds it: strings at about one distance
+from the anchor all hold the same stretch around it, and only runs that agree in that can
+share a string.  Groups of runs that agree, but not as a whole, go into one task, where a
+suffix array over their texts, made by ``suffix_sort``, brings equal strings together, and
+neighbours in it are compared byte by byte.
 
-An anchor with very many distinct runs is dealt again by what surrounds it (``WIDTHS``): its
-strings go to groups by the part that they all share at one distance from the anchor, until
-every group fits a task.  At a width of 1 the shared part is the string itself.
+A group of more than ``MOST_RUNS`` is dealt again, by distances in narrower ranges
+(``WIDTHS``); at a width of 1 the stretch is the string itself and groups are equal.
 
 Texts are read as UTF-8 bytes, null as empty.  Repeated rows repeat each other's strings.
 Texts shorter than ``LENGTH`` lose nothing.  Other columns are left out (``cleaned`` returns
@@ -244,23 +246,21 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_R
     whole = matched.filter("mixed").join(copies, (F.col("anchor") == F.col("a")) & (F.col("run") == F.col("r"))).select(
         "row", F.col("start").cast("bigint").alias("first"), end.alias("last"))
     wanted = distinct.select("anchor", "rep.*", (F.col("n") > 1).alias("several"))
-    table = written(_cut_out(docs, wanted), "runs")
-    parts = []
-    for width in (*widths, None):
-        sizes = table.groupBy("bucket").agg(F.count("*").alias("n"), F.max((~F.col("several")).cast("int")).alias("open"))
-        small = sizes.filter((F.col("n") > 1) & (F.col("n") <= most_runs) & (F.col("open") == 1)) if width else \
-            sizes.filter("n > 1 AND open = 1")
-        if width is None:  # equal strings by now
-            last = table.join(small.select("bucket"), "bucket").select(
-                "row", F.col("start").alias("first"), (F.col("start") + F.octet_length("text")).cast("bigint").alias("last"))
-            parts.append(written(last, "ranges"))
-            break
-        parts.append(written(_sorted_groups(table.join(small.select("bucket"), "bucket").select(
+    table, parts = _cut_out(docs, wanted), []
+    for width in widths:
+        table = written(_narrowed(table, width, length), "strings")
+        sizes = table.groupBy("bucket").agg(
+            F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"),
+            F.max((~F.col("several")).cast("int")).alias("open")).filter("n > 1 AND open = 1").select(
+            "bucket", (F.col("low") == F.col("high")).alias("equal"), (F.col("n") > most_runs).alias("large"))
+        met = written(table.join(sizes, "bucket"), "met")
+        parts.append(met.filter("equal").select(
+            "row", F.col("start").alias("first"), (F.col("start") + F.octet_length("text")).cast("bigint").alias("last")))
+        parts.append(written(_sorted_groups(met.filter("NOT equal AND NOT large").select(
             "bucket", "row", "start", "several", "text"), length), "ranges"))
-        large = sizes.filter(F.col("n") > most_runs).select("bucket")
-        if large.isEmpty():
+        table = met.filter("NOT equal AND large").drop("equal", "large")
+        if table.isEmpty():  # at the latest at a width of 1, where a bucket's strings are equal
             break
-        table = written(_narrowed(table.join(large, "bucket").select(table.columns), width, length), "runs")
     result = plain.union(whole)
     for part in parts:
         result = result.union(part)
