@@ -17,27 +17,31 @@ def posts_per_hour(comments: DataFrame, tz: str | None = None) -> DataFrame:
     return hours.filter(F.col("post_hour").isNotNull()).groupBy("post_hour").count().orderBy("post_hour")
 
 
-def posts_per_day(comments: DataFrame, tz: str | None = None) -> DataFrame:
-    """``date, count``; comments without a readable time are left out."""
+def _per_day(comments: DataFrame, tz: str | None) -> DataFrame:
     days = comments.select(clock.day(F.col("created_at"), tz).alias("date"))
-    return days.filter(F.col("date").isNotNull()).groupBy("date").count().orderBy("date")
+    return days.filter(F.col("date").isNotNull()).groupBy("date").count()
+
+
+def posts_per_day(comments: DataFrame, tz: str | None = None) -> DataFrame:
+    """``date, count`` in order; comments without a readable time are left out."""
+    return _per_day(comments, tz).orderBy("date")
 
 
 def event_peak(comments: DataFrame, tz: str | None = None) -> DataFrame:
     """``peak_date, peak_count``: the busiest day, the earliest of equal ones."""
     return (
-        posts_per_day(comments, tz).orderBy(F.desc("count"), "date").limit(1)
+        _per_day(comments, tz).orderBy(F.desc("count"), "date").limit(1)
         .select(F.col("date").alias("peak_date"), F.col("count").alias("peak_count"))
     )
 
 
 def event_stages(comments: DataFrame, tz: str | None = None) -> DataFrame:
     """``date, count, stage``: onset before the peak day, climax on it, calm after it."""
-    daily = posts_per_day(comments, tz)
+    daily = _per_day(comments, tz)
     # One value; the subquery reads the same exchanged day counts again.
     peak = daily.agg(F.max_by("date", F.struct("count", -F.unix_date("date")))).scalar()
     stage = F.when(F.col("date") < peak, "onset").when(F.col("date") == peak, "climax").otherwise("calm")
-    return daily.select("date", "count", stage.alias("stage"))
+    return daily.select("date", "count", stage.alias("stage")).orderBy("date")
 
 
 def ip_location_counts(comments: DataFrame) -> DataFrame:
