@@ -147,9 +147,11 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", k: int = K) -> DataF
 
     @F.pandas_udf("int")
     def range_of(keys):
-        return keys.map(lambda v: bisect.bisect_right(limits, v) if v == v and v is not None else 0)
+        return keys.map(lambda v: bisect.bisect_right(limits, v))
 
-    dealt = rows.withColumn("range", range_of("key") if limits else F.lit(0))
+    # A null key goes where the least one would; pandas would turn its neighbours into floats.
+    least = F.lit({"int": -(1 << 31), "bigint": -(1 << 63)}.get(kind, "")).cast(kind)
+    dealt = rows.withColumn("range", range_of(F.coalesce("key", least)) if limits else F.lit(0))
     # One row per range, which are bounded in number.
     firsts = {r["range"]: r["least"] for r in dealt.groupBy("range").agg(
         F.when(F.count("key") == F.count("*"), F.min("key")).alias("least")).collect()}
