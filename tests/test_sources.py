@@ -188,9 +188,12 @@ def test_the_folder_of_the_session_is_used():
     assert spool.shared_folder(session) == "hdfs://shared/ck"
 
 
-def test_intermediate_tables_go_below_the_warehouse_and_are_removed(spark):
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
-    assert spool.shared_folder(spark).removeprefix("file:").startswith(warehouse)
+def test_without_a_named_folder_tables_go_below_the_warehouse():
+    session = FakeSession(spark__sql__warehouse__dir="hdfs://warehouse/")
+    assert spool.shared_folder(session) == "hdfs://warehouse/shared"
+
+
+def test_scratch_tables_are_removed(spark):
     with spool.scratch(spark):
         table = spool.spool(spark.range(3), "numbers")
         path = table.inputFiles()[0].removeprefix("file://").removeprefix("file:")
