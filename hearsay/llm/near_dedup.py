@@ -239,6 +239,13 @@ def verified(bodies: DataFrame, pairs: DataFrame, least: float = SIMILARITY) ->
 # --- classes -------------------------------------------------------------------------
 
 
+def _bodies(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``key, body`` of the texts in ``pairs``: the bodies of all rows are shuffled once for it."""
+    needed = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct().join(firsts, "key")
+    # The same plan at every size: whether few keys could be broadcast is not left to chance.
+    return written(rows.select("n", "body").hint("merge").join(needed, "n").select("key", "body"), "bodies")
+
+
 def _hubs(members: DataFrame, both: bool) -> DataFrame:
     """Every bucket's hub: its text of the greatest weight, then least key; with ``both`` also that of the least."""
     order = F.struct("weight", (-F.col("key")).alias("key"))
@@ -255,13 +262,11 @@ def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) ->
     kind = dict(docs.dtypes)[key]
     rows = written(sketched(docs, key).withColumn("n", F.monotonically_increasing_id()), "sketched")
     copies = rows.groupBy("digest").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("n_copies"))
-    is_first = F.col("n") == F.col("first.n")
-    # Only the first of all exact copies goes on with its text.
-    of_row = written(rows.join(copies, "digest").select(
-        "key", F.col("first.key").alias("rep"), "n_copies", is_first.alias("is_first"),
-        F.when(is_first, F.col("body")).alias("body"), F.when(is_first, F.col("sketch")).alias("sketch")), "copies")
-    bodies = of_row.filter("is_first").select("key", "body")
-    spread = of_row.filter("is_first").select("key", F.posexplode("sketch").alias("at", "value")).select(
+    of_row = written(rows.select("key", "digest", "n").join(copies, "digest").select(
+        "key", F.col("first.key").alias("rep"), "n_copies", "n", (F.col("n") == F.col("first.n")).alias("is_first")), "copies")
+    # Only the first of all exact copies goes on.
+    firsts = of_row.filter("is_first").select("key", "n")
+    spread = rows.select("n", "sketch").join(firsts, "n").select("key", F.posexplode("sketch").alias("at", "value")).select(
         "key", F.xxhash64("at", "value").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(spread.join(sizes, "bucket"), "buckets")
@@ -274,7 +279,7 @@ def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) ->
         pairs = written(pairs.select("u", "v"), "pairs")
         if pairs.isEmpty():
             break
-        found = written(verified(bodies, pairs, least), "links")
+        found = written(verified(_bodies(rows, firsts, pairs), pairs, least), "links")
         if number == 0:  # what is in the hub's class by way of other texts needs no further hub
             links = found
             merged = written(components(links), "components")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 LABELS = "doc_id BIGINT, quality INT, toxic INT"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,6 +24,9 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    # Rows are whole texts: the usual 10,000 of them in a batch would take much of a worker's memory.
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
