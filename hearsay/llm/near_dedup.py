@@ -6,10 +6,12 @@ order MinHash.  Texts that agree in one of these meet in a bucket.  A pair is li
 the edit similarity of the shingle sequences, ``1 - distance / longer length``, is
 ``SIMILARITY`` or more, found by an alignment in a band that widens until it decides.
 
-Exact copies (the same words) are joined first and go on as one.  A bucket's texts are not
-paired with each other but with its hub, the text that shares most buckets with others;
-texts that the hub rejects get two hubs of their own in the next round, until none is left
-or a round links nothing more.  Classes are the connected components of the links.
+Exact copies (the same words) are joined first and go on as one.  A bucket's texts are first
+paired with its hub, the text that shares most buckets with others.  In buckets that then
+still hold several classes, all pairs of texts in different classes are looked at: in cells of
+two blocks of about ``BLOCK`` texts, spread over tasks, pairs go that have too few shingles
+in common to be similar, which their outlines tell without error; the others are aligned.
+Classes are the connected components of the links: no pair that meets in a bucket is left out.
 
 Texts without words (null, empty) and rows with a null key are in no class but their own.
 Texts of one to four words have one shingle.  Repeated rows are exact copies.  Other columns
@@ -21,7 +23,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 KEPT = 3
+BLOCK = 256
+LONG = 2_048  # shingles; the outline of a longer text has counts
 _random = np.random.default_rng(6)
 _FACTORS = _random.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _random.integers(0, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -236,6 +239,132 @@ def verified(bodies: DataFrame, pairs: DataFrame, least: float = SIMILARITY) ->
     return joined.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+# --- pairs in large buckets --------------------------------------------------------------
+
+
+def outline(hashes: np.ndarray) -> bytes:
+    """Of up to ``LONG`` shingles a number of 16 bits each, in order; of more, counts of 4,096 sorts up to 255."""
+    keys = labelled(hashes)
+    if len(keys) <= LONG:
+        return np.sort(keys >> np.uint64(48)).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=4096), 255).astype(np.uint8).tobytes()
+
+
+def _most_in_common(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Upper bounds of the sizes of the common multisets of short texts, by their outlines."""
+    listed = np.intersect1d(np.concatenate(own), np.concatenate(others))
+    total = np.zeros((len(own), len(others)), dtype=np.float32)
+    for a in range(0, len(listed), 8192):
+        columns = listed[a:a + 8192]
+        sides = []
+        for texts in (own, others):
+            values = np.concatenate(texts)
+            owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            at = np.minimum(np.searchsorted(columns, values), len(columns) - 1)
+            hit = columns[at] == values
+            counts = np.zeros((len(texts), len(columns)), dtype=np.float32)
+            np.add.at(counts, (owner[hit], at[hit]), 1)
+            sides.append(counts)
+        total += sides[0] @ sides[1].T  # a product of counts is no less than the lesser count
+    return total
+
+
+def _counted(outlined: bytes, length: int) -> np.ndarray:
+    if length > LONG:
+        return np.frombuffer(outlined, dtype=np.uint8).astype(np.int32)
+    return np.minimum(np.bincount(np.frombuffer(outlined, dtype=np.uint16) >> 4, minlength=4096), 255).astype(np.int32)
+
+
+def possible(owns: tuple, others: tuple, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different classes that may be similar, of two lists of texts.
+
+    A list has classes, lengths and outlines.  Pairs of ``least`` similarity are all among them.
+    """
+    longer = np.maximum(owns[1][:, None], others[1][None])
+    most = np.floor((1 - least) * longer + 1e-9)
+    open_ = (owns[0][:, None] != others[0][None]) & (np.abs(owns[1][:, None] - others[1][None]) <= most)
+    short = [np.flatnonzero((t[1] <= LONG) & open_.any(axis)) for t, axis in ((owns, 1), (others, 0))]
+    if len(short[0]) and len(short[1]):
+        lists = [[np.frombuffer(t[2][i], dtype=np.uint16) for i in places] for t, places in zip((owns, others), short)]
+        at = np.ix_(*short)
+        open_[at] &= longer[at] - _most_in_common(*lists) <= most[at]
+    i, j = np.nonzero(open_)
+    stays = np.ones(len(i), dtype=bool)
+    known = {}
+    for k in np.flatnonzero((owns[1][i] > LONG) | (others[1][j] > LONG)).tolist():
+        both = []
+        for side, (t, place) in enumerate(((owns, i[k]), (others, j[k]))):
+            if (side, place) not in known:
+                known[side, place] = _counted(t[2][place], t[1][place])
+            both.append(known[side, place])
+        apart = int(np.abs(both[0] - both[1]).sum())
+        stays[k] = longer[i[k], j[k]] - (owns[1][i[k]] + others[1][j[k]] - apart) / 2 <= most[i[k], j[k]]
+    return i[stays], j[stays]
+
+
+def _outlines(bodies: DataFrame) -> DataFrame:
+    """``key, length, outline`` of ``bodies(key, body)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sequence(body) for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in found], pa.int64()),
+                pa.array([outline(s) for s in found], pa.binary())], names=["key", "length", "outline"])
+
+    return bodies.select("key", "body").mapInArrow(run, f"key {dict(bodies.dtypes)['key']}, length bigint, outline binary")
+
+
+def _possible_pairs(members: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(u, v)`` of ``members(bucket, key, own, n)`` that meet in a bucket and may be similar.
+
+    A bucket of ``n`` texts is dealt into blocks; two blocks, or one by itself, are a cell.
+    """
+    kind = dict(members.dtypes)["key"]
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).join(outlines, "key")
+    cells = dealt.select("bucket", "block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"),
+                         "key", "own", "length", "outline")
+    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         "block", "key", "own", "length", "outline")
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        block, keys, owns, lengths = (table.column(c).to_numpy() for c in ("block", "key", "own", "length"))
+        outlined = table.column("outline").to_pylist()
+        low, high = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sides = [np.flatnonzero(block == b) for b in (low, high)]
+        lists = [(owns[s], lengths[s], [outlined[k] for k in s]) for s in sides]
+        i, j = possible(*lists, least) if len(sides[0]) and len(sides[1]) else (np.zeros(0, int), np.zeros(0, int))
+        a, b = keys[sides[0][i]], keys[sides[1][j]]
+        stays = a > b if low == high else a != b
+        u, v = np.maximum(a, b)[stays], np.minimum(a, b)[stays]
+        return pa.RecordBatch.from_arrays([pa.array(u, table.schema.field("key").type), pa.array(v, table.schema.field("key").type)],
+                                          names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in batches:
+            names = [batch.column(c).to_numpy() for c in range(3)]
+            changes = np.zeros(max(len(batch) - 1, 0), dtype=bool)
+            for column in names:
+                changes |= column[1:] != column[:-1]
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                named = tuple(column[a] for column in names)
+                if named != cell and held:
+                    yield pairs(pa.Table.from_batches(held))
+                    held = []
+                cell = named
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    placed = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return placed.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+
+
 # --- classes -------------------------------------------------------------------------
 
 
@@ -246,12 +375,18 @@ def _bodies(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(rows.select("n", "body").hint("merge").join(needed, "n").select("key", "body"), "bodies")
 
 
-def _hubs(members: DataFrame, both: bool) -> DataFrame:
-    """Every bucket's hub: its text of the greatest weight, then least key; with ``both`` also that of the least."""
+def _hubs(members: DataFrame) -> DataFrame:
+    """Every bucket's hub: its text of the greatest weight, then least key."""
     order = F.struct("weight", (-F.col("key")).alias("key"))
-    found = members.groupBy("bucket").agg(F.max(order).alias("top"), F.min(order).alias("low"), F.count("*").alias("n"))
-    hubs = F.array((-F.col("top.key")), (-F.col("low.key"))) if both else F.array(-F.col("top.key"))
-    return found.filter("n > 1").select("bucket", F.explode(hubs).alias("hub"))
+    return members.groupBy("bucket").agg(F.max(order).alias("top")).select("bucket", (-F.col("top.key")).alias("hub"))
+
+
+def _open(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """``bucket, key, own, n`` of the buckets that hold several classes; ``own`` is the text's class."""
+    named = written(members.join(merged.withColumnRenamed("node", "key"), "key", "left").select(
+        "bucket", "key", F.coalesce("component", "key").alias("own")), "named")
+    several = named.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("n"))
+    return written(named.join(several.filter("low < high").select("bucket", "n"), "bucket"), "open")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -273,34 +408,21 @@ def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) ->
     weights = shared.groupBy("key").agg(F.sum("size").alias("weight"))
     members = written(shared.select("bucket", "key").join(weights, "key"), "members")
     links = merged = None
-    for number in count():
-        met = members.join(_hubs(members, number > 0), "bucket").filter("key <> hub")
-        pairs = met.groupBy(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v")).agg(F.lit(1).alias("one"))
-        pairs = written(pairs.select("u", "v"), "pairs")
-        if pairs.isEmpty():
-            break
-        found = written(verified(_bodies(rows, firsts, pairs), pairs, least), "links")
-        if number == 0:  # what is in the hub's class by way of other texts needs no further hub
-            links = found
-            merged = written(components(links), "components")
-            named = met.join(merged.select(F.col("node").alias("key"), F.col("component").alias("own")), "key", "left").join(
-                merged.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left")
-            apart = named.filter(F.coalesce("own", "key") != F.coalesce("other", "hub"))
-            members = apart.select("bucket", "key", "weight")
-        else:
-            if found.isEmpty():
-                break
-            links, merged = links.unionByName(found), None
-            # Both hubs have met everything in their bucket; who was linked to one is settled.
-            linked = found.select("u", "v", F.lit(1).alias("linked"))
-            tried = met.withColumn("u", F.greatest("key", "hub")).withColumn("v", F.least("key", "hub")).join(
-                linked, ["u", "v"], "left")
-            hubs = met.select("bucket", F.col("hub").alias("key")).distinct()
-            members = tried.groupBy("bucket", "key", "weight").agg(F.max("linked").alias("linked")).filter(
-                "linked IS NULL").select("bucket", "key", "weight").join(hubs, ["bucket", "key"], "anti")
-        members = written(members, "members")
-    if links is not None and merged is None:
+    met = members.join(_hubs(members), "bucket").filter("key <> hub")
+    pairs = met.groupBy(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v")).agg(F.lit(1).alias("one"))
+    pairs = written(pairs.select("u", "v"), "pairs")
+    if not pairs.isEmpty():
+        links = written(verified(_bodies(rows, firsts, pairs), pairs, least), "links")
         merged = written(components(links), "components")
+        several = _open(members, merged)
+        if not several.isEmpty():
+            needed = several.select(F.col("key").alias("u"), F.col("key").alias("v"))
+            bodies = _bodies(rows, firsts, needed)
+            rest = written(_possible_pairs(several, written(_outlines(bodies), "outlines"), least), "pairs")
+            found = written(verified(bodies, rest, least), "links")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                merged = written(components(links), "components")
     # Rows of one key with different texts are one document: they join their classes.
     same = of_row.select(F.col("key").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     several = of_row.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")

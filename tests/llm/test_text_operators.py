@@ -179,6 +179,74 @@ def test_classes_match_brute_force(spark, odd_docs):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def _changed(rnd, words, n):
+    out = list(words)
+    for place in rnd.sample(range(len(out)), n):
+        out[place] = f"n{rnd.randrange(10 ** 9)}"
+    return out
+
+
+def test_every_pair_of_a_bucket_is_compared_or_in_one_class(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8, raising=False)
+    rnd, rows = random.Random(21), []
+    common = [f"c{i}" for i in range(90)]
+    for _ in range(12):
+        words = common + [f"w{rnd.randrange(10 ** 9)}" for _ in range(60)]
+        for _ in range(6):
+            rows.append((len(rows), " ".join(words)))
+            words = _changed(rnd, words, 4)
+    rnd.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    texts = [near_dedup.sequence(near_dedup.zlib.compress(t.encode())) for _, t in rows]
+    sketches = [near_dedup.order_minhash(t) for t in texts]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (sketches[i] == sketches[j]).any()]
+    close = near_dedup.similar([(texts[i], texts[j]) for i, j in pairs])
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, j), yes in zip(pairs, close):
+        if yes:
+            x, y = root(i), root(j)
+            parent[max(x, y)] = min(x, y)
+    assert close.any() and not close.all()
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id INT, text STRING")).collect()}
+    assert got == {i: root(i) for i in range(len(rows))}
+
+
+def test_a_text_like_only_a_linked_text_is_found(spark):
+    rnd = random.Random(138)
+    hub = [f"w{rnd.randrange(10 ** 6)}" for _ in range(64)]
+
+    def changed(words, first, last):
+        return [f"n{rnd.randrange(10 ** 6)}" if first <= i < last else w for i, w in enumerate(words)]
+
+    linked = changed(hub, 0, 8)
+    far, other = changed(linked, 30, 34), changed(hub, 60, 62)
+    texts = [near_dedup.sequence(near_dedup.zlib.compress(" ".join(w).encode())) for w in (hub, linked, far)]
+    assert near_dedup.similar([(texts[0], texts[1]), (texts[1], texts[2]), (texts[0], texts[2])]).tolist() == [True, True, False]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((hub, other, linked, far))], "doc_id INT, text STRING")
+    assert {r.class_id for r in near_dedup.classes(docs).collect()} == {0}
+
+
+def test_outlines_keep_all_similar_pairs():
+    rnd, texts = np.random.default_rng(5), []
+    for size in (1, 3, 40, 300, 2_040, 2_055, 9_000):
+        base = rnd.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in (0.0, 0.1, 0.19, 0.3):
+            text = base.copy()
+            text[rnd.random(size) < share] = rnd.integers(0, 1 << 63)
+            texts.append(text)
+    lists = (np.arange(len(texts)), np.array([len(t) for t in texts]), [near_dedup.outline(t) for t in texts])
+    found = set(zip(*(x.tolist() for x in near_dedup.possible(lists, lists))))
+    every = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j]
+    close = near_dedup.similar([(texts[i], texts[j]) for i, j in every])
+    assert {p for p, yes in zip(every, close) if yes} <= found and len(found) < len(every) / 2
+
+
 def test_dedup_of_odd_rows(odd_docs, odd_rows):
     classes = collections.Counter((r.doc_id, r.class_id) for r in near_dedup.classes(odd_docs).collect())
     assert sum(classes.values()) == len(odd_rows)
