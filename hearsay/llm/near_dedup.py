@@ -14,8 +14,10 @@ in common to be similar, which their outlines tell without error; the others are
 Classes are the connected components of the links: no pair that meets in a bucket is left out.
 
 Texts without words (null, empty) and rows with a null key are in no class but their own.
-Texts of one to four words have one shingle.  Repeated rows are exact copies.  Other columns
-are left out (``dedup`` keeps all columns of the rows that stay).
+Texts of one to four words have one shingle.  Repeated rows are exact copies.  Rows that share
+a key but not a text are classed each by its own text; classes are linked by similarity only,
+so two of them can bear one least key.  Other columns are left out (``dedup`` keeps all
+columns of the rows that stay).
 """
 
 from __future__ import annotations
@@ -84,8 +86,8 @@ def order_minhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, key: str) -> DataFrame:
-    """``key, digest, body, sketch`` of every row with a key and words; the body is packed."""
-    taken = docs.select(F.col(key).alias("key"), "text").filter(F.col("key").isNotNull())
+    """``key, mark, digest, body, sketch`` of every row with a key and words; the body is packed, the mark is the text's MD5."""
+    taken = docs.select(F.col(key).alias("key"), "text", F.md5("text").alias("mark")).filter(F.col("key").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,14 +98,15 @@ def sketched(docs: DataFrame, key: str) -> DataFrame:
                 cuts = np.searchsorted(of, np.arange(last - first + 1))
                 rows = [i for i in range(last - first) if cuts[i] < cuts[i + 1]]
                 texts = [b" ".join(part[ends[i]:ends[i + 1]].tobytes().split()) for i in rows]
+                places = pa.array([first + i for i in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array([first + i for i in rows], pa.int64())),
+                    batch.column(0).take(places), batch.column(2).take(places),
                     pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
                     pa.array([zlib.compress(t, 1) for t in texts], pa.binary()),
                     pa.array([order_minhash(found[cuts[i]:cuts[i + 1]]).tolist() for i in rows], pa.list_(pa.int64())),
-                ], names=["key", "digest", "body", "sketch"])
+                ], names=["key", "mark", "digest", "body", "sketch"])
 
-    return taken.mapInArrow(run, f"key {dict(taken.dtypes)['key']}, digest binary, body binary, sketch array<bigint>")
+    return taken.mapInArrow(run, f"key {dict(taken.dtypes)['key']}, mark string, digest binary, body binary, sketch array<bigint>")
 
 
 # --- alignment -----------------------------------------------------------------------
@@ -368,11 +371,11 @@ def _possible_pairs(members: DataFrame, outlines: DataFrame, least: float) -> Da
 # --- classes -------------------------------------------------------------------------
 
 
-def _bodies(rows: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _bodies(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """``key, body`` of the texts in ``pairs``: the bodies of all rows are shuffled once for it."""
-    needed = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct().join(firsts, "key")
+    needed = pairs.select(F.col("u").alias("n")).union(pairs.select("v")).distinct()
     # The same plan at every size: whether few keys could be broadcast is not left to chance.
-    return written(rows.select("n", "body").hint("merge").join(needed, "n").select("key", "body"), "bodies")
+    return written(rows.select("n", "body").hint("merge").join(needed, "n").select(F.col("n").alias("key"), "body"), "bodies")
 
 
 def _hubs(members: DataFrame) -> DataFrame:
@@ -389,19 +392,20 @@ def _open(members: DataFrame, merged: DataFrame) -> DataFrame:
     return written(named.join(several.filter("low < high").select("bucket", "n"), "bucket"), "open")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """``key, class_id, n_copies`` for every row of ``docs(key, text)``; keys are whole numbers.
+def _classed(docs: DataFrame, key: str, least: float) -> DataFrame:
+    """``key, mark, own, class_id, n_copies`` of every row with a key and words; ``own`` tells classes apart.
 
-    ``class_id`` is the least key of the class, ``n_copies`` the number of exact copies of the text.
+    A text's number is that of its first row, whatever the keys.
     """
-    kind = dict(docs.dtypes)[key]
     rows = written(sketched(docs, key).withColumn("n", F.monotonically_increasing_id()), "sketched")
     copies = rows.groupBy("digest").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("n_copies"))
-    of_row = written(rows.select("key", "digest", "n").join(copies, "digest").select(
-        "key", F.col("first.key").alias("rep"), "n_copies", "n", (F.col("n") == F.col("first.n")).alias("is_first")), "copies")
+    of_row = written(rows.select("key", "mark", "digest", "n").join(copies, "digest").select(
+        "key", "mark", F.col("first.key").alias("rep"), F.col("first.n").alias("node"), "n_copies",
+        (F.col("n") == F.col("first.n")).alias("is_first")), "copies")
     # Only the first of all exact copies goes on.
-    firsts = of_row.filter("is_first").select("key", "n")
-    spread = rows.select("n", "sketch").join(firsts, "n").select("key", F.posexplode("sketch").alias("at", "value")).select(
+    firsts = of_row.filter("is_first").select("node", "rep")
+    spread = rows.select("n", "sketch").join(firsts.select(F.col("node").alias("n")), "n").select(
+        F.col("n").alias("key"), F.posexplode("sketch").alias("at", "value")).select(
         "key", F.xxhash64("at", "value").alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(spread.join(sizes, "bucket"), "buckets")
@@ -412,49 +416,54 @@ def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) ->
     pairs = met.groupBy(F.greatest("key", "hub").alias("u"), F.least("key", "hub").alias("v")).agg(F.lit(1).alias("one"))
     pairs = written(pairs.select("u", "v"), "pairs")
     if not pairs.isEmpty():
-        links = written(verified(_bodies(rows, firsts, pairs), pairs, least), "links")
+        links = written(verified(_bodies(rows, pairs), pairs, least), "links")
         merged = written(components(links), "components")
         several = _open(members, merged)
         if not several.isEmpty():
             needed = several.select(F.col("key").alias("u"), F.col("key").alias("v"))
-            bodies = _bodies(rows, firsts, needed)
+            bodies = _bodies(rows, needed)
             rest = written(_possible_pairs(several, written(_outlines(bodies), "outlines"), least), "pairs")
             found = written(verified(bodies, rest, least), "links")
             if not found.isEmpty():
                 links = links.unionByName(found)
                 merged = written(components(links), "components")
-    # Rows of one key with different texts are one document: they join their classes.
-    same = of_row.select(F.col("key").alias("u"), F.col("rep").alias("v")).filter("u <> v")
-    several = of_row.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high")
-    result = of_row.select("key", "rep", "n_copies")
-    if not several.isEmpty():
-        every = same if links is None else same.union(links.select("u", "v"))
-        merged = written(components(every), "components")
-        result = result.withColumn("rep", F.col("key"))
-    if merged is not None:
-        result = result.join(merged.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-            "key", F.coalesce("component", "rep").alias("class_id"), "n_copies")
-    else:
-        result = result.select("key", F.col("rep").alias("class_id"), "n_copies")
+    result = of_row.select("key", "mark", "node", "rep", "n_copies")
+    if merged is None:
+        return result.select("key", "mark", F.col("node").alias("own"), F.col("rep").alias("class_id"), "n_copies")
+    named = merged.join(firsts, "node")
+    lowest = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = written(named.select("node", "component").join(lowest, "component"), "named")
+    return result.join(named, "node", "left").select(
+        "key", "mark", F.coalesce("component", "node").alias("own"), F.coalesce("class_id", "rep").alias("class_id"), "n_copies")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """``key, class_id, n_copies`` for every row of ``docs(key, text)``; keys are whole numbers.
+
+    ``class_id`` is the least key of the class, ``n_copies`` the number of exact copies of the text.
+    """
+    kind = dict(docs.dtypes)[key]
+    result = _classed(docs, key, least)
     alone = docs.filter(F.col(key).isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     return result.select(F.col("key").cast(kind).alias(key), F.col("class_id").cast(kind).alias("class_id"), "n_copies").unionByName(
         alone.select(F.col(key), F.col(key).alias("class_id"), F.lit(1).cast("bigint").alias("n_copies")))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """The rows that stay, with all their columns: of every class the document of the least key, once.
+    """The rows that stay, with all their columns: of every class the text of the least key, once.
 
-    Rows without words and with a null key all stay.
+    Of several texts with that key the one of the least MD5 stays.  Rows without words and
+    with a null key all stay.
     """
-    gone = classes(docs, key, least)
-    # Documents to drop, and of those that stay the ones that occur in several rows.
-    counted = gone.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min("class_id").alias("class_id"), F.count("*").alias("rows"))
-    counted = written(counted.select(F.col(key).alias("k"), (F.col("class_id") < F.col(key)).alias("drop"), "rows")
-                      .filter("drop OR rows > 1"), "dropped")
-    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.join(counted, F.col(key) == F.col("k"), "left")
-    stays = marked.filter(F.col("k").isNull() | ~has_words)
-    several = marked.filter(F.col("k").isNotNull() & has_words & ~F.col("drop")).dropDuplicates([key])
-    return stays.unionByName(several).drop("k", "drop", "rows") if not counted.filter("NOT drop").isEmpty() else \
-        stays.drop("k", "drop", "rows")
+    texts = written(_classed(docs, key, least).groupBy("own", "key", "mark").agg(F.count("*").alias("rows")), "texts")
+    stay = texts.groupBy("own").agg(F.min(F.struct("key", "mark")).alias("first"), F.sum("rows").alias("all"))
+    # Texts to drop, and of those that stay the ones that occur in several rows.
+    counted = texts.join(stay.filter(F.col("all") > 1).select("own", "first"), "own").select(
+        F.col("key").alias("k"), F.col("mark").alias("m"),
+        ((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark"))).alias("drop"), "rows")
+    counted = written(counted.filter("drop OR rows > 1"), "dropped")
+    marked = docs.join(counted, (F.col(key) == F.col("k")) & (F.md5("text") == F.col("m")), "left")
+    stays = marked.filter(F.col("k").isNull())
+    several = marked.filter(F.col("k").isNotNull() & ~F.col("drop")).dropDuplicates([key, "m"])
+    stays = stays.unionByName(several) if not counted.filter("NOT drop").isEmpty() else stays
+    return stays.drop("k", "m", "drop", "rows")

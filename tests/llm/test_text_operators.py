@@ -247,6 +247,18 @@ def test_outlines_keep_all_similar_pairs():
     assert {p for p, yes in zip(every, close) if yes} <= found and len(found) < len(every) / 2
 
 
+def test_texts_that_share_a_key_are_told_apart(spark):
+    rnd = random.Random(5)
+    a, b, c, d = ([f"w{rnd.randrange(10 ** 9)}" for _ in range(80)] for _ in range(4))
+    near = [" ".join([*words[:-1], "other"]) for words in (a, b)]
+    a, b, c, d = (" ".join(words) for words in (a, b, c, d))
+    rows = [(1, a), (7, near[0]), (7, near[1]), (3, b), (7, c), (7, c), (7, d), (8, d)]
+    docs = spark.createDataFrame(rows, "doc_id INT, text STRING").repartition(3)
+    found = collections.Counter((r.doc_id, r.class_id, r.n_copies) for r in near_dedup.classes(docs).collect())
+    assert found == {(1, 1, 1): 1, (7, 1, 1): 1, (7, 3, 1): 1, (3, 3, 1): 1, (7, 7, 2): 3, (8, 7, 2): 1}
+    assert sorted(map(tuple, near_dedup.dedup(docs).collect())) == sorted([(1, a), (3, b), (7, c), (7, d)])
+
+
 def test_dedup_of_odd_rows(odd_docs, odd_rows):
     classes = collections.Counter((r.doc_id, r.class_id) for r in near_dedup.classes(odd_docs).collect())
     assert sum(classes.values()) == len(odd_rows)
