@@ -4,9 +4,12 @@ The patterns find e-mail addresses, IP addresses, card and phone numbers.  Token
 digit or ``@`` are the nodes of a random field over the labels ``O`` and the four kinds.
 Neighbouring nodes share a transition potential; tokens that occur again in the document
 (same form without punctuation and case, or the name part of an address) share an
-agreement potential with their next occurrence, however distant.  Loopy message passing
-spreads the labels of the patterns' tokens, which are fixed, to the others.  Runs of
-tokens that come out with the same kind at ``SURE`` or more are added as spans.
+agreement potential with their next occurrence, however distant, and with the nearest
+occurrences before and after that a pattern has labelled: evidence is one step away, however
+often a form occurs.  Loopy message passing spreads the labels of the patterns' tokens,
+which are fixed, to the others, until a document's messages change by less than
+``SETTLED``.  Runs of tokens that come out with the same kind at ``SURE`` or more are
+added as spans.
 
 The field's weights are learned from the patterns' own labels on at most ``sample``
 documents, chosen by a hash of the key.  Every text is read whole; null counts as empty.
@@ -20,6 +23,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4_000
 SURE = 0.9
-ROUNDS = 8
+SETTLED = 1e-4
 DAMPING = 0.3
+PATIENCE = 100  # rounds, after which messages are damped ever more so that circling ones come to rest
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -120,13 +125,14 @@ class Field:
         self.owner: list[int] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int, int]] = []
+        self.known: list[tuple[int, int, int]] = []  # to the nearest labelled occurrences; not learned from
 
     def add(self, doc: int, text: str, base: list[Span]) -> None:
         covered = sorted((s, e, KINDS.index(k) + 1) for k, s, e in base)
         # Spans of different kinds may overlap; the furthest end so far bounds the search back.
         starts = [c[0] for c in covered]
         reach = list(np.maximum.accumulate([c[1] for c in covered])) if covered else []
-        before, last_seen = -2, {}
+        before, seen = -2, {}
         for place, m in enumerate(_TOKEN.finditer(text)):
             token = m.group()
             if not _SIGNAL.search(token):
@@ -151,9 +157,17 @@ class Field:
                 names.add(_PLAIN.sub("", token.split("@")[0]).lower())
             for name in names:
                 if len(name) >= 3:
-                    if name in last_seen:
-                        self.skip.append((last_seen[name], node, int(len(name) >= 6)))
-                    last_seen[name] = node
+                    if name in seen:
+                        self.skip.append((seen[name][-1], node, int(len(name) >= 6)))
+                    seen.setdefault(name, []).append(node)
+        for name, nodes in seen.items():
+            for line in (nodes, nodes[::-1]):
+                last = None
+                for i, node in enumerate(line):
+                    if self.labels[node]:
+                        last = i
+                    elif last is not None and last < i - 1:
+                        self.known.append((line[last], node, int(len(name) >= 6)))
 
     def matrix(self) -> np.ndarray:
         x = np.zeros((len(self.features), N_FEATURES))
@@ -186,33 +200,45 @@ def learn(field: Field) -> dict:
     return {"unary": weights, "chain": np.log(pairs / independent) * 0.5, "skip": agreement}
 
 
-def infer(field: Field, model: dict, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities of every node by damped loopy message passing."""
+def infer(field: Field, model: dict, rounds: int | None = None) -> np.ndarray:
+    """Label probabilities of every node by damped loopy message passing: until every document is settled, or ``rounds``."""
     n = len(KINDS) + 1
     y = np.array(field.labels, dtype=np.int64)
     unary = field.matrix() @ model["unary"]
     fixed = y > 0
     unary[fixed] = np.where(np.eye(n)[y[fixed]] > 0, 0.0, -40.0)
-    edges = [(a, b) for a, b in field.chain] + [(a, b) for a, b, _ in field.skip]
+    skip = field.skip + field.known
+    edges = [(a, b) for a, b in field.chain] + [(a, b) for a, b, _ in skip]
     if edges:
         pairs = np.array(edges, dtype=np.int64)
         potential = np.concatenate([
             np.repeat(model["chain"][None], len(field.chain), 0),
-            np.array([model["skip"][k] for _, _, k in field.skip])[:, None, None] * np.eye(n)[None]
-            if field.skip else np.zeros((0, n, n))])
+            np.array([model["skip"][k] for _, _, k in skip])[:, None, None] * np.eye(n)[None]
+            if skip else np.zeros((0, n, n))])
         source = np.concatenate([pairs[:, 0], pairs[:, 1]])
         goal = np.concatenate([pairs[:, 1], pairs[:, 0]])
         potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
         messages = np.zeros((len(source), n))
-        for _ in range(rounds):
+        _, doc = np.unique(np.array(field.owner)[source], return_inverse=True)
+        active, damping = np.arange(len(source)), DAMPING
+        for number in count():
+            if not len(active) or number == rounds:
+                break
+            if number >= PATIENCE:
+                damping = (1 + 9 * damping) / 10
             belief = unary.copy()
-            np.add.at(belief, goal, messages)
-            out = (belief[source] - messages[back])[:, :, None] + potential
+            np.add.at(belief, goal[active], messages[active])
+            out = (belief[source[active]] - messages[back[active]])[:, :, None] + potential[active]
             top = out.max(1, keepdims=True)
             new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            messages = DAMPING * messages + (1 - DAMPING) * new
+            step = (1 - damping) * (new - messages[active])
+            messages[active] += step
+            if rounds is None:  # documents are independent: settled ones leave
+                change = np.zeros(doc.max() + 1)
+                np.maximum.at(change, doc[active], np.abs(step).max(1))
+                active = active[change[doc[active]] >= SETTLED]
         np.add.at(unary, goal, messages)
     p = np.exp(unary - unary.max(1, keepdims=True)) if len(unary) else unary
     return p / p.sum(1, keepdims=True) if len(p) else p

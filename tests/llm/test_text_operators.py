@@ -66,6 +66,23 @@ def test_labels_travel_along_skip_edges():
     assert [(k, text[a:b]) for k, a, b in more] == [("phone", "555-9263")]
 
 
+def test_labels_reach_all_of_many_occurrences():
+    model = {"unary": np.zeros((pii.N_FEATURES, 5)), "chain": np.zeros((5, 5)), "skip": [3.0, 5.0]}
+    model["unary"][0, 0] = 1.0
+    for before, after in ((0, 30), (30, 0), (15, 15)):
+        text = "as said 555-9263 is it " * before + "call +1 (784) 555-9263 now " + "as said 555-9263 is it " * after
+        base, more = pii.search([text], model)[0]
+        assert len(base) == 1 and [(k, text[a:b]) for k, a, b in more] == [("phone", "555-9263")] * 30
+
+
+def test_message_passing_goes_on_until_settled():
+    model = {"unary": np.zeros((pii.N_FEATURES, 5)), "chain": np.eye(5) * 4.0, "skip": [1.0, 1.0]}
+    field = pii.Field()
+    field.add(0, "a@b.co " + " ".join(f"{i}" for i in range(10, 60)), [("email", 0, 6)])
+    field.add(1, "1 22", [])
+    assert np.allclose(pii.infer(field, model), pii.infer(field, model, rounds=2_000), atol=1e-3)
+
+
 def _brute_marginals(field, model):
     import itertools
     n = len(field.labels)
