@@ -12,7 +12,7 @@ which are fixed, to the others, until a document's messages change by less than
 added as spans.
 
 The field's weights are learned from the patterns' own labels on at most ``sample``
-documents, chosen by a hash of the key.  Every text is read whole; null counts as empty.
+documents, chosen by a hash of key and text; equal rows are one.  Every text is read whole; null counts as empty.
 Spans are code points, end exclusive.  Repeated rows are searched each; other columns are
 left out (``redact`` keeps the ones it is told to carry).
 """
@@ -295,9 +295,9 @@ def added_spans(texts: dict[int, str], bases: dict[int, list[Span]], field: Fiel
 
 def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> dict:
     """The field's weights, from at most ``sample`` documents with a digit or ``@``."""
-    signal = docs.select(key, "text").filter(F.col("text").rlike("[0-9@]"))
-    rank = F.crc32(F.concat(F.lit("field"), F.col(key).cast("string")))
-    ids = signal.select(key, rank.alias("rank")).orderBy("rank", key).limit(sample)
+    rank = F.xxhash64(F.lit("field"), F.coalesce(F.col(key).cast("string"), F.lit("")), "text")
+    signal = docs.filter(F.col("text").rlike("[0-9@]")).select("text", rank.alias("rank"))
+    ranks = signal.select("rank").distinct().orderBy("rank").limit(sample)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, n = Field(), 0
@@ -321,7 +321,8 @@ def fit(docs: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> dict:
         yield pa.record_batch({"feature": pa.array(counts["feature"], pa.string()), "a": pa.array(counts["a"], pa.int32()),
                                "b": pa.array(counts["b"], pa.int32()), "kind": pa.array(counts["kind"], pa.int32())})
 
-    chosen = signal.join(F.broadcast(ids.select(key)), key).select("text")
+    # Equal rows meet by their rank, from the map side on.
+    chosen = signal.join(F.broadcast(ranks), "rank").groupBy("rank").agg(F.min("text").alias("text")).select("text")
     # Sets of features and label pairs are few, whatever the sample.
     table = chosen.mapInArrow(gather, "feature string, a int, b int, kind int").groupBy("feature", "a", "b", "kind").agg(
         F.count("*").alias("n")).collect()

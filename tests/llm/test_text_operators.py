@@ -113,6 +113,15 @@ def test_redaction(spark, odd_docs):
     assert rows == {1: "to [EMAIL] and [IP]!", 2: None}
 
 
+def test_sample_of_skewed_keys(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_from_counts", lambda table: sum(r["n"] for r in table if r["kind"] == 0))
+    few = [(i, f"number {i}") for i in range(10)]
+    for key in (None, 5):
+        rows = few + [(key, f"row {i} of a hot key") for i in range(100)] + [(key, "row 0 of a hot key")] * 50
+        assert pii.fit(spark.createDataFrame(rows, "doc_id INT, text STRING"), sample=20) == 20
+    assert pii.fit(spark.createDataFrame(few * 3, "doc_id INT, text STRING"), sample=20) == 10
+
+
 def test_pii_of_no_rows(no_docs):
     assert pii.find(no_docs, pii.fit(no_docs)).count() == 0
 
