@@ -462,8 +462,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", least: float = SIMILARITY) -> Da
         F.col("key").alias("k"), F.col("mark").alias("m"),
         ((F.col("key") != F.col("first.key")) | (F.col("mark") != F.col("first.mark"))).alias("drop"), "rows")
     counted = written(counted.filter("drop OR rows > 1"), "dropped")
-    marked = docs.join(counted, (F.col(key) == F.col("k")) & (F.md5("text") == F.col("m")), "left")
-    stays = marked.filter(F.col("k").isNull())
-    several = marked.filter(F.col("k").isNotNull() & ~F.col("drop")).dropDuplicates([key, "m"])
-    stays = stays.unionByName(several) if not counted.filter("NOT drop").isEmpty() else stays
-    return stays.drop("k", "m", "drop", "rows")
+    # Rows travel as one column: theirs may bear any name.
+    marked = docs.select(F.col(key).alias("key"), F.md5("text").alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marked = marked.join(counted, (F.col("key") == F.col("k")) & (F.col("mark") == F.col("m")), "left")
+    stays = marked.filter(F.col("k").isNull()).select("row")
+    if not counted.filter("NOT drop").isEmpty():
+        several = marked.filter(F.col("k").isNotNull() & ~F.col("drop")).dropDuplicates(["k", "m"])
+        stays = stays.unionByName(several.select("row"))
+    return stays.select("row.*")

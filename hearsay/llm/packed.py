@@ -8,29 +8,26 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C1D  # odd, 5 modulo 8
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Polynomials modulo two primes: modulo a power of two some texts would collide whatever the base.
+_PRIMES = (2147483647, 2147483629)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[tuple[int, int, int], np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse, modulo 2^64."""
-    size = max(CHUNK_BYTES, 1 << (n - 1).bit_length()) + 1
-    if size not in _powers:
-        tables = []
-        for base in (_BASE, _INVERSE):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            tables.append(np.multiply.accumulate(table))
-        if size > CHUNK_BYTES + 1:  # for one very long text: not kept
-            return tables[0], tables[1]
-        _powers[size] = (tables[0], tables[1])
-    return _powers[size]
+def _power_table(base: int, prime: int, n: int) -> np.ndarray:
+    """Powers 0 to n of ``base``, and some more, modulo ``prime``."""
+    size = max(CHUNK_BYTES, 1 << (n - 1).bit_length())
+    if (base, prime, size) not in _powers:
+        table = np.ones(1, dtype=np.uint64)
+        while len(table) <= size:
+            table = np.concatenate([table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)])
+        if size > CHUNK_BYTES:  # for one very long text: not kept
+            return table
+        _powers[base, prime, size] = table
+    return _powers[base, prime, size]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -63,15 +60,26 @@ def chunks(data: np.ndarray, limits: np.ndarray, size: int = CHUNK_BYTES) -> Ite
 
 
 class Hasher:
-    """64-bit hashes of any byte ranges of ``data``, from prefix sums of a polynomial."""
+    """62-bit hashes of any byte ranges of ``data``, scrambled; another ``seed`` gives other hashes.
 
-    def __init__(self, data: np.ndarray):
-        power, self._inverse = _power_table(max(1, len(data)))
-        self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * power[:len(data)], out=self._sums[1:])
+    Two ranges that differ collide with a chance of about their length over 2^62.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        draw = np.random.default_rng([20240229, seed])
+        self._parts = []
+        for prime in _PRIMES:
+            base, values = int(draw.integers(1 << 20, prime - 1)), draw.integers(1, prime, 256, dtype=np.uint64)
+            n, p = max(1, len(data)), np.uint64(prime)
+            sums = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(values[data] * _power_table(base, prime, n)[:len(data)] % p, out=sums[1:])
+            self._parts.append((p, sums, _power_table(pow(base, -1, prime), prime, n)))
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
+        (p, sums, inverse), (q, others, reverse) = self._parts
+        low = (sums[ends] - sums[starts]) % p * inverse[starts] % p
+        high = (others[ends] - others[starts]) % q * reverse[starts] % q
+        return mixed(low | (high << np.uint64(31)))
 
 
 def words(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +123,7 @@ def shingles(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarr
     begins = run_starts(owner)
     lengths = np.diff(np.append(begins, n))
     total = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         step = np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
         total[:n - k] += hashes[k:] * step if k else hashes * step
     place = np.arange(n) - np.repeat(begins, lengths)

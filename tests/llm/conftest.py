@@ -2,7 +2,8 @@ import pytest
 
 from hearsay.llm.tables import importable
 
-SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, key STRING, row INT, size STRING, score STRING, range INT"
+SCHEMA = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, key STRING, row INT, size STRING, score STRING, range INT, " \
+         "k STRING, m STRING, drop STRING, rows STRING"
 
 
 def _documents():
@@ -14,8 +15,8 @@ def _documents():
         "4111 1111 1111 1111 and 10.0.0.1 but 999.1.1.1", "ü" * 500, "ж аб вг " * 60, "a\x00b \x00", "😀 " * 80,
     ]
     langs = [None, "en", "en", "en", "en", "en", "en", "en", "en", "en", "en", "de", "de", "ru", "ru", None]
-    rows = [(i, t, langs[i], ["s1", "s2", None][i % 3], None, "x", i, "y", "z", 1) for i, t in enumerate(texts)]
-    return [*rows, rows[5], rows[5], (None, "text of a row without a key " * 10, "en", "s1", 1, "x", 1, "y", "z", 1)]
+    rows = [(i, t, langs[i], ["s1", "s2", None][i % 3], None, "x", i, "y", "z", 1, "k", "m", "d", "r") for i, t in enumerate(texts)]
+    return [*rows, rows[5], rows[5], (None, "text of a row without a key " * 10, "en", "s1", 1, "x", 1, "y", "z", 1, "k", "m", "d", "r")]
 
 
 @pytest.fixture(scope="session")
