@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import fingerprints, language, lm_scoring, mixing, near_dedup, packing, pii, quality, repeats, toxicity
+from hearsay.llm import fingerprints, language, line_dedup, lm_scoring, mixing, near_dedup, packing, pii, quality, repeats, toxicity
 from hearsay.llm.tables import documents, labels, remainder
 
 
@@ -57,6 +57,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    cleaned = line_dedup.clean(docs, line_dedup.build(docs))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeats": op2_repeats,
@@ -68,6 +74,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_language": op10_language,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -131,7 +138,20 @@ judged AS (SELECT *, NOT ({_limits(quality.BASE_RULES)}) AS base_failed FROM mea
 SELECT doc_id, n_words, word_chars, n_symbols, n_stop_words, n_lines, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {_limits(quality.RULES)} AS kept FROM judged"""
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+_LINES_SQL = f"""WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+keyed AS (SELECT *, translate(trim(line, {_BLANKS}), {_LOWER}) AS key FROM lines),
+frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.LEAST_DOCUMENTS}),
+marked AS (SELECT k.*, f.key IS NOT NULL AS drops FROM keyed k LEFT JOIN frequent f USING (key))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE drops) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT drops), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
 SQL = {
     "op3_mixing": _MIXING_SQL,
     "op9_quality": _QUALITY_SQL,
+    "op11_line_dedup": _LINES_SQL,
 }
