@@ -82,12 +82,12 @@ class Hasher:
         return mixed(low | (high << np.uint64(31)))
 
 
-def words(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text numbers of all words ``[^\\x20\\x09-\\x0D]+``."""
+def words(data: np.ndarray, limits: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text numbers of all words ``[^\\x20\\x09-\\x0D]+``, or of other bytes ``between`` words."""
     if not len(data):
         nothing = np.zeros(0, dtype=np.int64)
         return nothing, nothing, nothing
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import fingerprints, language, line_dedup, lm_scoring, mixing, near_dedup, packing, pii, quality, repeats, toxicity
+from hearsay.llm import fingerprints, language, line_dedup, lm_scoring, mixing, near_dedup, packing, phrases, pii, quality, repeats, toxicity
 from hearsay.llm.tables import documents, labels, remainder
 
 
@@ -63,6 +63,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeats": op2_repeats,
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_language": op10_language,
     "op11_line_dedup": op11_line_dedup,
+    "op12_phrases": op12_phrases,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -150,8 +155,36 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT drops), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+_PHRASES_SQL = rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+sizes AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+counts AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, w[i:i + m - 1] AS words, count(*)::HUGEINT AS f
+  FROM places, (SELECT unnest([1, 2, 3]) AS m) WHERE i + m - 1 <= len(w) GROUP BY ALL HAVING count(*) >= {phrases.LEAST_COUNT}),
+cuts AS (
+  SELECT lang, phrase, words, m, f, unnest(range(1, m)) AS k FROM counts WHERE m > 1),
+scores AS (
+  SELECT c.lang, c.phrase, c.words, c.m, c.f, k, a.f AS l, b.f AS r, (1000000 * c.f * c.f) // (a.f * b.f) AS score
+  FROM cuts c JOIN counts a ON a.lang = c.lang AND a.phrase = array_to_string(c.words[1:k], ' ')
+  JOIN counts b ON b.lang = c.lang AND b.phrase = array_to_string(c.words[k + 1:c.m], ' ')),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(words[1:2], ' ') AS phrase, f FROM counts WHERE m = 3 UNION ALL
+    SELECT lang, array_to_string(words[2:3], ' ') AS phrase, f FROM counts WHERE m = 3) GROUP BY lang, phrase),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase AND b.m = 2
+  WHERE o.f IS NULL OR 100 * o.f < {phrases.INSIDE_PERCENT} * b.f)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase,
+       f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept k JOIN sizes s ON s.lang = k.lang QUALIFY rank <= {phrases.TOP}"""
+
 SQL = {
     "op3_mixing": _MIXING_SQL,
     "op9_quality": _QUALITY_SQL,
     "op11_line_dedup": _LINES_SQL,
+    "op12_phrases": _PHRASES_SQL,
 }
