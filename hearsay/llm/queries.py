@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearsay.llm import fingerprints, language, line_dedup, lm_scoring, mixing, near_dedup, packing, phrases, pii, quality, repeats, toxicity
+from hearsay.llm import fingerprints, language, line_dedup, lm_scoring, mixing, near_dedup, packing, phrases, pii, quality, repeats, spelling, toxicity
 from hearsay.llm.tables import documents, labels, remainder
 
 
@@ -67,6 +67,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir, "text", "lang"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_repeats": op2_repeats,
@@ -80,6 +84,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_line_dedup": op11_line_dedup,
     "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -182,9 +187,48 @@ SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, f DES
        f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM kept k JOIN sizes s ON s.lang = k.lang QUALIFY rank <= {phrases.TOP}"""
 
+# CRC-32 byte by byte, with its table of 256 entries; letters beyond ASCII have two bytes.
+_SPELLING_SQL = rf"""WITH RECURSIVE bits AS (
+  SELECT b, b::BIGINT AS c, 0 AS k FROM (SELECT unnest(range(256)) AS b) UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS steps FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(concat(doc_id, ':', run), ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+    ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS h
+  FROM counted, crc),
+kept AS (
+  SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN concat(left(run, (h % length(run))::INT), substr(run, (h % length(run))::INT + 2))
+         ELSE run END AS word, n FROM hashed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word
+  HAVING sum(n) >= {spelling.LEAST_COUNT}),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+shorter AS (SELECT word, n, i, concat(left(word, i::INT - 1), substr(word, i::INT + 1)) AS rest FROM places),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION
+  SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON b.word = a.rest UNION
+  SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON b.word = a.rest),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+linked AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 2 * w.n THEN other END AS form,
+         CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+ways AS (
+  SELECT word, word AS root, 0 AS k FROM linked UNION ALL
+  SELECT w.word, l.form, k + 1 FROM ways w JOIN linked l ON l.word = w.root WHERE l.form IS NOT NULL),
+roots AS (SELECT word, root FROM ways QUALIFY row_number() OVER (PARTITION BY word ORDER BY k DESC) = 1)
+SELECT l.word, form, root, n, n_near, form_n FROM linked l JOIN roots r ON r.word = l.word"""
+
 SQL = {
     "op3_mixing": _MIXING_SQL,
     "op9_quality": _QUALITY_SQL,
     "op11_line_dedup": _LINES_SQL,
     "op12_phrases": _PHRASES_SQL,
+    "op13_spelling": _SPELLING_SQL,
 }
