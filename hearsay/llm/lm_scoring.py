@@ -42,7 +42,8 @@ LEAST_COUNT = 10
 LEAST_GAIN = 1.0  # log-likelihood per next byte seen
 MOST_STATES = 40_000
 SHARES = (0.0, 0.05, 0.2, 0.5, 0.8)  # of the tree in a word's probability; the rest is the word's count
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+TASK_BLOCKS = 2  # scored by one task, whatever their deflated size
 BLANK, END = 32, 10
 
 
@@ -342,7 +343,10 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     ends = docs.agg(F.count_if(~F.col("held_out"))).first()[0]
     known, kinds = sizes.first()
     tokens, vocabulary = int(known or 0) + int(ends), int(kinds or 0) + (1 if ends else 0)
-    lists = answers.groupBy("block").agg(F.collect_list("word").alias("words"), F.collect_list("c").alias("counts"))
+    # Dealt into a stated number of partitions, which are not merged by their deflated size.
+    parts = table.count() // TASK_BLOCKS + 1
+    lists = answers.select("block", "word", "c").repartition(parts, "block").groupBy("block").agg(
+        F.collect_list("word").alias("words"), F.collect_list("c").alias("counts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -374,6 +378,6 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
                     pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(base), pa.array(value)],
                     names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    joined = table.join(lists, "block", "left").select("keys", "held_out", "body", "limits", "words", "counts")
+    joined = table.repartition(parts, "block").join(lists, "block", "left").select("keys", "held_out", "body", "limits", "words", "counts")
     return joined.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                                   "base_score double, score double")
