@@ -23,7 +23,7 @@ from hearsay import fixtures as fx  # noqa: E402
 from hearsay import jobs  # noqa: E402
 from hearsay.operators import clean, lookup, sentiment  # noqa: E402
 from hearsay.operators.spool import fresh_path, spool  # noqa: E402
-from hearsay.plans import forecast, interaction, learning, opinion, report, volume, words  # noqa: E402
+from hearsay.plans import forecast, han, interaction, learning, opinion, report, volume, words  # noqa: E402
 from hearsay.sources import json_lines, results, tables  # noqa: E402
 
 try:  # the training-data operators are an optional part
@@ -301,6 +301,28 @@ def han_frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.frequent_words(fx.han_texts(spark, sf_dir), _han_lexicon(spark, sf_dir), n=50)
 
 
+def _han_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spool(han.discover(fx.han_corpus(spark, sf_dir).withColumnRenamed("review", "content")), "han-words")
+
+
+def han_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _han_words(spark, sf_dir)
+
+
+def han_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = han.segmented(fx.han_texts(spark, sf_dir), _han_words(spark, sf_dir))
+    return cut.select("comment_id", F.array_join("words", " ").alias("words"))
+
+
+def han_word_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentiment by a lexicon of found words: corpus and comments are cut along the same paths."""
+    cut = spool(han.segmented(fx.han_texts(spark, sf_dir), _han_words(spark, sf_dir)).withColumnRenamed("words", "content"), "cut")
+    labels = fx.han_corpus(spark, sf_dir).select(F.col("doc_id").alias("comment_id"), "label")
+    lexicon = sentiment.build_lexicon(cut.join(labels, "comment_id").withColumnRenamed("content", "review"), keep_common=True,
+                                      tokenizer=han.segmented_words)
+    return sentiment.label_sentiment(cut, spool(lexicon, "lexicon"), tokenizer=han.segmented_words)
+
+
 # --- the other side of the bounded lookup ------------------------------------
 
 SMALL_BOUND = lookup.Bound(rows=100)
@@ -460,6 +482,9 @@ def queries() -> dict[str, Query]:
         "han_tokens": han_tokens,
         "han_sentiment_labels": han_sentiment_labels,
         "han_frequent_words": han_frequent_words,
+        "han_words": han_words,
+        "han_segments": han_segments,
+        "han_word_sentiment": han_word_sentiment,
         "sentiment_labels_small_bound": sentiment_labels_small_bound,
         "nb_predictions_small_bound": nb_predictions_small_bound,
         "clean_from_csv": clean_from_csv,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from hearsay.fixtures import ALIASES, BUCKETS, HAN, LATIN, NEGATIONS, STOP_WORDS
 from hearsay.functions.text import KNOWN_WORDS
+from hearsay.plans import han
 from hearsay.vocabulary import NEGATIONS as FULL_NEGATIONS
 from hearsay.vocabulary import STOP_WORDS as FULL_STOP_WORDS
 
@@ -348,6 +349,70 @@ SELECT TIMESTAMP '1970-01-01' + to_hours(CAST(x AS INT)) AS hour_start,
        CAST(trunc(predicted) AS BIGINT) AS predicted_interaction FROM {_ahead(24)}""",
 }
 
+# --- words found in Chinese texts, and the best path through them ---------------
+
+_IN_HAN = lambda text: f"translate(lower({text}), '{LATIN}', '{HAN}')"
+_FOUND = f"""{CORPUS},
+runs AS (
+  SELECT run, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_IN_HAN('review')}, '\\p{{Han}}+')) AS run FROM corpus) GROUP BY run),
+placed AS (SELECT run, n, unnest(range(1, length(run) + 1)) AS i FROM runs),
+grams AS MATERIALIZED (
+  SELECT substr(run, i::INT, k::INT) AS gram, sum(n)::BIGINT AS f
+  FROM placed, (SELECT unnest(range(1, {han.LONGEST} + 2)) AS k) WHERE i + k - 1 <= length(run) GROUP BY gram),
+size AS (SELECT sum(f)::BIGINT AS total FROM grams WHERE length(gram) = 1),
+candidates AS (SELECT * FROM grams WHERE f >= {han.LEAST} AND length(gram) BETWEEN 2 AND {han.LONGEST}),
+cuts AS (
+  SELECT gram, f, left(gram, k::INT) AS head, substr(gram, k::INT + 1) AS tail
+  FROM (SELECT gram, f, unnest(range(1, length(gram))) AS k FROM candidates)),
+held AS (
+  SELECT c.gram, min(ln(c.f) + ln(total) - ln(h.f) - ln(t.f)) AS cohesion
+  FROM cuts c JOIN grams h ON h.gram = head JOIN grams t ON t.gram = tail, size GROUP BY c.gram),
+""" + ",\n".join(f"""{side}s AS (
+  SELECT gram, sum(f) AS seen, sum(f * ln(f)) AS logs FROM (SELECT {known} AS gram, f FROM grams WHERE length(gram) > 1) GROUP BY gram),
+{side} AS (
+  SELECT g.gram, ln(f) - (coalesce(logs, 0) + CASE WHEN f > coalesce(seen, 0)
+    THEN (f - coalesce(seen, 0)) * ln(f - coalesce(seen, 0)) ELSE 0 END) / f AS freedom
+  FROM grams g LEFT JOIN {side}s s ON s.gram = g.gram)""" for side, known in (
+    ("rightward", "left(gram, length(gram) - 1)"), ("leftward", "substr(gram, 2)"))) + f""",
+found AS MATERIALIZED (
+  SELECT c.gram AS word, c.f AS count, round(cohesion, 6) AS cohesion, round(l.freedom, 6) AS left_freedom,
+         round(r.freedom, 6) AS right_freedom
+  FROM candidates c JOIN held h ON h.gram = c.gram JOIN leftward l ON l.gram = c.gram JOIN rightward r ON r.gram = c.gram
+  WHERE cohesion >= {han.COHESION} AND l.freedom >= {han.FREEDOM} AND r.freedom >= {han.FREEDOM}
+  UNION ALL SELECT gram, f, NULL, NULL, NULL FROM grams WHERE length(gram) = 1)"""
+
+_CUT = f"""{_FOUND},
+costs AS (SELECT word, round(1000 * ln(total / count))::BIGINT AS cost FROM found, size),
+pieces AS MATERIALIZED (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS place
+  FROM (SELECT doc_id, regexp_extract_all({_IN_HAN('text')}, '\\p{{Han}}+|[^\\P{{L}}\\p{{Han}}]+') AS p FROM documents)),
+all_runs AS (SELECT DISTINCT piece AS run FROM pieces WHERE regexp_full_match(piece, '\\p{{Han}}+')),
+ends AS (SELECT run, unnest(range(1, length(run) + 1)) AS e FROM all_runs),
+ways AS MATERIALIZED (
+  SELECT run, e, coalesce(w1.cost, round(1000 * ln(2 * total))::BIGINT) AS c1, w2.cost AS c2, w3.cost AS c3, w4.cost AS c4
+  FROM ends, size LEFT JOIN costs w1 ON w1.word = substr(run, e::INT, 1)
+  LEFT JOIN costs w2 ON e >= 2 AND w2.word = substr(run, e::INT - 1, 2)
+  LEFT JOIN costs w3 ON e >= 3 AND w3.word = substr(run, e::INT - 2, 3)
+  LEFT JOIN costs w4 ON e >= 4 AND w4.word = substr(run, e::INT - 3, 4)),
+path AS (
+  SELECT run, 0::BIGINT AS e, 0::BIGINT AS b1, NULL::BIGINT AS b2, NULL::BIGINT AS b3, NULL::BIGINT AS b4, []::INT[] AS backs FROM all_runs
+  UNION ALL
+  SELECT p.run, w.e, least(b1 + c1, b2 + c2, b3 + c3, b4 + c4), b1, b2, b3,
+         list_append(backs, CASE least(b1 + c1, b2 + c2, b3 + c3, b4 + c4) WHEN b1 + c1 THEN 1 WHEN b2 + c2 THEN 2 WHEN b3 + c3 THEN 3 ELSE 4 END)
+  FROM path p JOIN ways w ON w.run = p.run AND w.e = p.e + 1),
+walk AS (
+  SELECT run, e, backs, []::VARCHAR[] AS words FROM path WHERE e = length(run)
+  UNION ALL
+  SELECT run, e - backs[e], backs, list_prepend(substr(run, (e - backs[e] + 1)::INT, backs[e]::INT), words) FROM walk WHERE e > 0),
+cut AS (SELECT run, words FROM walk WHERE e = 0),
+docs AS MATERIALIZED (
+  SELECT d.doc_id, coalesce(flatten(list(coalesce(c.words, [piece]) ORDER BY place) FILTER (WHERE piece IS NOT NULL)), []) AS words
+  FROM documents d LEFT JOIN pieces p ON p.doc_id = d.doc_id LEFT JOIN cut c ON c.run = p.piece GROUP BY d.doc_id)"""
+
+SQL["han_words"] = f"WITH {_FOUND} SELECT * FROM found"
+SQL["han_segments"] = f"WITH RECURSIVE {_CUT} SELECT doc_id AS comment_id, array_to_string(words, ' ') AS words FROM docs"
+SQL["han_word_sentiment"] = SQL["han_sentiment_labels"].replace(f"WITH {_HAN_LEXICON}", f"WITH RECURSIVE {_HAN_LEXICON.replace(_HAN_DOCS, _CUT)}")
+
 SQL["sentiment_labels_small_bound"] = SQL["sentiment_labels"]
 SQL["nb_predictions_small_bound"] = SQL["nb_predictions"]
 SQL["corpus_from_csv"] = SQL["lexicon"]
