@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from hearsay.operators.clean import to_analysis
 from hearsay.schemas import CORPUS_SCHEMA, REPLY_SCHEMA, TOP_LEVEL_SCHEMA
+from hearsay.sources import records
 
 # Quotes inside quoted values are doubled, the usual CSV dialect.
 _CSV = {"header": "true", "quote": '"', "escape": '"'}
@@ -23,9 +24,9 @@ def read_csv(
     """CSV with a header; every file of a folder needs the same header, another one is an error.
 
     Columns the files lack are left out, columns outside ``schema`` are read as text.
-    ``multi_line`` accepts line breaks inside quoted values, but then a file is the
-    unit of parallelism: use many files, or switch it off for files without such breaks;
-    a line with an unclosed quote is an error then.
+    ``multi_line`` accepts line breaks inside quoted values.  Files that one task would take long to
+    read are then read by many, see ``sources.records``.  Without it files are read line by line, and a
+    line with an unclosed quote is an error.
     """
     reader = spark.read.options(**_CSV).option("multiLine", str(multi_line).lower())
     if not multi_line:
@@ -37,6 +38,8 @@ def read_csv(
     names = reader.csv(path).columns
     known = {field.name: field for field in schema}
     found = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
+    if multi_line and records.has_large_file(spark, path):
+        return records.read_spread(spark, path, found, _CSV)
     # Spark matches by position; without enforcement it compares the header of every file.
     return reader.schema(found).option("enforceSchema", "false").csv(path)
 
