@@ -24,7 +24,7 @@ from hearsay import jobs  # noqa: E402
 from hearsay.operators import clean, lookup, sentiment  # noqa: E402
 from hearsay.operators.spool import fresh_path, spool  # noqa: E402
 from hearsay.plans import forecast, han, interaction, learning, opinion, report, volume, words  # noqa: E402
-from hearsay.sources import json_lines, results, tables  # noqa: E402
+from hearsay.sources import json_lines, records, results, tables  # noqa: E402
 
 try:  # the training-data operators are an optional part
     import corpus_pipeline
@@ -85,6 +85,37 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks and quotes inside values, and a value whose quote is never closed, read by splits."""
+    path = fresh_path(spark, "csv")
+    top_level, _ = fx.raw_levels(spark, sf_dir)
+    rows = top_level.select("comment_id", "content", F.col("liked_count").alias("likes"))
+    tables.write_csv(rows, path)
+    nation = fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    head = F.when(F.col("n_nationkey") == 0, F.concat(F.lit(f'{",".join(rows.columns)}\n-1,"open ""said"" '), "n_name"))
+    nation.select("n_nationkey", F.coalesce(head, "n_name").alias("value")).repartition(1).sortWithinPartitions(
+        "n_nationkey").select("value").write.mode("append").text(path)
+    return records.read_spread(spark, path, rows.schema, tables.CSV_OPTIONS)
+
+
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which the first is broken, arrays on a line, and arrays and objects over many lines."""
+    path = fresh_path(spark, "json")
+    rows = fx.figures(spark, sf_dir).select("comment_id", F.to_date("created_at").alias("date"), "ip_location", "likes")
+    rows = rows.withColumn("ip_location", F.concat(F.lit('{["\\'), "ip_location", F.lit('"}, {\t')))
+    one, listed = F.struct("*"), F.collect_list(F.struct(*rows.columns))
+    part = lambda k: rows.filter(F.pmod("comment_id", F.lit(4)) == k)
+    groups = lambda k: part(k).groupBy(F.floor(F.col("comment_id") / 50)).agg(listed.alias("rows"))
+    pretty = {"pretty": "true"}
+    broken = F.when(F.col("comment_id") % 400 == 0, '{"ip_location": "no end\n').otherwise("")
+    for at, lines in enumerate((
+        part(0).select(F.concat(broken, F.to_json(one)).alias("value")), groups(1).select(F.to_json("rows").alias("value")),
+        part(2).select(F.to_json(one, pretty).alias("value")), groups(3).select(F.to_json("rows", pretty).alias("value")),
+    )):
+        lines.write.text(f"{path}/kind={at}")
+    return json_lines.read_tolerant(spark, path, rows.schema)
+
+
 def json_tolerant_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "json")
     rows = fx.figures(spark, sf_dir).select(
@@ -433,7 +464,9 @@ def queries() -> dict[str, Query]:
         "table_profile": table_profile,
         "table_preview": table_preview,
         "csv_roundtrip": csv_roundtrip,
+        "csv_spread": csv_spread,
         "json_tolerant_read": json_tolerant_read,
+        "json_documents": json_documents,
         "posts_per_hour": _on_comments(volume.posts_per_hour),
         "posts_per_hour_local": posts_per_hour_local,
         "posts_per_day": _on_comments(volume.posts_per_day),

@@ -1,8 +1,8 @@
-"""JSON in and out: one object per line, or one document per file."""
+"""JSON in and out: one object per line, or documents over many lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,31 +39,70 @@ def _objects(value: Column, schema: T.StructType) -> Column:
     return F.filter(F.when(is_object, one).otherwise(several), lambda row: row.isNotNull())
 
 
+# Pairs that stand for an escaped backslash and an escaped quote, while quotes are looked for.
+_ESCAPES = (("\\\\", "\ufdd0"), ('\\"', "\ufdd1"))
+_PARTS = r'"[^"]*+"?|[{}\[\]]|[^"{}\[\]]++'
+
+
+def _elements(lines: DataFrame) -> DataFrame:
+    """``file, value``: the objects of documents over many lines, from ``lines(file, split, n, value)``.
+
+    Strings do not go over the end of a line, so brackets are found line by line.  Their depth is a running sum,
+    within a split and then over splits.  Objects begin at depth 0, or 1 if the file's first bracket is
+    square.  Only the lines of one object are put together.
+    """
+    escaped = F.col("value")
+    for pair, mark in _ESCAPES:
+        escaped = F.replace(escaped, F.lit(pair), F.lit(mark))
+    found = F.regexp_extract_all(escaped, F.lit(_PARTS), F.lit(0))
+    parts = lines.select("file", "split", "n", F.posexplode(found).alias("pos", "part"))
+    opens = F.col("part").isin("{", "[")
+    step = F.when(opens, 1).when(F.col("part").isin("}", "]"), -1).otherwise(0).cast("long")
+    running = Window.partitionBy("file", "split").orderBy("n", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("depth", F.sum(step).over(running) - step)
+    firsts = parts.filter(opens).groupBy("file").agg(F.min(F.struct("split", "n", "pos", "part")).alias("first"))
+    bases = firsts.select("file", F.when(F.col("first.part") == "[", 1).otherwise(0).alias("base"))
+    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = parts.groupBy("file", "split").agg(F.sum(step).alias("change"))
+    splits = splits.withColumn("above", F.coalesce(F.sum("change").over(ahead), F.lit(0))).drop("change")
+    placed = parts.join(splits.join(bases, "file"), ["file", "split"]).withColumn("depth", F.col("depth") + F.col("above"))
+    begins = (opens & (F.col("depth") == F.col("base"))).cast("long")
+    placed = placed.withColumn("own", F.sum(begins).over(running))
+    numbers = placed.groupBy("file", "split").agg(F.sum(begins).alias("many"))
+    numbers = numbers.withColumn("before", F.coalesce(F.sum("many").over(ahead), F.lit(0))).drop("many")
+    inside = placed.filter((F.col("depth") > F.col("base")) | (begins == 1)).join(numbers, ["file", "split"])
+    text = F.concat(F.when(F.col("pos") == 0, "\n").otherwise(""), "part").alias("part")
+    elements = inside.groupBy("file", (F.col("before") + F.col("own")).alias("element")).agg(
+        F.sort_array(F.collect_list(F.struct("split", "n", "pos", text))).alias("parts"))
+    value = F.array_join("parts.part", "")
+    for pair, mark in _ESCAPES:
+        value = F.replace(value, F.lit(mark), F.lit(pair))
+    whole = elements.select("file", value.alias("value"))
+    return whole.filter(F.ltrim("value", F.lit(_BLANKS)).startswith("{") & F.try_parse_json("value").isNotNull())
+
+
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All JSON objects below ``path``, whichever way each file holds them.
 
-    A file is one document (an object or array over many lines), or lines with an object
-    or array each, where lines that do not parse are skipped.  Lines are read by many tasks.  A
-    document over many lines begins with a line that is no value by itself: only such
-    files are put together, in one task each.  Raises :class:`NoJsonError` if nothing is found.
+    A file of which at least half of the lines are an object or array by themselves is read line by
+    line, and other lines are skipped.  Any other file holds objects, or arrays of objects, over many lines;
+    objects that do not parse are skipped.  Both are read by many tasks, and only the lines of one object
+    are ever put together.  Raises :class:`NoJsonError` if nothing is found.
     """
     value = F.col("value")
     begin = F.substring(F.ltrim(value, F.lit(_BLANKS)), 1, 1)
-    opens = begin.isin("{", "[")
     lines = spark.read.text(path).filter(begin != "").select(
-        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         # Lines of a split have rising numbers.
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"),
-        "value", (opens & F.try_parse_json(value).isNotNull()).alias("complete"), opens.alias("opens"),
+        F.monotonically_increasing_id().alias("n"),
+        "value", (begin.isin("{", "[") & F.try_parse_json(value).isNotNull()).alias("complete"),
     )
-    first = lines.groupBy("file").agg(F.min(F.struct("at", "complete", "opens")).alias("first"))
-    spread = first.filter("first.opens AND NOT first.complete").select("file")
-    together = lines.join(spread, "file").groupBy("file").agg(
-        F.sort_array(F.collect_list(F.struct("at", "value"))).alias("lines"))
-    documents = together.select("file", F.array_join(F.col("lines.value"), "\n").alias("value")).filter(
-        F.try_parse_json(value).isNotNull())
-    by_line = lines.filter("complete").join(documents.select("file"), "file", "anti")
-    rows = by_line.select("value").unionByName(documents.select("value")).select(F.inline(_objects(value, schema)))
+    by_line = F.count_if("complete") * 2 >= F.count("*")
+    kinds = lines.groupBy("file").agg(by_line.alias("by_line"))
+    alone = lines.filter("complete").join(kinds.filter("by_line").select("file"), "file", "semi")
+    spread = lines.join(kinds.filter("NOT by_line").select("file"), "file", "semi")
+    values = alone.select("value").unionByName(_elements(spread.select("file", "split", "n", "value")).select("value"))
+    rows = values.select(F.inline(_objects(value, schema)))
     if rows.isEmpty():
         raise NoJsonError(f"no JSON in {path}")
     return rows

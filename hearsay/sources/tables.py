@@ -11,7 +11,7 @@ from hearsay.schemas import CORPUS_SCHEMA, REPLY_SCHEMA, TOP_LEVEL_SCHEMA
 from hearsay.sources import records
 
 # Quotes inside quoted values are doubled, the usual CSV dialect.
-_CSV = {"header": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
 
 class UnclosedQuoteError(ValueError):
@@ -28,7 +28,7 @@ def read_csv(
     read are then read by many, see ``sources.records``.  Without it files are read line by line, and a
     line with an unclosed quote is an error.
     """
-    reader = spark.read.options(**_CSV).option("multiLine", str(multi_line).lower())
+    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower())
     if not multi_line:
         # An odd number of quotes: the value goes on in the next line.
         quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
@@ -39,7 +39,7 @@ def read_csv(
     known = {field.name: field for field in schema}
     found = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
     if multi_line and records.has_large_file(spark, path):
-        return records.read_spread(spark, path, found, _CSV)
+        return records.read_spread(spark, path, found, CSV_OPTIONS)
     # Spark matches by position; without enforcement it compares the header of every file.
     return reader.schema(found).option("enforceSchema", "false").csv(path)
 
@@ -59,7 +59,7 @@ def read_corpus_csv(spark: SparkSession, path: str, multi_line: bool = True) ->
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header and no index; empty text reads back as NULL, as always in CSV."""
     (
-        df.write.mode(mode).options(**_CSV)
+        df.write.mode(mode).options(**CSV_OPTIONS)
         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .csv(path)
     )
@@ -74,7 +74,7 @@ def write_stored(
         df = df.repartition(files)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.options(**_CSV)
+        writer = writer.options(**CSV_OPTIONS)
     writer.save(target)
     return target
 

@@ -240,6 +240,10 @@ FROM comments ORDER BY comment_id LIMIT 5""",
     "csv_roundtrip": f"""WITH {COMMENTS}
 SELECT comment_id, date_trunc('second', created_at) AS created_at, content, likes, comments, shares,
        ip_location, gender FROM comments WHERE level = 1""",
+    "csv_spread": f"""WITH {COMMENTS} SELECT comment_id, content, likes FROM comments WHERE level = 1 UNION ALL
+SELECT -1, 'open "said" ' || (SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) FROM nation), NULL""",
+    "json_documents": f"""WITH {COMMENTS}
+SELECT comment_id, CAST(created_at AS DATE) AS date, concat('{{["\\', ip_location, '"}}, {{', chr(9)) AS ip_location, likes FROM comments""",
     "json_tolerant_read": f"""WITH {COMMENTS}
 SELECT comment_id, CAST(created_at AS DATE) AS date, ip_location, likes FROM comments""",
     "posts_per_hour": f"""WITH {COMMENTS}

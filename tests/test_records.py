@@ -43,7 +43,7 @@ def _rows(df):
 
 
 def _own(spark, path):
-    rows = _rows(spark.read.options(**tables._CSV).option("multiLine", "true").schema(SCHEMA).csv(str(path)))
+    rows = _rows(spark.read.options(**tables.CSV_OPTIONS).option("multiLine", "true").schema(SCHEMA).csv(str(path)))
     # The end of the last line belongs to a value that is not closed there, and not here.
     return sorted(((i, body.removesuffix("\n") if i == 7 and n is None else body, n) for i, body, n in rows), key=repr)
 
@@ -53,7 +53,7 @@ def test_rows_equal_the_multi_line_reader(spark, splits, tmp_path, seed):
     for k in range(3):
         _file(tmp_path / f"{k}.csv", 10 * seed + k, rows=[60, 1, 0][k], tail=["", "7,\"no end\n8,of it,3\n", ""][k])
     assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
-    assert _rows(records.read_spread(spark, str(tmp_path), SCHEMA, tables._CSV)) == _own(spark, tmp_path)
+    assert _rows(records.read_spread(spark, str(tmp_path), SCHEMA, tables.CSV_OPTIONS)) == _own(spark, tmp_path)
 
 
 def test_values_over_several_splits(spark, splits, tmp_path):
@@ -62,18 +62,18 @@ def test_values_over_several_splits(spark, splits, tmp_path):
     monkey = records.MOST_SPLITS
     records.MOST_SPLITS = 100
     try:
-        assert _rows(records.read_spread(spark, str(tmp_path), SCHEMA, tables._CSV)) == _own(spark, tmp_path)
+        assert _rows(records.read_spread(spark, str(tmp_path), SCHEMA, tables.CSV_OPTIONS)) == _own(spark, tmp_path)
     finally:
         records.MOST_SPLITS = monkey
     with pytest.raises(PySparkException, match="not closed"):
-        records.read_spread(spark, str(tmp_path), SCHEMA, tables._CSV).collect()
+        records.read_spread(spark, str(tmp_path), SCHEMA, tables.CSV_OPTIONS).collect()
 
 
 def test_another_header_is_an_error(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,body,n\n1,a,2\n")
     (tmp_path / "b.csv").write_text("id,n,body\n1,2,a\n")
     with pytest.raises(PySparkException, match="another header"):
-        records.read_spread(spark, str(tmp_path), SCHEMA, tables._CSV).collect()
+        records.read_spread(spark, str(tmp_path), SCHEMA, tables.CSV_OPTIONS).collect()
 
 
 def test_large_files_are_read_by_many_tasks(spark, splits, tmp_path):
