@@ -393,9 +393,10 @@ def _stored_rows(spark: SparkSession, datasets: dict[str, DataFrame], folder: st
 
 def results_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     analyses = report.explore(
-        fx.full_comments(spark, sf_dir),
+        fx.comments(spark, sf_dir),
         sentiment.build_lexicon(fx.corpus(spark, sf_dir), keep_common=True),
         fx.STOP_WORDS, fx.NEGATIONS, fx.ALIASES,
+        texts=fx.texts(spark, sf_dir).withColumnRenamed("comment_id", "doc_id"),
     )
     return _stored_rows(spark, analyses, "results")
 

@@ -33,15 +33,19 @@ def nth_least(place: Column) -> RankRule:
     return lambda total: [(place, F.lit(1.0))]
 
 
-def _found(df: DataFrame, columns: Sequence[str], rule: RankRule) -> DataFrame:
-    """``metric, number, weight`` at the ranks given by ``rule``."""
+def counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``metric, number, n``: how often each value of the columns occurs, NULL aside."""
     typed = df.select(*[F.col(c).cast("bigint").alias(c) for c in columns])
-    counts = (
+    return (
         typed.unpivot([], list(columns), "metric", "number")
         .filter(F.col("number").isNotNull())
         .groupBy("metric", "number")
         .agg(F.count("*").alias("n"))
     )
+
+
+def found(counts: DataFrame, rule: RankRule) -> DataFrame:
+    """``metric, number, weight`` at the ranks given by ``rule``, from ``counted`` values."""
     wanted = [
         F.struct(F.lit(i).alias("which"), rank.cast("bigint").alias("rank"), weight.alias("weight"))
         for i, (rank, weight) in enumerate(rule(F.col("total")))
@@ -67,16 +71,25 @@ def _found(df: DataFrame, columns: Sequence[str], rule: RankRule) -> DataFrame:
     return targets.select("metric", F.col("within").alias("number"), "weight")
 
 
+def values_in(counts: DataFrame, rule: RankRule) -> DataFrame:
+    """``values_at`` from ``counted`` values."""
+    return found(counts, rule).groupBy("metric").agg(F.sum(F.col("number") * F.col("weight")).alias("value"))
+
+
 def values_at(df: DataFrame, columns: Sequence[str], rule: RankRule) -> DataFrame:
     """``metric, value``: weighted sum of the values at the ranks given by ``rule``.
 
     ``columns`` are whole numbers; NULLs do not count.  A column without values, or
     a rank outside of them, gives no row.
     """
-    return _found(df, columns, rule).groupBy("metric").agg(
-        F.sum(F.col("number") * F.col("weight")).alias("value"))
+    return values_in(counted(df, columns), rule)
+
+
+def value_in(counts: DataFrame, place: int) -> int | None:
+    """The value at one 0-based place of the ``counted`` values of one column; None outside."""
+    return found(counts, nth_least(F.lit(place))).agg(F.max("number")).first()[0]
 
 
 def value_at(df: DataFrame, column: str, place: int) -> int | None:
     """The value at one 0-based place of an integer column; None outside."""
-    return _found(df, [column], nth_least(F.lit(place))).agg(F.max("number")).first()[0]
+    return value_in(counted(df, [column]), place)

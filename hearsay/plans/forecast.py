@@ -116,7 +116,11 @@ def hourly_forecast(
     comments: DataFrame, horizon: int = HORIZON_HOURS, reg: float = REG, tz: str | None = None
 ) -> DataFrame:
     """``hour_start, predicted_interaction`` for the hours after the last one."""
-    history = hourly_interaction(comments, tz).withColumn("at", F.col("x"))
+    return hourly_forecast_of(hourly_interaction(comments, tz), horizon, reg)
+
+
+def hourly_forecast_of(hours: DataFrame, horizon: int = HORIZON_HOURS, reg: float = REG) -> DataFrame:
+    history = hours.withColumn("at", F.col("x"))
     ahead = _next(_fit(history, reg), horizon)
     return ahead.select(
         clock.hour_start(F.col("last_at") + F.col("step")).alias("hour_start"),

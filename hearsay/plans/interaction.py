@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hearsay.functions.rates import as_number, share_conversion, total_interaction
 from hearsay.operators import ranks
+from hearsay.operators.spool import spool
 from hearsay.schemas import COUNT_COLUMNS
 
 
@@ -20,12 +21,19 @@ def percentiles(
 
     ``exact=False`` estimates with a bounded sketch in a single pass.
     """
-    name = f"p{p * 100:g}".replace(".", "_")
     if exact:
-        values = ranks.values_at(comments, columns, ranks.interpolated(p))
-    else:
-        marks = comments.agg(*[F.percentile_approx(c, p, 10_000).alias(c) for c in columns])
-        values = marks.unpivot([], list(columns), "metric", "value")
+        return percentiles_of(ranks.counted(comments, columns), p)
+    marks = comments.agg(*[F.percentile_approx(c, p, 10_000).alias(c) for c in columns])
+    return _named(marks.unpivot([], list(columns), "metric", "value"), p)
+
+
+def percentiles_of(counts: DataFrame, p: float = 0.99) -> DataFrame:
+    """Exact ``percentiles`` from the values as ``ranks.counted`` gives them."""
+    return _named(ranks.values_in(counts, ranks.interpolated(p)), p)
+
+
+def _named(values: DataFrame, p: float) -> DataFrame:
+    name = f"p{p * 100:g}".replace(".", "_")
     return values.select("metric", F.round(F.col("value").cast("double"), 2).alias(name))
 
 
@@ -70,24 +78,36 @@ def _id_number(comments: DataFrame, key: str) -> Column:
     return F.col(key).cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(key)
 
 
-def is_high_conversion(comments: DataFrame, share: float = 0.1, key: str = "comment_id") -> Column:
+def counted_rates(comments: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """``metric, number, n`` of the conversion rate, as whole numbers, and of other ``columns``."""
+    return ranks.counted(comments.withColumn("rate", as_number(share_conversion())), ["rate", *columns])
+
+
+def is_high_conversion(
+    comments: DataFrame, share: float = 0.1, key: str = "comment_id", counts: DataFrame | None = None
+) -> Column:
     """Whether a comment is in the top ``share`` of ``comments`` by conversion rate.
 
     These are the first ``floor(share * n)`` comments, one at least, by falling rate and,
-    among equals, by id (for ids that are not whole numbers by their hash).  The last rate in,
-    and the last id in at that rate, are found from counts; no table is sorted.
+    among equals, by id (for ids that are not whole numbers by their hash).  The last rate in
+    is found from the counts of all rates (``counts``, from ``counted_rates``, if they are there
+    already), the last id in at that rate from the comments that have it; no table is sorted.
     """
-    rows = comments.select(as_number(share_conversion()).alias("rate"), _id_number(comments, key).alias("id"))
-    # Four single numbers are fetched one after the other: one plan with all of them
+    # Single numbers are fetched one after the other: one plan with all of them
     # nested takes longer to plan than to run.
-    total = rows.count()
+    rates = (spool(counted_rates(comments), "rates") if counts is None else counts).filter("metric = 'rate'")
+    total = rates.agg(F.sum("n")).first()[0]
     if not total:
         return F.lit(False)
     wanted = max(1, math.floor(share * total))
-    mark = ranks.value_at(rows, "rate", total - wanted)
-    above = rows.filter(F.col("rate") > mark).count()
-    last = ranks.value_at(rows.filter(F.col("rate") == mark), "id", wanted - above - 1)
+    mark = ranks.value_in(rates, total - wanted)
+    above, at_mark = rates.agg(F.sum(F.when(F.col("number") > mark, F.col("n")).otherwise(0)),
+                               F.sum(F.when(F.col("number") == mark, F.col("n")).otherwise(0))).first()
     rate = as_number(share_conversion())
+    if above + at_mark == wanted:
+        return rate >= mark
+    tied = comments.select(rate.alias("rate"), _id_number(comments, key).alias("id")).filter(F.col("rate") == mark)
+    last = ranks.value_at(tied, "id", wanted - above - 1)
     return (rate > mark) | ((rate == mark) & (_id_number(comments, key) <= last))
 
 

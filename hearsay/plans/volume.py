@@ -29,15 +29,22 @@ def posts_per_day(comments: DataFrame, tz: str | None = None) -> DataFrame:
 
 def event_peak(comments: DataFrame, tz: str | None = None) -> DataFrame:
     """``peak_date, peak_count``: the busiest day, the earliest of equal ones."""
+    return peak_of(_per_day(comments, tz))
+
+
+def peak_of(daily: DataFrame) -> DataFrame:
     return (
-        _per_day(comments, tz).orderBy(F.desc("count"), "date").limit(1)
+        daily.orderBy(F.desc("count"), "date").limit(1)
         .select(F.col("date").alias("peak_date"), F.col("count").alias("peak_count"))
     )
 
 
 def event_stages(comments: DataFrame, tz: str | None = None) -> DataFrame:
     """``date, count, stage``: onset before the peak day, climax on it, calm after it."""
-    daily = _per_day(comments, tz)
+    return stages_of(_per_day(comments, tz))
+
+
+def stages_of(daily: DataFrame) -> DataFrame:
     # One value; the subquery reads the same exchanged day counts again.
     peak = daily.agg(F.max_by("date", F.struct("count", -F.unix_date("date")))).scalar()
     stage = F.when(F.col("date") < peak, "onset").when(F.col("date") == peak, "climax").otherwise("calm")
@@ -53,21 +60,28 @@ def province_post_counts(
     comments: DataFrame, aliases: Mapping[str, str] = PROVINCE_ALIASES
 ) -> DataFrame:
     """``name, value``: comments per place under the names used on the map."""
-    named = comments.select("ip_location").replace(dict(aliases), subset=["ip_location"])
+    return provinces_of(comments.groupBy("ip_location").count(), aliases)
+
+
+def provinces_of(places: DataFrame, aliases: Mapping[str, str] = PROVINCE_ALIASES) -> DataFrame:
+    named = places.select("ip_location", "count").replace(dict(aliases), subset=["ip_location"])
     return (
-        named.groupBy(F.col("ip_location").alias("name")).agg(F.count("*").alias("value"))
+        named.groupBy(F.col("ip_location").alias("name")).agg(F.sum("count").alias("value"))
         .orderBy(F.desc("value"), "name")
     )
 
 
 def gender_ratio(comments: DataFrame) -> DataFrame:
     """``gender, count, share`` of all comments."""
-    counts = comments.groupBy("gender").count()
+    return shares_of(comments.groupBy("gender").count())
+
+
+def shares_of(counts: DataFrame) -> DataFrame:
     whole = counts.agg(F.sum("count")).scalar()
     return counts.select("gender", "count", F.round(F.col("count") / whole, 4).alias("share"))
 
 
 def posts_per_user_by_gender(comments: DataFrame) -> DataFrame:
-    """``gender, avg_posts``: comments per commenting user."""
-    posts = F.count("user_id") / F.countDistinct("user_id")
+    """``gender, avg_posts``: comments per commenting user, NULL where no user is known."""
+    posts = F.try_divide(F.count("user_id"), F.countDistinct("user_id"))
     return comments.groupBy("gender").agg(F.round(posts, 4).alias("avg_posts"))
