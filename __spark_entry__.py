@@ -29,7 +29,9 @@ from hearsay.sources import json_lines, records, results, tables  # noqa: E402
 try:  # the training-data operators are an optional part
     import corpus_pipeline
     from hearsay.llm import queries as llm_queries
-except ModuleNotFoundError:
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline" and not missing.name.startswith("hearsay.llm"):
+        raise
     corpus_pipeline = llm_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
