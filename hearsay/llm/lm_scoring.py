@@ -1,23 +1,18 @@
 """Language-model scores from a probabilistic suffix tree.
 
 A text is the bytes of its words, lower-cased (A-Z), with a blank behind every word and a
-line break at the end; texts are generated byte by byte.  The tree holds byte contexts of
-up to ``DEPTH`` bytes.  A context is retained if it is frequent and its next-byte
-distribution diverges enough from that of the context one byte shorter (log-likelihood gain
-per parameter), and with it all its suffixes.  Distributions are smoothed by blending every
-one with that of the next shorter state (Witten-Bell), down to a uniform one.  A byte is
-scored in the state of its longest retained context.
-
-Counts cover all training texts and are summed in Spark.  The tree keeps the
-``MOST_STATES`` contexts of greatest divergence, so what is broadcast has a fixed bound.
+line break at the end; texts are generated byte by byte, each in the state of its longest
+context in the tree (``suffix_tree``).  Counts cover all training texts, and all contexts that
+pass the tests are kept, however many.
 
 Bytes alone do not remember whole words, so a word's probability is a blend of the tree's
 and of its own add-one count, in one of several proportions, and a text's is the even
 mixture over these: a score can fall behind the base score by log10 of their number at most.
 
-The base score needs every word's count in the training texts, whose number has no bound:
-each block of texts asks once for each of its distinct words, counts are summed by
-word, and the answers go back to the blocks.  A word so has one row per block at most.
+Neither the tree nor the words of the training texts have a bound, so they do not go to the
+texts.  Each block of texts asks once for each of its distinct words and strings of bytes; words'
+counts are summed by word, strings are answered by slices of the tree, and the answers go
+back to the blocks.  A word so has one row per block at most, a slice one per block.
 
 Null texts count as empty: no words, one end.  Repeated rows count as often as they occur and
 are scored each.  Other columns are left out.
@@ -34,233 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearsay.llm.packed import LOWER, Hasher, chunks, flat, run_starts, words
+from hearsay.llm import suffix_tree
+from hearsay.llm.packed import LOWER, Hasher, chunks, flat, words
+from hearsay.llm.suffix_tree import distinct_grams, grams, normalised
 from hearsay.llm.tables import as_text, written
 
-DEPTH = 5
-LEAST_COUNT = 10
-LEAST_GAIN = 1.0  # log-likelihood per next byte seen
-MOST_STATES = 40_000
 SHARES = (0.0, 0.05, 0.2, 0.5, 0.8)  # of the tree in a word's probability; the rest is the word's count
 BLOCK_BYTES = 2 << 20
 TASK_BLOCKS = 2  # scored by one task, whatever their deflated size
-BLANK, END = 32, 10
-
-
-# --- texts as byte sequences -------------------------------------------------------------
-
-
-def normalised(data: np.ndarray, limits: np.ndarray):
-    """Bytes with a blank behind every word and an end behind every text; texts' limits, words' limits."""
-    n = len(limits) - 1
-    starts, ends, owner = words(data, limits)
-    lengths = ends - starts
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, weights=lengths + 1, minlength=n).astype(np.int64) + 1)))
-    out = np.full(cuts[-1], BLANK, dtype=np.uint8)
-    stops = np.cumsum(lengths + 1) + owner
-    begins = stops - lengths - 1
-    step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(begins, lengths) + step] = LOWER[data[np.repeat(starts, lengths) + step]]
-    out[out == 0] = 1  # a context's number must tell its length
-    out[cuts[1:] - 1] = END
-    return out, cuts, (begins, stops)
-
-
-def grams(text: np.ndarray, cuts: np.ndarray, size: int) -> np.ndarray:
-    """Every byte with the ``size - 1`` bytes before it in one number; an end stands before a text."""
-    n = len(cuts) - 1
-    place = np.arange(len(text)) + size * np.repeat(np.arange(1, n + 1), np.diff(cuts))
-    padded = np.zeros(len(text) + size * n, dtype=np.uint64)
-    padded[cuts[:-1] + size * np.arange(1, n + 1) - 1] = END
-    padded[place] = text
-    out = padded[place]
-    for k in range(1, size):
-        out |= padded[place - k] << np.uint64(8 * k)
-    return out
-
-
-# --- the tree ----------------------------------------------------------------------------
-
-
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``gram, n`` over all texts of ``docs(text)``: a byte and ``depth`` bytes before it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            data, limits = flat(batch.column(0))
-            for _, _, part, ends in chunks(data, limits):
-                text, cuts, _ = normalised(part, ends)
-                held.append(np.unique(grams(text, cuts, depth + 1), return_counts=True))
-                size += len(held[-1][0])
-                if size > 3_000_000:
-                    held = [_summed(held)]
-                    size = len(held[0][0])
-                    if size > 2_000_000:
-                        yield _batch(*held.pop())
-                        size = 0
-        if held:
-            yield _batch(*_summed(held))
-
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _summed(held) -> tuple[np.ndarray, np.ndarray]:
-    values = np.concatenate([v for v, _ in held])
-    counts = np.concatenate([n for _, n in held])
-    order = np.argsort(values, kind="stable")
-    values, counts = values[order], counts[order]
-    first = run_starts(values)
-    return values[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _batch(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["gram", "n"])
-
-
-def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN,
-        most_states: int = MOST_STATES) -> dict:
-    """The retained contexts of the training texts ``docs(text)`` and their smoothed distributions."""
-    # One table per context length: (context, next byte, count), each summed from the longer one.
-    tables = {depth: written(gram_counts(docs, depth), "grams")}
-    for d in range(depth - 1, -1, -1):
-        keep = (1 << 8 * (d + 1)) - 1
-        tables[d] = written(tables[d + 1].groupBy(F.col("gram").bitwiseAND(F.lit(keep)).alias("gram")).agg(
-            F.sum("n").alias("n")), "grams")
-    candidates = None
-    for d in range(1, depth + 1):
-        # A context whose first byte is missing (0) reaches before the text: it has no place in the tree.
-        own = tables[d].filter(F.shiftright("gram", 8 * d) > 0)
-        shorter = tables[d - 1]
-        mass = shorter.groupBy(F.shiftright("gram", 8).alias("short")).agg(F.sum("n").alias("m"))
-        shorter = shorter.withColumn("short", F.shiftright("gram", 8)).join(mass, "short").select(
-            F.col("gram").alias("low"), (F.col("n") / F.col("m")).alias("q"))
-        total = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(
-            F.sum("n").alias("total"), F.count("*").alias("kinds")).filter(F.col("total") >= least_count)
-        paired = own.select(F.shiftright("gram", 8).alias("context"), "n", F.col("gram").bitwiseAND(
-            F.lit((1 << 8 * d) - 1)).alias("low")).join(total, "context").join(shorter, "low")
-        tested = paired.groupBy("context", "total", "kinds").agg(
-            F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
-        tested = tested.filter(F.col("gain") >= least_gain * F.col("kinds")).select("context", "gain", F.lit(d).alias("depth"))
-        tested = written(tested, "tested")
-        candidates = tested if candidates is None else candidates.unionByName(tested)
-    # At most ``most_states`` contexts, whatever the corpus, and all their suffixes.
-    best = written(candidates.orderBy(F.col("gain").desc(), "context").limit(most_states), "best")
-    found = []
-    for d in range(depth + 1):
-        suffix = F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1))
-        listed = best.filter(F.col("depth") >= d).select(suffix.alias("context")).distinct()
-        if d == 0:
-            listed = docs.sparkSession.range(1).select(F.col("id").alias("context"))
-        chosen = tables[d].withColumn("context", F.shiftright("gram", 8)).join(F.broadcast(listed), "context")
-        # States of a bounded tree, 256 next bytes each at most.
-        rows = chosen.select("context", F.col("gram").bitwiseAND(F.lit(255)).alias("next"), "n").toArrow()
-        found.append(tuple(rows.column(c).to_numpy() for c in ("context", "next", "n")))
-    return tree(found)
-
-
-def tree(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
-    """The states by length of context, with log10 probabilities of all next bytes.
-
-    ``counts`` has contexts, next bytes and numbers for every length from 0 on.
-    """
-    symbols = np.unique(counts[0][1])
-    code = np.zeros(256, dtype=np.int64)
-    code[symbols] = np.arange(1, len(symbols) + 1)  # 0: any byte that training lacks
-    width = len(symbols) + 1
-    rare = 256 - len(symbols)  # one number for all of them, so each gets its part of that
-    share = np.full((1, width), 1 / 256)
-    share[0, 0] = rare / 256
-    known = np.zeros(1, dtype=np.int64)
-    contexts, tables = [], []
-    for d, (context, following, n) in enumerate(counts):
-        own = np.unique(context) if d else np.zeros(1, np.int64)
-        seen = np.zeros((len(own), width))
-        np.add.at(seen, (np.searchsorted(own, context), code[following]), n)
-        shorter = own & ((1 << 8 * (d - 1)) - 1) if d else own
-        parent = share[np.searchsorted(known, shorter)]
-        total, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-        share = np.where(total > 0, (seen + kinds * parent) / np.maximum(total + kinds, 1), parent)
-        known = own
-        table = share.copy()
-        table[:, 0] /= max(rare, 1)
-        contexts.append(own.astype(np.uint64))
-        tables.append(np.log10(np.maximum(table, 1e-30)).astype(np.float32))
-    return {"depth": len(counts) - 1, "code": code.astype(np.int16), "width": width, "contexts": contexts,
-            "log10": np.concatenate(tables)}
-
-
-class Scorer:
-    """Looks up the state of the longest retained context of every byte, many texts at once."""
-
-    def __init__(self, model: dict):
-        self._model = model
-        n = sum(map(len, model["contexts"]))
-        self._bits = max(12, int(2 * n).bit_length() + 1)
-        self._keys = np.zeros(1 << self._bits, dtype=np.uint64)
-        self._states = np.zeros(1 << self._bits, dtype=np.int32)
-        self._probes = 1
-        state = 1
-        for contexts in model["contexts"][1:]:
-            waiting = np.arange(len(contexts))
-            at = self._slot(contexts)
-            tries = 0
-            while len(waiting):
-                tries += 1
-                free = self._keys[at[waiting]] == 0
-                # Of several for one slot the first gets it.
-                _, first = np.unique(at[waiting], return_index=True)
-                first = first[free[first]]
-                got = waiting[first]
-                self._keys[at[got]] = contexts[got]
-                self._states[at[got]] = state + got
-                waiting = np.delete(waiting, first)
-                at[waiting] = (at[waiting] + 1) & ((1 << self._bits) - 1)
-            self._probes = max(self._probes, tries)
-            state += len(contexts)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        at = self._slot(keys)
-        state = np.where(self._keys[at] == keys, self._states[at], 0)
-        open_ = np.flatnonzero((state == 0) & (self._keys[at] != 0))
-        for _ in range(self._probes):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) & ((1 << self._bits) - 1)
-            there = self._keys[at[open_]]
-            hit = there == keys[open_]
-            state[open_[hit]] = self._states[at[open_[hit]]]
-            open_ = open_[~hit & (there != 0)]
-        return state
-
-    def values(self, text: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte."""
-        model, depth = self._model, self._model["depth"]
-        found = grams(text, cuts, depth + 1)
-        before = found >> np.uint64(8)
-        state = np.zeros(len(text), dtype=np.int64)
-        left = np.arange(len(text))
-        for d in range(depth, 0, -1):
-            if not len(model["contexts"][d]):
-                continue
-            keys = before[left] & np.uint64((1 << 8 * d) - 1)
-            hit = self._find(keys)
-            hit[keys >> np.uint64(8 * (d - 1)) == 0] = 0  # the history is shorter
-            state[left] = hit
-            left = left[hit == 0]
-            if not len(left):
-                break
-        return self._model["log10"][state, model["code"][text]].astype(np.float64)
-
-    def tokens(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of every word, its blank included, and of every text's end."""
-        text, cuts, (begins, stops) = normalised(data, limits)
-        values = self.values(text, cuts)
-        sums = np.concatenate(([0.0], np.cumsum(values)))
-        return sums[stops] - sums[begins], values[cuts[1:] - 1]
 
 
 def blended(base: np.ndarray, tree: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -328,14 +104,65 @@ def _asked(table: DataFrame) -> DataFrame:
     return table.select("block", "held_out", "body", "limits").mapInArrow(run, "word bigint, block bigint, n bigint")
 
 
+def _asked_grams(table: DataFrame, tree: suffix_tree.Tree) -> DataFrame:
+    """``block, slice, body``: the distinct strings of every block, by the slice that answers them."""
+    depth, n_slices = tree.depth, tree.n_slices
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                data, limits = _texts(batch.column(1)[i].as_py(), batch.column(2)[i].values)
+                found, at = distinct_grams(_normalised(data, limits), depth, n_slices)
+                filled = np.flatnonzero(np.diff(at))
+                bodies = [suffix_tree.packed_grams(found[at[k]:at[k + 1]]) for k in filled]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), batch.column(0)[i].as_py())), pa.array(filled),
+                                                  pa.array(bodies, pa.binary())], names=["block", "slice", "body"])
+
+    return table.select("block", "body", "limits").mapInArrow(run, "block bigint, slice bigint, body binary")
+
+
+def _normalised(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for _, _, part, ends in chunks(data, limits):
+        yield normalised(part, ends)[:2]
+
+
+def _looked_up(asked: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values of ``wanted``, all of which are in ``asked``; sorted first, so that the search is local."""
+    order = np.argsort(wanted, kind="stable")
+    lined = wanted[order]
+    first = np.ones(len(lined), dtype=bool)
+    first[1:] = lined[1:] != lined[:-1]
+    out = np.empty(len(wanted))
+    out[order] = values[np.searchsorted(asked, lined[first])][np.cumsum(first) - 1]
+    return out
+
+
+def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, n_slices: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probability of every word, its blank included, and of every text's end.
+
+    ``values`` are the answers to the texts' ``distinct_grams``, in their order.
+    """
+    asked, _ = distinct_grams(_normalised(data, limits), depth, n_slices)
+    order = np.argsort(asked)
+    asked, values = asked[order], values[order].astype(np.float64)
+    of_words, of_ends = [], []
+    for _, _, part, cuts in chunks(data, limits):
+        text, stops_of_texts, (begins, stops) = normalised(part, cuts)
+        found = _looked_up(asked, values, grams(text, stops_of_texts, depth + 1))
+        sums = np.concatenate(([0.0], np.cumsum(found)))
+        of_words.append(sums[stops] - sums[begins])
+        of_ends.append(found[stops_of_texts[1:] - 1])
+    return np.concatenate(of_words), np.concatenate(of_ends)
+
+
 def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score`` of ``docs(key, text, held_out)``.
+    """``key, held_out, n_tokens, n_known, train_tokens, base_score, score, tree_score`` of ``docs(key, text, held_out)``.
 
-    The texts that are not held out are learned from.
+    The texts that are not held out are learned from.  ``tree_score`` is the tree's alone.
     """
     kind = dict(docs.dtypes)[key]
-    model = fit(docs.filter(~F.col("held_out")).select(as_text().alias("text")), **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    tree = suffix_tree.fit(docs.filter(~F.col("held_out")).select(as_text().alias("text")), **options)
+    depth, n_slices = tree.depth, tree.n_slices
     table = written(blocks(docs, key), "blocks")
     asked = _asked(table).withColumn("c", F.sum("n").over(Window.partitionBy("word")))
     answers = written(asked.filter("c > 0"), "answers")
@@ -347,9 +174,10 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     parts = table.count() // TASK_BLOCKS + 1
     lists = answers.select("block", "word", "c").repartition(parts, "block").groupBy("block").agg(
         F.collect_list("word").alias("words"), F.collect_list("c").alias("counts"))
+    priced = suffix_tree.answered(_asked_grams(table, tree), tree).repartition(parts, "block").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("slice", F.col("body").alias("value")))).alias("values"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         scale = np.log10(tokens + vocabulary + 1)
         end = np.log10(ends + 1) - scale
         for batch in batches:
@@ -368,16 +196,18 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
                 plain = np.log10(count + 1) - scale
                 base = np.bincount(owner, weights=plain, minlength=n) + end
                 known_words = np.bincount(owner, weights=count > 0, minlength=n).astype(np.int64) + (1 if ends else 0)
-                found = [scorer.tokens(part, cuts) for _, _, part, cuts in chunks(data, limits)]
-                tree_words, tree_ends = (np.concatenate(x) for x in zip(*found))
+                answered = b"".join(batch.column(6)[i].values.field(1).to_pylist())
+                tree_words, tree_ends = tree_scores(data, limits, depth, n_slices, np.frombuffer(answered, dtype=np.float32))
+                alone = np.bincount(owner, weights=tree_words, minlength=n) + tree_ends
                 value = blended(np.concatenate([plain, np.full(n, end)]), np.concatenate([tree_words, tree_ends]),
                                 np.concatenate([owner, np.arange(n)]), n)
                 keys = batch.column(0)[i].values
                 yield pa.RecordBatch.from_arrays([
                     keys, batch.column(1)[i].values, pa.array(np.bincount(owner, minlength=n) + 1, pa.int64()), pa.array(known_words),
-                    pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(base), pa.array(value)],
-                    names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                    pa.array(np.full(n, tokens, dtype=np.int64)), pa.array(base), pa.array(value), pa.array(alone)],
+                    names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score"])
 
-    joined = table.repartition(parts, "block").join(lists, "block", "left").select("keys", "held_out", "body", "limits", "words", "counts")
+    joined = table.repartition(parts, "block").join(lists, "block", "left").join(priced, "block", "left").select(
+        "keys", "held_out", "body", "limits", "words", "counts", "values")
     return joined.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
-                                  "base_score double, score double")
+                                  "base_score double, score double, tree_score double")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay.llm import lm_scoring, repeats
+from hearsay.llm import lm_scoring, repeats, suffix_tree
 from hearsay.llm.packed import Hasher, flat, shingles, words
 from hearsay.llm.suffix_sort import suffix_array
 import pyarrow as pa
@@ -127,34 +127,78 @@ def test_scores_are_log_probabilities(scored):
     assert max(same) - min(same) < 1e-9  # texts without words are one end
 
 
-def test_scores_match_a_walk_through_the_tree(odd_docs, odd_rows):
-    model = lm_scoring.fit(odd_docs.select(F.coalesce("text", F.lit("")).alias("text")), least_count=2, least_gain=0.1)
-    scorer = lm_scoring.Scorer(model)
-    known = [set(c.tolist()) for c in model["contexts"]]
-    offset = np.cumsum([0] + [len(c) for c in model["contexts"]])
-    rank = [{c: offset[d] + i for i, c in enumerate(table.tolist())} for d, table in enumerate(model["contexts"])]
-    for row in odd_rows[3:9]:
-        data, limits = flat(pa.array([row[1]], pa.string()))
-        text, cuts, _ = lm_scoring.normalised(data, limits)
-        history, total = [10], 0.0
-        for b in text.tolist():
-            state = 0
-            for d in range(min(model["depth"], len(history)), 0, -1):
-                context = sum(x << (8 * k) for k, x in enumerate(reversed(history[-d:])))
-                if context in known[d]:
-                    state = rank[d][context]
-                    break
-            total += float(model["log10"][state, model["code"][b]])
-            history.append(b)
-        tokens, end = scorer.tokens(data, limits)
-        assert tokens.sum() + end.sum() == pytest.approx(total, abs=1e-4)
-
-
-def test_distributions_sum_to_one(odd_docs):
-    model = lm_scoring.fit(odd_docs.select(F.coalesce("text", F.lit("")).alias("text")), least_count=2, least_gain=0.1)
-    share = 10.0 ** model["log10"].astype(float)
-    rare = 256 - (model["width"] - 1)
-    assert np.allclose(share[:, 1:].sum(1) + share[:, 0] * rare, 1, atol=1e-4)
+def _plain_tree(texts, depth, least_count, least_gain):
+    """Counts after every context, and the retained ones, by dictionaries."""
+    after = collections.defaultdict(collections.Counter)
+    for t in texts:
+        padded = b"\n" + t
+        for i in range(1, len(padded)):
+            for d in range(min(depth, i) + 1):
+                after[padded[i - d:i]][padded[i]] += 1
+    kept = {c for c in after if len(c) <= 1}
+    for c, following in after.items():
+        if len(c) < 2:
+            continue
+        total, shorter = sum(following.values()), after[c[1:]]
+        mass = sum(shorter.values())
+        gain = sum(n * math.log(n / total / (shorter[b] / mass)) for b, n in following.items())
+        if total >= least_count and gain >= least_gain * len(following):
+            kept.update(c[k:] for k in range(len(c) - 1))
+    return after, kept
+
+
+def _plain_probability(after, kept, context, b):
+    p = 1 / 256
+    for d in range(len(context) + 1):
+        c = context[len(context) - d:]
+        if c not in kept:
+            break
+        total, kinds = sum(after[c].values()), len(after[c])
+        p = (after[c][b] + kinds * p) / (total + kinds) if total else p
+    return p
+
+
+def _bytes_of(text):
+    return b"".join(w + b" " for w in (text or "").encode().lower().replace(b"\0", b"\1").split()) + b"\n"
+
+
+def test_tree_scores_match_a_plain_tree(spark):
+    rnd = random.Random(3)
+    texts = [None, "", "abab abab", *(" ".join(rnd.choice(["the", "then", "THERE", "an", "änd", "a"]) for _ in range(60)) for _ in range(12))]
+    docs = spark.createDataFrame([(i, t, i % 4 == 2) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, held_out BOOLEAN")
+    got = {r.doc_id: r.tree_score for r in lm_scoring.score(docs.repartition(3), least_count=2, least_gain=0.1).collect()}
+    after, kept = _plain_tree([_bytes_of(t) for i, t in enumerate(texts) if i % 4 != 2], suffix_tree.DEPTH, 2, 0.1)
+    assert max(map(len, kept)) == suffix_tree.DEPTH
+    for i, t in enumerate(texts):
+        padded = b"\n" + _bytes_of(t)
+        expected = sum(math.log10(_plain_probability(after, kept, padded[max(0, k - suffix_tree.DEPTH):k], padded[k]))
+                       for k in range(1, len(padded)))
+        assert got[i] == pytest.approx(expected, abs=1e-3)
+
+
+def test_distributions_sum_to_one(odd_rows):
+    data, limits = flat(pa.array([r[1] for r in odd_rows], pa.string()))
+    text, cuts, _ = suffix_tree.normalised(data, limits)
+    gram, n = np.unique(suffix_tree.grams(text, cuts, 5), return_counts=True)
+    pair, m = np.unique(suffix_tree.grams(text, cuts, 2), return_counts=True)
+    after_one = np.zeros((256, 256))
+    after_one[pair >> 8, pair & 255] = m
+    levels, root = suffix_tree.grown(gram, n, after_one, 4, 2, 0.1), suffix_tree.first_order(after_one)
+    assert len(levels[2][0])
+    for context in gram[::501] & ~np.uint64(255):
+        every = suffix_tree.probabilities(levels, root, context | np.arange(256, dtype=np.uint64))
+        assert every.sum() == pytest.approx(1, abs=1e-9)
+
+
+def test_slices_do_not_matter(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) + rnd.choice("xyz") for _ in range(80)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, held_out BOOLEAN")
+    one = {r.doc_id: r.tree_score for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(suffix_tree, "LEAST_SLICES", 3)
+    monkeypatch.setattr(suffix_tree, "SLICE_GRAMS", 400)
+    other = {r.doc_id: r.tree_score for r in lm_scoring.score(docs).collect()}
+    assert one == pytest.approx(other, abs=1e-3)
 
 
 def test_tree_scores_beat_word_counts_on_held_out_texts(spark, sf_dir):
