@@ -35,8 +35,8 @@ from hearsay.llm.suffix_tree import distinct_grams, grams, normalised
 from hearsay.llm.tables import as_text, written
 
 SHARES = (0.0, 0.05, 0.2, 0.5, 0.8)  # of the tree in a word's probability; the rest is the word's count
-BLOCK_BYTES = 2 << 20
-TASK_BLOCKS = 2  # scored by one task, whatever their deflated size
+BLOCK_BYTES = 4 << 20
+TASK_BLOCKS = 1  # scored by one task, whatever their deflated size
 
 
 def blended(base: np.ndarray, tree: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -58,14 +58,25 @@ def blocks(docs: DataFrame, key: str) -> DataFrame:
     kind = dict(docs.dtypes)[key]
     taken = docs.select(F.col(key).alias("key"), F.col("held_out"), as_text().alias("text"))
 
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        data, limits = flat(batch.column(2))
+        for first, last, part, ends in chunks(data, limits, BLOCK_BYTES):
+            row = {"block": [uuid.uuid4().int & ((1 << 63) - 1)], "keys": [batch.column(0).slice(first, last - first).to_pylist()],
+                   "held_out": [batch.column(1).slice(first, last - first).to_pylist()],
+                   "limits": [ends.tolist()], "body": [zlib.compress(part.tobytes(), 1)]}
+            yield pa.RecordBatch.from_pydict(row, schema=shape)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
-            data, limits = flat(batch.column(2))
-            for first, last, part, ends in chunks(data, limits, BLOCK_BYTES):
-                row = {"block": [uuid.uuid4().int & ((1 << 63) - 1)], "keys": [batch.column(0).slice(first, last - first).to_pylist()],
-                       "held_out": [batch.column(1).slice(first, last - first).to_pylist()],
-                       "limits": [ends.tolist()], "body": [zlib.compress(part.tobytes(), 1)]}
-                yield pa.RecordBatch.from_pydict(row, schema=shape)
+            if len(batch):
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= BLOCK_BYTES:
+                yield from cut(held)
+                held = []
+        if held:
+            yield from cut(held)
 
     arrow_kind = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
     shape = pa.schema([("block", pa.int64()), ("keys", pa.list_(arrow_kind)), ("held_out", pa.list_(pa.bool_())),
@@ -114,7 +125,7 @@ def _asked_grams(table: DataFrame, tree: suffix_tree.Tree) -> DataFrame:
                 data, limits = _texts(batch.column(1)[i].as_py(), batch.column(2)[i].values)
                 found, at = distinct_grams(_normalised(data, limits), depth, n_slices)
                 filled = np.flatnonzero(np.diff(at))
-                bodies = [suffix_tree.packed_grams(found[at[k]:at[k + 1]]) for k in filled]
+                bodies = [suffix_tree.packed_grams(found[at[k]:at[k + 1]], depth) for k in filled]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), batch.column(0)[i].as_py())), pa.array(filled),
                                                   pa.array(bodies, pa.binary())], names=["block", "slice", "body"])
 
@@ -196,7 +207,7 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
                 plain = np.log10(count + 1) - scale
                 base = np.bincount(owner, weights=plain, minlength=n) + end
                 known_words = np.bincount(owner, weights=count > 0, minlength=n).astype(np.int64) + (1 if ends else 0)
-                answered = b"".join(batch.column(6)[i].values.field(1).to_pylist())
+                answered = b"".join(map(zlib.decompress, batch.column(6)[i].values.field(1).to_pylist()))
                 tree_words, tree_ends = tree_scores(data, limits, depth, n_slices, np.frombuffer(answered, dtype=np.float32))
                 alone = np.bincount(owner, weights=tree_words, minlength=n) + tree_ends
                 value = blended(np.concatenate([plain, np.full(n, end)]), np.concatenate([tree_words, tree_ends]),

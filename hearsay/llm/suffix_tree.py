@@ -11,8 +11,9 @@ Contexts that agree in their last two bytes have all their suffixes of two bytes
 common reach, so a tree falls into slices by these two bytes.  A slice is grown in one task
 from its part of the summed counts; no number of contexts is dropped, and nothing of the
 tree passes the driver but the counts after single bytes (65,536 numbers at most).  The
-number of slices grows with the number of different strings counted.  A pair of bytes is in
-one slice, whose size is that of the distinct strings around this pair in training.
+number of slices grows with the texts.  A pair of bytes is in one slice, whose size is that of
+the distinct strings that end in this pair and a byte.  Strings travel packed: ordered by their
+bytes from the last to the first, where neighbours are in the same state, and deflated.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm.packed import LOWER, chunks, flat, run_starts, words
@@ -33,8 +34,10 @@ from hearsay.llm.tables import written
 DEPTH = 6
 LEAST_COUNT = 10
 LEAST_GAIN = 1.0  # log-likelihood per next byte seen
-SLICE_GRAMS = 500_000
+SLICE_BYTES = 4 << 20  # of text for every slice
 LEAST_SLICES = 32
+HELD_GRAMS = 6_000_000
+PAIRS = -1
 SALTS = 4  # tasks that share the questions to one slice
 BLANK, END = 32, 10
 _SPREAD = 2654435761
@@ -89,8 +92,21 @@ class Tree:
     n_slices: int
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``gram, n`` over all texts of ``docs(text)``: a byte and ``depth`` bytes before it."""
+def gram_counts(docs: DataFrame, depth: int, n_slices: int) -> DataFrame:
+    """``slice, body``: packed grams of ``docs(text)``, a byte and ``depth`` bytes before it, with counts, of parts of the texts.
+
+    Rows of slice ``PAIRS`` hold the counts of two bytes.
+    """
+
+    def rows(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        pairs = summed([(_low(values, 2), counts)])
+        order, at = _by_slice(values, depth, n_slices)
+        values, counts = values[order], counts[order]
+        filled = np.flatnonzero(np.diff(at))
+        bodies = [pickle.dumps((packed_grams(values[at[k]:at[k + 1]], depth), zlib.compress(counts[at[k]:at[k + 1]].tobytes(), 1)))
+                  for k in filled]
+        return pa.RecordBatch.from_arrays([pa.array([PAIRS, *filled.tolist()], pa.int64()), pa.array(
+            [pickle.dumps(pairs), *bodies], pa.binary())], names=["slice", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -100,16 +116,35 @@ def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                 text, cuts, _ = normalised(part, ends)
                 held.append(np.unique(grams(text, cuts, depth + 1), return_counts=True))
                 size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > HELD_GRAMS:
                     held = [summed(held)]
                     size = len(held[0][0])
-                    if size > 2_000_000:
-                        yield _batch(*held.pop())
+                    if size > HELD_GRAMS // 2:
+                        yield rows(*held.pop())
                         size = 0
         if held:
-            yield _batch(*summed(held))
+            yield rows(*summed(held))
+
+    return docs.select("text").mapInArrow(run, "slice bigint, body binary")
+
+
+def _pair_counts(counted: DataFrame) -> np.ndarray:
+    """How often byte b follows byte a in the texts, by a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                pair, n = pickle.loads(body)
+                total[pair] += n
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["pair", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("slice") == PAIRS).select("body").mapInArrow(run, "pair bigint, n bigint")
+    rows = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    out = np.zeros(1 << 16)
+    out[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return out.reshape(256, 256)
 
 
 def summed(held) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +157,31 @@ def summed(held) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _batch(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], names=["gram", "n"])
-
-
 def slice_of(values: np.ndarray, n_slices: int) -> np.ndarray:
     """The slice of every gram, by the last two bytes of its context."""
     pair = (values >> np.uint64(8)) & np.uint64(0xFFFF)
     return ((pair * np.uint64(_SPREAD) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64) % n_slices
 
 
-def _slice_column(n_slices: int) -> Column:
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftright((pair * F.lit(_SPREAD)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % n_slices
+def _by_slice(values: np.ndarray, depth: int, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of grams by slice and, within, by their bytes from the last to the first; the slices' limits in it."""
+    place = slice_of(values, n_slices)
+    order = np.lexsort((_turned(values, depth), place))
+    return order, np.searchsorted(place[order], np.arange(n_slices + 1))
+
+
+def _turned(values: np.ndarray, depth: int) -> np.ndarray:
+    """Grams with their bytes in reverse, so that those with a long common end are close; its own inverse."""
+    return (values << np.uint64(8 * (7 - depth))).byteswap()
+
+
+def packed_grams(values: np.ndarray, depth: int) -> bytes:
+    return zlib.compress(np.diff(_turned(values, depth), prepend=np.uint64(0)).tobytes(), 1)
+
+
+def _unpacked(body: bytes, depth: int) -> np.ndarray:
+    turned = np.cumsum(np.frombuffer(zlib.decompress(body), dtype=np.uint64), dtype=np.uint64)
+    return turned.byteswap() >> np.uint64(8 * (7 - depth))
 
 
 def first_order(after_one: np.ndarray) -> np.ndarray:
@@ -181,22 +228,37 @@ def grown(gram: np.ndarray, n: np.ndarray, after_one: np.ndarray, depth: int, le
 
 def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> Tree:
     """The tree of all texts of ``docs(text)``."""
-    counted = written(gram_counts(docs, depth), "grams")
-    pairs = counted.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(
-        F.sum("n").alias("n"), F.count("*").alias("grams")).toArrow()  # 65,536 rows at most
-    after_one = np.zeros((256, 256))
-    pair = pairs.column("pair").to_numpy()
-    after_one[pair >> 8, pair & 255] = pairs.column("n").to_numpy()
-    n_slices = LEAST_SLICES + int(pairs.column("grams").to_numpy().sum()) // SLICE_GRAMS
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_slices = min(1 << 16, LEAST_SLICES + size // SLICE_BYTES)
+    counted = written(gram_counts(docs, depth, n_slices), "grams")
+    after_one = _pair_counts(counted)
     shared = docs.sparkSession.sparkContext.broadcast(after_one)
 
-    def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        levels = grown(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy(), shared.value,
-                       depth, least_count, least_gain)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([zlib.compress(pickle.dumps(levels), 1)], pa.binary())})
+    def grow(of: int, held: list) -> pa.RecordBatch:
+        levels = grown(*summed(held), shared.value, depth, least_count, least_gain)
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([zlib.compress(pickle.dumps(levels), 1)], pa.binary())],
+                                          names=["slice", "body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size, least = None, [], 0, HELD_GRAMS
+        for batch in batches:
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                if part != of and held:
+                    yield grow(of, held)
+                    held, size, least = [], 0, HELD_GRAMS
+                of = part
+                values, counts = pickle.loads(batch.column(1)[i].as_py())
+                held.append((_unpacked(values, depth), np.frombuffer(zlib.decompress(counts), dtype=np.int64)))
+                size += len(held[-1][0])
+                if size > least:  # what is held stays near the number of distinct grams
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    least = size + max(size, HELD_GRAMS)
+        if held:
+            yield grow(of, held)
 
-    slices = counted.withColumn("slice", _slice_column(n_slices)).groupBy("slice").applyInArrow(grow, "slice bigint, body binary")
-    return Tree(depth, first_order(after_one), written(slices, "slices"), n_slices)
+    lined = counted.filter(F.col("slice") != PAIRS).repartition(n_slices, "slice").sortWithinPartitions("slice")
+    return Tree(depth, first_order(after_one), written(lined.mapInArrow(run, "slice bigint, body binary"), "slices"), n_slices)
 
 
 # --- asking ------------------------------------------------------------------------------
@@ -224,24 +286,15 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 def distinct_grams(texts: Iterator[tuple[np.ndarray, np.ndarray]], depth: int, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of the texts, ordered by slice, and the limits of the slices among them."""
+    """The distinct grams of the texts, ordered as by ``_by_slice``, and the limits of the slices among them."""
     held = [_distinct(grams(text, cuts, depth + 1)) for text, cuts in texts]
     found = _distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-    place = slice_of(found, n_slices)
-    order = np.argsort(place, kind="stable")
-    return found[order], np.searchsorted(place[order], np.arange(n_slices + 1))
-
-
-def packed_grams(values: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(values, prepend=np.uint64(0)).tobytes(), 1)
-
-
-def _unpacked(body: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(body), dtype=np.uint64), dtype=np.uint64)
+    order, at = _by_slice(found, depth, n_slices)
+    return found[order], at
 
 
 def answered(asked: DataFrame, tree: Tree) -> DataFrame:
-    """``block, slice, body``: log10 probabilities (32-bit) for ``asked(block, slice, body)``, packed grams.
+    """``block, slice, body``: log10 probabilities (32-bit, deflated) for ``asked(block, slice, body)``, packed grams.
 
     A task reads a slice of the tree, then the questions to it one after the other: it holds
     one slice and one batch of questions, however many blocks ask.
@@ -251,7 +304,7 @@ def answered(asked: DataFrame, tree: Tree) -> DataFrame:
     asking = asked.select("slice", F.pmod("block", F.lit(SALTS)).cast("bigint").alias("salt"), "block", "body")
     lined = model.unionByName(asking).repartition(tree.n_slices, "slice", "salt").sortWithinPartitions(
         "slice", "salt", F.col("block").asc_nulls_first())
-    root = asked.sparkSession.sparkContext.broadcast(tree.root)
+    root, tree_depth = asked.sparkSession.sparkContext.broadcast(tree.root), tree.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, of = [], None
@@ -262,8 +315,8 @@ def answered(asked: DataFrame, tree: Tree) -> DataFrame:
                 if block is None:
                     levels, of = pickle.loads(zlib.decompress(body)), part
                     continue
-                p = probabilities(levels if of == part else [], root.value, _unpacked(body))
-                for column, value in zip(out, (block, part, np.log10(p).astype(np.float32).tobytes())):
+                p = probabilities(levels if of == part else [], root.value, _unpacked(body, tree_depth))
+                for column, value in zip(out, (block, part, zlib.compress(np.log10(p).astype(np.float32).tobytes(), 1))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
                                              names=["block", "slice", "body"])

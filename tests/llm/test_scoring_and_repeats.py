@@ -196,7 +196,7 @@ def test_slices_do_not_matter(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, held_out BOOLEAN")
     one = {r.doc_id: r.tree_score for r in lm_scoring.score(docs).collect()}
     monkeypatch.setattr(suffix_tree, "LEAST_SLICES", 3)
-    monkeypatch.setattr(suffix_tree, "SLICE_GRAMS", 400)
+    monkeypatch.setattr(suffix_tree, "SLICE_BYTES", 400)
     other = {r.doc_id: r.tree_score for r in lm_scoring.score(docs).collect()}
     assert one == pytest.approx(other, abs=1e-3)
 
