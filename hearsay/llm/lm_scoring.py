@@ -35,7 +35,7 @@ from hearsay.llm.suffix_tree import distinct_grams, grams, normalised
 from hearsay.llm.tables import as_text, written
 
 SHARES = (0.0, 0.05, 0.2, 0.5, 0.8)  # of the tree in a word's probability; the rest is the word's count
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 TASK_BLOCKS = 1  # scored by one task, whatever their deflated size
 
 
@@ -123,9 +123,10 @@ def _asked_grams(table: DataFrame, tree: suffix_tree.Tree) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 data, limits = _texts(batch.column(1)[i].as_py(), batch.column(2)[i].values)
-                found, at = distinct_grams(_normalised(data, limits), depth, n_slices)
+                found = distinct_grams(_normalised(data, limits), depth)
+                at = suffix_tree.slice_limits(found, n_slices)
                 filled = np.flatnonzero(np.diff(at))
-                bodies = [suffix_tree.packed_grams(found[at[k]:at[k + 1]], depth) for k in filled]
+                bodies = [suffix_tree.packed_grams(found[at[k]:at[k + 1]]) for k in filled]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), batch.column(0)[i].as_py())), pa.array(filled),
                                                   pa.array(bodies, pa.binary())], names=["block", "slice", "body"])
 
@@ -148,18 +149,16 @@ def _looked_up(asked: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.
     return out
 
 
-def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, n_slices: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every word, its blank included, and of every text's end.
 
     ``values`` are the answers to the texts' ``distinct_grams``, in their order.
     """
-    asked, _ = distinct_grams(_normalised(data, limits), depth, n_slices)
-    order = np.argsort(asked)
-    asked, values = asked[order], values[order].astype(np.float64)
+    asked, values = distinct_grams(_normalised(data, limits), depth), values.astype(np.float64)
     of_words, of_ends = [], []
     for _, _, part, cuts in chunks(data, limits):
         text, stops_of_texts, (begins, stops) = normalised(part, cuts)
-        found = _looked_up(asked, values, grams(text, stops_of_texts, depth + 1))
+        found = _looked_up(asked, values, suffix_tree.turned(grams(text, stops_of_texts, depth + 1)))
         sums = np.concatenate(([0.0], np.cumsum(found)))
         of_words.append(sums[stops] - sums[begins])
         of_ends.append(found[stops_of_texts[1:] - 1])
@@ -173,7 +172,7 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """
     kind = dict(docs.dtypes)[key]
     tree = suffix_tree.fit(docs.filter(~F.col("held_out")).select(as_text().alias("text")), **options)
-    depth, n_slices = tree.depth, tree.n_slices
+    depth = tree.depth
     table = written(blocks(docs, key), "blocks")
     asked = _asked(table).withColumn("c", F.sum("n").over(Window.partitionBy("word")))
     answers = written(asked.filter("c > 0"), "answers")
@@ -208,7 +207,7 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
                 base = np.bincount(owner, weights=plain, minlength=n) + end
                 known_words = np.bincount(owner, weights=count > 0, minlength=n).astype(np.int64) + (1 if ends else 0)
                 answered = b"".join(map(zlib.decompress, batch.column(6)[i].values.field(1).to_pylist()))
-                tree_words, tree_ends = tree_scores(data, limits, depth, n_slices, np.frombuffer(answered, dtype=np.float32))
+                tree_words, tree_ends = tree_scores(data, limits, depth, np.frombuffer(answered, dtype=np.float32))
                 alone = np.bincount(owner, weights=tree_words, minlength=n) + tree_ends
                 value = blended(np.concatenate([plain, np.full(n, end)]), np.concatenate([tree_words, tree_ends]),
                                 np.concatenate([owner, np.arange(n)]), n)

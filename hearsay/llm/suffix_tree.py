@@ -12,8 +12,8 @@ common reach, so a tree falls into slices by these two bytes.  A slice is grown
 from its part of the summed counts; no number of contexts is dropped, and nothing of the
 tree passes the driver but the counts after single bytes (65,536 numbers at most).  The
 number of slices grows with the texts.  A pair of bytes is in one slice, whose size is that of
-the distinct strings that end in this pair and a byte.  Strings travel packed: ordered by their
-bytes from the last to the first, where neighbours are in the same state, and deflated.
+the distinct strings that end in this pair and a byte.  Strings travel packed: in an order
+where neighbours are in the same state, and deflated.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ LEAST_COUNT = 10
 LEAST_GAIN = 1.0  # log-likelihood per next byte seen
 SLICE_BYTES = 4 << 20  # of text for every slice
 LEAST_SLICES = 32
-HELD_GRAMS = 6_000_000
+HELD_GRAMS = 3_000_000
 PAIRS = -1
 SALTS = 4  # tasks that share the questions to one slice
 BLANK, END = 32, 10
-_SPREAD = 2654435761
+_SPREAD = 40503
 
 
 # --- texts as byte sequences -------------------------------------------------------------
@@ -99,11 +99,10 @@ def gram_counts(docs: DataFrame, depth: int, n_slices: int) -> DataFrame:
     """
 
     def rows(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        pairs = summed([(_low(values, 2), counts)])
-        order, at = _by_slice(values, depth, n_slices)
-        values, counts = values[order], counts[order]
+        pairs = summed([(_low(_straight(values), 2), counts)])
+        at = slice_limits(values, n_slices)
         filled = np.flatnonzero(np.diff(at))
-        bodies = [pickle.dumps((packed_grams(values[at[k]:at[k + 1]], depth), zlib.compress(counts[at[k]:at[k + 1]].tobytes(), 1)))
+        bodies = [pickle.dumps((packed_grams(values[at[k]:at[k + 1]]), zlib.compress(counts[at[k]:at[k + 1]].tobytes(), 1)))
                   for k in filled]
         return pa.RecordBatch.from_arrays([pa.array([PAIRS, *filled.tolist()], pa.int64()), pa.array(
             [pickle.dumps(pairs), *bodies], pa.binary())], names=["slice", "body"])
@@ -114,7 +113,7 @@ def gram_counts(docs: DataFrame, depth: int, n_slices: int) -> DataFrame:
             data, limits = flat(batch.column(0))
             for _, _, part, ends in chunks(data, limits):
                 text, cuts, _ = normalised(part, ends)
-                held.append(np.unique(grams(text, cuts, depth + 1), return_counts=True))
+                held.append(np.unique(turned(grams(text, cuts, depth + 1)), return_counts=True))
                 size += len(held[-1][0])
                 if size > HELD_GRAMS:
                     held = [summed(held)]
@@ -157,31 +156,37 @@ def summed(held) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def slice_of(values: np.ndarray, n_slices: int) -> np.ndarray:
-    """The slice of every gram, by the last two bytes of its context."""
+def turned(values: np.ndarray) -> np.ndarray:
+    """Grams as numbers that sort by slice and, within, so that those of one state and byte are close.
+
+    Their bytes from high to low: the last two of the context, scrambled; the gram's last one;
+    the rest of the context from near to far.
+    """
     pair = (values >> np.uint64(8)) & np.uint64(0xFFFF)
-    return ((pair * np.uint64(_SPREAD) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64) % n_slices
+    return ((pair * np.uint64(_SPREAD) & np.uint64(0xFFFF)) << np.uint64(48) | (values & np.uint64(255)) << np.uint64(40)
+            | (values >> np.uint64(24)).byteswap() >> np.uint64(24))
 
 
-def _by_slice(values: np.ndarray, depth: int, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of grams by slice and, within, by their bytes from the last to the first; the slices' limits in it."""
-    place = slice_of(values, n_slices)
-    order = np.lexsort((_turned(values, depth), place))
-    return order, np.searchsorted(place[order], np.arange(n_slices + 1))
+def _straight(values: np.ndarray) -> np.ndarray:
+    """The grams that were ``turned``."""
+    pair = (values >> np.uint64(48)) * np.uint64(pow(_SPREAD, -1, 1 << 16)) & np.uint64(0xFFFF)
+    rest = ((values & np.uint64((1 << 40) - 1)) << np.uint64(24)).byteswap()
+    return rest << np.uint64(24) | pair << np.uint64(8) | values >> np.uint64(40) & np.uint64(255)
 
 
-def _turned(values: np.ndarray, depth: int) -> np.ndarray:
-    """Grams with their bytes in reverse, so that those with a long common end are close; its own inverse."""
-    return (values << np.uint64(8 * (7 - depth))).byteswap()
+def slice_limits(values: np.ndarray, n_slices: int) -> np.ndarray:
+    """The limits of the slices in sorted turned grams."""
+    first = -(-(np.arange(n_slices, dtype=np.int64) << 16) // n_slices)
+    return np.append(np.searchsorted(values, first.astype(np.uint64) << np.uint64(48)), len(values))
 
 
-def packed_grams(values: np.ndarray, depth: int) -> bytes:
-    return zlib.compress(np.diff(_turned(values, depth), prepend=np.uint64(0)).tobytes(), 1)
+def packed_grams(values: np.ndarray) -> bytes:
+    """Sorted turned grams as deflated differences."""
+    return zlib.compress(np.diff(values, prepend=np.uint64(0)).tobytes(), 1)
 
 
-def _unpacked(body: bytes, depth: int) -> np.ndarray:
-    turned = np.cumsum(np.frombuffer(zlib.decompress(body), dtype=np.uint64), dtype=np.uint64)
-    return turned.byteswap() >> np.uint64(8 * (7 - depth))
+def _unpacked(body: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(body), dtype=np.uint64), dtype=np.uint64)
 
 
 def first_order(after_one: np.ndarray) -> np.ndarray:
@@ -235,7 +240,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, lea
     shared = docs.sparkSession.sparkContext.broadcast(after_one)
 
     def grow(of: int, held: list) -> pa.RecordBatch:
-        levels = grown(*summed(held), shared.value, depth, least_count, least_gain)
+        values, counts = summed(held)
+        levels = grown(_straight(values), counts, shared.value, depth, least_count, least_gain)
         return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([zlib.compress(pickle.dumps(levels), 1)], pa.binary())],
                                           names=["slice", "body"])
 
@@ -248,7 +254,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, lea
                     held, size, least = [], 0, HELD_GRAMS
                 of = part
                 values, counts = pickle.loads(batch.column(1)[i].as_py())
-                held.append((_unpacked(values, depth), np.frombuffer(zlib.decompress(counts), dtype=np.int64)))
+                held.append((_unpacked(values), np.frombuffer(zlib.decompress(counts), dtype=np.int64)))
                 size += len(held[-1][0])
                 if size > least:  # what is held stays near the number of distinct grams
                     held = [summed(held)]
@@ -285,12 +291,10 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[run_starts(values)]
 
 
-def distinct_grams(texts: Iterator[tuple[np.ndarray, np.ndarray]], depth: int, n_slices: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of the texts, ordered as by ``_by_slice``, and the limits of the slices among them."""
-    held = [_distinct(grams(text, cuts, depth + 1)) for text, cuts in texts]
-    found = _distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-    order, at = _by_slice(found, depth, n_slices)
-    return found[order], at
+def distinct_grams(texts: Iterator[tuple[np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
+    """The distinct grams of the texts, turned and sorted."""
+    held = [_distinct(turned(grams(text, cuts, depth + 1))) for text, cuts in texts]
+    return _distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
 
 
 def answered(asked: DataFrame, tree: Tree) -> DataFrame:
@@ -304,7 +308,7 @@ def answered(asked: DataFrame, tree: Tree) -> DataFrame:
     asking = asked.select("slice", F.pmod("block", F.lit(SALTS)).cast("bigint").alias("salt"), "block", "body")
     lined = model.unionByName(asking).repartition(tree.n_slices, "slice", "salt").sortWithinPartitions(
         "slice", "salt", F.col("block").asc_nulls_first())
-    root, tree_depth = asked.sparkSession.sparkContext.broadcast(tree.root), tree.depth
+    root = asked.sparkSession.sparkContext.broadcast(tree.root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, of = [], None
@@ -315,7 +319,7 @@ def answered(asked: DataFrame, tree: Tree) -> DataFrame:
                 if block is None:
                     levels, of = pickle.loads(zlib.decompress(body)), part
                     continue
-                p = probabilities(levels if of == part else [], root.value, _unpacked(body, tree_depth))
+                p = probabilities(levels if of == part else [], root.value, _straight(_unpacked(body)))
                 for column, value in zip(out, (block, part, zlib.compress(np.log10(p).astype(np.float32).tobytes(), 1))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],

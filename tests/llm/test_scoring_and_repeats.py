@@ -190,6 +190,15 @@ def test_distributions_sum_to_one(odd_rows):
         assert every.sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_turned_grams_turn_back_and_sort_by_slice():
+    values = np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64)
+    lined = np.sort(suffix_tree.turned(values))
+    assert sorted(suffix_tree._straight(lined).tolist()) == sorted(values.tolist())
+    at = suffix_tree.slice_limits(lined, 7)
+    pairs = [set((suffix_tree._straight(lined[a:b]) >> np.uint64(8) & np.uint64(0xFFFF)).tolist()) for a, b in zip(at, at[1:])]
+    assert sum(map(len, pairs)) == len(set.union(*pairs)) and at[0] == 0 and at[-1] == 1000
+
+
 def test_slices_do_not_matter(spark, monkeypatch):
     rnd = random.Random(8)
     texts = [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) + rnd.choice("xyz") for _ in range(80)) for _ in range(60)]
