@@ -14,7 +14,8 @@ neighbours in it are compared byte by byte.
 A group of more than ``MOST_RUNS`` is dealt again, by distances in narrower ranges
 (``WIDTHS``); at a width of 1 the stretch is the string itself and groups are equal.
 
-Texts are read as UTF-8 bytes, null as empty.  Repeated rows repeat each other's strings.
+Texts are read as UTF-8 bytes, null as empty.  Repeated rows repeat each other's strings;
+their runs are counted, but held and cut out once, however many copies there are.
 Texts shorter than ``LENGTH`` lose nothing.  Other columns are left out (``cleaned`` returns
 the remaining bytes as well).
 """
@@ -224,7 +225,8 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     pa.array((spans & 255).astype(np.int32))], names=["bucket", "row", "start", "several", "text", "distance"])
 
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "span", "several")).alias("runs"))
-    return _packed(docs).join(lists, "row").select("row", "body", "runs").mapInArrow(
+    bodies = _packed(docs).groupBy("row").agg(F.first("body").alias("body"))  # of all copies of a row one
+    return bodies.join(lists, "row").select("row", "body", "runs").mapInArrow(
         run, "bucket bigint, row bigint, start bigint, several boolean, text binary, distance int")
 
 
@@ -233,15 +235,16 @@ def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def covered_bytes(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS, widths=WIDTHS) -> DataFrame:
     """``row, first, last``: byte ranges (end exclusive) to remove from ``docs(row, text)``."""
-    found = _runs_of(docs, length)
+    # Copies of a row hold the same runs: each is kept once, with the number of its copies.
+    found = _runs_of(docs, length).groupBy("anchor", "run", "row", "start", "span").agg(F.count("*").alias("copies"))
     anchors = found.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).filter("n > 1").select(
+        F.sum("copies").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).filter("n > 1").select(
         F.col("anchor").alias("a"), (F.col("low") != F.col("high")).alias("mixed"))
     matched = written(found.join(anchors, F.col("anchor") == F.col("a")).drop("a"), "matched")
     end = (F.col("start") + F.shiftright("span", 8)).cast("bigint")
     plain = matched.filter("NOT mixed").select("row", F.col("start").cast("bigint").alias("first"), end.alias("last"))
     distinct = written(matched.filter("mixed").groupBy("anchor", "run").agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "start", "span")).alias("rep")), "distinct")
+        F.sum("copies").alias("n"), F.min(F.struct("row", "start", "span")).alias("rep")), "distinct")
     copies = distinct.filter("n > 1").select(F.col("anchor").alias("a"), F.col("run").alias("r"))
     whole = matched.filter("mixed").join(copies, (F.col("anchor") == F.col("a")) & (F.col("run") == F.col("r"))).select(
         "row", F.col("start").cast("bigint").alias("first"), end.alias("last"))

@@ -67,6 +67,21 @@ def test_repeats_match_brute_force_on_edited_copies(spark, odd_docs, options):
     _check_repeats(spark.createDataFrame(rows, "doc_id INT, text STRING"), rows, **options)
 
 
+def test_ranges_do_not_grow_with_copies_of_a_row(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(700))
+    near = text[:350] + "#" + text[350:]
+
+    def ranges(copies):
+        rows = spark.range(copies).select(F.lit(7).alias("row"), F.lit(text).alias("text")).union(
+            spark.range(1).select(F.lit(8).alias("row"), F.lit(near).alias("text")))
+        rows = rows.select(F.col("row").cast("bigint").alias("row"), "text")
+        per_row = repeats.covered_bytes(rows).groupBy("row").count().collect()
+        return max(r["count"] for r in per_row)
+
+    assert ranges(100_000) == ranges(2)
+
+
 def test_repeats_of_no_rows(no_docs):
     assert repeats.cleaned(no_docs).count() == 0
 
