@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearsay.functions import clock
 from hearsay.functions.rates import as_number, share_conversion, total_interaction
 from hearsay.operators import ranks
 from hearsay.operators.spool import spool
@@ -37,6 +38,39 @@ def _named(values: DataFrame, p: float) -> DataFrame:
     return values.select("metric", F.round(F.col("value").cast("double"), 2).alias(name))
 
 
+# --- percentiles of any range of days ------------------------------------------
+
+
+def sketch_size(rank_error: float) -> int:
+    """The ``k`` of KLL sketches whose ranks are off by ``rank_error`` of all values at most (in 99 of 100 cases)."""
+    return min(65_535, max(8, math.ceil((2.296 / rank_error) ** (1 / 0.9021))))
+
+
+def sketches(
+    comments: DataFrame, columns: Sequence[str] = COUNT_COLUMNS, by: Sequence[str] = ("ip_location",),
+    rank_error: float = 0.01, tz: str | None = None,
+) -> DataFrame:
+    """``date, by..., columns...``: a mergeable sketch of the values of each column.
+
+    It is a table to be stored: ``percentiles_of_sketches`` answers from it for any days and groups,
+    without comments being read again.  Comments without a readable time are left out, and so are NULL values.
+    """
+    dated = comments.select(clock.day(F.col("created_at"), tz).alias("date"), *by,
+                            *[F.col(c).cast("bigint").alias(c) for c in columns])
+    return dated.filter(F.col("date").isNotNull()).groupBy("date", *by).agg(
+        *[F.kll_sketch_agg_bigint(c, F.lit(sketch_size(rank_error))).alias(c) for c in columns])
+
+
+def percentiles_of_sketches(
+    stored: DataFrame, p: float = 0.99, by: Sequence[str] = ("date",), columns: Sequence[str] = COUNT_COLUMNS
+) -> DataFrame:
+    """``by..., metric, n, value`` from ``sketches``, merged over all other groups; no row for columns without values."""
+    merged = stored.groupBy(*by).agg(*[F.kll_merge_agg_bigint(c).alias(c) for c in columns])
+    sized = merged.unpivot(list(by), list(columns), "metric", "sketch").withColumn("n", F.kll_sketch_get_n_bigint("sketch"))
+    return sized.filter("n > 0").select(
+        *by, "metric", "n", F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(p))).alias("value"))
+
+
 def extreme_count(comments: DataFrame, threshold: int = 10_000) -> DataFrame:
     """``count`` of the comments with more likes than ``threshold``."""
     return comments.filter(F.col("likes") > threshold).agg(F.count("*").alias("count"))
