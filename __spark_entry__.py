@@ -21,9 +21,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from hearsay import fixtures as fx  # noqa: E402
 from hearsay import jobs  # noqa: E402
+from hearsay.functions import clock  # noqa: E402
 from hearsay.operators import clean, lookup, sentiment  # noqa: E402
 from hearsay.operators.spool import fresh_path, spool  # noqa: E402
 from hearsay.plans import forecast, han, interaction, learning, opinion, report, volume, words  # noqa: E402
+from hearsay.schemas import COUNT_COLUMNS  # noqa: E402
 from hearsay.sources import json_lines, records, results, tables  # noqa: E402
 
 try:  # the training-data operators are an optional part
@@ -372,6 +374,31 @@ def nb_predictions_small_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predict_bayes(learning.fit_bayes(train), _all_reviews(spark, sf_dir), bound=SMALL_BOUND)
 
 
+def nb_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three classes of the lexicon, learned from four fifths of the documents."""
+    labels = sentiment_labels(spark, sf_dir).select(F.col("comment_id").alias("doc_id"), F.col("sentiment").alias("label"))
+    reviews = _all_reviews(spark, sf_dir)
+    train, _ = learning.key_split(reviews.join(labels, "doc_id"), "doc_id")
+    return learning.predict_classes(learning.fit_classes(train), reviews)
+
+
+# --- percentiles from sketches ---------------------------------------------------
+
+
+def percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each day from stored sketches, and whether their ranks among all comments are within 0.01."""
+    comments = fx.figures(spark, sf_dir)
+    stored = spool(interaction.sketches(comments, rank_error=0.005), "sketches")
+    marks = interaction.percentiles_of_sketches(stored, p=0.9)
+    values = comments.select(clock.day(F.col("created_at")).alias("date"), *COUNT_COLUMNS).unpivot(
+        "date", list(COUNT_COLUMNS), "metric", "number").filter("number IS NOT NULL")
+    ranked = values.join(marks, ["date", "metric"]).groupBy("date", "metric", "n").agg(
+        F.count("*").alias("all"), F.count_if(F.col("number") < F.col("value")).alias("below"),
+        F.count_if(F.col("number") <= F.col("value")).alias("up_to"))
+    near = (F.col("below") <= 0.91 * F.col("all")) & (F.col("up_to") >= 0.89 * F.col("all"))
+    return ranked.select("date", "metric", "n", near.alias("within"))
+
+
 # --- complete result sets ----------------------------------------------------
 
 _TEXT = ("string", "date", "timestamp", "timestamp_ntz")
@@ -523,6 +550,10 @@ def queries() -> dict[str, Query]:
         "han_word_sentiment": han_word_sentiment,
         "sentiment_labels_small_bound": sentiment_labels_small_bound,
         "nb_predictions_small_bound": nb_predictions_small_bound,
+        "nb_three_classes": nb_three_classes,
+        "percentiles_by_day": percentiles_by_day,
+        # Days of the test tables are much alike: low marks let them have waves.
+        "event_waves": _on_comments(volume.event_waves, ratio=1.03, price=0.1),
         "clean_from_csv": clean_from_csv,
         "corpus_from_csv": corpus_from_csv,
         **_llm_queries(),

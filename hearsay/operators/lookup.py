@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Per-row overhead of a broadcast hash entry besides the word itself.
@@ -81,23 +82,36 @@ def score_tokens(
     is NULL or unknown add nothing.  ``weights(word, weight, freq)``: one row per
     word, zero weights allowed (they keep hot neutral words out of the shuffle).
     """
-    ids = list(ids)
+    return score_columns(tokens, weights, ids, ["weight"], bound).withColumnRenamed("weight", "score")
+
+
+def score_columns(
+    tokens: DataFrame,
+    weights: DataFrame,
+    ids: Sequence[str],
+    columns: Sequence[str],
+    bound: Bound = DEFAULT_BOUND,
+) -> DataFrame:
+    """``ids..., columns...``: ``score_tokens`` with several weights a word, ``weights(word, columns..., freq)``.
+
+    A word has all weights or is unknown.
+    """
+    ids, columns = list(ids), list(columns)
     head, tail = split_by_size(weights, bound)
+    matters = reduce(Column.__or__, [F.col(c) != 0 for c in columns])
     if tail is None:
-        head = head.filter(F.col("weight") != 0)
-    known = tokens.join(F.broadcast(head.select("word", "weight")), "word", "left")
-    gain = F.coalesce(F.sum(F.col("sign") * F.col("weight")), F.lit(0))
+        head = head.filter(matters)
+    known = tokens.join(F.broadcast(head.select("word", *columns)), "word", "left")
+    gains = [F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0)).alias(c) for c in columns]
     if tail is None:
-        return known.groupBy(*ids).agg(gain.alias("score"))
+        return known.groupBy(*ids).agg(*gains)
 
-    open_word = F.when(F.col("weight").isNull(), F.col("word"))
-    reduced = known.groupBy(*ids, open_word.alias("open_word")).agg(
-        gain.alias("settled"), F.sum("sign").alias("net")
-    )
-    settled = reduced.filter("open_word IS NULL").select(*ids, F.col("settled").alias("score"))
-    left = reduced.filter("open_word IS NOT NULL").select(*ids, "settled", "net", F.col("open_word").alias("word"))
-    right = tail.filter(F.col("weight") != 0).select("word", "weight")
+    open_word = F.when(F.col(columns[0]).isNull(), F.col("word"))
+    reduced = known.groupBy(*ids, open_word.alias("open_word")).agg(*gains, F.sum("sign").alias("net"))
+    settled = reduced.filter("open_word IS NULL").select(*ids, *columns)
+    left = reduced.filter("open_word IS NOT NULL").select(*ids, "net", F.col("open_word").alias("word"))
+    right = tail.filter(matters).select("word", *columns)
     # A hot word unknown to the corpus: adaptive execution splits the large side of this join.
     joined = left.join(right, "word", "left")
-    rest = joined.select(*ids, (F.col("settled") + F.col("net") * F.coalesce("weight", F.lit(0))).alias("score"))
-    return settled.unionByName(rest).groupBy(*ids).agg(F.sum("score").alias("score"))
+    rest = joined.select(*ids, *[(F.col("net") * F.coalesce(c, F.lit(0))).alias(c) for c in columns])
+    return settled.unionByName(rest).groupBy(*ids).agg(*[F.sum(c).alias(c) for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
@@ -13,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.functions import text as txt
-from hearsay.operators.lookup import DEFAULT_BOUND, Bound, score_tokens
+from hearsay.operators.lookup import DEFAULT_BOUND, Bound, score_columns, score_tokens
 from hearsay.operators.spool import spool
 from hearsay.vocabulary import STOP_WORDS
 
 HASH_BUCKETS = 2000
 MIN_DOC_FREQ = 5
+MOST_CLASSES = 64
 SMOOTHING = 1.0
 SEED = 42
 
@@ -77,19 +79,18 @@ class BayesModel:
     intercept: float
 
 
-def term_statistics(train: DataFrame, tokenizer: txt.Tokenizer = txt.words) -> DataFrame:
-    """``word, tf0, tf1, df`` of ``train(review, label)``; the NULL word counts the texts.
+def term_statistics(train: DataFrame, tokenizer: txt.Tokenizer = txt.words, classes: Sequence = (0, 1)) -> DataFrame:
+    """``word, tf0, tf1, ..., df`` of ``train(review, label)``; the NULL word counts the texts.
 
-    Sorting the words inside a row marks first occurrences, so document
-    frequencies need no shuffle of (text, word) pairs: one aggregation by word,
-    combined on the map side, gives everything.
+    There is one ``tf`` for each of ``classes``.  Sorting the words inside a row marks first
+    occurrences, so document frequencies need no shuffle of (text, word) pairs: one
+    aggregation by word, combined on the map side, gives everything.
     """
     entries = train.select("label", F.sort_array(tokenizer(F.col("review"))).alias("words")).select(
         "label", F.inline(txt.with_previous(F.col("words")))
     )
     return entries.groupBy("word").agg(
-        F.count_if(F.col("label") == 0).alias("tf0"),
-        F.count_if(F.col("label") == 1).alias("tf1"),
+        *[F.count_if(F.col("label") == c).alias(f"tf{i}") for i, c in enumerate(classes)],
         F.count_if(F.col("word") != F.col("previous")).alias("df"),
     )
 
@@ -149,6 +150,74 @@ def predict_bayes(
     return scored.select("doc_id", (odds > 0).cast("int").alias("prediction"))
 
 
+# --- any number of classes -----------------------------------------------------
+
+
+@dataclass(frozen=True)
+class ClassModel:
+    """Multinomial model of several classes: per word and overall, the log probability in each."""
+
+    weights: DataFrame  # word, w0, w1, ... by class, freq
+    classes: list  # ascending
+    priors: list[float]
+
+
+def fit_classes(
+    train: DataFrame,
+    min_df: int = MIN_DOC_FREQ,
+    smoothing: float = SMOOTHING,
+    tokenizer: txt.Tokenizer = txt.words,
+    most_classes: int = MOST_CLASSES,
+) -> ClassModel:
+    """``fit_bayes`` for the labels that ``train(review, label)`` has, of any type; rows without one do not count."""
+    labelled = train.filter(F.col("label").isNotNull())
+    classes = sorted(r[0] for r in labelled.select("label").distinct().limit(most_classes + 1).collect())
+    if not classes:
+        raise EmptyCorpusError("the labelled corpus is empty")
+    if len(classes) > most_classes:
+        raise ValueError(f"more than {most_classes} classes")
+    stats = spool(term_statistics(labelled, tokenizer, classes), "class_terms")
+    is_word, used, places = F.col("word").isNotNull(), F.col("df") >= min_df, range(len(classes))
+    log_df = F.log(F.col("df") + 1)
+
+    def total(value):
+        return F.coalesce(F.sum(F.when(is_word & used, value)), F.lit(0)).cast("double")
+
+    t = stats.agg(  # three numbers a class, whatever the vocabulary
+        F.count("word").alias("size"),
+        *[F.max(F.when(~is_word, F.col(f"tf{i}"))).alias(f"n{i}") for i in places],
+        *[total(F.col(f"tf{i}")).alias(f"tf{i}") for i in places],
+        *[total(F.col(f"tf{i}") * log_df).alias(f"log{i}") for i in places],
+    ).first()
+    texts = sum(t[f"n{i}"] for i in places)
+    log_texts = math.log(texts + 1)
+    idf = F.lit(log_texts) - log_df
+
+    def weight(i: int) -> Column:
+        mass = log_texts * t[f"tf{i}"] - t[f"log{i}"] + smoothing * t["size"]
+        return idf * (F.log(F.col(f"tf{i}") * idf + smoothing) - F.lit(math.log(mass)))
+
+    freq = reduce(Column.__add__, [F.col(f"tf{i}") for i in places])
+    weights = stats.filter(is_word & used).select("word", *[weight(i).alias(f"w{i}") for i in places], freq.alias("freq"))
+    whole = math.log(texts + smoothing * len(classes))
+    return ClassModel(weights, classes, [math.log(t[f"n{i}"] + smoothing) - whole for i in places])
+
+
+def predict_classes(
+    model: ClassModel,
+    texts: DataFrame,
+    tokenizer: txt.Tokenizer = txt.words,
+    bound: Bound = DEFAULT_BOUND,
+) -> DataFrame:
+    """``doc_id, prediction`` of ``texts(doc_id, review)``: the likeliest class, of equal ones the least."""
+    tokens = txt.explode_words(texts, "review", tokenizer, "doc_id")
+    names = [f"w{i}" for i in range(len(model.classes))]
+    sums = score_columns(tokens.withColumn("sign", F.lit(1)), model.weights, ["doc_id"], names, bound)
+    ways = [F.struct(F.round(F.col(name) + F.lit(prior), 6).alias("score"), F.lit(-i).alias("place"), F.lit(c).alias("class"))
+            for i, (name, prior, c) in enumerate(zip(names, model.priors, model.classes))]
+    return sums.select("doc_id", F.array_max(F.array(*ways))["class"].alias("prediction"))
+
+
 # --- hashed terms ------------------------------------------------------------
 
 

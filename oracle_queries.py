@@ -423,6 +423,67 @@ SQL["corpus_from_csv"] = SQL["lexicon"]
 SQL["clean_from_csv"] = f"""SELECT date_trunc('second', created_at) AS created_at,
        content, likes, comments, shares, ip_location, gender FROM ({_CLEAN})"""
 
+SQL["percentiles_by_day"] = f"WITH {COMMENTS} " + " UNION ALL ".join(
+    f"""SELECT CAST(created_at AS DATE) AS date, '{c}' AS metric, count({c}) AS n, true AS within
+FROM comments GROUP BY 1""" for c in ("likes", "comments", "shares"))
+SQL["event_waves"] = f"""WITH RECURSIVE {COMMENTS}, {DAILY},
+calendar AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily),
+series AS (
+  SELECT c.date, coalesce(d.count, 0) AS count, CAST(row_number() OVER (ORDER BY c.date) AS INT) AS i
+  FROM calendar c LEFT JOIN daily d ON d.date = c.date),
+rates AS (
+  SELECT CAST(count(*) AS INT) AS n, avg(count) AS low, CAST(1.03 AS DOUBLE) * avg(count) AS high,
+         CAST(round(100 * ln(count(*))) AS BIGINT) AS up FROM series),
+priced AS (
+  SELECT i, up, CAST(round(1000 * (low - count * ln(low))) AS BIGINT) AS usual_cost,
+         CAST(round(1000 * (high - count * ln(high))) AS BIGINT) AS busy_cost FROM series, rates),
+ahead AS (
+  SELECT 0 AS i, CAST(0 AS BIGINT) AS usual, up AS busy, 0 AS before_usual, 0 AS before_busy FROM rates
+  UNION ALL
+  SELECT p.i, least(usual, busy) + usual_cost, least(usual + p.up, busy) + busy_cost,
+         CASE WHEN busy < usual THEN 1 ELSE 0 END, CASE WHEN usual + p.up < busy THEN 0 ELSE 1 END
+  FROM ahead a JOIN priced p ON p.i = a.i + 1),
+back AS (
+  SELECT i, CASE WHEN busy < usual THEN 1 ELSE 0 END AS state FROM ahead WHERE i = (SELECT n FROM rates)
+  UNION ALL
+  SELECT b.i - 1, CASE WHEN b.state = 1 THEN before_busy ELSE before_usual END
+  FROM back b JOIN ahead a ON a.i = b.i WHERE b.i > 1),
+states AS (
+  SELECT date, count, state, lag(state, 1, 0) OVER (ORDER BY date) AS previous
+  FROM series s JOIN back b ON b.i = s.i),
+waves AS (
+  SELECT date, count, CASE WHEN state = 1 THEN CAST(sum(CASE WHEN state = 1 AND previous = 0 THEN 1 ELSE 0 END)
+                                                    OVER (ORDER BY date) AS INT) END AS wave FROM states),
+peaks AS (
+  SELECT *, first_value(date) OVER (PARTITION BY wave ORDER BY count DESC, date) AS top FROM waves)
+SELECT date, count, wave, CASE WHEN wave IS NULL THEN 'calm' WHEN date < top THEN 'onset'
+                               WHEN date = top THEN 'climax' ELSE 'decline' END AS stage FROM peaks"""
+SQL["nb_three_classes"] = f"""WITH {DOC_LABELS},
+train AS (
+  SELECT d.doc_id, d.text, l.sentiment AS label FROM documents d JOIN doc_labels l ON l.doc_id = d.doc_id
+  WHERE d.doc_id % 5 <> 0),
+sizes AS (SELECT label, count(*) AS n FROM train GROUP BY label),
+train_words AS (SELECT doc_id, label, unnest({_words('text')}) AS word FROM train),
+idfs AS (
+  SELECT word, CASE WHEN count(DISTINCT doc_id) < 5 THEN 0
+                    ELSE ln(((SELECT count(*) FROM train) + 1) / (count(DISTINCT doc_id) + 1)) END AS idf
+  FROM train_words GROUP BY word),
+counts AS (SELECT label, word, count(*) AS tf FROM train_words GROUP BY label, word),
+masses AS (
+  SELECT s.label, coalesce(sum(tf * idf), 0) + (SELECT count(*) FROM idfs) AS mass
+  FROM sizes s LEFT JOIN counts c ON c.label = s.label LEFT JOIN idfs i ON i.word = c.word GROUP BY s.label),
+model AS (
+  SELECT m.label, i.word, idf * (ln(coalesce(tf, 0) * idf + 1) - ln(mass)) AS weight
+  FROM idfs i CROSS JOIN masses m LEFT JOIN counts c ON c.word = i.word AND c.label = m.label WHERE idf > 0),
+word_counts AS (
+  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({_words('text')}) AS word FROM documents) GROUP BY 1, 2),
+sums AS (SELECT doc_id, label, sum(n * weight) AS total FROM word_counts w JOIN model m ON m.word = w.word GROUP BY 1, 2),
+rated AS (
+  SELECT d.doc_id, s.label, round(coalesce(total, 0) + ln(n + 1)
+         - ln((SELECT sum(n) FROM sizes) + (SELECT count(*) FROM sizes)), 6) AS score
+  FROM documents d CROSS JOIN sizes s LEFT JOIN sums t ON t.doc_id = d.doc_id AND t.label = s.label)
+SELECT doc_id, first(label ORDER BY score DESC, label) AS prediction FROM rated GROUP BY doc_id"""
+
 # --- bundles: (dataset, query, text columns, number columns) ------------------
 
 _REPORT = (

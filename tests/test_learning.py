@@ -250,3 +250,48 @@ def test_hourly_forecast(spark):
     assert len(ahead) == 24 and ahead[0]["hour_start"] == datetime.datetime(2024, 1, 2, 0, 0)
     slope = 1 / (1 + 0.01 / np.std([20, 21, 22, 23]))
     assert [r["predicted_interaction"] for r in ahead[:2]] == [int(21.5 + slope * 2.5), int(21.5 + slope * 3.5)]
+
+
+# --- several classes -----------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def three_classes(spark):
+    rng = random.Random(9)
+    names = "alpha beta gamma delta omega sigma kappa theta lambda zeta".split()
+    weights = {"a": range(1, 11), "b": range(10, 0, -1), "c": [5] * 10}
+    rows = [(i, " ".join(rng.choices(names, weights[label], k=rng.randint(3, 12))), label)
+            for i in range(240) for label in [rng.choice("aabc")]]
+    return spark.createDataFrame(rows, "doc_id BIGINT, review STRING, label STRING")
+
+
+def test_several_classes_match_spark_ml(spark, three_classes):
+    words = three_classes.select("doc_id", F.array_position(F.array(*map(F.lit, "abc")), F.col("label")).cast("double").alias("label"),
+                                 F.split("review", " ").alias("words")).withColumn("label", F.col("label") - 1)
+    stages = [CountVectorizer(inputCol="words", outputCol="counts"), IDF(inputCol="counts", outputCol="features", minDocFreq=5),
+              NaiveBayes(modelType="multinomial")]
+    expected = {r.doc_id: "abc"[int(r.prediction)] for r in Pipeline(stages=stages).fit(words).transform(words).collect()}
+    model = learning.fit_classes(three_classes)
+    assert model.classes == ["a", "b", "c"]
+    for bound in (lookup.DEFAULT_BOUND, lookup.Bound(rows=4, bytes=10_000), lookup.Bound(rows=0, bytes=0)):
+        got = {r.doc_id: r.prediction for r in learning.predict_classes(model, three_classes, bound=bound).collect()}
+        assert got == expected
+    assert len(set(expected.values())) == 3
+
+
+def test_two_classes_are_the_two_class_model(corpus):
+    both = learning.predict_classes(learning.fit_classes(corpus), corpus).collect()
+    assert sorted(both) == sorted(learning.predict_bayes(learning.fit_bayes(corpus), corpus).collect())
+
+
+def test_classes_of_odd_rows(spark, three_classes):
+    odd = spark.createDataFrame([(900, None, "a"), (901, "", "b"), (902, "unheard of", "c"), (903, "alpha beta", None)], three_classes.schema)
+    model = learning.fit_classes(three_classes.union(odd))
+    got = {r.doc_id: r.prediction for r in learning.predict_classes(model, odd).collect()}
+    assert got[900] == got[901] == got[902] == "a" and got[903] in "abc"  # the most frequent class where nothing is known
+    level = spark.createDataFrame([(1, "x y", 3), (2, "x y", 2)], "doc_id BIGINT, review STRING, label INT")
+    assert {r.prediction for r in learning.predict_classes(learning.fit_classes(level, min_df=1), level).collect()} == {2}
+    with pytest.raises(learning.EmptyCorpusError):
+        learning.fit_classes(odd.filter("label IS NULL"))
+    with pytest.raises(ValueError):
+        learning.fit_classes(three_classes, most_classes=2)
