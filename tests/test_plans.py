@@ -11,7 +11,7 @@ from hearsay.operators.sentiment import label_sentiment
 PYTHON = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 PAIRING = ("CartesianProduct", "BroadcastNestedLoopJoin")
 NO_TEXT = (
-    "posts_per_hour", "posts_per_day", "event_stages", "ip_location_counts", "gender_ratio",
+    "posts_per_hour", "posts_per_day", "event_stages", "event_waves", "ip_location_counts", "gender_ratio", "percentiles_by_day",
     "interaction_p99", "top_opinion_leaders", "avg_share_conversion", "hourly_interaction_forecast",
 )
 # Several analyses of these run while the query is built; the rest are lazy plans.
