@@ -84,3 +84,19 @@ def test_large_files_are_read_by_many_tasks(spark, splits, tmp_path):
     assert _rows(df) == _own(spark, tmp_path)
     spark.conf.unset(SPLIT)
     assert "Scan csv" in tables.read_csv(spark, str(tmp_path), SCHEMA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_text_is_shuffled_but_over_the_ends_of_splits(spark, splits, tmp_path):
+    _file(tmp_path / "a.csv", 5, rows=200)
+    df = records.read_spread(spark, str(tmp_path), SCHEMA, tables.CSV_OPTIONS)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    pieces = [line for line in plan.splitlines() if "collect_list" in line]
+    assert pieces and _rows(df) == _own(spark, tmp_path)
+
+
+def test_compressed_files_are_read_whole(spark, splits, tmp_path):
+    rows = [(i, "line\n" * (i % 7) + '"', i) for i in range(300)]
+    tables.write_csv(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "z"), compression="gzip")
+    assert list((tmp_path / "z").glob("*.csv.gz")) and not records.has_large_file(spark, str(tmp_path / "z"))
+    assert _rows(tables.read_csv(spark, str(tmp_path / "z"), SCHEMA)) == sorted(rows, key=repr)
