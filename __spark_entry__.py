@@ -80,7 +80,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "csv")
     top_level, _ = fx.raw_levels(spark, sf_dir)
     text_time = F.date_format("create_date_time", "yyyy-MM-dd HH:mm:ssXXX")
-    tables.write_csv(top_level.withColumn("create_date_time", text_time), path)
+    tables.write_csv(top_level.withColumn("create_date_time", text_time), path, compression="gzip")
     raw = tables.read_top_level_csv(spark, path)
     typed = clean.to_analysis(clean.to_stored(clean.drop_columns(raw, ["user_id"])))
     return typed.select(
@@ -458,7 +458,7 @@ def clean_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both raw tables as CSV, through the cleaning job."""
     paths = [fresh_path(spark, name) for name in ("top", "replies", "cleaned")]
     for level, path in zip(fx.raw_levels(spark, sf_dir), paths):
-        tables.write_csv(_text_time(level), path)
+        tables.write_csv(_text_time(level), path, compression="gzip")
     stored = jobs.clean_comments(spark, *paths)
     names = ("created_at", "content", "likes", "comments", "shares", "ip_location", "gender")
     return tables.read_stored(spark, stored).withColumn(
