@@ -10,8 +10,9 @@ Exact copies (the same words) are joined first and go on as one.  A bucket's tex
 paired with its hub, the text that shares most buckets with others.  In buckets that then
 still hold several classes, all pairs of texts in different classes are looked at: in cells of
 two blocks of about ``BLOCK`` texts, spread over tasks, pairs go that have too few shingles
-in common to be similar, which their outlines tell without error; the others are aligned.
-Classes are the connected components of the links: no pair that meets in a bucket is left out.
+in common to be similar, which their outlines tell without error; the others are aligned there, but
+for those whose classes other links of the cell have joined by then.  So pairs stay in their cell, which gives out fewer
+links than it has texts.  Classes are the connected components of the links: those of all similar pairs that meet in a bucket.
 
 Texts without words (null, empty) and rows with a null key are in no class but their own.
 Texts of one to four words have one shingle.  Repeated rows are exact copies.  Rows that share
@@ -306,30 +307,62 @@ def possible(owns: tuple, others: tuple, least: float = SIMILARITY) -> tuple[np.
 
 
 def _outlines(bodies: DataFrame) -> DataFrame:
-    """``key, length, outline`` of ``bodies(key, body)``."""
+    """``key, length, outline, body`` of ``bodies(key, body)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sequence(body) for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in found], pa.int64()),
-                pa.array([outline(s) for s in found], pa.binary())], names=["key", "length", "outline"])
+                pa.array([outline(s) for s in found], pa.binary()), batch.column(1)], names=["key", "length", "outline", "body"])
 
-    return bodies.select("key", "body").mapInArrow(run, f"key {dict(bodies.dtypes)['key']}, length bigint, outline binary")
+    return bodies.select("key", "body").mapInArrow(run, f"key {dict(bodies.dtypes)['key']}, length bigint, outline binary, body binary")
 
 
-def _possible_pairs(members: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(u, v)`` of ``members(bucket, key, own, n)`` that meet in a bucket and may be similar.
+def joining(i: np.ndarray, j: np.ndarray, owns: list, bodies: list[bytes], least: float, step: int = 200) -> list[int]:
+    """Of the pairs of places ``(i, j)`` similar ones that join all classes ``owns`` which any similar pair joins.
 
-    A bucket of ``n`` texts is dealt into blocks; two blocks, or one by itself, are a cell.
+    A pair of texts whose classes are joined already adds nothing and is not aligned, so there
+    are fewer links than classes.
+    """
+    names = {own: k for k, own in enumerate(dict.fromkeys(owns))}
+    label = np.array([names[own] for own in owns], dtype=np.int64)  # of the class a text is in by now
+    known: dict[int, np.ndarray] = {}
+    links, waiting = [], np.arange(len(i))
+    while len(waiting):
+        waiting = waiting[label[i[waiting]] != label[j[waiting]]]
+        # One pair of every two classes first: the others of these often need no alignment then.
+        both = np.sort(np.stack([label[i[waiting]], label[j[waiting]]]), axis=0)
+        first = np.unique(both[0] * (len(names) + 1) + both[1], return_index=True)[1][:step]
+        taken = waiting[first]
+        for place in np.unique(np.concatenate([i[taken], j[taken]])).tolist():
+            if place not in known:
+                known[place] = sequence(bodies[place])
+        alike = similar([(known[a], known[b]) for a, b in zip(i[taken].tolist(), j[taken].tolist())], least)
+        for k in taken[alike].tolist():
+            a, b = label[i[k]], label[j[k]]
+            if a != b:
+                label[label == b] = a
+                links.append(k)
+        waiting = np.delete(waiting, first)
+        if len(known) > 4 * step:
+            known.clear()
+    return links
+
+
+def _cell_links(members: DataFrame, outlines: DataFrame, least: float) -> DataFrame:
+    """Similar pairs ``(u, v)`` of ``members(bucket, key, own, n)`` that meet in a bucket, enough to join their classes.
+
+    A bucket of ``n`` texts is dealt into blocks; two blocks, or one by itself, are a cell.  Pairs are verified where
+    they meet: no more links leave a cell than it has texts.
     """
     kind = dict(members.dtypes)["key"]
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).join(outlines, "key")
     cells = dealt.select("bucket", "block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other"),
-                         "key", "own", "length", "outline")
+                         "key", "own", "length", "outline", "body")
     cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                         "block", "key", "own", "length", "outline")
+                         "block", "key", "own", "length", "outline", "body")
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         block, keys, owns, lengths = (table.column(c).to_numpy() for c in ("block", "key", "own", "length"))
@@ -338,9 +371,14 @@ def _possible_pairs(members: DataFrame, outlines: DataFrame, least: float) -> Da
         sides = [np.flatnonzero(block == b) for b in (low, high)]
         lists = [(owns[s], lengths[s], [outlined[k] for k in s]) for s in sides]
         i, j = possible(*lists, least) if len(sides[0]) and len(sides[1]) else (np.zeros(0, int), np.zeros(0, int))
-        a, b = keys[sides[0][i]], keys[sides[1][j]]
-        stays = a > b if low == high else a != b
-        u, v = np.maximum(a, b)[stays], np.minimum(a, b)[stays]
+        i, j = sides[0][i], sides[1][j]
+        stays = keys[i] > keys[j] if low == high else keys[i] != keys[j]
+        i, j = i[stays], j[stays]
+        if len(i):
+            found = np.array(joining(i, j, owns.tolist(), table.column("body").to_pylist(), least), dtype=np.int64)
+            i, j = i[found], j[found]
+        a, b = keys[i], keys[j]
+        u, v = np.maximum(a, b), np.minimum(a, b)
         return pa.RecordBatch.from_arrays([pa.array(u, table.schema.field("key").type), pa.array(v, table.schema.field("key").type)],
                                           names=["u", "v"])
 
@@ -421,9 +459,8 @@ def _classed(docs: DataFrame, key: str, least: float) -> DataFrame:
         several = _open(members, merged)
         if not several.isEmpty():
             needed = several.select(F.col("key").alias("u"), F.col("key").alias("v"))
-            bodies = _bodies(rows, needed)
-            rest = written(_possible_pairs(several, written(_outlines(bodies), "outlines"), least), "pairs")
-            found = written(verified(bodies, rest, least), "links")
+            outlines = written(_outlines(_bodies(rows, needed)), "outlines")
+            found = written(_cell_links(several, outlines, least), "links")
             if not found.isEmpty():
                 links = links.unionByName(found)
                 merged = written(components(links), "components")

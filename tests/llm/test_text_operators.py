@@ -427,3 +427,16 @@ def test_held_out_languages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = op10_language(spark, sf_dir).filter("held_out").join(docs, "doc_id").collect()
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.9
+
+
+def test_a_cell_gives_out_fewer_links_than_texts():
+    base = [f"w{i}" for i in range(60)]
+    groups = [[" ".join([*base, *(f"x{g}y{k}" for k in range(g * 300))][:60 + g * 200] + [f"end{t}"]) for t in range(12)] for g in range(3)]
+    texts = [t for group in groups for t in group]
+    bodies = [near_dedup.zlib.compress(t.encode()) for t in texts]
+    i, j = np.triu_indices(len(texts), 1)
+    links = near_dedup.joining(i, j, list(range(len(texts))), bodies, near_dedup.SIMILARITY)
+    assert len(links) == len(texts) - 3
+    assert all(i[k] // 12 == j[k] // 12 for k in links)
+    # Classes that are joined already need no link.
+    assert len(near_dedup.joining(i, j, [k // 6 for k in range(len(texts))], bodies, near_dedup.SIMILARITY)) == 3
