@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearsay.operators.spool import spool
+from hearsay.sources.records import split_runs
+
 
 _BLANKS = " \t\r\n"
 
@@ -39,45 +46,110 @@ def _objects(value: Column, schema: T.StructType) -> Column:
     return F.filter(F.when(is_object, one).otherwise(several), lambda row: row.isNotNull())
 
 
-# Pairs that stand for an escaped backslash and an escaped quote, while quotes are looked for.
-_ESCAPES = (("\\\\", "\ufdd0"), ('\\"', "\ufdd1"))
-_PARTS = r'"[^"]*+"?|[{}\[\]]|[^"{}\[\]]++'
+#: A string, which does not go over the end of a line; a backslash with what it escapes; a bracket.
+_TOKEN = re.compile(r'"(?:[^"\\]+|\\["\\]?)*"?|\\["\\]?|[{}\[\]]')
+
+
+def _brackets(line: str) -> list[tuple[int, int]]:
+    """The places of a line's brackets outside of strings, and +1 or -1."""
+    if not any(c in line for c in "{}[]"):
+        return []
+    return [(m.start(), 1 if m[0] in "{[" else -1) for m in _TOKEN.finditer(line) if m[0] in "{}[]"]
+
+
+def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file, split, change, low, first`` of every split: by how much it ends deeper, its least depth, its first bracket."""
+    of, change, low, first = None, 0, 0, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
+            (*of, change, low, first), (pa.string(), *[pa.int64()] * 3, pa.string()))], names=["file", "split", "change", "low", "first"])
+
+    for batch in batches:
+        for found, part in split_runs(batch):
+            if found != of:
+                if of is not None:
+                    yield row()
+                of, change, low, first = found, 0, 0, None
+            for line in part.column(2).to_pylist():
+                for at, step in _brackets(line):
+                    change += step
+                    low = min(low, change)
+                    if first is None and step > 0:
+                        first = line[at]
+    if of is not None:
+        yield row()
+
+
+def _parts(pieces: bool):
+    """``file, start, split, value``: the objects that begin and end in a split, or the ``pieces`` of the others.
+
+    A piece's ``start`` is the split where its object begins.
+    """
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*rows)] or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))],
+                                          names=["file", "start", "split", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, depth, base, start, text, came = None, 0, 0, 0, None, False  # the text of the object that is open, and whether it came so
+        for batch in batches:
+            rows = []
+            for found, part in split_runs(batch):
+                if found != of:
+                    if pieces and text is not None:
+                        rows.append((of[0], start, of[1], "".join(text)))
+                    of, depth, base = found, part.column(3)[0].as_py(), part.column(4)[0].as_py()
+                    start, came = part.column(5)[0].as_py(), depth > base
+                    text = [] if came else None
+                for line in part.column(2).to_pylist():
+                    begin = 0
+                    if text is not None:
+                        text.append("\n")
+                    for at, step in _brackets(line):
+                        if step > 0 and depth == base:
+                            start, text, begin, came = of[1], [], at, False
+                        depth += step
+                        if step < 0 and depth == base and text is not None:
+                            text.append(line[begin:at + 1])
+                            if pieces == came:
+                                rows.append((of[0], start, of[1], "".join(text)))
+                            text = None
+                    if text is not None:
+                        text.append(line[begin:])
+            if rows:
+                yield made(rows)
+        if pieces and text is not None:
+            yield made([(of[0], start, of[1], "".join(text))])
+
+    return run
 
 
 def _elements(lines: DataFrame) -> DataFrame:
     """``file, value``: the objects of documents over many lines, from ``lines(file, split, n, value)``.
 
-    Strings do not go over the end of a line, so brackets are found line by line.  Their depth is a running sum,
+    Strings do not go over the end of a line, so brackets are found line by line.  Their depth is summed
     within a split and then over splits.  Objects begin at depth 0, or 1 if the file's first bracket is
-    square.  Only the lines of one object are put together.
+    square.  They are put together in their split; only the pieces of those over several splits are shuffled.
     """
-    escaped = F.col("value")
-    for pair, mark in _ESCAPES:
-        escaped = F.replace(escaped, F.lit(pair), F.lit(mark))
-    found = F.regexp_extract_all(escaped, F.lit(_PARTS), F.lit(0))
-    parts = lines.select("file", "split", "n", F.posexplode(found).alias("pos", "part"))
-    opens = F.col("part").isin("{", "[")
-    step = F.when(opens, 1).when(F.col("part").isin("}", "]"), -1).otherwise(0).cast("long")
-    running = Window.partitionBy("file", "split").orderBy("n", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("depth", F.sum(step).over(running) - step)
-    firsts = parts.filter(opens).groupBy("file").agg(F.min(F.struct("split", "n", "pos", "part")).alias("first"))
-    bases = firsts.select("file", F.when(F.col("first.part") == "[", 1).otherwise(0).alias("base"))
-    ahead = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = parts.groupBy("file", "split").agg(F.sum(step).alias("change"))
-    splits = splits.withColumn("above", F.coalesce(F.sum("change").over(ahead), F.lit(0))).drop("change")
-    placed = parts.join(splits.join(bases, "file"), ["file", "split"]).withColumn("depth", F.col("depth") + F.col("above"))
-    begins = (opens & (F.col("depth") == F.col("base"))).cast("long")
-    placed = placed.withColumn("own", F.sum(begins).over(running))
-    numbers = placed.groupBy("file", "split").agg(F.sum(begins).alias("many"))
-    numbers = numbers.withColumn("before", F.coalesce(F.sum("many").over(ahead), F.lit(0))).drop("many")
-    inside = placed.filter((F.col("depth") > F.col("base")) | (begins == 1)).join(numbers, ["file", "split"])
-    text = F.concat(F.when(F.col("pos") == 0, "\n").otherwise(""), "part").alias("part")
-    elements = inside.groupBy("file", (F.col("before") + F.col("own")).alias("element")).agg(
-        F.sort_array(F.collect_list(F.struct("split", "n", "pos", text))).alias("parts"))
-    value = F.array_join("parts.part", "")
-    for pair, mark in _ESCAPES:
-        value = F.replace(value, F.lit(mark), F.lit(pair))
-    whole = elements.select("file", value.alias("value"))
+    splits = lines.select("file", "split", "value").mapInArrow(_depths, "file string, split bigint, change bigint, low bigint, first string")
+    by_file = Window.partitionBy("file").orderBy("split")
+    ahead, every = by_file.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
+    first = F.min(F.when(F.col("first").isNotNull(), F.struct("split", "first"))).over(every)
+    splits = splits.withColumn("base", F.when(first["first"] == "[", 1).otherwise(0).cast("bigint")).withColumn(
+        "above", F.coalesce(F.sum("change").over(ahead), F.lit(0)))
+    # The object that is open at the end of a split began there, unless it was open all the time.
+    began = (F.col("above") + F.col("change") > F.col("base")) & (
+        (F.col("above") <= F.col("base")) | (F.col("above") + F.col("low") <= F.col("base")))
+    start = F.last(F.when(began, F.col("split")), ignorenulls=True).over(ahead)
+    splits = splits.select("file", "split", "above", "base", F.coalesce(start, F.lit(-1)).alias("start"))
+    placed = lines.join(F.broadcast(spool(splits, "splits")), ["file", "split"]).select("file", "split", "value", "above", "base", "start")
+    kind = "file string, start bigint, split bigint, value string"
+    several = placed.mapInArrow(_parts(pieces=True), kind).groupBy("file", "start").agg(
+        F.sort_array(F.collect_list(F.struct("split", "value"))).alias("parts"))
+    whole = placed.mapInArrow(_parts(pieces=False), kind).select("file", "value").unionByName(
+        several.select("file", F.array_join("parts.value", "").alias("value")))
     return whole.filter(F.ltrim("value", F.lit(_BLANKS)).startswith("{") & F.try_parse_json("value").isNotNull())
 
 

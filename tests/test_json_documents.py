@@ -86,3 +86,11 @@ def test_no_group_holds_a_file(spark, tmp_path):
     keys = [line.split("keys=[")[1].split("]")[0].split(", ") for line in collects]
     assert keys and all(len(k) == 2 for k in keys)  # file and number of the object
     assert "Python" not in plan
+
+
+def test_only_pieces_of_objects_are_shuffled(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(_objects(200, 11), indent=1))
+    lines = spark.read.text(str(tmp_path)).selectExpr(
+        "_metadata.file_path AS file", "_metadata.file_block_start AS split", "monotonically_increasing_id() AS n", "value")
+    plan = json_lines._elements(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
