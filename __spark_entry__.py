@@ -436,7 +436,7 @@ def learning_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = fx.comments(spark, sf_dir).select("created_at", "doc_id").join(predicted, "doc_id")
     metrics = learning.classification_metrics(test.select("doc_id", "label").join(predicted, "doc_id"))
     labels = results.comment_labels(fx.with_texts(spark, sf_dir, scored))
-    paths = results.write_results({results.ANALYSIS: labels}, fresh_path(spark, "learning"))
+    paths = results.write_results({results.ANALYSIS: labels}, fresh_path(spark, "learning"), compression="gzip")
     stored = results.read_results(spark, paths, {results.ANALYSIS: labels.schema})[results.ANALYSIS]
     per_day = stored.groupBy("date", F.col("sentiment_label").cast("string").alias("sentiment_label")).agg(
         F.count("*").alias("rows"), F.sum(F.char_length("content")).alias("chars"))

@@ -15,17 +15,20 @@ ANALYSIS, EVALUATION, TREND = (
 
 
 def write_results(
-    results: Mapping[str, DataFrame], base: str, fmt: str = "json", parallelism: int = 4
+    results: Mapping[str, DataFrame], base: str, fmt: str = "json", parallelism: int = 4, compression: str | None = None
 ) -> dict[str, str]:
     """Write every result under its name, replacing old output; returns the paths.
 
+    ``compression`` (``gzip``) is for results that hold texts.
+
     The executors write the files, and several results are written at a time, so
     the tail of one job does not leave the cluster idle.
     """
     paths = {name: f"{base.rstrip('/')}/{name}" for name in results}
 
     def write(name: str) -> None:
-        results[name].write.mode("overwrite").format(fmt).save(paths[name])
+        writer = results[name].write.mode("overwrite").format(fmt)
+        (writer.option("compression", compression) if compression else writer).save(paths[name])
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for done in [pool.submit(write, name) for name in results]:
