@@ -21,7 +21,9 @@ Tokenizer = Callable[[Column], Column]
 
 _LETTERS = r"\p{L}+"
 _ASCII_LETTERS = "[a-z]+"
-_HAN = r"\p{IsHan}"
+# The first range is part of the script, and much cheaper to look for.
+_HAN = r"[\u4e00-\u9fef\p{IsHan}]"
+_OTHER = r"[a-z[\p{L}&&[^\p{IsHan}]]]"
 # Everything from the first Han character on: a range is much cheaper to look for
 # than a script, and texts it catches needlessly give the same words.
 _MAYBE_HAN = r"[\u2e80-\x{10ffff}]"
@@ -40,10 +42,10 @@ def _han_pattern(known: Iterable[str]) -> str:
     """Known words (longest first), then other Han runs, then other letter runs."""
     ordered = sorted(set(known), key=lambda word: (-len(word), word))
     if not ordered:
-        return rf"{_HAN}+|[\p{{L}}&&[^{_HAN}]]+"
+        return rf"{_HAN}+|{_OTHER}+"
     alternatives = "|".join(ordered)
     rest = rf"(?:(?!{alternatives}){_HAN})+"
-    return rf"{alternatives}|{rest}|[\p{{L}}&&[^{_HAN}]]+"
+    return rf"{alternatives}|{rest}|{_OTHER}+"
 
 
 def _pairs(run: Column) -> Column:

@@ -27,9 +27,9 @@ LONGEST = 4
 LEAST = 20
 COHESION = 1.0
 FREEDOM = 1.0
-_RUN = r"\p{IsHan}+"
+_RUN = r"[\u4e00-\u9fef\p{IsHan}]+"
 #: Other letters form words of their own, as in ``functions.text``.
-_PIECE = r"\p{IsHan}+|[\p{L}&&[^\p{IsHan}]]+"
+_PIECE = _RUN + r"|[a-z[\p{L}&&[^\p{IsHan}]]]+"
 
 
 def _pieces(text: Column) -> Column:
