@@ -11,6 +11,9 @@ Lexicon, phrases and function are fitted on at most ``sample`` labelled rows, ch
 hash of their key; every text is scored whole.  Null texts count as empty and get the
 score of a text without matches; without labels of both kinds every score is 0.  Repeated
 rows are scored each; other columns are left out.
+
+A worker turns some ``SLICE_BYTES`` of texts at a time into strings and keeps no matches
+of the texts before, so its memory does not follow the size of the batches it is given.
 """
 
 from __future__ import annotations
@@ -20,9 +23,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,7 @@ MOST_TERMS = 2_000
 MOST_PHRASES = 500
 THRESHOLD = 0.3
 PREFIXES = range(4, 10)
+SLICE_BYTES = 1 << 20
 
 # Letters that look alike, and signs that stand for letters.
 LOOK_ALIKES = str.maketrans(
@@ -125,6 +131,31 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), hits
 
 
+def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, about ``SLICE_BYTES`` of texts (column ``text``) at a time, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for first, last in pairwise(cuts):
+        if first < last:
+            yield batch.slice(first, last - first)
+
+
+def _judged(scorer: Scorer, batch: pa.RecordBatch, threshold: float) -> Iterator[pa.RecordBatch]:
+    """``score, predicted, n_matches, terms`` instead of the last column, the text."""
+    for part in _slices(batch, batch.num_columns - 1):
+        scores, counts, terms = [], [], []
+        for text in part.column(part.num_columns - 1).to_pylist():
+            score, hits = scorer.score(text)
+            scores.append(score)
+            counts.append(len(hits))
+            terms.append(json.dumps(sorted({t.strip() for _, t in hits.values()}), ensure_ascii=False))
+        arrays = part.columns[:-1] + [
+            pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
+            pa.array(counts, pa.int64()), pa.array(terms, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[:-1], "score", "predicted", "n_matches", "terms"])
+
+
 def _log_odds(toxic, clean, n_toxic: int, n_clean: int):
     return np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
 
@@ -154,7 +185,7 @@ def _counted(sample: DataFrame, of_text, least: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, label in ((t, x) for part in _slices(batch, 0) for t, x in zip(*(c.to_pylist() for c in part.columns))):
                 counts[label].update(of_text(text))
                 if len(counts[0]) + len(counts[1]) > 100_000:
                     yield packed(counts)
@@ -236,7 +267,7 @@ def _calibrated(rows: DataFrame, terms: dict[str, float], phrases: list[str]) ->
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(*shared.value)
         for batch in batches:
-            found = [lexicon.features(fold(t)) for t in batch.column(0).to_pylist()]
+            found = [lexicon.features(fold(t)) for part in _slices(batch, 0) for t in part.column(0).to_pylist()]
             columns = {f"x{k}": pa.array([f[k] for f in found], pa.float64()) for k in range(3)}
             yield pa.record_batch({**columns, "label": batch.column(1).cast(pa.int32())})
 
@@ -265,14 +296,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            scores = [s for s, _ in found]
-            counts = [len(hits) for _, hits in found]
-            terms = [json.dumps(sorted({t.strip() for _, t in hits.values()}), ensure_ascii=False) for _, hits in found]
-            arrays = batch.columns[:-1] + [
-                pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                pa.array(counts, pa.int64()), pa.array(terms, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "score", "predicted", "n_matches", "terms"])
+            yield from _judged(scorer, batch, threshold)
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry))
     return taken.mapInArrow(run, f"{schema}, score double, predicted int, n_matches bigint, terms string")
@@ -286,6 +310,7 @@ def accepted(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            for part in _slices(batch, at):
+                yield part.filter(pa.array([scorer.score(t)[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -347,6 +348,25 @@ def test_toxicity_of_odd_rows(odd_docs, no_docs, odd_rows):
     assert toxicity.score(no_docs, toxicity.fit(no_docs, known)).count() == 0
 
 
+def test_toxicity_of_a_large_batch_takes_little_memory():
+    scorer = toxicity.Scorer({"terms": {" bad": 1.0, " wo": 0.5}, "phrases": [], "weights": [-2.0, 0.5, 0.5, 0.5]})
+    texts = [None, "", *(f"bad word {i} " * 200 for i in range(1500)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    texts = [(t or "")[:40] for t in texts]
+    rows = 0
+    tracemalloc.start()
+    try:
+        for part in toxicity._judged(scorer, batch, 0.3):
+            assert part.column(0).to_pylist() == list(range(rows, rows + len(part)))
+            assert part.column(3).to_pylist() == [400 if t else 0 for t in texts[rows:rows + len(part)]]
+            rows += len(part)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # All matches of the batch at once take 100 MB, its texts as strings 4 MB.
+    assert rows == len(texts) and peak < 8 << 20
+
+
 # --- fingerprints ---
 
 
