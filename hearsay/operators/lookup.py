@@ -7,7 +7,9 @@ measured before anything is broadcast:
   one partial sum per text;
 * beyond it, the most frequent words that fit the bound are broadcast.  They
   settle most tokens (and all hot words the corpus knows) on the map side; only the
-  open rest, summed per text and word, is shuffled and joined to the remaining words.
+  open rest is shuffled, once by word to meet the remaining words, and what weighs
+  something there once more by text.  Open tokens are not summed by text and word
+  before: few repeat in a text, so that would be one more shuffle of nearly all of them.
 
 Both ways give the same sums.
 """
@@ -103,15 +105,13 @@ def score_columns(
         head = head.filter(matters)
     known = tokens.join(F.broadcast(head.select("word", *columns)), "word", "left")
     gains = [F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0)).alias(c) for c in columns]
+    settled = known.groupBy(*ids).agg(*gains)  # has every text
     if tail is None:
-        return known.groupBy(*ids).agg(*gains)
+        return settled
 
-    open_word = F.when(F.col(columns[0]).isNull(), F.col("word"))
-    reduced = known.groupBy(*ids, open_word.alias("open_word")).agg(*gains, F.sum("sign").alias("net"))
-    settled = reduced.filter("open_word IS NULL").select(*ids, *columns)
-    left = reduced.filter("open_word IS NOT NULL").select(*ids, "net", F.col("open_word").alias("word"))
+    left = known.filter(F.col(columns[0]).isNull() & F.col("word").isNotNull() & (F.col("sign") != 0))
     right = tail.filter(matters).select("word", *columns)
     # A hot word unknown to the corpus: adaptive execution splits the large side of this join.
-    joined = left.join(right, "word", "left")
-    rest = joined.select(*ids, *[(F.col("net") * F.coalesce(c, F.lit(0))).alias(c) for c in columns])
+    joined = left.select(*ids, "sign", "word").join(right, "word")
+    rest = joined.select(*ids, *[(F.col("sign") * F.coalesce(c, F.lit(0))).alias(c) for c in columns])
     return settled.unionByName(rest).groupBy(*ids).agg(*[F.sum(c).alias(c) for c in columns])

@@ -98,3 +98,21 @@ def test_a_large_lexicon_is_joined_beside_its_frequent_words(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
+
+
+def test_open_words_are_shuffled_by_word_only(spark):
+    """Not summed by text and word first, which would be one more shuffle of them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(label_sentiment(_comments(spark), _lexicon(spark), bound=lookup.Bound(rows=1)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text.split("Initial Plan")[0])]
+    assert {k.rsplit(", ", 1)[0] for k in keys} == {"comment_id", "word"}
+
+
+def test_texts_of_open_words_only_are_kept(spark):
+    tokens = spark.createDataFrame([(1, "bad"), (1, "new"), (2, "new"), (None, "bad"), (3, None)], "id BIGINT, word STRING")
+    weights = _lexicon(spark).withColumnRenamed("polarity", "weight")
+    sums = lookup.score_tokens(tokens.selectExpr("*", "2 AS sign"), weights, ["id"], lookup.Bound(rows=1))
+    assert {tuple(r) for r in sums.collect()} == {(1, -2), (2, 0), (3, 0), (None, -2)}
