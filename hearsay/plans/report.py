@@ -52,11 +52,12 @@ def explore(
         tokens = words.occurrences(comments.select(key, "content", high.alias("high")), stop_words, tokenizer, carry=["high"])
         found = tokens.groupBy("word").agg(F.count("*").alias("count"), F.count_if("high").alias("high"))
     else:
-        # Words are counted by text first, in its task, and then weighed by the text's comments.
-        tokens = words.occurrences(texts, stop_words, tokenizer, carry=["doc_id"]).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+        # A text meets the number of its comments, and then its words weigh as much.  Words by text are many
+        # times the rows of the texts: they are never shuffled, only totals by word are.
         uses = labelled.groupBy("doc_id").agg(F.count("*").alias("uses"), F.count_if(high).alias("high"))
-        found = tokens.join(uses, "doc_id").groupBy("word").agg(
-            F.sum(F.col("n") * F.col("uses")).alias("count"), F.sum(F.col("n") * F.col("high")).alias("high"))
+        used = texts.select("doc_id", "content").join(uses.hint("shuffle_hash"), "doc_id")
+        found = words.occurrences(used, stop_words, tokenizer, carry=["uses", "high"]).groupBy("word").agg(
+            F.sum("uses").alias("count"), F.sum("high").alias("high"))
     word_totals = spool(found, "words")
     grouped = spool(totals.totals(labelled, tz), "totals")
     of = lambda name: totals.of(grouped, name)

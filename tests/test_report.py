@@ -1,5 +1,7 @@
 """The report reads texts twice; its results are those of the single analyses."""
 
+import re
+
 import pytest
 
 from hearsay import fixtures as fx
@@ -48,6 +50,16 @@ def test_totals_of_shared_texts_are_the_same(spark, sf_dir, parts):
         assert rows(others[name]) == rows(analyses[name]), name
 
 
+def test_words_of_shared_texts_are_shuffled_as_totals_only(spark, sf_dir, parts, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(report, "spool", lambda df, name: kept.setdefault(name, spool(df, name)) and kept.update({f"{name} from": df}) or kept[name])
+    texts = fx.texts(spark, sf_dir).withColumnRenamed("comment_id", "doc_id")
+    report.explore(fx.comments(spark, sf_dir), parts[1], fx.STOP_WORDS, fx.NEGATIONS, fx.ALIASES, texts=texts)
+    plan = kept["words from"]._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert keys and not [k for k in keys if "doc_id" in k and "word" in k]
+
+
 def test_grouped_results_are_those_of_single_analyses(parts):
     comments, lexicon, analyses = parts
     single = {
