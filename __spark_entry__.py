@@ -377,6 +377,7 @@ def nb_predictions_small_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nb_three_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three classes of the lexicon, learned from four fifths of the documents."""
     labels = sentiment_labels(spark, sf_dir).select(F.col("comment_id").alias("doc_id"), F.col("sentiment").alias("label"))
+    labels = spool(labels, "labels")  # read twice: for the classes, and with the texts
     reviews = _all_reviews(spark, sf_dir)
     train, _ = learning.key_split(reviews.join(labels, "doc_id"), "doc_id")
     return learning.predict_classes(learning.fit_classes(train), reviews)

@@ -12,6 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from hearsay import fixtures as fx
 from hearsay.functions import text as txt
 from hearsay.operators import lookup
@@ -69,6 +70,14 @@ def test_a_vocabulary_beyond_the_bound_predicts_the_same(corpus, bound):
     )
 
 
+def test_labels_of_three_classes_are_made_once(spark, sf_dir, monkeypatch):
+    trained, fit = [], learning.fit_classes
+    monkeypatch.setattr(learning, "fit_classes", lambda train: trained.append(train) or fit(train))
+    entry.nb_three_classes(spark, sf_dir)
+    # The training rows are read twice, and no text is tokenised for their labels.
+    assert "octet_length(" not in trained[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_term_statistics(spark):
     train = spark.createDataFrame([("a a b", 1), ("a c", 0), (None, 0)], "review STRING, label INT")
     rows = {tuple(r) for r in learning.term_statistics(train).collect()}
