@@ -10,9 +10,10 @@ and of its own add-one count, in one of several proportions, and a text's is the
 mixture over these: a score can fall behind the base score by log10 of their number at most.
 
 Neither the tree nor the words of the training texts have a bound, so they do not go to the
-texts.  Each block of texts asks once for each of its distinct words and strings of bytes; words'
-counts are summed by word, strings are answered by slices of the tree, and the answers go
-back to the blocks.  A word so has one row per block at most, a slice one per block.
+texts.  Each block of texts asks once for each of its distinct words, and for each of its distinct
+strings of bytes that is not among the frequent ones, which all tasks hold.  Words' counts are summed
+by slices of their hashes, strings are answered by slices of the tree, and the answers go back to
+the blocks.  Questions and answers travel packed, in one row per block and slice.
 
 Null texts count as empty: no words, one end.  Repeated rows count as often as they occur and
 are scored each.  Other columns are left out.
@@ -21,12 +22,12 @@ are scored each.  Other columns are left out.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm import suffix_tree
@@ -36,7 +37,9 @@ from hearsay.llm.tables import as_text, written
 
 SHARES = (0.0, 0.05, 0.2, 0.5, 0.8)  # of the tree in a word's probability; the rest is the word's count
 BLOCK_BYTES = 2 << 20
-TASK_BLOCKS = 1  # scored by one task, whatever their deflated size
+SLICE_BLOCKS = 32  # blocks for every slice of words
+LEAST_SLICES = 32
+TASK_BLOCKS = 1  # scored by one task, whatever their compressed size
 
 
 def blended(base: np.ndarray, tree: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -54,7 +57,7 @@ def blended(base: np.ndarray, tree: np.ndarray, owner: np.ndarray, n: int) -> np
 
 
 def blocks(docs: DataFrame, key: str) -> DataFrame:
-    """``block, keys, held_out, body``: runs of texts in one row each, deflated."""
+    """``block, keys, held_out, body``: runs of texts in one row each, compressed."""
     kind = dict(docs.dtypes)[key]
     taken = docs.select(F.col(key).alias("key"), F.col("held_out"), as_text().alias("text"))
 
@@ -64,7 +67,7 @@ def blocks(docs: DataFrame, key: str) -> DataFrame:
         for first, last, part, ends in chunks(data, limits, BLOCK_BYTES):
             row = {"block": [uuid.uuid4().int & ((1 << 63) - 1)], "keys": [batch.column(0).slice(first, last - first).to_pylist()],
                    "held_out": [batch.column(1).slice(first, last - first).to_pylist()],
-                   "limits": [ends.tolist()], "body": [zlib.compress(part.tobytes(), 1)]}
+                   "limits": [ends.tolist()], "body": [_codec().compress(part.tobytes(), asbytes=True)]}
             yield pa.RecordBatch.from_pydict(row, schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +87,13 @@ def blocks(docs: DataFrame, key: str) -> DataFrame:
     return taken.mapInArrow(run, f"block bigint, keys array<{kind}>, held_out array<boolean>, limits array<bigint>, body binary")
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
 def _texts(body: bytes, limits) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(zlib.decompress(body), dtype=np.uint8), np.asarray(limits, dtype=np.int64)
+    limits = np.asarray(limits, dtype=np.int64)
+    return np.frombuffer(_codec().decompress(body, int(limits[-1]), asbytes=True), dtype=np.uint8), limits
 
 
 def _tokens(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,25 +106,74 @@ def _tokens(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _asked(table: DataFrame) -> DataFrame:
-    """``word, block, n``: the distinct words of every block and their counts in its training texts."""
+def _counted(data: np.ndarray, limits: np.ndarray, held_out: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts, their counts in the training texts, and word and text of every token."""
+    learned = ~np.asarray(held_out.to_numpy(zero_copy_only=False), dtype=bool)
+    hashes, owner = _tokens(data, limits)
+    word, place = np.unique(hashes, return_inverse=True)
+    return word, np.bincount(place, weights=learned[owner], minlength=len(word)).astype(np.int64), place, owner
+
+
+def _asked_words(table: DataFrame, n_slices: int) -> DataFrame:
+    """``slice, block, words, counts``: the distinct words of every block and their counts in its training texts, packed."""
+    cuts = np.array([(k << 64) // n_slices for k in range(n_slices)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                data, limits = _texts(batch.column(2)[i].as_py(), batch.column(3)[i].values)
-                learned = ~np.asarray(batch.column(1)[i].values.to_numpy(zero_copy_only=False), dtype=bool)
-                hashes, owner = _tokens(data, limits)
-                word, place = np.unique(hashes, return_inverse=True)
-                n = np.bincount(place, weights=learned[owner], minlength=len(word)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.full(len(word), batch.column(0)[i].as_py())),
-                                                  pa.array(n)], names=["word", "block", "n"])
+                word, n, _, _ = _counted(*_texts(batch.column(2)[i].as_py(), batch.column(3)[i].values), batch.column(1)[i].values)
+                at = np.append(np.searchsorted(word, cuts), len(word))
+                filled = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(filled, pa.int64()), pa.array(np.full(len(filled), batch.column(0)[i].as_py()), pa.int64()),
+                     pa.array([suffix_tree.packed_grams(word[at[k]:at[k + 1]]) for k in filled], pa.binary()),
+                     pa.array([suffix_tree.packed_numbers(n[at[k]:at[k + 1]]) for k in filled], pa.binary())],
+                    names=["slice", "block", "words", "counts"])
 
-    return table.select("block", "held_out", "body", "limits").mapInArrow(run, "word bigint, block bigint, n bigint")
+    return table.select("block", "held_out", "body", "limits").mapInArrow(run, "slice bigint, block bigint, words binary, counts binary")
 
 
-def _asked_grams(table: DataFrame, tree: suffix_tree.Tree) -> DataFrame:
-    """``block, slice, body``: the distinct strings of every block, by the slice that answers them."""
+def _counted_words(asked: DataFrame, n_slices: int) -> DataFrame:
+    """``slice, block, body, n, v``: how often the words of ``_asked_words`` occur in the training texts of other blocks.
+
+    ``n`` and ``v`` sum up to all training words and the distinct ones.  A task holds the questions to one slice, packed.
+    """
+
+    def answer(of: int, asking: list, held: list) -> pa.RecordBatch:
+        words, totals = suffix_tree.summed(held)
+        bodies = []
+        for _, asked_words, counts in asking:
+            own = suffix_tree.unpacked_numbers(counts, np.int64)
+            bodies.append(suffix_tree.packed_numbers(totals[np.searchsorted(words, suffix_tree.unpacked_grams(asked_words))] - own))
+        n, v = (np.zeros(len(asking), np.int64) for _ in range(2))
+        n[0], v[0] = totals.sum(), (totals > 0).sum()
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(asking), of)), pa.array([block for block, _, _ in asking], pa.int64()),
+                                           pa.array(bodies, pa.binary()), pa.array(n), pa.array(v)], names=["slice", "block", "body", "n", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, asking, held, size, least = None, [], [], 0, suffix_tree.HELD_GRAMS
+        for batch in batches:
+            for part, *row in zip(*(column.to_pylist() for column in batch.columns)):
+                if part != of and asking:
+                    yield answer(of, asking, held)
+                    asking, held, size, least = [], [], 0, suffix_tree.HELD_GRAMS
+                of = part
+                asking.append(row)
+                held.append((suffix_tree.unpacked_grams(row[1]), suffix_tree.unpacked_numbers(row[2], np.int64)))
+                size += len(held[-1][0])
+                if size > least:  # what is held stays near the number of distinct words
+                    held = [suffix_tree.summed(held)]
+                    size = len(held[0][0])
+                    least = size + max(size, suffix_tree.HELD_GRAMS)
+        if asking:
+            yield answer(of, asking, held)
+
+    lined = asked.repartition(n_slices, "slice").sortWithinPartitions("slice")
+    return lined.mapInArrow(run, "slice bigint, block bigint, body binary, n bigint, v bigint")
+
+
+def _asked_grams(table: DataFrame, tree: suffix_tree.Tree, often: Broadcast) -> DataFrame:
+    """``block, slice, body``: the distinct strings of every block that are not frequent, by the slice that answers them."""
     depth, n_slices = tree.depth, tree.n_slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +181,12 @@ def _asked_grams(table: DataFrame, tree: suffix_tree.Tree) -> DataFrame:
             for i in range(len(batch)):
                 data, limits = _texts(batch.column(1)[i].as_py(), batch.column(2)[i].values)
                 found = distinct_grams(_normalised(data, limits), depth)
+                found = found[~suffix_tree.places(often.value[0], found)[0]]
                 at = suffix_tree.slice_limits(found, n_slices)
                 filled = np.flatnonzero(np.diff(at))
                 bodies = [suffix_tree.packed_grams(found[at[k]:at[k + 1]]) for k in filled]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), batch.column(0)[i].as_py())), pa.array(filled),
-                                                  pa.array(bodies, pa.binary())], names=["block", "slice", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(filled), batch.column(0)[i].as_py()), pa.int64()),
+                                                  pa.array(filled, pa.int64()), pa.array(bodies, pa.binary())], names=["block", "slice", "body"])
 
     return table.select("block", "body", "limits").mapInArrow(run, "block bigint, slice bigint, body binary")
 
@@ -138,30 +196,33 @@ def _normalised(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarr
         yield normalised(part, ends)[:2]
 
 
-def _looked_up(asked: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The values of ``wanted``, all of which are in ``asked``; sorted first, so that the search is local."""
-    order = np.argsort(wanted, kind="stable")
-    lined = wanted[order]
-    first = np.ones(len(lined), dtype=bool)
-    first[1:] = lined[1:] != lined[:-1]
-    out = np.empty(len(wanted))
-    out[order] = values[np.searchsorted(asked, lined[first])][np.cumsum(first) - 1]
-    return out
-
-
-def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, often: tuple, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every word, its blank included, and of every text's end.
 
-    ``values`` are the answers to the texts' ``distinct_grams``, in their order.
+    ``answers`` are those to the texts' ``distinct_grams`` that are not among the ``often`` ones, in their order.
     """
-    asked, values = distinct_grams(_normalised(data, limits), depth), values.astype(np.float64)
-    of_words, of_ends = [], []
+    parts, every = [], []
     for _, _, part, cuts in chunks(data, limits):
         text, stops_of_texts, (begins, stops) = normalised(part, cuts)
-        found = _looked_up(asked, values, suffix_tree.turned(grams(text, stops_of_texts, depth + 1)))
-        sums = np.concatenate(([0.0], np.cumsum(found)))
+        every.append(suffix_tree.turned(grams(text, stops_of_texts, depth + 1)))
+        parts.append((stops_of_texts, begins, stops))
+    wanted = np.concatenate(every)
+    order = np.argsort(wanted)
+    lined = wanted[order]
+    first = np.ones(len(lined), dtype=bool)
+    first[1:] = lined[1:] != lined[:-1]
+    asked = lined[first]
+    hit, at = suffix_tree.places(often[0], asked)
+    values = np.empty(len(asked))
+    values[hit], values[~hit] = often[1][at], answers
+    found = np.empty(len(wanted))
+    found[order] = values[np.cumsum(first) - 1]
+    of_words, of_ends, begun = [], [], 0
+    for (stops_of_texts, begins, stops), own in zip(parts, every):
+        sums = np.concatenate(([0.0], np.cumsum(found[begun:begun + len(own)])))
         of_words.append(sums[stops] - sums[begins])
-        of_ends.append(found[stops_of_texts[1:] - 1])
+        of_ends.append(found[begun + stops_of_texts[1:] - 1])
+        begun += len(own)
     return np.concatenate(of_words), np.concatenate(of_ends)
 
 
@@ -174,18 +235,26 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     tree = suffix_tree.fit(docs.filter(~F.col("held_out")).select(as_text().alias("text")), **options)
     depth = tree.depth
     table = written(blocks(docs, key), "blocks")
-    asked = _asked(table).withColumn("c", F.sum("n").over(Window.partitionBy("word")))
-    answers = written(asked.filter("c > 0"), "answers")
-    sizes = answers.agg(F.sum("n").alias("n")).join(answers.groupBy("word").agg(F.lit(1)).agg(F.count("*").alias("v")))
+    # Dealt into a stated number of partitions, which are not merged by their compressed size.
+    n_blocks = table.count()
+    parts, n_slices = n_blocks // TASK_BLOCKS + 1, LEAST_SLICES + n_blocks // SLICE_BLOCKS
+    answers = written(_counted_words(_asked_words(table, n_slices), n_slices), "answers")
+    known, kinds = answers.agg(F.sum("n"), F.sum("v")).first()
     ends = docs.agg(F.count_if(~F.col("held_out"))).first()[0]
-    known, kinds = sizes.first()
     tokens, vocabulary = int(known or 0) + int(ends), int(kinds or 0) + (1 if ends else 0)
-    # Dealt into a stated number of partitions, which are not merged by their deflated size.
-    parts = table.count() // TASK_BLOCKS + 1
-    lists = answers.select("block", "word", "c").repartition(parts, "block").groupBy("block").agg(
-        F.collect_list("word").alias("words"), F.collect_list("c").alias("counts"))
-    priced = suffix_tree.answered(_asked_grams(table, tree), tree).repartition(parts, "block").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("slice", F.col("body").alias("value")))).alias("values"))
+    often = docs.sparkSession.sparkContext.broadcast(tree.often)
+
+    def by_block(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("block", "slice", "body").repartition(parts, "block").groupBy("block").agg(
+            F.sort_array(F.collect_list(F.struct("slice", F.col("body").alias("value")))).alias(name))
+
+    lists = by_block(answers, "counts")
+    priced = by_block(suffix_tree.answered(_asked_grams(table, tree, often), tree), "values")
+
+    def answered(column: pa.ListArray, i: int, kind) -> np.ndarray:
+        rows = column[i].values
+        bodies = rows.field(1).to_pylist() if rows is not None else []
+        return np.concatenate([np.zeros(0, kind), *(suffix_tree.unpacked_numbers(body, kind) for body in bodies)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = np.log10(tokens + vocabulary + 1)
@@ -194,20 +263,12 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
             for i in range(len(batch)):
                 data, limits = _texts(batch.column(2)[i].as_py(), batch.column(3)[i].values)
                 n = len(limits) - 1
-                hashes, owner = _tokens(data, limits)
-                listed = batch.column(4)[i].values
-                count = np.zeros(len(hashes), dtype=np.int64)
-                if listed is not None and len(listed):
-                    word = listed.to_numpy().view(np.uint64)
-                    order = np.argsort(word)
-                    word, c = word[order], batch.column(5)[i].values.to_numpy()[order]
-                    at = np.minimum(np.searchsorted(word, hashes), len(word) - 1)
-                    count = np.where(word[at] == hashes, c[at], 0)
+                _, own, place, owner = _counted(data, limits, batch.column(1)[i].values)
+                count = (own + answered(batch.column(4), i, np.int64))[place]
                 plain = np.log10(count + 1) - scale
                 base = np.bincount(owner, weights=plain, minlength=n) + end
                 known_words = np.bincount(owner, weights=count > 0, minlength=n).astype(np.int64) + (1 if ends else 0)
-                answered = b"".join(map(zlib.decompress, batch.column(6)[i].values.field(1).to_pylist()))
-                tree_words, tree_ends = tree_scores(data, limits, depth, np.frombuffer(answered, dtype=np.float32))
+                tree_words, tree_ends = tree_scores(data, limits, depth, often.value, answered(batch.column(5), i, np.float32))
                 alone = np.bincount(owner, weights=tree_words, minlength=n) + tree_ends
                 value = blended(np.concatenate([plain, np.full(n, end)]), np.concatenate([tree_words, tree_ends]),
                                 np.concatenate([owner, np.arange(n)]), n)
@@ -218,6 +279,6 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
                     names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "tree_score"])
 
     joined = table.repartition(parts, "block").join(lists, "block", "left").join(priced, "block", "left").select(
-        "keys", "held_out", "body", "limits", "words", "counts", "values")
+        "keys", "held_out", "body", "limits", "counts", "values")
     return joined.mapInArrow(run, f"`{key}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                                   "base_score double, score double, tree_score double")

@@ -13,7 +13,11 @@ from its part of the summed counts; no number of contexts is dropped, and nothin
 tree passes the driver but the counts after single bytes (65,536 numbers at most).  The
 number of slices grows with the texts.  A pair of bytes is in one slice, whose size is that of
 the distinct strings that end in this pair and a byte.  Strings travel packed: in an order
-where neighbours are in the same state, and deflated.
+where neighbours are in the same state, and compressed.
+
+Strings that the training texts hold once in ``OFTEN_BYTES`` or more often are at most about
+as many as these bytes, however large the texts.  Their probabilities are taken from
+the slices and held by all tasks; only other strings are asked for.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ SLICE_BYTES = 4 << 20  # of text for every slice
 LEAST_SLICES = 32
 HELD_GRAMS = 3_000_000
 PAIRS = -1
-SALTS = 4  # tasks that share the questions to one slice
+OFTEN_BYTES = 4 << 20
 BLANK, END = 32, 10
 _SPREAD = 40503
 
@@ -69,10 +73,10 @@ def grams(text: np.ndarray, cuts: np.ndarray, size: int) -> np.ndarray:
     padded = np.zeros(len(text) + size * n, dtype=np.uint64)
     padded[cuts[:-1] + size * np.arange(1, n + 1) - 1] = END
     padded[place] = text
-    out = padded[place]
+    out = padded.copy()
     for k in range(1, size):
-        out |= padded[place - k] << np.uint64(8 * k)
-    return out
+        out[k:] |= padded[:-k] << np.uint64(8 * k)
+    return out[place]
 
 
 def _low(values: np.ndarray, size: int) -> np.ndarray:
@@ -84,12 +88,16 @@ def _low(values: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tree:
-    """``slices(slice, body)``; ``root[a, b]`` is the smoothed probability of byte b after byte a."""
+    """``slices(slice, body, often)``; ``root[a, b]`` is the smoothed probability of byte b after byte a.
+
+    ``often``: the frequent grams, turned and sorted, and the log10 probabilities of their last bytes.
+    """
 
     depth: int
     root: np.ndarray
     slices: DataFrame
     n_slices: int
+    often: tuple[np.ndarray, np.ndarray]
 
 
 def gram_counts(docs: DataFrame, depth: int, n_slices: int) -> DataFrame:
@@ -102,7 +110,7 @@ def gram_counts(docs: DataFrame, depth: int, n_slices: int) -> DataFrame:
         pairs = summed([(_low(_straight(values), 2), counts)])
         at = slice_limits(values, n_slices)
         filled = np.flatnonzero(np.diff(at))
-        bodies = [pickle.dumps((packed_grams(values[at[k]:at[k + 1]]), zlib.compress(counts[at[k]:at[k + 1]].tobytes(), 1)))
+        bodies = [pickle.dumps((packed_grams(values[at[k]:at[k + 1]]), packed_numbers(counts[at[k]:at[k + 1]])))
                   for k in filled]
         return pa.RecordBatch.from_arrays([pa.array([PAIRS, *filled.tolist()], pa.int64()), pa.array(
             [pickle.dumps(pairs), *bodies], pa.binary())], names=["slice", "body"])
@@ -150,7 +158,7 @@ def summed(held) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values in order and the sums of their counts."""
     values = np.concatenate([v for v, _ in held])
     counts = np.concatenate([n for _, n in held])
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     values, counts = values[order], counts[order]
     first = run_starts(values)
     return values[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -180,13 +188,25 @@ def slice_limits(values: np.ndarray, n_slices: int) -> np.ndarray:
     return np.append(np.searchsorted(values, first.astype(np.uint64) << np.uint64(48)), len(values))
 
 
+def packed_numbers(values: np.ndarray) -> bytes:
+    """Numbers of a fixed size, compressed, and how many: their first bytes, then their second ones and so on."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unpacked_numbers(body: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(body[:4], "little"), np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(body[4:], n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def packed_grams(values: np.ndarray) -> bytes:
-    """Sorted turned grams as deflated differences."""
-    return zlib.compress(np.diff(values, prepend=np.uint64(0)).tobytes(), 1)
+    """Sorted turned grams, or other sorted 64-bit values, as compressed differences."""
+    return packed_numbers(np.diff(values, prepend=np.uint64(0)))
 
 
-def _unpacked(body: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(body), dtype=np.uint64), dtype=np.uint64)
+def unpacked_grams(body: bytes) -> np.ndarray:
+    return np.cumsum(unpacked_numbers(body, np.uint64), dtype=np.uint64)
 
 
 def first_order(after_one: np.ndarray) -> np.ndarray:
@@ -237,13 +257,18 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, lea
     n_slices = min(1 << 16, LEAST_SLICES + size // SLICE_BYTES)
     counted = written(gram_counts(docs, depth, n_slices), "grams")
     after_one = _pair_counts(counted)
-    shared = docs.sparkSession.sparkContext.broadcast(after_one)
+    root = first_order(after_one)
+    shared = docs.sparkSession.sparkContext.broadcast((after_one, root))
+    least_often = max(1, -(-size // OFTEN_BYTES))
 
     def grow(of: int, held: list) -> pa.RecordBatch:
         values, counts = summed(held)
-        levels = grown(_straight(values), counts, shared.value, depth, least_count, least_gain)
-        return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([zlib.compress(pickle.dumps(levels), 1)], pa.binary())],
-                                          names=["slice", "body"])
+        after, first = shared.value
+        levels = grown(_straight(values), counts, after, depth, least_count, least_gain)
+        often = values[counts >= least_often]
+        priced = pickle.dumps((packed_grams(often), packed_numbers(log_probabilities(levels, first, often)))) if len(often) else None
+        return pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([zlib.compress(pickle.dumps(levels), 1)], pa.binary()),
+                                           pa.array([priced], pa.binary())], names=["slice", "body", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, held, size, least = None, [], 0, HELD_GRAMS
@@ -254,7 +279,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, lea
                     held, size, least = [], 0, HELD_GRAMS
                 of = part
                 values, counts = pickle.loads(batch.column(1)[i].as_py())
-                held.append((_unpacked(values), np.frombuffer(zlib.decompress(counts), dtype=np.int64)))
+                held.append((unpacked_grams(values), unpacked_numbers(counts, np.int64)))
                 size += len(held[-1][0])
                 if size > least:  # what is held stays near the number of distinct grams
                     held = [summed(held)]
@@ -264,7 +289,17 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_count: int = LEAST_COUNT, lea
             yield grow(of, held)
 
     lined = counted.filter(F.col("slice") != PAIRS).repartition(n_slices, "slice").sortWithinPartitions("slice")
-    return Tree(depth, first_order(after_one), written(lined.mapInArrow(run, "slice bigint, body binary"), "slices"), n_slices)
+    slices = written(lined.mapInArrow(run, "slice bigint, body binary, often binary"), "slices")
+    return Tree(depth, root, slices, n_slices, _often(slices))
+
+
+def _often(slices: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    held = [pickle.loads(body) for body in slices.filter("often IS NOT NULL").select("often").toArrow().column(0).to_pylist()]
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    values = np.concatenate([unpacked_grams(body) for body, _ in held])
+    order = np.argsort(values)
+    return values[order], np.concatenate([unpacked_numbers(body, np.float32) for _, body in held])[order]
 
 
 # --- asking ------------------------------------------------------------------------------
@@ -286,6 +321,20 @@ def probabilities(levels: list, root: np.ndarray, asked: np.ndarray) -> np.ndarr
     return p
 
 
+def log_probabilities(levels: list, root: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """log10 probabilities (32-bit) of turned grams."""
+    return np.log10(probabilities(levels, root, _straight(asked))).astype(np.float32)
+
+
+def places(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``asked`` are among the sorted ``values``, and where these are."""
+    if not len(values):
+        return np.zeros(len(asked), dtype=bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    hit = values[at] == asked
+    return hit, at[hit]
+
+
 def _distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[run_starts(values)]
@@ -298,16 +347,14 @@ def distinct_grams(texts: Iterator[tuple[np.ndarray, np.ndarray]], depth: int) -
 
 
 def answered(asked: DataFrame, tree: Tree) -> DataFrame:
-    """``block, slice, body``: log10 probabilities (32-bit, deflated) for ``asked(block, slice, body)``, packed grams.
+    """``block, slice, body``: log10 probabilities (32-bit, packed) for ``asked(block, slice, body)``, packed grams.
 
     A task reads a slice of the tree, then the questions to it one after the other: it holds
     one slice and one batch of questions, however many blocks ask.
     """
-    model = tree.slices.select(F.col("slice"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"),
-                               F.lit(None).cast("bigint").alias("block"), "body")
-    asking = asked.select("slice", F.pmod("block", F.lit(SALTS)).cast("bigint").alias("salt"), "block", "body")
-    lined = model.unionByName(asking).repartition(tree.n_slices, "slice", "salt").sortWithinPartitions(
-        "slice", "salt", F.col("block").asc_nulls_first())
+    model = tree.slices.select("slice", F.lit(None).cast("bigint").alias("block"), "body")
+    lined = model.unionByName(asked.select("slice", "block", "body")).repartition(tree.n_slices, "slice").sortWithinPartitions(
+        "slice", F.col("block").asc_nulls_first())
     root = asked.sparkSession.sparkContext.broadcast(tree.root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +366,8 @@ def answered(asked: DataFrame, tree: Tree) -> DataFrame:
                 if block is None:
                     levels, of = pickle.loads(zlib.decompress(body)), part
                     continue
-                p = probabilities(levels if of == part else [], root.value, _straight(_unpacked(body)))
-                for column, value in zip(out, (block, part, zlib.compress(np.log10(p).astype(np.float32).tobytes(), 1))):
+                p = log_probabilities(levels if of == part else [], root.value, unpacked_grams(body))
+                for column, value in zip(out, (block, part, packed_numbers(p))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
                                              names=["block", "slice", "body"])

@@ -225,6 +225,47 @@ def test_slices_do_not_matter(spark, monkeypatch):
     assert one == pytest.approx(other, abs=1e-3)
 
 
+def _word_docs(spark, n):
+    rnd = random.Random(12)
+    kinds = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    return spark.createDataFrame([(i, " ".join(rnd.choices(kinds, range(400, 0, -1), k=300)), i % 5 == 0) for i in range(n)],
+                                 "doc_id BIGINT, text STRING, held_out BOOLEAN")
+
+
+@pytest.mark.parametrize("often_bytes", [1, 5_000])
+def test_frequent_strings_that_all_tasks_hold_do_not_matter(spark, monkeypatch, often_bytes):
+    docs = _word_docs(spark, 60)
+    one = {r.doc_id: r.tree_score for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(suffix_tree, "OFTEN_BYTES", often_bytes)
+    assert {r.doc_id: r.tree_score for r in lm_scoring.score(docs).collect()} == pytest.approx(one, abs=1e-3)
+
+
+def test_words_and_strings_of_blocks_travel_packed_and_without_the_frequent_ones(spark, monkeypatch):
+    docs = _word_docs(spark, 120).repartition(2).cache()
+    tree = suffix_tree.fit(docs.filter("NOT held_out").select("text"))
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)
+    table = lm_scoring.blocks(docs, "doc_id").cache()
+    often = spark.sparkContext.broadcast(tree.often)
+    assert 0 < len(tree.often[0]) <= suffix_tree.OFTEN_BYTES and (np.diff(tree.often[0].astype(object)) > 0).all()
+    learned = lm_scoring.blocks(docs.filter("NOT held_out"), "doc_id")
+    assert lm_scoring._asked_grams(learned, tree, often).count() == 0  # few texts: all strings of theirs are frequent
+    words = lm_scoring._asked_words(table, 3)
+    rows = words.agg(F.count("*"), F.max("slice")).first()
+    assert table.count() > 3 and rows[0] <= 3 * table.count() and rows[1] == 2
+    answers = lm_scoring._counted_words(words, 3).agg(F.sum("n"), F.sum("v")).first()
+    spoken = [w for r in docs.filter("NOT held_out").collect() for w in r.text.split()]
+    assert tuple(answers) == (len(spoken), len(set(spoken)))
+
+
+def test_packed_numbers_come_back():
+    for kind in (np.uint64, np.int64, np.float32):
+        for n in (0, 1, 1000):
+            values = np.arange(n).astype(kind) * kind(3)
+            assert (suffix_tree.unpacked_numbers(suffix_tree.packed_numbers(values), kind) == values).all()
+    values = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 99, dtype=np.uint64))
+    assert (suffix_tree.unpacked_grams(suffix_tree.packed_grams(values)) == values).all()
+
+
 def test_tree_scores_beat_word_counts_on_held_out_texts(spark, sf_dir):
     from hearsay.llm.queries import op1_lm_scoring
 
