@@ -9,7 +9,8 @@ distinct runs of an anchor are dealt by what surrounds it: strings at about one
 from the anchor all hold the same stretch around it, and only runs that agree in that can
 share a string.  Groups of runs that agree, but not as a whole, go into one task, where a
 suffix array over their texts, made by ``suffix_sort``, brings equal strings together, and
-neighbours in it are compared byte by byte.
+neighbours in it are compared byte by byte.  The stretch that all strings of a group share is
+one symbol there, of its own for every group.
 
 A group of more than ``MOST_RUNS`` is dealt again, by distances in narrower ranges
 (``WIDTHS``); at a width of 1 the stretch is the string itself and groups are equal.
@@ -110,29 +111,43 @@ def _runs_of(docs: DataFrame, length: int) -> DataFrame:
 # --- suffix arrays -----------------------------------------------------------------------
 
 
-def repeated_starts(texts: list[bytes], several: list[bool], length: int = LENGTH) -> list[np.ndarray]:
-    """For every text the starts of strings that also start elsewhere; ``several``: the text occurs again."""
+def repeated_starts(texts: list[bytes], several: list[bool], length: int = LENGTH, shared: list | None = None) -> list[np.ndarray]:
+    """For every text the starts of strings that also start elsewhere; ``several``: the text occurs again.
+
+    ``shared``: names and places of stretches, one in each text, that all its strings hold.  Two texts with a string
+    in common have stretches of one name, with the same bytes and as long, at the same place of that string: a stretch is
+    sorted as one symbol.
+    """
     sizes = np.array([len(t) for t in texts])
-    limits = np.concatenate(([0], np.cumsum(sizes + 1)))
+    if shared:
+        names: dict = {}
+        held = [(np.frombuffer(t[:a], np.uint8), names.setdefault((name, t[a:b]), len(names)), np.frombuffer(t[b:], np.uint8), b - a - 1)
+                for t, (name, a, b) in zip(texts, shared)]
+        lines = [np.concatenate((left + 1, [257 + symbol], right + 1)) for left, symbol, right, _ in
+                 ((left.astype(np.int64), symbol, right.astype(np.int64), gone) for left, symbol, right, gone in held)]
+        cut = np.array([gone for *_, gone in held])
+    else:
+        lines, cut = [np.frombuffer(t, np.uint8).astype(np.int64) + 1 for t in texts], np.zeros(len(texts), np.int64)
+    limits = np.concatenate(([0], np.cumsum(sizes - cut + 1)))
     whole = np.zeros(limits[-1], dtype=np.int64)  # a 0 behind every text
-    for t, at in zip(texts, limits):
-        whole[at:at + len(t)] = np.frombuffer(t, dtype=np.uint8)
-        whole[at:at + len(t)] += 1
+    for line, at in zip(lines, limits):
+        whole[at:at + len(line)] = line
     order = suffix_array(whole)
-    place = np.arange(len(whole))
-    own = np.searchsorted(limits, place, side="right") - 1
-    full = place + length <= limits[own] + sizes[own]
+    own = np.repeat(np.arange(len(texts)), np.diff(limits))
+    full = np.arange(len(whole)) - limits[own] + length <= sizes[own]
     order = order[full[order]]
+    spans = length - cut  # of strings, in symbols
     found = np.zeros(len(whole), dtype=bool)
     if len(order) > 1:
-        for a in range(0, len(order) - 1, 20_000):
-            left, right = order[a:a + 20_000], order[a + 1:a + 20_001]
-            left = left[:len(right)]
-            strings = np.lib.stride_tricks.sliding_window_view(whole, length)
-            same = (strings[left] == strings[right]).all(1)
-            found[left[same]] = True
-            found[right[same]] = True
-    return [np.arange(max(0, n - length + 1)) if again else np.flatnonzero(found[at:at + n])
+        for span in np.unique(spans).tolist():
+            windows = np.lib.stride_tricks.sliding_window_view(whole, span)
+            met = np.flatnonzero((spans[own[order[:-1]]] == span) & (spans[own[order[1:]]] == span))
+            for a in range(0, len(met), 20_000):
+                left, right = order[met[a:a + 20_000]], order[met[a:a + 20_000] + 1]
+                same = (windows[left] == windows[right]).all(1)
+                found[left[same]] = True
+                found[right[same]] = True
+    return [np.arange(max(0, n - length + 1)) if again else np.flatnonzero(found[at:at + max(0, n - length + 1)])
             for at, n, again in zip(limits, sizes, several)]
 
 
@@ -144,8 +159,8 @@ def _ranges(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + length).tolist()))
 
 
-def _sorted_groups(table: DataFrame, length: int) -> DataFrame:
-    """``row, first, last``: covered bytes, from ``table(bucket, row, start, several, text)``."""
+def _sorted_groups(table: DataFrame, width: int, length: int) -> DataFrame:
+    """``row, first, last``: covered bytes, from ``table(bucket, row, start, several, text, distance)`` of ``_narrowed``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, bucket = [], 0, None
@@ -155,12 +170,14 @@ def _sorted_groups(table: DataFrame, length: int) -> DataFrame:
                     yield covered(held)
                     held, size = [], 0
                 held.append(row)
-                bucket, size = row[0], size + len(row[4])
+                bucket, size = row[0], size + len(row[4]) - (length - width)
         if held:
             yield covered(held)
 
     def covered(held) -> pa.RecordBatch:
-        starts = repeated_starts([r[4] for r in held], [r[3] for r in held], length)
+        # The bytes that all strings of a bucket share, see ``_narrowed``.
+        shared = [(r[0], r[5] % width, r[5] % width + length - width + 1) for r in held]
+        starts = repeated_starts([r[4] for r in held], [r[3] for r in held], length, shared)
         out = [(r[1], r[2] + a, r[2] + b) for r, s in zip(held, starts) if not r[3] for a, b in _ranges(s, length)]
         rows, first, last = zip(*out) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
@@ -260,7 +277,7 @@ def covered_bytes(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_R
         parts.append(met.filter("equal").select(
             "row", F.col("start").alias("first"), (F.col("start") + F.octet_length("text")).cast("bigint").alias("last")))
         parts.append(written(_sorted_groups(met.filter("NOT equal AND NOT large").select(
-            "bucket", "row", "start", "several", "text"), length), "ranges"))
+            "bucket", "row", "start", "several", "text", "distance"), width, length), "ranges"))
         table = met.filter("NOT equal AND large").drop("equal", "large")
         if table.isEmpty():  # at the latest at a width of 1, where a bucket's strings are equal
             break

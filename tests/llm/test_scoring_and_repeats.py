@@ -26,6 +26,37 @@ def test_suffix_array_is_the_sorted_order(alphabet):
         assert suffix_array(np.array(s, dtype=np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_a_stretch_that_all_strings_hold_is_sorted_as_one_symbol(monkeypatch):
+    rnd = random.Random(2)
+    texts, shared, several, symbols = [], [], [], []
+    for i in range(200):
+        name = rnd.randrange(3)
+        middle = bytes([65 + name]) * 176
+        left, right = (bytes(rnd.choice(b"ab") for _ in range(n)) for n in (rnd.randint(12, 24), rnd.randint(12, 24)))
+        texts.append(left[-12:] + middle + right[:12] if i % 3 else left + middle + right)
+        shared.append((name, texts[-1].index(middle), texts[-1].index(middle) + 176))
+        several.append(i % 50 == 7)
+    kept = repeats.suffix_array
+    monkeypatch.setattr(repeats, "suffix_array", lambda whole: (symbols.append(len(whole)), kept(whole))[1])
+    expected = repeats.repeated_starts(texts, several)
+    got = repeats.repeated_starts(texts, several, shared=shared)
+    assert [x.tolist() for x in got] == [_same_place(texts, several, i) for i in range(len(texts))]
+    assert all(set(a.tolist()) <= set(b.tolist()) for a, b in zip(got, expected))
+    assert symbols[0] == sum(map(len, texts)) + 200 and symbols[1] == symbols[0] - 175 * 200
+
+
+def _same_place(texts, several, i):
+    """Starts in text i of strings of 200 bytes that start elsewhere with the stretch of 176 at the same place."""
+    def strings(t):
+        at = next(k for k in range(len(t)) if len(set(t[k:k + 176])) == 1)
+        return [(t[s:s + 200], at - s) for s in range(len(t) - 199)]
+
+    if several[i]:
+        return list(range(len(texts[i]) - 199))
+    others = collections.Counter(x for t in texts for x in strings(t))
+    return [s for s, x in enumerate(strings(texts[i])) if others[x] > 1]
+
+
 def _plain(texts, length):
     """What is removed, by counting every string."""
     seen = collections.Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
