@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm import suffix_tree
-from hearsay.llm.packed import LOWER, Hasher, chunks, flat, words
+from hearsay.llm.packed import chunks, flat, mixed
 from hearsay.llm.suffix_tree import distinct_grams, grams, normalised
 from hearsay.llm.tables import as_text, written
 
@@ -44,9 +44,9 @@ TASK_BLOCKS = 1  # scored by one task, whatever their compressed size
 
 def blended(base: np.ndarray, tree: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """log10 probability of every text: an even mixture, by text, of the ``SHARES`` of the tree by token."""
-    by_share = []
+    by_share, of_base, of_tree = [], 10.0 ** base, 10.0 ** tree
     for share in SHARES:
-        token = base if share == 0 else np.log10((1 - share) * 10.0 ** base + share * 10.0 ** tree)
+        token = base if share == 0 else np.log10((1 - share) * of_base + share * of_tree)
         by_share.append(np.bincount(owner, weights=token, minlength=n))
     totals = np.stack(by_share)
     top = totals.max(0)
@@ -96,20 +96,47 @@ def _texts(body: bytes, limits) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(_codec().decompress(body, int(limits[-1]), asbytes=True), dtype=np.uint8), limits
 
 
-def _tokens(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _spaced(data: np.ndarray, limits: np.ndarray) -> list:
+    """The texts in parts, as ``suffix_tree.spaced``."""
+    return [suffix_tree.spaced(part, ends) for _, _, part, ends in chunks(data, limits)]
+
+
+def word_names(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that are not empty; no two of the same length up to eight bytes agree, others by a chance of 2^-64."""
+    padded = np.zeros(len(text) + 8, dtype=np.uint8)
+    padded[:len(text)] = text
+    eights = np.ndarray(len(text) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+    def pieces(at: np.ndarray, left: np.ndarray, number) -> np.ndarray:
+        kept = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+        return mixed((eights[at] & kept) ^ mixed(number))
+
+    lengths = ends - begins
+    out = pieces(begins, lengths, np.zeros(1, dtype=np.uint64))
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8
+        first = np.cumsum(more) - more
+        number = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        own = np.repeat(long, more)
+        out[long] += np.add.reduceat(pieces(begins[own] + 8 * number, lengths[own] - 8 * number, number.astype(np.uint64)), first)
+    return mixed(out + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _tokens(parts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every word, lower-cased."""
-    hashes, owner = [], []
-    for first, _, part, ends in chunks(data, limits):
-        starts, stops, own = words(part, ends)
-        hashes.append(Hasher(LOWER[part]).ranges(starts, stops))
-        owner.append(own + first)
+    hashes, owner, n = [], [], 0
+    for text, cuts, (begins, stops) in parts:
+        hashes.append(word_names(text, begins, stops - 1))
+        owner.append(np.repeat(np.arange(n, n + len(cuts) - 1), np.diff(np.searchsorted(begins, cuts))))
+        n += len(cuts) - 1
     return (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _counted(data: np.ndarray, limits: np.ndarray, held_out: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _counted(parts: list, held_out: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of texts, their counts in the training texts, and word and text of every token."""
     learned = ~np.asarray(held_out.to_numpy(zero_copy_only=False), dtype=bool)
-    hashes, owner = _tokens(data, limits)
+    hashes, owner = _tokens(parts)
     word, place = np.unique(hashes, return_inverse=True)
     return word, np.bincount(place, weights=learned[owner], minlength=len(word)).astype(np.int64), place, owner
 
@@ -121,7 +148,7 @@ def _asked_words(table: DataFrame, n_slices: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                word, n, _, _ = _counted(*_texts(batch.column(2)[i].as_py(), batch.column(3)[i].values), batch.column(1)[i].values)
+                word, n, _, _ = _counted(_spaced(*_texts(batch.column(2)[i].as_py(), batch.column(3)[i].values)), batch.column(1)[i].values)
                 at = np.append(np.searchsorted(word, cuts), len(word))
                 filled = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays(
@@ -196,19 +223,14 @@ def _normalised(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarr
         yield normalised(part, ends)[:2]
 
 
-def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, often: tuple, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_scores(parts: list, depth: int, often: tuple, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 probability of every word, its blank included, and of every text's end.
 
     ``answers`` are those to the texts' ``distinct_grams`` that are not among the ``often`` ones, in their order.
     """
-    parts, every = [], []
-    for _, _, part, cuts in chunks(data, limits):
-        text, stops_of_texts, (begins, stops) = normalised(part, cuts)
-        every.append(suffix_tree.turned(grams(text, stops_of_texts, depth + 1)))
-        parts.append((stops_of_texts, begins, stops))
+    every = [suffix_tree.turned(grams(suffix_tree.nonzero(text), cuts, depth + 1)) for text, cuts, _ in parts]
     wanted = np.concatenate(every)
-    order = np.argsort(wanted)
-    lined = wanted[order]
+    order, lined = suffix_tree.line(wanted)
     first = np.ones(len(lined), dtype=bool)
     first[1:] = lined[1:] != lined[:-1]
     asked = lined[first]
@@ -218,10 +240,10 @@ def tree_scores(data: np.ndarray, limits: np.ndarray, depth: int, often: tuple,
     found = np.empty(len(wanted))
     found[order] = values[np.cumsum(first) - 1]
     of_words, of_ends, begun = [], [], 0
-    for (stops_of_texts, begins, stops), own in zip(parts, every):
+    for (_, cuts, (begins, stops)), own in zip(parts, every):
         sums = np.concatenate(([0.0], np.cumsum(found[begun:begun + len(own)])))
         of_words.append(sums[stops] - sums[begins])
-        of_ends.append(found[begun + stops_of_texts[1:] - 1])
+        of_ends.append(found[begun + cuts[1:] - 1])
         begun += len(own)
     return np.concatenate(of_words), np.concatenate(of_ends)
 
@@ -263,12 +285,13 @@ def score(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
             for i in range(len(batch)):
                 data, limits = _texts(batch.column(2)[i].as_py(), batch.column(3)[i].values)
                 n = len(limits) - 1
-                _, own, place, owner = _counted(data, limits, batch.column(1)[i].values)
-                count = (own + answered(batch.column(4), i, np.int64))[place]
-                plain = np.log10(count + 1) - scale
+                texts = _spaced(data, limits)
+                _, own, place, owner = _counted(texts, batch.column(1)[i].values)
+                count = own + answered(batch.column(4), i, np.int64)
+                plain, seen = (np.log10(count + 1) - scale)[place], (count > 0)[place]
                 base = np.bincount(owner, weights=plain, minlength=n) + end
-                known_words = np.bincount(owner, weights=count > 0, minlength=n).astype(np.int64) + (1 if ends else 0)
-                tree_words, tree_ends = tree_scores(data, limits, depth, often.value, answered(batch.column(5), i, np.float32))
+                known_words = np.bincount(owner, weights=seen, minlength=n).astype(np.int64) + (1 if ends else 0)
+                tree_words, tree_ends = tree_scores(texts, depth, often.value, answered(batch.column(5), i, np.float32))
                 alone = np.bincount(owner, weights=tree_words, minlength=n) + tree_ends
                 value = blended(np.concatenate([plain, np.full(n, end)]), np.concatenate([tree_words, tree_ends]),
                                 np.concatenate([owner, np.arange(n)]), n)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearsay.llm.packed import LOWER, chunks, flat, run_starts, words
+from hearsay.llm.packed import LOWER, chunks, flat, run_starts
 from hearsay.llm.tables import written
 
 DEPTH = 6
@@ -41,42 +41,75 @@ LEAST_GAIN = 1.0  # log-likelihood per next byte seen
 SLICE_BYTES = 4 << 20  # of text for every slice
 LEAST_SLICES = 32
 HELD_GRAMS = 3_000_000
+SORTED_GRAMS = 8 << 20  # of texts, at once
+PIECE_GRAMS = 1 << 15  # worked on at once, so that what is between two steps stays in a core's cache
+ASKED_GRAMS = 1 << 19  # answered at once
 PAIRS = -1
 OFTEN_BYTES = 4 << 20
 BLANK, END = 32, 10
 _SPREAD = 40503
+_PLAIN = LOWER.copy()
+_PLAIN[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
 
 
 # --- texts as byte sequences -------------------------------------------------------------
 
 
-def normalised(data: np.ndarray, limits: np.ndarray):
+def spaced(data: np.ndarray, limits: np.ndarray):
     """Bytes with a blank behind every word and an end behind every text; texts' limits, words' limits."""
     n = len(limits) - 1
-    starts, ends, owner = words(data, limits)
-    lengths = ends - starts
-    cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, weights=lengths + 1, minlength=n).astype(np.int64) + 1)))
-    out = np.full(cuts[-1], BLANK, dtype=np.uint8)
-    stops = np.cumsum(lengths + 1) + owner
-    begins = stops - lengths - 1
-    step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out[np.repeat(begins, lengths) + step] = LOWER[data[np.repeat(starts, lengths) + step]]
-    out[out == 0] = 1  # a context's number must tell its length
-    out[cuts[1:] - 1] = END
-    return out, cuts, (begins, stops)
+    # Two blanks behind every text: one for its last word, one for its end.
+    ends = limits[1:] + 2 * np.arange(n) + 1
+    real = np.ones(len(data) + 2 * n, dtype=bool)
+    real[ends - 1] = real[ends] = False
+    text = np.full(len(real), BLANK, dtype=np.uint8)
+    text[real] = _PLAIN[data]
+    inside = text != BLANK
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]
+    kept[ends] = True
+    text[ends] = END
+    out = text[kept]
+    cuts = np.concatenate(([0], np.flatnonzero(out == END) + 1))
+    blank = out == BLANK
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    begins[cuts[:-1]] = True
+    begins[cuts[1:] - 1] = False
+    return out, cuts, (np.flatnonzero(begins), np.flatnonzero(blank) + 1)
+
+
+def nonzero(text: np.ndarray) -> np.ndarray:
+    """Bytes of which none is 0: a context's number must tell its length."""
+    return np.maximum(text, 1)
+
+
+def normalised(data: np.ndarray, limits: np.ndarray):
+    """``spaced`` as a tree reads it, without 0."""
+    text, cuts, of_words = spaced(data, limits)
+    return nonzero(text), cuts, of_words
 
 
 def grams(text: np.ndarray, cuts: np.ndarray, size: int) -> np.ndarray:
     """Every byte with the ``size - 1`` bytes before it in one number; an end stands before a text."""
     n = len(cuts) - 1
-    place = np.arange(len(text)) + size * np.repeat(np.arange(1, n + 1), np.diff(cuts))
-    padded = np.zeros(len(text) + size * n, dtype=np.uint64)
-    padded[cuts[:-1] + size * np.arange(1, n + 1) - 1] = END
-    padded[place] = text
-    out = padded.copy()
-    for k in range(1, size):
-        out[k:] |= padded[:-k] << np.uint64(8 * k)
-    return out[place]
+    before = (cuts[:-1] + size * np.arange(n))[:, None] + np.arange(size)
+    real = np.ones(len(text) + size * n, dtype=bool)
+    real[before] = False
+    padded = np.zeros(7 + len(real), dtype=np.uint8)
+    padded[7:][before[:, -1]] = END
+    padded[7:][real] = text
+    # Eight bytes from every place on, the last one lowest.
+    out = np.ndarray(len(real), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)[real]
+    out &= np.uint64((1 << 8 * size) - 1)
+    return out
+
+
+def _by_pieces(function, values: np.ndarray) -> np.ndarray:
+    """``function`` of every value."""
+    if len(values) <= PIECE_GRAMS:
+        return function(values)
+    return np.concatenate([function(values[k:k + PIECE_GRAMS]) for k in range(0, len(values), PIECE_GRAMS)])
 
 
 def _low(values: np.ndarray, size: int) -> np.ndarray:
@@ -107,30 +140,40 @@ def gram_counts(docs: DataFrame, depth: int, n_slices: int) -> DataFrame:
     """
 
     def rows(values: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        pairs = summed([(_low(_straight(values), 2), counts)])
+        ending = run_starts(values >> np.uint64(40))  # of one pair in the context and one last byte
+        pairs = np.bincount(_low(_straight(values[ending]), 2).astype(np.int64), weights=np.add.reduceat(counts, ending)).astype(np.int64)
+        pair = np.flatnonzero(pairs)
         at = slice_limits(values, n_slices)
         filled = np.flatnonzero(np.diff(at))
         bodies = [pickle.dumps((packed_grams(values[at[k]:at[k + 1]]), packed_numbers(counts[at[k]:at[k + 1]])))
                   for k in filled]
         return pa.RecordBatch.from_arrays([pa.array([PAIRS, *filled.tolist()], pa.int64()), pa.array(
-            [pickle.dumps(pairs), *bodies], pa.binary())], names=["slice", "body"])
+            [pickle.dumps((pair, pairs[pair])), *bodies], pa.binary())], names=["slice", "body"])
+
+    def counted(found: list) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(found)
+        values.sort()
+        first = run_starts(values)
+        return values[first], np.diff(np.append(first, len(values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        found, size, held = [], 0, []
         for batch in batches:
             data, limits = flat(batch.column(0))
             for _, _, part, ends in chunks(data, limits):
                 text, cuts, _ = normalised(part, ends)
-                held.append(np.unique(turned(grams(text, cuts, depth + 1)), return_counts=True))
-                size += len(held[-1][0])
-                if size > HELD_GRAMS:
-                    held = [summed(held)]
-                    size = len(held[0][0])
-                    if size > HELD_GRAMS // 2:
+                found.append(turned(grams(text, cuts, depth + 1)))
+                size += len(text)
+                if size >= SORTED_GRAMS:
+                    held.append(counted(found))
+                    found, size = [], 0
+                    held = [summed(held)] if len(held) > 1 else held
+                    if len(held[0][0]) > HELD_GRAMS // 2:
                         yield rows(*held.pop())
-                        size = 0
+        if found:
+            held.append(counted(found))
         if held:
-            yield rows(*summed(held))
+            yield rows(*(summed(held) if len(held) > 1 else held[0]))
 
     return docs.select("text").mapInArrow(run, "slice bigint, body binary")
 
@@ -170,6 +213,10 @@ def turned(values: np.ndarray) -> np.ndarray:
     Their bytes from high to low: the last two of the context, scrambled; the gram's last one;
     the rest of the context from near to far.
     """
+    return _by_pieces(_turned, values)
+
+
+def _turned(values: np.ndarray) -> np.ndarray:
     pair = (values >> np.uint64(8)) & np.uint64(0xFFFF)
     return ((pair * np.uint64(_SPREAD) & np.uint64(0xFFFF)) << np.uint64(48) | (values & np.uint64(255)) << np.uint64(40)
             | (values >> np.uint64(24)).byteswap() >> np.uint64(24))
@@ -177,6 +224,10 @@ def turned(values: np.ndarray) -> np.ndarray:
 
 def _straight(values: np.ndarray) -> np.ndarray:
     """The grams that were ``turned``."""
+    return _by_pieces(_turned_back, values)
+
+
+def _turned_back(values: np.ndarray) -> np.ndarray:
     pair = (values >> np.uint64(48)) * np.uint64(pow(_SPREAD, -1, 1 << 16)) & np.uint64(0xFFFF)
     rest = ((values & np.uint64((1 << 40) - 1)) << np.uint64(24)).byteswap()
     return rest << np.uint64(24) | pair << np.uint64(8) | values >> np.uint64(40) & np.uint64(255)
@@ -309,21 +360,24 @@ def probabilities(levels: list, root: np.ndarray, asked: np.ndarray) -> np.ndarr
     """Probability of the last byte of every gram in the state of its longest retained context."""
     context = asked >> np.uint64(8)
     p = root[(context & np.uint64(255)).astype(np.int64), (asked & np.uint64(255)).astype(np.int64)]
+    left = np.arange(len(asked))  # with a context all its suffixes are retained: only what has the shorter one can have a longer one
     for d, (own, total, kinds, values, counts) in enumerate(levels, 2):
-        if not len(own):
-            break  # with a context all its suffixes are retained, so none is longer
-        at = np.minimum(np.searchsorted(own, _low(context, d)), len(own) - 1)
-        hit = np.flatnonzero(own[at] == _low(context, d))
-        at, gram = at[hit], _low(asked[hit], d + 1)
+        if not len(own) or not len(left):
+            break
+        sought = _low(context[left], d)
+        at = np.minimum(np.searchsorted(own, sought), len(own) - 1)
+        hit = own[at] == sought
+        left, at = left[hit], at[hit]
+        gram = _low(asked[left], d + 1)
         there = np.minimum(np.searchsorted(values, gram), len(values) - 1)
         n = np.where(values[there] == gram, counts[there], 0)
-        p[hit] = (n + kinds[at] * p[hit]) / (total[at] + kinds[at])
+        p[left] = (n + kinds[at] * p[left]) / (total[at] + kinds[at])
     return p
 
 
 def log_probabilities(levels: list, root: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """log10 probabilities (32-bit) of turned grams."""
-    return np.log10(probabilities(levels, root, _straight(asked))).astype(np.float32)
+    return _by_pieces(lambda some: np.log10(probabilities(levels, root, _turned_back(some))).astype(np.float32), asked)
 
 
 def places(values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,34 +396,70 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 def distinct_grams(texts: Iterator[tuple[np.ndarray, np.ndarray]], depth: int) -> np.ndarray:
     """The distinct grams of the texts, turned and sorted."""
-    held = [_distinct(turned(grams(text, cuts, depth + 1))) for text, cuts in texts]
+    held = [turned(grams(text, cuts, depth + 1)) for text, cuts in texts]
     return _distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
 
 
+def line(values: np.ndarray, free: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The order of numbers whose lowest ``free`` bits are 0, as those of turned grams, and the numbers in this order.
+
+    The free bits hold places where they suffice; if not, numbers are lined up by their highest byte, which is then free as well.
+    """
+    if len(values) <= 1 << free:
+        placed = values | np.arange(len(values), dtype=np.uint64)
+        placed.sort()
+        place = placed & np.uint64((1 << free) - 1)
+        placed ^= place
+        return place.astype(np.int64), placed
+    first = (values >> np.uint64(56)).astype(np.uint8)
+    order = np.argsort(first, kind="stable")
+    lined = values[order]
+    lined <<= np.uint64(8)
+    at = np.append(0, np.cumsum(np.bincount(first, minlength=256)))
+    for k in np.flatnonzero(np.diff(at)):
+        part = slice(at[k], at[k + 1])
+        place, some = line(lined[part], free + 8)
+        order[part] = order[part][place]
+        some >>= np.uint64(8)
+        some |= np.uint64(int(k) << 56)
+        lined[part] = some
+    return order, lined
+
+
 def answered(asked: DataFrame, tree: Tree) -> DataFrame:
     """``block, slice, body``: log10 probabilities (32-bit, packed) for ``asked(block, slice, body)``, packed grams.
 
-    A task reads a slice of the tree, then the questions to it one after the other: it holds
-    one slice and one batch of questions, however many blocks ask.
+    A task reads a slice of the tree, then the questions to it, about ``ASKED_GRAMS`` grams at once: it holds
+    one slice and so many questions, however many blocks ask.
     """
     model = tree.slices.select("slice", F.lit(None).cast("bigint").alias("block"), "body")
     lined = model.unionByName(asked.select("slice", "block", "body")).repartition(tree.n_slices, "slice").sortWithinPartitions(
         "slice", F.col("block").asc_nulls_first())
     root = asked.sparkSession.sparkContext.broadcast(tree.root)
 
+    def answer(levels: list, of: int, asking: list) -> pa.RecordBatch:
+        p = log_probabilities(levels, root.value, np.concatenate([sought for _, sought in asking]))
+        at = np.cumsum([0, *(len(sought) for _, sought in asking)])
+        return pa.RecordBatch.from_arrays([pa.array([block for block, _ in asking], pa.int64()), pa.array(np.full(len(asking), of), pa.int64()),
+                                           pa.array([packed_numbers(p[a:b]) for a, b in zip(at, at[1:])], pa.binary())],
+                                          names=["block", "slice", "body"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, of = [], None
+        levels, of, asking, size = [], None, [], 0
         for batch in batches:
-            out: list[list] = [[], [], []]
             for i, (part, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if asking and (part != of or size >= ASKED_GRAMS):
+                    yield answer(levels, of, asking)
+                    asking, size = [], 0
                 body = batch.column(2)[i].as_py()
+                if part != of:
+                    levels, of = [], part
                 if block is None:
-                    levels, of = pickle.loads(zlib.decompress(body)), part
-                    continue
-                p = log_probabilities(levels if of == part else [], root.value, unpacked_grams(body))
-                for column, value in zip(out, (block, part, packed_numbers(p))):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())],
-                                             names=["block", "slice", "body"])
+                    levels = pickle.loads(zlib.decompress(body))
+                else:
+                    asking.append((block, unpacked_grams(body)))
+                    size += len(asking[-1][1])
+        if asking:
+            yield answer(levels, of, asking)
 
     return lined.select("slice", "block", "body").mapInArrow(run, "block bigint, slice bigint, body binary")

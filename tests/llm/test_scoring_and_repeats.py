@@ -297,6 +297,57 @@ def test_packed_numbers_come_back():
     assert (suffix_tree.unpacked_grams(suffix_tree.packed_grams(values)) == values).all()
 
 
+def test_words_are_named_by_their_bytes():
+    rnd = random.Random(9)
+    plain = [bytes(rnd.choice(b"ab\x00\x01") for _ in range(rnd.choice([1, 2, 7, 8, 9, 16, 17, 40]))) for _ in range(4000)]
+    plain += [b"a" * n for n in range(1, 60)] + [b"x" * 100_000, b"x" * 99_999 + b"y", b"y" + b"x" * 99_999]
+    texts = [b" ".join(plain[:3000]) + b"\n", b"", b" \t", b"\x0b".join(plain[3000:]), b"End"]
+    data, limits = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    parts = [suffix_tree.spaced(data, limits)]
+    names, owner = lm_scoring._tokens(parts)
+    spoken = [w.lower() for t in texts for w in t.split()]
+    assert len(names) == len(spoken) and owner.tolist() == [i for i, t in enumerate(texts) for _ in t.split()]
+    assert len(set(names.tolist())) == len(set(spoken)) == len(set(zip(spoken, names.tolist())))
+    text, cuts, (begins, stops) = parts[0]
+    assert [bytes(text[a:b]) for a, b in zip(cuts, cuts[1:])] == [b"".join(w.lower() + b" " for w in t.split()) + b"\n" for t in texts]
+    assert [bytes(text[a:b]) for a, b in zip(begins, stops)] == [w + b" " for w in spoken]
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 16])
+def test_grams_are_lined_up_by_value(most):
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 256, 257, 5000, 150_000):
+        values = draw.integers(0, 1 << 56, most, dtype=np.uint64)[draw.integers(0, most, n)] << np.uint64(8)
+        order, lined = suffix_tree.line(values)
+        assert (lined == np.sort(values)).all() and (values[order] == lined).all()
+        assert (np.sort(order) == np.arange(n)).all()
+
+
+def test_only_strings_in_the_shorter_context_are_sought_in_the_longer_one(monkeypatch, odd_rows):
+    data, limits = flat(pa.array([r[1] for r in odd_rows], pa.string()))
+    text, cuts, _ = suffix_tree.normalised(data, limits)
+    gram, n = np.unique(suffix_tree.grams(text, cuts, 7), return_counts=True)
+    pair, m = np.unique(suffix_tree.grams(text, cuts, 2), return_counts=True)
+    after_one = np.zeros((256, 256))
+    after_one[pair >> 8, pair & 255] = m
+    levels, root = suffix_tree.grown(gram, n, after_one, 6, 10, 1.0), suffix_tree.first_order(after_one)
+    unknown = np.random.default_rng(2).integers(0, 1 << 56, 10_000, dtype=np.uint64)
+    sought, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: (sought.append(len(v)), search(a, v, *more, **named))[1])
+    suffix_tree.probabilities(levels, root, unknown)
+    assert all(len(level[0]) for level in levels) and sum(sought) < 1.5 * len(unknown)
+
+
+def test_amounts_worked_on_at_once_do_not_matter(spark, monkeypatch):
+    docs = _word_docs(spark, 60)
+    monkeypatch.setattr(suffix_tree, "OFTEN_BYTES", 5_000)
+    one = {r.doc_id: r.tree_score for r in lm_scoring.score(docs, least_count=2).collect()}
+    for name, value in (("SORTED_GRAMS", 1000), ("HELD_GRAMS", 500), ("ASKED_GRAMS", 10), ("PIECE_GRAMS", 7)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 10_000)
+    assert {r.doc_id: r.tree_score for r in lm_scoring.score(docs, least_count=2).collect()} == pytest.approx(one, abs=1e-3)
+
+
 def test_tree_scores_beat_word_counts_on_held_out_texts(spark, sf_dir):
     from hearsay.llm.queries import op1_lm_scoring
 
