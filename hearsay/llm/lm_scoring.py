@@ -22,7 +22,7 @@ are scored each.  Other columns are left out.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearsay.llm import suffix_tree
-from hearsay.llm.packed import chunks, flat, mixed
+from hearsay.llm.packed import chunks, flat, mixed, run_starts
 from hearsay.llm.suffix_tree import distinct_grams, grams, normalised
 from hearsay.llm.tables import as_text, written
 
@@ -61,14 +61,18 @@ def blocks(docs: DataFrame, key: str) -> DataFrame:
     kind = dict(docs.dtypes)[key]
     taken = docs.select(F.col(key).alias("key"), F.col("held_out"), as_text().alias("text"))
 
-    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(held: list[pa.RecordBatch], last_ones: bool) -> Generator[pa.RecordBatch, None, list[pa.RecordBatch]]:
+        """Blocks of all texts held; unless they are the last ones, texts behind a full block are given back."""
         batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         data, limits = flat(batch.column(2))
         for first, last, part, ends in chunks(data, limits, BLOCK_BYTES):
+            if 0 < first and last == len(batch) and not last_ones:
+                return [batch.slice(first)]
             row = {"block": [uuid.uuid4().int & ((1 << 63) - 1)], "keys": [batch.column(0).slice(first, last - first).to_pylist()],
                    "held_out": [batch.column(1).slice(first, last - first).to_pylist()],
                    "limits": [ends.tolist()], "body": [_codec().compress(part.tobytes(), asbytes=True)]}
             yield pa.RecordBatch.from_pydict(row, schema=shape)
+        return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -76,10 +80,9 @@ def blocks(docs: DataFrame, key: str) -> DataFrame:
             if len(batch):
                 held.append(batch)
             if sum(b.nbytes for b in held) >= BLOCK_BYTES:
-                yield from cut(held)
-                held = []
+                held = yield from cut(held, False)
         if held:
-            yield from cut(held)
+            yield from cut(held, True)
 
     arrow_kind = {"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())
     shape = pa.schema([("block", pa.int64()), ("keys", pa.list_(arrow_kind)), ("held_out", pa.list_(pa.bool_())),
@@ -231,14 +234,13 @@ def tree_scores(parts: list, depth: int, often: tuple, answers: np.ndarray) -> t
     every = [suffix_tree.turned(grams(suffix_tree.nonzero(text), cuts, depth + 1)) for text, cuts, _ in parts]
     wanted = np.concatenate(every)
     order, lined = suffix_tree.line(wanted)
-    first = np.ones(len(lined), dtype=bool)
-    first[1:] = lined[1:] != lined[:-1]
+    first = run_starts(lined)
     asked = lined[first]
     hit, at = suffix_tree.places(often[0], asked)
     values = np.empty(len(asked))
     values[hit], values[~hit] = often[1][at], answers
     found = np.empty(len(wanted))
-    found[order] = values[np.cumsum(first) - 1]
+    found[order] = np.repeat(values, np.diff(np.append(first, len(lined))))
     of_words, of_ends, begun = [], [], 0
     for (_, cuts, (begins, stops)), own in zip(parts, every):
         sums = np.concatenate(([0.0], np.cumsum(found[begun:begun + len(own)])))

@@ -241,8 +241,8 @@ def slice_limits(values: np.ndarray, n_slices: int) -> np.ndarray:
 
 def packed_numbers(values: np.ndarray) -> bytes:
     """Numbers of a fixed size, compressed, and how many: their first bytes, then their second ones and so on."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return len(values).to_bytes(4, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+    raw = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
 def unpacked_numbers(body: bytes, kind) -> np.ndarray:
@@ -429,8 +429,8 @@ def line(values: np.ndarray, free: int = 8) -> tuple[np.ndarray, np.ndarray]:
 def answered(asked: DataFrame, tree: Tree) -> DataFrame:
     """``block, slice, body``: log10 probabilities (32-bit, packed) for ``asked(block, slice, body)``, packed grams.
 
-    A task reads a slice of the tree, then the questions to it, about ``ASKED_GRAMS`` grams at once: it holds
-    one slice and so many questions, however many blocks ask.
+    A task reads a slice of the tree, then the questions to it, about ``ASKED_GRAMS`` grams at once, of which equal ones
+    are answered once: it holds one slice and so many questions, however many blocks ask.
     """
     model = tree.slices.select("slice", F.lit(None).cast("bigint").alias("block"), "body")
     lined = model.unionByName(asked.select("slice", "block", "body")).repartition(tree.n_slices, "slice").sortWithinPartitions(
@@ -438,7 +438,10 @@ def answered(asked: DataFrame, tree: Tree) -> DataFrame:
     root = asked.sparkSession.sparkContext.broadcast(tree.root)
 
     def answer(levels: list, of: int, asking: list) -> pa.RecordBatch:
-        p = log_probabilities(levels, root.value, np.concatenate([sought for _, sought in asking]))
+        order, lined = line(np.concatenate([sought for _, sought in asking]))
+        first = run_starts(lined)
+        p = np.empty(len(lined), dtype=np.float32)
+        p[order] = np.repeat(log_probabilities(levels, root.value, lined[first]), np.diff(np.append(first, len(lined))))
         at = np.cumsum([0, *(len(sought) for _, sought in asking)])
         return pa.RecordBatch.from_arrays([pa.array([block for block, _ in asking], pa.int64()), pa.array(np.full(len(asking), of), pa.int64()),
                                            pa.array([packed_numbers(p[a:b]) for a, b in zip(at, at[1:])], pa.binary())],

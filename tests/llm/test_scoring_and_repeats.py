@@ -288,6 +288,29 @@ def test_words_and_strings_of_blocks_travel_packed_and_without_the_frequent_ones
     assert tuple(answers) == (len(spoken), len(set(spoken)))
 
 
+@pytest.fixture
+def batches_of_17(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_blocks_are_filled_whatever_the_batches(spark, monkeypatch, batches_of_17):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000)  # a batch has 25,500
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(True).alias("held_out"), F.repeat(F.lit("ab "), 500).alias("text")).coalesce(1)
+    rows = lm_scoring.blocks(docs, "doc_id").collect()
+    assert [k for r in rows for k in r["keys"]] == list(range(400))
+    assert sorted(len(r.limits) - 1 for r in rows)[1:] == [13] * 30
+
+
+def test_empty_texts_do_not_pile_up_for_a_block(spark, monkeypatch, batches_of_17):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1000)
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(True).alias("held_out"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    rows = lm_scoring.blocks(docs, "doc_id").collect()
+    assert [k for r in rows for k in r["keys"]] == list(range(500)) and len(rows) > 3
+
+
 def test_packed_numbers_come_back():
     for kind in (np.uint64, np.int64, np.float32):
         for n in (0, 1, 1000):
