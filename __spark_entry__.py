@@ -336,8 +336,12 @@ def han_frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.frequent_words(fx.han_texts(spark, sf_dir), _han_lexicon(spark, sf_dir), n=50)
 
 
-def _han_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spool(han.discover(fx.han_corpus(spark, sf_dir).withColumnRenamed("review", "content")), "han-words")
+def _han_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spool(han.run_counts(fx.han_corpus(spark, sf_dir).withColumnRenamed("review", "content")), "runs")
+
+
+def _han_words(spark: SparkSession, sf_dir: str, runs: DataFrame | None = None) -> DataFrame:
+    return spool(han.discover(fx.han_corpus(spark, sf_dir).withColumnRenamed("review", "content"), runs=runs), "han-words")
 
 
 def han_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +349,9 @@ def han_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def han_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = han.segmented(fx.han_texts(spark, sf_dir), _han_words(spark, sf_dir))
+    runs = _han_runs(spark, sf_dir)
+    found = _han_words(spark, sf_dir, runs)
+    cut = han.segmented(fx.han_texts(spark, sf_dir), found, cuts=han.frequent_cuts(runs, found))
     return cut.select("comment_id", F.array_join("words", " ").alias("words"))
 
 

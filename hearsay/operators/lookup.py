@@ -41,6 +41,24 @@ class Bound:
 DEFAULT_BOUND = Bound()
 
 
+def held(rows: DataFrame, key: str, value: str, n: int) -> Column:
+    """``rows(key, value)``, ``n`` of them, as one value for expressions: lists by the hash of their keys, see ``sought``.
+
+    It goes to all tasks whole, so ``rows`` has to be bounded.  ``key`` tells rows apart.
+    """
+    slots = max(1, 2 * n)
+    filled = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(slots)).alias("id")).agg(
+        F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))).alias("entries"))
+    lists = rows.sparkSession.range(slots).join(filled, "id", "left").agg(F.sort_array(F.collect_list(F.struct("id", "entries"))).alias("lists"))
+    return lists.select(F.col("lists.entries")).scalar()
+
+
+def sought(table: Column, key: Column) -> Column:
+    """The value of ``key`` in a ``held`` table, NULL without one.  ``table`` is read twice: pass a lambda variable."""
+    entries = F.get(table, F.pmod(F.xxhash64(key), F.size(table)).cast("int"))
+    return F.get(F.filter(entries, lambda entry: entry["key"] == key), F.lit(0))["value"]
+
+
 def _octave(freq):
     """Frequencies fall into at most 64 classes by powers of two."""
     return F.floor(F.log2(F.greatest(freq, F.lit(1)).cast("double"))).cast("int")

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from hearsay.operators.lookup import Bound
+from hearsay.operators.lookup import Bound, held, sought
 from hearsay.plans import han
 from hearsay.plans.words import top_words
 
@@ -107,3 +107,57 @@ def test_plans_hold_no_python(spark, texts):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "InArrow" not in plan and "CartesianProduct" not in plan
     assert han.segmented(texts, words).agg(F.count("*")).first()[0] == 404
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_texts_are_cut_where_they_are(spark, texts, monkeypatch):
+    """No text, piece or word is exchanged or written on the way."""
+    words = han.spool(han.discover(texts), "words")
+    written = []
+    monkeypatch.setattr(han, "spool", lambda df, name, spool=han.spool: written.append(name) or spool(df, name))
+    cut = han.segmented(texts, words)
+    assert set(written) == {"runs", "costs", "cuts"}
+    plan = cut._jdf.queryExecution().executedPlan().toString().splitlines()
+    own = [line for line in plan if not line.strip().startswith(":")]  # without those of the held lists
+    exchanges = [line for line in own if "Exchange" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]  # that of the texts given
+    assert not any("Aggregate" in line or "Join" in line for line in own)
+    # The lists are read in the projection that cuts, so no row holds them.
+    assert sum("regexp_extract_all" in line and "ubquery" in line for line in own) == 1
+
+
+@pytest.mark.parametrize("kept, twice", [(0, False), (3, True), (1000, False)])
+def test_texts_in_place_as_by_join(spark, texts, kept, twice):
+    """Whatever runs are held, with many words, unknown characters, and rows that share a key or have none."""
+    odd = spark.createDataFrame([(2000, "手机很好甲乙丙 abc é屏幕"), (2001, "甲" * 50 + "\U00020000手机"), (None, "电池"), (2002, "ÄÖ")], texts.schema)
+    texts = texts.unionByName(odd)
+    if twice:
+        texts = texts.unionByName(texts.withColumn("content", F.concat(F.lit("声音大 x"), "content")))
+    texts = texts.withColumn("label", F.coalesce(F.col("comment_id"), F.lit(0)) % 2)
+    words = han.spool(han.discover(texts.filter("comment_id < 200")), "words")
+    runs = han.spool(han.run_counts(texts), "runs")
+    cuts = han.frequent_cuts(runs, words, bound=Bound(rows=kept))
+    assert cuts.count() <= kept and (kept == 0 or cuts.count() > 0)
+    joined = _rows(han.segmented(texts, words, bound=Bound(rows=3)))
+    assert len(joined) == 408 and _rows(han.segmented(texts, words, cuts=cuts)) == joined
+    carried = _rows(han.segmented(texts, words, carry=["label"], cuts=cuts))
+    assert carried == _rows(han.segmented(texts, words, carry=["label"], bound=Bound(rows=3)))
+    assert [(k, w) for k, _, w in carried] == joined
+
+
+def test_longest_words_of_one_character(spark, texts):
+    words = han.discover(texts)
+    whole = han.segmented(texts, words, longest=1).select(F.array_join("words", "").alias("all"), F.size("words").alias("n"))
+    assert whole.filter("all RLIKE '^[一-鿿]*$' AND char_length(all) <> n").isEmpty()
+    assert _rows(han.segmented(texts, words, longest=1)) == _rows(han.segmented(texts, words, longest=1, bound=Bound(rows=3)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_held_rows_are_found(spark, n):
+    rows = spark.range(n).select(F.concat(F.lit("k"), "id").alias("name"), F.col("id").alias("number"))
+    asked = spark.range(600).select("id", F.concat(F.lit("k"), "id").alias("name"), held(rows, "name", "number", n).alias("table"))
+    found = asked.select("id", F.get(F.transform(F.array("table"), lambda table: sought(table, F.col("name"))), F.lit(0)).alias("number"))
+    assert {r.id: r.number for r in found.collect()} == {k: k if k < n else None for k in range(600)}
