@@ -357,10 +357,13 @@ def han_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def han_word_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment by a lexicon of found words: corpus and comments are cut along the same paths."""
-    cut = spool(han.segmented(fx.han_texts(spark, sf_dir), _han_words(spark, sf_dir)).withColumnRenamed("words", "content"), "cut")
-    labels = fx.han_corpus(spark, sf_dir).select(F.col("doc_id").alias("comment_id"), "label")
-    lexicon = sentiment.build_lexicon(cut.join(labels, "comment_id").withColumnRenamed("content", "review"), keep_common=True,
-                                      tokenizer=han.segmented_words)
+    runs = _han_runs(spark, sf_dir)
+    found = _han_words(spark, sf_dir, runs)
+    cuts = han.frequent_cuts(runs, found)
+    # Cut twice: written once, or joined to the labels, words take several times the space of their texts.
+    reviews = han.segmented(fx.han_corpus(spark, sf_dir).withColumnRenamed("review", "content"), found, "doc_id", carry=["label"], cuts=cuts)
+    lexicon = sentiment.build_lexicon(reviews.withColumnRenamed("words", "review"), keep_common=True, tokenizer=han.segmented_words)
+    cut = han.segmented(fx.han_texts(spark, sf_dir), found, cuts=cuts).withColumnRenamed("words", "content")
     return sentiment.label_sentiment(cut, spool(lexicon, "lexicon"), tokenizer=han.segmented_words)
 
 
