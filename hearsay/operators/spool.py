@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _open: list[list[str]] = []
@@ -42,9 +43,27 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and return it read back."""
+def spool(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and return it read back; ``zstd`` suits texts."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def portions(stored: DataFrame, size: Column, least: int, most: int = 32) -> Iterator[DataFrame]:
+    """All rows of a table that is read from files, some files at a time; one portion at least.
+
+    A portion has ``least`` by the sum of ``size`` or one of ``most`` equal shares, whichever is more, and up to a file beyond.
+    """
+    file = F.col("_metadata.file_name")
+    sizes = stored.groupBy(file.alias("file")).agg(F.coalesce(F.sum(size), F.lit(0)).alias("size")).orderBy("file").collect()  # one row a file
+    share = max(least, sum(row["size"] for row in sizes) / most)
+    names, taken = [], 0
+    for row in sizes:
+        names, taken = [*names, row["file"]], taken + row["size"]
+        if taken >= share:
+            yield stored.filter(file.isin(names))
+            names, taken = [], 0
+    if names or not sizes:
+        yield stored.filter(file.isin(names)) if names else stored

@@ -1,11 +1,15 @@
 """CSV with line breaks inside values, read by splits, against Spark's own multi-line reader."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as entry
+from hearsay.operators.spool import portions, shared_folder, spool
 from hearsay.sources import records, tables
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("body", T.StringType()), T.StructField("n", T.LongType())])
@@ -100,3 +104,43 @@ def test_compressed_files_are_read_whole(spark, splits, tmp_path):
     tables.write_csv(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "z"), compression="gzip")
     assert list((tmp_path / "z").glob("*.csv.gz")) and not records.has_large_file(spark, str(tmp_path / "z"))
     assert _rows(tables.read_csv(spark, str(tmp_path / "z"), SCHEMA)) == sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("least, most, n", [(1, 100, 5), (1, 2, 2), (10**9, 100, 1), (250, 100, 3)])
+def test_portions_hold_all_rows_once(spark, least, most, n):
+    stored = spool(spark.range(0, 500, 1, 5).withColumn("size", F.lit(1)), "rows")  # five files of 100
+    parts = list(portions(stored, F.col("size"), least, most))
+    assert len(parts) <= n and sorted(r.id for part in parts for r in part.collect()) == list(range(500))
+    assert least > 1 or len(parts) == n
+    assert all(part.count() >= min(least, 500) for part in parts[:-1])
+
+
+def test_portions_of_nothing(spark):
+    none = spool(spark.range(0).withColumn("size", F.lit(None).cast("long")), "rows")
+    assert [part.count() for part in portions(none, F.col("size"), 1)] == [0]
+
+
+def test_csv_is_there_in_portions_only(spark, sf_dir, monkeypatch):
+    """Plain CSV of all texts is never there at once, and none of it stays."""
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "hearsay"
+    csv = lambda: {p for p in folder.glob("csv-*") if p not in before}
+    before, seen, write = set(folder.glob("csv-*")), [], tables.write_csv
+    whole = sorted(entry.csv_spread(spark, sf_dir).collect(), key=repr)
+    assert not csv()
+
+    def watched(df, path):
+        write(df, path)
+        seen.append(sum(f.stat().st_size for p in csv() for f in p.glob("*.csv")))
+
+    monkeypatch.setattr(tables, "write_csv", watched)
+    monkeypatch.setattr(entry, "CSV_BYTES", 1)
+    several = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # files
+    for key, value in several.items():
+        spark.conf.set(key, value)
+    try:
+        df = entry.csv_spread(spark, sf_dir)
+    finally:
+        for key in several:
+            spark.conf.unset(key)
+    assert len(seen) > 2 and max(seen) < 0.6 * sum(seen) and not csv()
+    assert sorted(df.collect(), key=repr) == whole and len({r.comment_id for r in whole}) == len(whole)
